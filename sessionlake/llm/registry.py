@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionlake.llm import media, secrets, simhash
+from sessionlake.llm import chat, media, packing, secrets, simhash, warc
 
-MODULES = (secrets, simhash, media)
+MODULES = (secrets, packing, simhash, warc, chat, media)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
