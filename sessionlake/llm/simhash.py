@@ -13,10 +13,12 @@ an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +33,35 @@ MAX_DISTANCE = 3
 BITS_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """A bit is set where over half of the shingles' hashes have it set; zero without words."""
+def words_of(text: str) -> list[bytes]:
+    return WORDS.findall(text.encode("utf-8").lower())  # of bytes, lower() changes A-Z alone
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of all words where they are fewer, and none without words."""
     import xxhash
 
-    words = WORDS.findall(text.encode("utf-8").lower())  # of bytes, lower() changes A-Z alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes have it set; zero without hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, BITS_AT_ONCE):
+    for at in range(0, len(hashes), BITS_AT_ONCE):
         counts += np.unpackbits(hashes[at : at + BITS_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(words_of(text), shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -92,24 +105,87 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(components(fps), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each near-duplicate group, with the columns of ``docs``: that with the least id.
+#: Fingerprints of parts: (one shingle in so many, parts). Shingles go to parts by their hash; a text uses the tiers whose
+#: parts hold about 1.5 to 12 of its shingles, so that of a near copy's parts some are whole at any length.
+TIERS = ((4, 4), (16, 12), (64, 12), (256, 12), (1024, 12), (4096, 12))
+PART_SHINGLES = (1.5, 12)
 
-    Where several rows of a group have that id, or a group has no id at all, one of those rows stays.
+
+def part_keys(hashes: np.ndarray) -> list[int]:
+    """The SimHash fingerprints of a text's parts, each mixed with its tier's and part's number, as signed 64-bit numbers."""
+    hashes = np.unique(hashes)
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    keys = []
+    for i, (rate, parts) in enumerate(TIERS):
+        fits = PART_SHINGLES[0] <= len(hashes) / rate < PART_SHINGLES[1]
+        if fits or i == 0 and len(hashes) < PART_SHINGLES[0] * rate or i == len(TIERS) - 1 and len(hashes) >= PART_SHINGLES[1] * rate:
+            part = mixed % np.uint64(rate)
+            for k in np.unique(part[part < parts]).tolist():
+                keys.append((majority(hashes[part == k]) ^ (i * 64 + k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: str, b: str, shingle: int) -> float:
+    """Jaccard similarity of the sets of shingles; of two texts without words, 1."""
+    x, y = (np.unique(shingle_hashes(words_of(t), shingle)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the digest ``__content`` of their words, and (content, root) of the contents that are similar to others.
+
+    Three bits of 64 find very close texts only. So next to the whole fingerprints, those of parts are looked up as well:
+    contents that share a part's fingerprint are paired with the least of them. Pairs of either kind are candidates, and
+    link where their shingles' Jaccard similarity is at least ``least``. Equal contents are one from the start, and no
+    group is paired out: there are at most as many candidates as parts.
     """
 
-    import pandas as pd
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.pandas_udf("content string, fp long, keys array<long>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            words = words_of(t)
+            hashes = shingle_hashes(words, shingle)
+            rows.append((hashlib.sha1(b" ".join(words)).hexdigest(), majority(hashes), part_keys(hashes)))
+        contents, fps, keys = zip(*rows, strict=True) if rows else ((), (), ())
+        return pd.DataFrame({"content": contents, "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+
+    marked = materialize(docs.withColumn("__d", describe(text_column())).select(*docs.columns, F.col("__d.content").alias("__content"), F.col("__d.fp").alias("__fp"), F.col("__d.keys").alias("__keys")), "marked")
+    contents = marked.groupBy("__content").agg(F.first("__fp").alias("fp"), F.first("__keys").alias("keys"))
+    firsts = contents.groupBy("fp").agg(F.min("__content").alias("content"))
+    near = links(firsts.select("fp"))
+    whole = near.join(firsts.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b").select("x", "y")
+    keyed = contents.select(F.col("__content").alias("x"), F.explode(F.concat("keys", F.array("fp"))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).filter("n > 1")
+    parts = keyed.join(shared, "key").filter("x <> y").select("x", "y")
+    pairs = materialize(whole.unionByName(parts).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    involved = pairs.select(F.col("x").alias("__content")).unionByName(pairs.select(F.col("y").alias("__content"))).distinct()
+    texts = materialize(marked.join(involved, "__content", "left_semi").groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    texts_of = lambda name, text: texts.select(F.col("__content").alias(name), F.col("text").alias(text))
+    linked = pairs.join(texts_of("x", "s"), "x").join(texts_of("y", "t"), "y").filter(likeness("s", "t") >= least)
+    return marked, connected_components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate group, with the columns of ``docs``: that with the least id.
 
-    marked = materialize(docs.withColumn("__fp", of(text_column())), "marked")
-    groups = components(marked.select(F.col("doc_id").cast("long"), F.col("__fp").alias("fp"))).select(
-        F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__first")
-    )
-    first = marked.join(groups, "__fp").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
-    return first.dropDuplicates(["__root"]).select(*docs.columns)
+    Where several rows of a group have that id, or a group has no id at all, one of those rows stays.
+    """
+    marked, groups = similar_groups(docs, shingle, least)
+    roots = groups.select(F.col("node").alias("__content"), F.col("root").alias("__root"))
+    ids = marked.select("__content", F.col("doc_id").cast("long").alias("__id")).groupBy("__content").agg(F.min("__id").alias("__id"))
+    rooted = ids.join(roots, "__content", "left").select("__content", F.coalesce("__root", "__content").alias("__root"), "__id")
+    first = rooted.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__content"))).alias("__m"))
+    chosen = first.select(F.col("__m.__content").alias("__content"), F.col("__m.__id").alias("__first"))
+    kept = marked.join(chosen, "__content").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
+    return kept.dropDuplicates(["__content"]).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
