@@ -13,8 +13,7 @@ Null text counts as empty: one piece that holds only id 0. Repeated rows and ids
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import struct
 import zlib
 from collections import Counter
@@ -32,14 +31,10 @@ from sessionlake.llm.common import materialize, slices, table, text_column
 CAPACITY = 2048
 END = struct.pack("<I", 0)
 BLOCK_ROWS = 16_384
-CACHE_WORDS = 400_000
-RUN_OF_SPACE = re.compile(r"\s\s")
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-_tokenizers: dict = {}
-_words: dict[str, bytes] = {}
+_encoding: list = []
 
 
 def tokenizer_file() -> str:
@@ -48,34 +43,34 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def tokenizer(path: str | None):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _words.clear()
-        _tokenizers.clear()
-        _tokenizers[path] = Tokenizer.from_file(path or tokenizer_file())
-        _tokenizers[path].encode_special_tokens = True  # such strings in a text are ordinary text
-    return _tokenizers[path]
+def byte_of() -> dict[str, int]:
+    """The bytes that a byte-level vocabulary's characters stand for: printable ones themselves, the others from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def encode(texts: list[str], path: str | None = None) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit numbers, without the end.
+def encoding(path: str | None):
+    """The file's vocabulary, whose ids are in the order of its merges, for tiktoken: the same ids as by tokenizers, sooner.
 
-    The vocabulary's pattern never joins a word to a following blank, so where white space stands alone a text can be cut
-    before its blanks; words seen before come from a table. Texts with runs of white space are encoded whole.
+    Special tokens are not in it, so their strings in a text are ordinary text.
     """
-    tok = tokenizer(path)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    cut = [None if RUN_OF_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-    new = list({w for words in cut if words for w in words if w not in _words})
-    for at in range(0, len(new), 1024):
-        for w, e in zip(part := new[at : at + 1024], tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-    look = _words.__getitem__
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(look, words)) for t, words in zip(texts, cut, strict=True)]
+    if not _encoding or _encoding[0] != path:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or tokenizer_file(), encoding="utf-8") as f:
+            found, special = (x := json.load(f))["model"]["vocab"], {t["id"] for t in x["added_tokens"]}
+        byte = byte_of()
+        ranks = {bytes(byte[c] for c in word): rank for word, rank in found.items() if rank not in special}
+        _encoding[:] = path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoding[1]
+
+
+def encode(texts: list[str], path: str | None = None) -> list[bytes]:
+    """Each text's ids as little-endian 32-bit numbers, without the end."""
+    ordinary = encoding(path).encode_ordinary
+    return [np.array(ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
