@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionlake.llm import chat, media, mixing, packing, pitman_yor, quality, secrets, simhash, warc
+from sessionlake.llm import chat, imatch, media, mixing, packing, pitman_yor, quality, secrets, simhash, warc
 
-MODULES = (secrets, packing, pitman_yor, simhash, warc, quality, chat, mixing, media)
+MODULES = (secrets, imatch, packing, pitman_yor, simhash, warc, quality, chat, mixing, media)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
