@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sessionlake.plans import memory, retrieval
+
+QUERIES = {**retrieval.QUERIES, **memory.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **memory.ORACLE_SQL}
