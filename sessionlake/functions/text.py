@@ -133,6 +133,9 @@ def merge_notes(notes: Column) -> Column:
     def first(name: str) -> Column:
         return F.coalesce(F.try_element_at(F.filter(F.transform(notes, lambda n: js_trim(n[name])), lambda s: s != ""), F.lit(1)), F.lit(""))
 
+    def union(name: str) -> Column:
+        return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(notes, lambda n: n[name])), js_trim), lambda s: s != ""))
+
     summaries = F.array_join(F.filter(F.transform(notes, lambda n: js_trim(n["summary"])), lambda s: s != ""), "; ")
-    lists = [F.array_distinct(F.filter(F.transform(F.flatten(F.transform(notes, lambda n, f=f: n[f])), js_trim), lambda s: s != "")).alias(f) for f in [f for f, _ in SECTIONS] + ["tags"]]
+    lists = [union(f).alias(f) for f in [f for f, _ in SECTIONS] + ["tags"]]
     return F.struct(first("topic").alias("topic"), summaries.alias("summary"), first("context").alias("context"), *lists)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
 SCHEMA_VERSION = "1"
 
@@ -20,7 +20,12 @@ _DDL = {
     "note_vec": "id string, embedding array<float>",
     "decision_vec": "id string, embedding array<float>",
 }
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "array<string>": ArrayType(StringType()), "array<float>": ArrayType(FloatType())}
+TABLES: dict[str, StructType] = {}
+for _name, _ddl in _DDL.items():
+    TABLES[_name] = StructType()
+    for _field in _ddl.split(", "):
+        TABLES[_name].add(_field.split(" ")[0], _TYPES[_field.split(" ")[1]])
 
 #: Columns that hold a few words only.
 ENUMS = {
