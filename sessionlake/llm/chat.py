@@ -116,8 +116,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    """A line feed stands for ``\\n`` while the escapes are undone, as none can be in an escaped role."""
-    return F.replace(F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\n")), F.lit("\\n"), F.lit("\r\n")), F.lit("\\|"), F.lit("|")), F.lit("\n"), F.lit("\\"))
+    """No escaped role holds a line feed, so one stands for a backslash until, at the end, both change places."""
+    held = F.replace(F.replace(role, F.lit("\\\\"), F.lit("\n")), F.lit("\\|"), F.lit("|"))
+    return F.translate(F.replace(held, F.lit("\\n"), F.lit("\\")), "\n\\", "\\\n")
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
