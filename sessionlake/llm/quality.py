@@ -28,7 +28,8 @@ STRETCH = 256  #: bytes; a chunk is two of them, and begins at each
 GROUPS = STRETCH // STEP
 #: Labelled rows that training takes at most.
 SAMPLE_ROWS = 3000
-EPOCHS, BATCH, RATE = 12, 32, 4e-3
+#: Passes over the sample, more where it is so small that they would have fewer steps.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 500, 32, 4e-3
 HELD_OUT_OF = 5
 THRESHOLD = 0.3
 
@@ -144,7 +145,7 @@ def runs(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Network:
+def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     net, labels = Network.fresh(rng), np.asarray(labels, np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -153,6 +154,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, epochs: int = EPO
         net.out[:] = 0
         return net
     first, second, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(texts) // BATCH)))
     total = epochs * -(-len(texts) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
