@@ -33,7 +33,7 @@ RAREST, COMMONEST = 2000, 10
 RATES, PER_RATE = (2, 8, 32, 128, 512), 12
 SUBSETS = PER_RATE * len(RATES)
 EMPTY = "----"
-BUCKET_CHARS, MAX_BUCKETS = 12_000_000, 4096
+BUCKET_CHARS, BUCKETS_PER_TASK, MAX_BUCKETS = 3_000_000, 4, 4096
 TERMS_AT_ONCE = 500_000
 
 #: Lower case for A-Z, and blanks for control characters, blanks and marks of ASCII.
@@ -132,7 +132,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     known = docs.sparkSession.createDataFrame(guests, "host int, bucket int, first long")
     visiting = placed.join(F.broadcast(known), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("host").alias("bucket"), F.lit(True).alias("guest"), "doc_id", "text")
     both = placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text").unionByName(visiting)
-    return both.repartition(max(1, len(firsts)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    return both.repartition(max(1, -(-len(firsts) // BUCKETS_PER_TASK)), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
