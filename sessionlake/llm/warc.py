@@ -174,6 +174,9 @@ def arc_documents(archives: DataFrame) -> DataFrame:
     """(page_id, url, digest, head, packed): each ARC document with its payload's digest; ``packed`` is the document, compressed."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, 1):
             rows = []
             for arc in read_arc(batch["arc"][0].as_py()):
@@ -181,7 +184,7 @@ def arc_documents(archives: DataFrame) -> DataFrame:
                     continue
                 page_id = http_fields(arc["document"]).get(PAGE_FIELD)
                 fields = [f"{arc[k]}" for k in V1_FIELDS.split(" ")[:4]]
-                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), zlib.compress(arc["document"], LEVEL)))
+                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), packer.compress(arc["document"])))
             if rows:
                 types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ("page_id", "url", "digest", "head", "packed"))
@@ -195,10 +198,12 @@ def convert(documents: DataFrame, min_bytes: int = 0) -> DataFrame:
     judged = documents.join(first, "digest").select("page_id", "url", "head", "packed", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        import zstandard
+
+        parts, size, unpacker = [], 0, zstandard.ZstdDecompressor()
         for batch in slices(batches, 64):
             for page_id, _, head, packed, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document = zlib.decompress(packed)
+                document = unpacker.decompress(packed)
                 arc = dict(zip(V1_FIELDS.split(" "), head.split(" "), strict=False)) | {"document": document}
                 payload = len(document.partition(b"\r\n\r\n")[2])
                 again = payload >= min_bytes and first_id != page_id
