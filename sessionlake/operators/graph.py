@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sessionlake.checkpoints import checkpointed
 from sessionlake.functions.text import enforce_repo_prefix, normalize_repo, repo_display
-from sessionlake.functions.vectors import cosine
 
 #: Fixed values.
 LINK_K, BACKBONE_K, BACKBONE_WEIGHT = 10, 3, 0.5
@@ -20,42 +19,51 @@ SEED = 0x7E6D2B79
 BLOCK = 1024
 
 
-def _blocks(vectors: DataFrame, number: int) -> DataFrame:
-    """Rows of ``vectors(id, v)`` packed into blocks: (block, ids, vs)."""
-    spread = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)))
-    return spread.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("block", F.col("rows.id").alias("ids"), F.col("rows.v").alias("vs"))
+def _candidates(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of rows of ``a`` and ``b``: at least each row's ``k`` best of at least ``threshold``.
 
-
-def neighbours(vectors: DataFrame, threshold: float, k: int = LINK_K, block: int = BLOCK) -> DataFrame:
+    A matrix product tells which may be; only these are summed from left to right, as single vectors would be.
+    """
+    a_norm, b_norm = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x)) for x in (a, b))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.nan_to_num(a @ b.T / np.outer(a_norm, b_norm), nan=0.0, posinf=0.0, neginf=0.0)
+    if same is not None:
+        rough[same] = -np.inf
+    least = np.full(len(a), threshold)
+    if k < len(b):
+        least = np.maximum(least, -np.partition(-rough, k - 1, axis=1)[:, k - 1] if k else np.inf)
+    i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+    scale = a_norm[i] * b_norm[j]
+    dots = np.cumsum(a[i] * b[j], axis=1)[:, -1] if len(i) and a.shape[1] else np.zeros(len(i))
+    exact = np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0)
+    kept = exact >= threshold
+    return i[kept], j[kept], exact[kept]
+
+
+def neighbours(vectors: DataFrame, threshold: float | None, k: int = LINK_K, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(src, dst, similarity): for each source its ``k`` most similar others of at least ``threshold``, ids settling ties.
 
-    Exact. Blocks of vectors meet pairwise; each pair is one matrix product in a task and gives at most ``k`` rows a source, so
-    neither all pairs nor a whole side is ever held. Candidates of the product are summed again from left to right.
+    With ``within``, a column, only others of the same value. Exact: blocks of ``vectors(id, v)`` meet pairwise; each pair is one
+    matrix product in a task and gives about ``k`` rows a source, so neither all pairs nor a whole side is ever held, and a
+    value that very many rows have is as many more tasks.
     """
     if k < 0 or int(k) != k:
         raise ValueError("k must be a whole number, not negative")
-    vectors = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
-    n = vectors.count()
-    number = max(1, -(-n // block))
-    packed = _blocks(vectors, number)
-    left = packed.select(F.col("ids").alias("a_ids"), F.col("vs").alias("a_vs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("block"))
-    pairs = left.join(packed.select("block", F.col("ids").alias("b_ids"), F.col("vs").alias("b_vs")), "block")
-    id_type = vectors.schema["id"].dataType.simpleString()
+    plain = vectors.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("group"))
+    parts = plain.groupBy("group").agg(F.ceil(F.count("*") / block).alias("parts"))
+    spread = plain.join(parts, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    packed = spread.groupBy("group", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"), F.first("parts").alias("parts"))
+    left = packed.select("group", F.col("rows.id").alias("a_ids"), F.col("rows.v").alias("a_vs"), F.col("block").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
+    pairs = left.join(packed.select("group", "block", F.col("rows.id").alias("b_ids"), F.col("rows.v").alias("b_vs")), ["group", "block"]).select((F.col("own") == F.col("block")).alias("same"), "a_ids", "a_vs", "b_ids", "b_vs")
+    id_type, floor = vectors.schema["id"].dataType.simpleString(), -np.inf if threshold is None else threshold
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for a_ids, a_vs, b_ids, b_vs in zip(frame["a_ids"], frame["a_vs"], frame["b_ids"], frame["b_vs"], strict=True):
-                a, b = np.array([*map(np.asarray, a_vs)], float), np.array([*map(np.asarray, b_vs)], float)
-                a_norm, b_norm = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in (a, b))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    rough = np.nan_to_num(a @ b.T / np.outer(a_norm, b_norm), nan=0.0, posinf=0.0, neginf=0.0)
-                i, j = np.nonzero(rough >= threshold - 1e-9)
-                distinct = np.asarray(a_ids)[i] != np.asarray(b_ids)[j]
-                i, j = i[distinct], j[distinct]
-                scale = a_norm[i] * b_norm[j]
-                exact = np.where(scale > 0, np.cumsum(a[i] * b[j], axis=1)[:, -1] / np.where(scale > 0, scale, 1), 0.0) if len(i) else np.zeros(0)
-                out = pd.DataFrame({"src": np.asarray(a_ids)[i], "dst": np.asarray(b_ids)[j], "similarity": exact})
-                out = out[out["similarity"] >= threshold].sort_values(["src", "similarity", "dst"], ascending=[True, False, True])
+            for same, a_ids, a_vs, b_ids, b_vs in frame.itertuples(index=False, name=None):
+                a, b = (np.array([*map(np.asarray, vs)], float).reshape(len(vs), -1) for vs in (a_vs, b_vs))
+                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
+                i, j, similarity = _candidates(a, b, np.equal.outer(a_ids, b_ids).astype(bool) if same else None, floor, k)
+                out = pd.DataFrame({"src": a_ids[i], "dst": b_ids[j], "similarity": similarity}).sort_values(["src", "similarity", "dst"], ascending=[True, False, True])
                 yield out.groupby("src", sort=False).head(k)
 
     found = pairs.mapInPandas(multiply, f"src {id_type}, dst {id_type}, similarity double")
@@ -74,14 +82,8 @@ def links(vectors: DataFrame, threshold: float, k: int = LINK_K) -> DataFrame:
 
 def backbone(notes: DataFrame, k: int = BACKBONE_K) -> DataFrame:
     """Links of fixed weight to the ``k`` nearest siblings of the same repository, of ``notes(id, v, repo)``, whatever their similarity."""
-    if k < 0 or int(k) != k:
-        raise ValueError("k must be a whole number, not negative")
     own = notes.select("id", "v", normalize_repo(F.col("repo").cast("string")).alias("repo")).filter("repo IS NOT NULL")
-    pairs = own.alias("x").join(own.alias("y"), (F.col("x.repo") == F.col("y.repo")) & (F.col("x.id") != F.col("y.id")))
-    scored = pairs.select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity"))
-    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    near = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return undirected(near).withColumn("similarity", F.lit(BACKBONE_WEIGHT))
+    return undirected(neighbours(own, None, k, within="repo")).withColumn("similarity", F.lit(BACKBONE_WEIGHT))
 
 
 def merged(threshold_links: DataFrame, backbone_links: DataFrame) -> DataFrame:
