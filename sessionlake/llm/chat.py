@@ -32,10 +32,19 @@ class Mapping:
     turns: str
 
 
-def listed(field: str, role: str, text: str) -> Mapping:
+#: Names of roles in some layouts, and the canonical ones.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+
+
+def listed(field: str, role: str, text: str, named: bool = False) -> Mapping:
+    """A list of messages; ``named`` if the layout has names of its own for roles."""
+    who = f"variant_get(m, '$.{role}', 'string')"
+    if named:
+        names = ", ".join(f"'{x}'" for pair in ROLES.items() for x in pair)
+        who = f"coalesce(map({names})[{who}], {who})"
     return Mapping(
         f"{field}[].{min(role, text)},{field}[].{max(role, text)}",
-        f"transform(variant_get(r, '$.{field}', 'array<variant>'), m -> struct(variant_get(m, '$.{role}', 'string') AS role, variant_get(m, '$.{text}', 'string') AS text))",
+        f"transform(variant_get(r, '$.{field}', 'array<variant>'), m -> struct({who} AS role, variant_get(m, '$.{text}', 'string') AS text))",
     )
 
 
@@ -49,8 +58,8 @@ def paired(first: str, second: str, given: str = "") -> Mapping:
 
 MAPPINGS = (
     listed("messages", "role", "content"),
-    listed("conversations", "from", "value"),
-    listed("turns", "speaker", "text"),
+    listed("conversations", "from", "value", named=True),
+    listed("turns", "speaker", "text", named=True),
     paired("prompt", "response"),
     paired("prompt", "completion"),
     paired("question", "answer"),
@@ -61,9 +70,6 @@ MAPPINGS = (
         "array(struct('system' AS role, variant_get(r, '$.system', 'string') AS text), struct('user' AS role, variant_get(r, '$.prompt', 'string') AS text), struct('assistant' AS role, variant_get(r, '$.response', 'string') AS text))",
     ),
 )
-#: Names of roles in some layouts, and the canonical ones.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
-
 
 def field_paths(parsed: Column) -> Column:
     """Nested field paths of a record with objects at the top and, within their lists, objects one level down; sorted, comma-joined.
@@ -98,8 +104,7 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     for m in mappings:
         turns = turns.when(F.col("fingerprint") == schema_fingerprint(F.lit(m.paths)), F.expr(m.turns).cast(TURNS))
     unknown = F.raise_error(F.concat(F.lit("no mapping for a record of the fields "), F.col("paths"))).cast(TURNS)
-    roles = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-    plain = F.transform(turns.otherwise(unknown), lambda t: F.struct(F.coalesce(roles[t["role"]], t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    plain = F.transform(turns.otherwise(unknown), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return parsed.select("conv_id", plain.alias("turns"))
 
 
