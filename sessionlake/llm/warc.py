@@ -170,13 +170,13 @@ def write_arc(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "name string, version int, arc binary")
 
 
-def arc_documents(archives: DataFrame) -> DataFrame:
-    """(page_id, url, digest, head, packed): each ARC document with its payload's digest; ``packed`` is the document, compressed."""
+def arc_documents(archives: DataFrame, documents: bool = True) -> DataFrame:
+    """(page_id, url, digest, head, packed): each ARC document with its payload's digest; ``packed`` is the document, compressed.
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    Without ``documents`` these are left out, where heads alone are asked for.
+    """
 
-        packer = zstandard.ZstdCompressor(level=3)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = []
             for arc in read_arc(batch["arc"][0].as_py()):
@@ -184,7 +184,7 @@ def arc_documents(archives: DataFrame) -> DataFrame:
                     continue
                 page_id = http_fields(arc["document"]).get(PAGE_FIELD)
                 fields = [f"{arc[k]}" for k in V1_FIELDS.split(" ")[:4]]
-                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), packer.compress(arc["document"])))
+                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), zlib.compress(arc["document"], LEVEL) if documents else b""))
             if rows:
                 types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ("page_id", "url", "digest", "head", "packed"))
@@ -192,18 +192,19 @@ def arc_documents(archives: DataFrame) -> DataFrame:
     return archives.select("arc").mapInArrow(parse, "page_id long, url string, digest string, head string, packed binary")
 
 
-def convert(documents: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(warc): WARC archives of gzip members, one a record. Payloads of ``min_bytes`` or more are stored once."""
-    first = documents.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"))
-    judged = documents.join(first, "digest").select("page_id", "url", "head", "packed", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(warc): WARC archives of gzip members, one a record, of ARC archives. Payloads of ``min_bytes`` or more are stored once.
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+    The archives are read twice: once for their heads, which tell the first of equal payloads, and once for the documents.
+    """
+    first = arc_documents(archives, documents=False).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"))
+    judged = arc_documents(archives).join(first, "digest").select("page_id", "url", "head", "packed", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
 
-        parts, size, unpacker = [], 0, zstandard.ZstdDecompressor()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in slices(batches, 64):
             for page_id, _, head, packed, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document = unpacker.decompress(packed)
+                document = zlib.decompress(packed)
                 arc = dict(zip(V1_FIELDS.split(" "), head.split(" "), strict=False)) | {"document": document}
                 payload = len(document.partition(b"\r\n\r\n")[2])
                 again = payload >= min_bytes and first_id != page_id
@@ -237,8 +238,7 @@ def index_warc(archives: DataFrame) -> DataFrame:
 
 
 def op6_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = materialize(arc_documents(write_arc(table(spark, sf_dir, "pages"))), "arc")
-    return index_warc(materialize(convert(documents), "warc"))
+    return index_warc(materialize(convert(write_arc(table(spark, sf_dir, "pages"))), "warc"))
 
 
 QUERIES = {"op6_warc_conversion": op6_warc_conversion}

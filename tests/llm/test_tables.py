@@ -25,7 +25,7 @@ def pages(spark):
 
 
 def run_warc(df):
-    return warc.index_warc(warc.convert(warc.arc_documents(warc.write_arc(df))))
+    return warc.index_warc(warc.convert(warc.write_arc(df)))
 
 
 def test_warc_records(spark):
@@ -60,7 +60,7 @@ def test_arc_versions(version):
 
 
 def test_archives_are_readable_members(spark):
-    archives = warc.convert(warc.arc_documents(warc.write_arc(pages(spark)))).collect()
+    archives = warc.convert(warc.write_arc(pages(spark))).collect()
     assert sum(len(list(warc.read_warc(gzip.decompress(r["warc"])))) for r in archives) == 11
 
 
