@@ -384,3 +384,19 @@ def test_media_boxes():
     assert info["chunks"][0][0] + 64 * 64 == info["chunks"][0][1] and info["keyframes"][1][0] - info["keyframes"][0][0] == 16 * 64
     with pytest.raises(ValueError):
         media.read_media(media.write_media(bytes(64))[:-5])
+
+
+def test_contexts_are_distributions_and_help(spark):
+    above = np.array([0.5, 0.3, 0.2])
+    cells, customers = np.array([0, 1, 5 * 3 + 2]), np.array([90, 10, 7])
+    p = pitman_yor.sample_contexts(cells, customers, above, 3)
+    assert np.allclose(p.sum(1), 1, atol=1e-4) and p[0, 0] > 0.7 > 0.5 and p[5, 2] > 0.2 and np.allclose(p[9], above, atol=1e-4)
+    made = spark.createDataFrame([(i, " ".join(["left right", "up down"][(i + j) % 2] for j in range(50))) for i in range(60)], "doc_id long, text string")
+    got = pitman_yor.score(made).collect()
+    assert all(r["score"] > 0.7 * r["base_score"] for r in got)  # of two words in a row, the second is certain
+
+
+def test_only_held_out_documents(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = pitman_yor.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids) and all(r["train_tokens"] == 0 == r["n_known"] and abs(r["score"]) < 1e-6 and r["spelled_score"] < -1 for r in got)
