@@ -153,7 +153,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tup
         return pd.DataFrame({"content": contents, "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
 
     marked = materialize(docs.withColumn("__d", describe(text_column())).select(*docs.columns, F.col("__d.content").alias("__content"), F.col("__d.fp").alias("__fp"), F.col("__d.keys").alias("__keys")), "marked")
-    contents = marked.groupBy("__content").agg(F.first("__fp").alias("fp"), F.first("__keys").alias("keys"))
+    own_id = F.col("doc_id").cast("long")
+    contents = marked.groupBy("__content").agg(F.first("__fp").alias("fp"), F.first("__keys").alias("keys"), F.min(own_id).alias("id"))
     firsts = contents.groupBy("fp").agg(F.min("__content").alias("content"))
     near = links(firsts.select("fp"))
     whole = near.join(firsts.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b").select("x", "y")
@@ -162,7 +163,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tup
     parts = keyed.join(shared, "key").filter("x <> y").select("x", "y")
     pairs = materialize(whole.unionByName(parts).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
     involved = pairs.select(F.col("x").alias("__content")).unionByName(pairs.select(F.col("y").alias("__content"))).distinct()
-    texts = materialize(marked.join(involved, "__content", "left_semi").groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
+    asked = involved.join(contents.select("__content", "id"), "__content").select(F.col("__content").alias("c"), "id")
+    found = marked.join(asked, (F.col("__content") == F.col("c")) & own_id.eqNullSafe(F.col("id")), "left_semi")  # one of the copies
+    texts = materialize(found.groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -183,8 +186,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     ids = marked.select("__content", F.col("doc_id").cast("long").alias("__id")).groupBy("__content").agg(F.min("__id").alias("__id"))
     rooted = ids.join(roots, "__content", "left").select("__content", F.coalesce("__root", "__content").alias("__root"), "__id")
     first = rooted.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__content"))).alias("__m"))
-    chosen = first.select(F.col("__m.__content").alias("__content"), F.col("__m.__id").alias("__first"))
-    kept = marked.join(chosen, "__content").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
+    chosen = first.select(F.col("__m.__content").alias("__chosen"), F.col("__m.__id").alias("__first"))
+    kept = marked.join(chosen, (F.col("__content") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
     return kept.dropDuplicates(["__content"]).select(*docs.columns)
 
 
