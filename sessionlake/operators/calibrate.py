@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.checkpoints import checkpointed
 from sessionlake.functions.text import round4
-from sessionlake.functions.vectors import dot, normalized
+from sessionlake.functions.vectors import normalized
 
 #: Fixed values.
 ANCHORS = {"link": 0.70, "merge": 0.70, "judge_low": 0.60, "floor": 0.55}
 TOLERANCE, MIN_NOTES = 0.02, 200
 
 
-def pairwise(vectors: DataFrame) -> DataFrame:
-    """(i, j, s) of all pairs i < j of ``vectors(id, embedding)``, scaled to unit length first. A calibration corpus is some hundred notes."""
+def pairwise(vectors: DataFrame, block: int = 512) -> DataFrame:
+    """(i, j, s) of all pairs i < j of ``vectors(id, embedding)``, scaled to unit length first; blocks of vectors meet in tasks.
+
+    Products are summed from left to right. All pairs are the result here: a calibration corpus is some hundred notes.
+    """
     unit = vectors.select("id", normalized(F.col("embedding")).alias("v"))
-    return unit.alias("x").join(unit.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), dot(F.col("x.v"), F.col("y.v")).alias("s"))
+    parts = max(1, -(-vectors.count() // block))
+    packed = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    left = packed.select(F.col("block").alias("own"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(parts - 1).cast("long"))).alias("block"))
+    met = left.join(packed.withColumnRenamed("rows", "b"), "block").select(F.col("a.id").alias("a_ids"), F.col("a.v").alias("a_vs"), F.col("b.id").alias("b_ids"), F.col("b.v").alias("b_vs"), (F.col("own") == F.col("block")).alias("same"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a_ids, a_vs, b_ids, b_vs, same in frame.itertuples(index=False, name=None):
+                a, b = (np.array([*map(np.asarray, vs)], float).reshape(len(vs), -1) for vs in (a_vs, b_vs))
+                total = np.zeros((len(a), len(b)))
+                for x, y in zip(a.T, b.T, strict=True):
+                    total += np.outer(x, y)
+                x, y = np.meshgrid(np.asarray(a_ids), np.asarray(b_ids), indexing="ij")
+                kept = x < y if same else np.ones(total.shape, bool)
+                x, y, s = x[kept], y[kept], total[kept]
+                yield pd.DataFrame({"i": np.where(x < y, x, y), "j": np.where(x < y, y, x), "s": s})
+
+    return met.mapInPandas(multiply, f"i {kind}, j {kind}, s double")
 
 
 def summary(pairs: DataFrame) -> DataFrame:
@@ -35,6 +61,7 @@ def threshold_at(pairs: DataFrame, densities: dict[str, float]) -> DataFrame:
     Not a percentile function, which takes another rank. The ranks are numbered over ranges of the values: only counts of
     ranges are summed up in one place, and each range is sorted by itself.
     """
+    pairs = checkpointed(pairs.select("s"))
     n = pairs.count()
     wanted = pairs.sparkSession.createDataFrame([(k, min(n - 1, max(0, int((1 - d) * n // 1)))) for k, d in densities.items()], "anchor string, ix long")
     ranged = pairs.select("s").withColumn("range", F.least(F.lit(1999), F.greatest(F.lit(0), F.floor((F.col("s") + 1) * 1000))))
@@ -54,7 +81,7 @@ def ranked(pairs: DataFrame, value: str, name: str) -> DataFrame:
 
 def spearman(pairs: DataFrame) -> DataFrame:
     """(spearman) of ``pairs(i, j, s, t)``: ranks by value, the pair's position settling ties, without averaging."""
-    return ranked(ranked(pairs, "s", "x"), "t", "y").agg(round4(F.corr("x", "y")).alias("spearman"))
+    return ranked(ranked(checkpointed(pairs), "s", "x"), "t", "y").agg(round4(F.corr("x", "y")).alias("spearman"))
 
 
 def carried(reference: DataFrame, other: DataFrame, anchors: dict[str, float] = ANCHORS) -> DataFrame:

@@ -232,7 +232,7 @@ CLAIMABLE = f"""claimable AS (SELECT * FROM log c WHERE (status = 'queued' OR (s
 
 def _scrubbed() -> str:
     out = "text"
-    for pattern, replacement in text.SCRUB_RULES:
+    for pattern, replacement, _ in text.SCRUB_RULES:
         quoted = pattern.replace("'", "''")
         into = re.sub(r"\$(\d)", r"\\\1", replacement)
         out = f"regexp_replace({out}, '{quoted}', '{into}', 'g')"
