@@ -144,3 +144,16 @@ def merge_notes(notes: Column) -> Column:
     summaries = F.array_join(F.filter(F.transform(notes, lambda n: js_trim(n["summary"])), lambda s: s != ""), "; ")
     lists = [union(f).alias(f) for f in [f for f, _ in SECTIONS] + ["tags"]]
     return F.struct(first("topic").alias("topic"), summaries.alias("summary"), first("context").alias("context"), *lists)
+
+
+def safe_excerpt(text: str, secrets: list[str], most: int = 512) -> str:
+    """An error message fit to be stored: known secrets, also as JSON writes them, authorisation lines and bearer tokens go first."""
+    import json
+    import re
+
+    for secret in filter(None, secrets):
+        for form in (secret, json.dumps(secret)[1:-1]):
+            text = text.replace(form, "[REDACTED]")
+    text = re.sub(r"(?im)^((?:proxy-)?authorization|x-api-key)\s*:.*$", r"\1: [REDACTED]", text)
+    text = re.sub(r"(?i)\bbearer\s+\S+", "Bearer [REDACTED]", text)
+    return re.sub(r"[\r\n]+", " ", text)[:most]

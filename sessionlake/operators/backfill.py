@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.operators.captures import turns_of
+from sessionlake.sources.transcripts import parse_errors
+
 #: Fixed values.
 DEFAULT_CAP, CONFIRM_ABOVE, PAGE = 50, 200, 50
 
@@ -53,3 +56,13 @@ def report(ranked: DataFrame, captures: DataFrame) -> DataFrame:
     omitted = ranked.filter("NOT selected").agg(F.count("*").alias("omitted"))
     undistilled = captures.filter("distilled_at IS NULL").agg(F.count("*").alias("undistilled"))
     return omitted.join(F.broadcast(undistilled)).withColumn("complete", (F.col("omitted") == 0) & (F.col("undistilled") == 0))
+
+
+def imported(found: DataFrame, site: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing."""
+    captures = turns_of(found).select(
+        F.sha2(F.to_json(F.struct(F.lit(site).alias("site"), "session", "source_key")), 256).alias("id"), F.lit(site).alias("site"), F.col("session").alias("conversation_id"),
+        F.lit(None).cast("string").alias("conversation_title"), "prompt", "response", "model", "cwd", "source_key", F.col("at").alias("captured_at"), F.lit(now).alias("created_at"),
+        F.lit(None).cast("string").alias("distilled_at"), F.col("offset").alias("seq"),
+    )
+    return captures, parse_errors(found)
