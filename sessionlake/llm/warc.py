@@ -33,6 +33,8 @@ V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Locat
 PAGE_FIELD = b"X-Page-Id"
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 1
+#: Repeated payloads' firsts that may be broadcast: some megabytes.
+FEW = 20_000
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -171,7 +173,7 @@ def write_arc(pages: DataFrame, date: str = "20200101000000") -> DataFrame:
 
 
 def arc_documents(archives: DataFrame, documents: bool = True) -> DataFrame:
-    """(page_id, url, digest, head, packed): each ARC document with its payload's digest; ``packed`` is the document, compressed.
+    """(page_id, url, digest, head, document): each ARC document with its payload's digest.
 
     Without ``documents`` these are left out, where heads alone are asked for.
     """
@@ -184,30 +186,31 @@ def arc_documents(archives: DataFrame, documents: bool = True) -> DataFrame:
                     continue
                 page_id = http_fields(arc["document"]).get(PAGE_FIELD)
                 fields = [f"{arc[k]}" for k in V1_FIELDS.split(" ")[:4]]
-                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), zlib.compress(arc["document"], LEVEL) if documents else b""))
+                rows.append((page_id and int(page_id), arc["URL"], base32_sha1(arc["document"].partition(b"\r\n\r\n")[2]), " ".join(fields), arc["document"] if documents else b""))
             if rows:
                 types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ("page_id", "url", "digest", "head", "packed"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ("page_id", "url", "digest", "head", "document"))
 
-    return archives.select("arc").mapInArrow(parse, "page_id long, url string, digest string, head string, packed binary")
+    return archives.select("arc").mapInArrow(parse, "page_id long, url string, digest string, head string, document binary")
 
 
 def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(warc): WARC archives of gzip members, one a record, of ARC archives. Payloads of ``min_bytes`` or more are stored once.
 
     The archives are read twice: once for their heads, which tell the first of equal payloads, and once for the documents.
+    Where few payloads are repeated (``FEW``), their firsts are broadcast; beyond that, documents meet them by a shuffle.
     """
-    first = arc_documents(archives, documents=False).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"))
-    judged = arc_documents(archives).join(first, "digest").select("page_id", "url", "head", "packed", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    heads = arc_documents(archives, documents=False).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"), F.count("*").alias("n"))
+    firsts = materialize(heads.filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "firsts")
+    judged = arc_documents(archives).join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "digest", "left").select("page_id", "head", "document", "first_id", "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in slices(batches, 64):
-            for page_id, _, head, packed, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                document = zlib.decompress(packed)
+            for page_id, head, document, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 arc = dict(zip(V1_FIELDS.split(" "), head.split(" "), strict=False)) | {"document": document}
                 payload = len(document.partition(b"\r\n\r\n")[2])
-                again = payload >= min_bytes and first_id != page_id
+                again = payload >= min_bytes and first_url is not None and first_id != page_id
                 parts.append(gzip.compress(converted(arc, page_id, first_id, first_url if again else None), LEVEL, mtime=0))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:

@@ -28,7 +28,9 @@ def run_warc(df):
     return warc.index_warc(warc.convert(warc.write_arc(df)))
 
 
-def test_warc_records(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_warc_records(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
     got = defaultdict(list)
     for r in run_warc(pages(spark).withColumns({c: F.lit(1) for c in CLASHING})).collect():
         got[r["page_id"]].append(r)
