@@ -31,7 +31,7 @@ class Rail:
 
 #: Fixed values, as measured for each embedding space; there is no substitute for a space that was not measured.
 RAILS = {
-    "reference-1536": Rail(0.70, 0.70, 0.60, 0.55),
+    "hosted": Rail(0.70, 0.70, 0.60, 0.55),
     "local-768": Rail(0.8183, 0.8183, 0.7728, 0.7491),
     "local-384": Rail(0.7176, 0.7176, 0.6127, 0.546),
 }
