@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     current = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = current.agg(F.count("*"), F.sum(F.hash("u", "v"))).first()
+    seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(max_rounds):
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         under = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = materialize(under.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = following.agg(F.count("*"), F.sum(F.hash("u", "v"))).first()
+        now = following.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_table(current)
         current = following
         if now == seen:
