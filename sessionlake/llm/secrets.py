@@ -34,7 +34,9 @@ DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 #: Words, camel case included, joined by marks, with at most a short number at an end of each: names, slugs, paths, versions.
 WORD = r"(\d{0,4}[a-z]*([A-Z]+[a-z]+)*[A-Z]*\d{0,4}|\d+)"
-IDENTIFIER = re.compile(rf"{WORD}([/_-]+{WORD})*=*")
+PART = re.compile(WORD)
+#: Between two words; candidates are split here and each part tested alone, as one pattern of all could part a run of marks anew.
+MARKS = re.compile(r"[/_-]+")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
 
@@ -59,7 +61,7 @@ def is_known(candidate: str) -> bool:
     """Digests, UUIDs and identifiers, which are no secrets however few characters their tokens have."""
     if DIGEST.fullmatch(candidate) and len(candidate) in DIGEST_LENGTHS:
         return True
-    return bool(UUID.fullmatch(candidate) or IDENTIFIER.fullmatch(candidate))
+    return bool(UUID.fullmatch(candidate)) or all(map(PART.fullmatch, MARKS.split(candidate.rstrip("="))))
 
 
 def inefficient(text: str, path: str | None, max_ratio: float) -> list[tuple[int, int]]:

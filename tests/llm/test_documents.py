@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,6 +99,15 @@ def test_token_efficiency_knows_digests_and_identifiers():
         assert "token" not in kinds(fine), fine
 
 
+def test_long_runs_of_marks_are_told_soon():
+    began = time.process_time()
+    for mark in "-_/":
+        assert secrets.is_known(mark * 100 + "report-2024") and not secrets.is_known(mark * 100 + "d74496d66958873e")
+        assert secrets.find_spans(mark * 100 + "d74496d66958873e")
+        assert not secrets.is_known(mark.join(f"{i:02}" for i in range(60)) + mark + "a1b2c3" + "=" * 2)
+    assert time.process_time() - began < 5
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r for r in secrets.redact_secrets(docs(spark, extra=True)).collect()}
     assert got[8]["text"] == "é😀 [REDACTED] [REDACTED]".replace("[REDACTED] [", '[REDACTED]" [') and got[8]["n_chars"] == len(got[8]["text"]) and got[8]["spans"] == "clash"
