@@ -105,23 +105,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(components(fps), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of parts: (one shingle in so many, parts). Shingles go to parts by their hash; a text uses the tiers whose
-#: parts hold about 1.5 to 12 of its shingles, so that of a near copy's parts some are whole at any length.
-TIERS = ((4, 4), (16, 12), (64, 12), (256, 12), (1024, 12), (4096, 12))
+#: Fingerprints of parts: tier i takes one shingle in RATE**(i+1) and has so many parts. Shingles go to parts by their hash; a
+#: text uses the tiers whose parts hold about 1.5 to 12 of its shingles, so that of a near copy's parts some are whole at any length.
+RATE, FIRST_PARTS, PARTS = 4, 4, 12
 PART_SHINGLES = (1.5, 12)
 
 
+def tiers(shingles: int) -> list[tuple[int, int, int]]:
+    """(tier, rate, parts) for a text of so many distinct shingles. There are tiers for any number."""
+    fitting, i, rate = [], 0, RATE
+    while i == 0 or shingles >= PART_SHINGLES[0] * rate:
+        if shingles < PART_SHINGLES[1] * rate:
+            fitting.append((i, rate, PARTS if i else FIRST_PARTS))
+        i, rate = i + 1, rate * RATE
+    return fitting
+
+
 def part_keys(hashes: np.ndarray) -> list[int]:
     """The SimHash fingerprints of a text's parts, each mixed with its tier's and part's number, as signed 64-bit numbers."""
     hashes = np.unique(hashes)
-    mixed = hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed = mixed >> np.uint64(40) | mixed << np.uint64(24)
     keys = []
-    for i, (rate, parts) in enumerate(TIERS):
-        fits = PART_SHINGLES[0] <= len(hashes) / rate < PART_SHINGLES[1]
-        if fits or i == 0 and len(hashes) < PART_SHINGLES[0] * rate or i == len(TIERS) - 1 and len(hashes) >= PART_SHINGLES[1] * rate:
-            part = mixed % np.uint64(rate)
-            for k in np.unique(part[part < parts]).tolist():
-                keys.append((majority(hashes[part == k]) ^ (i * 64 + k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    for i, rate, parts in tiers(len(hashes)):
+        part = mixed % np.uint64(rate)
+        for k in np.unique(part[part < parts]).tolist():
+            keys.append((majority(hashes[part == k]) ^ (i * 64 + k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 

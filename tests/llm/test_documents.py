@@ -335,6 +335,18 @@ def test_near_copies_are_found_at_any_length():
         assert found >= 19, words
 
 
+def test_near_copies_of_very_long_texts_share_a_part():
+    rng = np.random.default_rng(3)
+    for shingles in (50_000, 100_000, 200_000, 500_000):
+        for least in (0.8, 0.9, 0.95):
+            both = round(shingles * 2 * least / (1 + least))
+            found = 0
+            for _ in range(10):
+                drawn = rng.integers(0, 1 << 64, 2 * shingles - both, np.uint64)
+                found += bool(set(simhash.part_keys(drawn[:shingles])) & set(simhash.part_keys(drawn[-shingles:])))
+            assert found >= 9, (shingles, least)
+
+
 # --- quality
 
 
