@@ -134,6 +134,89 @@ def part_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+#: Bins of a sketch at most; contents in a block of a bucket; partners of a content that the first pass over buckets asks for.
+SKETCH_BINS, BLOCK, FIRST_PARTNERS = 512, 1024, 4
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of a text's distinct shingles fall in each bin. Two texts share at most the sum of the lesser counts."""
+    bins = min(SKETCH_BINS, max(16, 1 << (len(hashes) // 2).bit_length()))
+    counts = np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""  # without counts, nothing is ruled out
+
+
+def possible(size: np.ndarray, sketches: list[bytes], roots: np.ndarray, side: np.ndarray, least: float, limit: int | None) -> Iterator[tuple[int, int]]:
+    """Pairs of contents of different roots that sizes and sketches let be similar; of sides 0 and 1, or all where a side is 2.
+
+    No pair at ``least`` or more is ruled out. With a ``limit``, a content gets its first so many partners only.
+    """
+    bins = min((len(s) // 2 for s in sketches if s), default=1)
+    counts = np.array([np.frombuffer(s, "<u2").reshape(-1, bins).sum(0, dtype=np.int64) if s else np.full(bins, n) for s, n in zip(sketches, size.tolist(), strict=True)])
+    whole = bool((side == 2).any())
+    others = np.arange(len(size)) if whole else np.flatnonzero(side == 1)
+    for i in range(len(size)) if whole else np.flatnonzero(side == 0).tolist():
+        js = others[others > i] if whole else others
+        js = js[(roots[js] != roots[i]) & (np.minimum(size[js], size[i]) >= (least - 1e-9) * np.maximum(size[js], size[i]))]
+        both = np.minimum(counts[js], counts[i]).sum(1)
+        for j in js[both >= (least - 1e-9) * (size[js] + size[i] - both)][:limit].tolist():
+            yield i, j
+
+
+def unsettled(keyed: DataFrame, near: DataFrame, contents: DataFrame, roots: DataFrame, least: float, limit: int | None) -> DataFrame:
+    """(x, y), x < y: pairs of contents that share a bucket, are of different ``roots(x, root)``, and may be similar.
+
+    Buckets are those of ``keyed(x, key)``, and the contents of two ``near(a, b)`` fingerprints. Those of one root, and
+    those of two contents, are settled. In the others, contents of one root (that of the least content) meet
+    only the rest, and the rest meet each other, by salted blocks: a task holds two blocks, without texts.
+    """
+    rooted = contents.select(F.col("content").alias("x"), "fp").join(roots, "x", "left").select("x", "fp", F.coalesce("root", "x").alias("root"))
+    by_fp = rooted.groupBy("fp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    of = lambda end: by_fp.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "lo", "hi")))
+    mixed = near.join(of("a"), "a").join(of("b"), "b").filter("n_a + n_b > 2 AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
+    ends = mixed.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key"))
+    shared = keyed.join(rooted, "x").select("key", "x", "root").unionByName(rooted.join(ends, "fp").select("key", "x", "root"))
+    buckets = shared.groupBy("key").agg(F.min_by("root", "x").alias("main"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
+    members = materialize(shared.join(buckets.select("key", "main"), "key").select("key", "x", "root", (F.col("root") == F.col("main")).alias("main")), "members")
+    blocks = lambda own: F.ceil(F.count_if(own) / BLOCK).cast("long")
+    placed = members.join(members.groupBy("key").agg(blocks(~F.col("main")).alias("rest"), blocks(F.col("main")).alias("mains")), "key")
+    own = F.pmod(F.xxhash64("x"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rest")))
+    group = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("group"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    upto = lambda count, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)
+    apart = lambda t: F.when(t == F.col("own"), 2).when(F.col("own") < t, 0).otherwise(1)
+    rest = F.concat(upto("rest", lambda t: group(0, F.least("own", t), F.greatest("own", t), apart(t))), upto("mains", lambda t: group(1, F.col("own"), t, 0)))
+    dealt = placed.withColumn("own", own).withColumn("g", F.explode(F.when(F.col("main"), upto("rest", lambda t: group(1, t, F.col("own"), 1))).otherwise(rest)))
+    described = dealt.select("g.group", "g.side", "x", "root").join(contents.select(F.col("content").alias("x"), "size", "sketch"), "x")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows, at = [], [], None
+
+        def written() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.string()), pa.array([max(p) for p in found], pa.string())], ("x", "y"))
+            found.clear()
+            return out
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                side, x, root, size, sketches = zip(*rows, strict=True)
+                for i, j in possible(np.array(size), sketches, np.array(root), np.array(side), least, limit):
+                    found.append((x[i], x[j]))
+                    if len(found) >= 10_000:
+                        yield written()
+            rows.clear()
+
+        for batch in slices(batches):
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != at:
+                    yield from settle()
+                    at = group
+                rows.append(row)
+        yield from settle()
+        yield written()
+
+    in_groups = described.select("group", "side", "x", "root", "size", "sketch").repartition("group").sortWithinPartitions("group", "x")
+    return in_groups.mapInArrow(compare, "x string, y string").distinct()
+
+
 def similarity(a: str, b: str, shingle: int) -> float:
     """Jaccard similarity of the sets of shingles; of two texts without words, 1."""
     x, y = (np.unique(shingle_hashes(words_of(t), shingle)) for t in (a, b))
@@ -145,44 +228,60 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tup
     """``docs`` with the digest ``__content`` of their words, and (content, root) of the contents that are similar to others.
 
     Three bits of 64 find very close texts only. So next to the whole fingerprints, those of parts are looked up as well:
-    contents that share a part's fingerprint are paired with the least of them. Pairs of either kind are candidates, and
-    link where their shingles' Jaccard similarity is at least ``least``. Equal contents are one from the start, and no
-    group is paired out: there are at most as many candidates as parts.
+    contents that share a fingerprint of either kind (whole ones may be three bits apart) are a bucket. First all of a
+    bucket meet the least of it. Then those that are not in one group yet meet each other, until all pairs of a bucket are
+    either compared, or in one group, or ruled out by sizes and sketches; a pass with few partners each goes before, so that
+    large groups close early. Candidates link where their shingles' Jaccard similarity is at least ``least``. Equal contents
+    are one from the start.
     """
 
-
-    @F.pandas_udf("content string, fp long, keys array<long>")
+    @F.pandas_udf("content string, fp long, keys array<long>, size long, sketch binary")
     def describe(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             words = words_of(t)
             hashes = shingle_hashes(words, shingle)
-            rows.append((hashlib.sha1(b" ".join(words)).hexdigest(), majority(hashes), part_keys(hashes)))
-        contents, fps, keys = zip(*rows, strict=True) if rows else ((), (), ())
-        return pd.DataFrame({"content": contents, "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+            own = np.unique(hashes)
+            rows.append((hashlib.sha1(b" ".join(words)).hexdigest(), majority(hashes), part_keys(own), len(own), sketch(own)))
+        contents, fps, keys, sizes, sketches = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        return pd.DataFrame({"content": contents, "fp": np.array(fps, np.uint64).view(np.int64), "keys": keys, "size": np.array(sizes, np.int64), "sketch": sketches})
 
-    marked = materialize(docs.withColumn("__d", describe(text_column())).select(*docs.columns, F.col("__d.content").alias("__content"), F.col("__d.fp").alias("__fp"), F.col("__d.keys").alias("__keys")), "marked")
+    described = ("content", "fp", "keys", "size", "sketch")
+    marked = materialize(docs.withColumn("__d", describe(text_column())).select(*docs.columns, *(F.col(f"__d.{c}").alias(f"__{c}") for c in described)), "marked")
     own_id = F.col("doc_id").cast("long")
-    contents = marked.groupBy("__content").agg(F.first("__fp").alias("fp"), F.first("__keys").alias("keys"), F.min(own_id).alias("id"))
-    firsts = contents.groupBy("fp").agg(F.min("__content").alias("content"))
-    near = links(firsts.select("fp"))
+    contents = materialize(marked.groupBy(F.col("__content").alias("content")).agg(*(F.first(f"__{c}").alias(c) for c in described[1:]), F.min(own_id).alias("id")), "contents")
+    firsts = contents.groupBy("fp").agg(F.min("content").alias("content"))
+    near = materialize(links(firsts.select("fp")), "near")
     whole = near.join(firsts.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b").select("x", "y")
-    keyed = contents.select(F.col("__content").alias("x"), F.explode(F.concat("keys", F.array("fp"))).alias("key"))
+    keyed = contents.select(F.col("content").alias("x"), F.explode(F.concat("keys", F.array("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).filter("n > 1")
     parts = keyed.join(shared, "key").filter("x <> y").select("x", "y")
     pairs = materialize(whole.unionByName(parts).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    involved = pairs.select(F.col("x").alias("__content")).unionByName(pairs.select(F.col("y").alias("__content"))).distinct()
-    asked = involved.join(contents.select("__content", "id"), "__content").select(F.col("__content").alias("c"), "id")
-    found = marked.join(asked, (F.col("__content") == F.col("c")) & own_id.eqNullSafe(F.col("id")), "left_semi")  # one of the copies
-    texts = materialize(found.groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    texts_of = lambda name, text: texts.select(F.col("__content").alias(name), F.col("text").alias(text))
-    linked = pairs.join(texts_of("x", "s"), "x").join(texts_of("y", "t"), "y").filter(likeness("s", "t") >= least)
-    return marked, connected_components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    def linked(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.explode(F.array("x", "y")).alias("content")).distinct()
+        asked = involved.join(contents.select("content", "id"), "content").select(F.col("content").alias("c"), "id")
+        found = marked.join(asked, (F.col("__content") == F.col("c")) & own_id.eqNullSafe(F.col("id")), "left_semi")  # one of the copies
+        texts = materialize(found.groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
+        texts_of = lambda name, text: texts.select(F.col("__content").alias(name), F.col("text").alias(text))
+        similar = pairs.join(texts_of("x", "s"), "x").join(texts_of("y", "t"), "y").filter(likeness("s", "t") >= least)
+        return similar.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    edges = materialize(linked(pairs), "links")
+    groups = connected_components(edges)
+    for limit in (FIRST_PARTNERS, None):
+        more = materialize(unsettled(keyed, near, contents, groups.select(F.col("node").alias("x"), "root"), least, limit).join(pairs, ["x", "y"], "left_anti"), "candidates")
+        found = materialize(linked(more), "links")
+        pairs = pairs.unionByName(more)
+        if found.isEmpty():
+            continue
+        edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        groups = connected_components(edges)
+    return marked, groups
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:

@@ -347,6 +347,41 @@ def test_near_copies_of_very_long_texts_share_a_part():
             assert found >= 9, (shingles, least)
 
 
+def brute_groups(texts, least=0.8):
+    """Of each text the least number of those that it is linked to."""
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if simhash.similarity(texts[a], texts[b], 5) >= least:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_all_pairs_of_a_bucket_are_settled(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "part_keys", lambda hashes: [1])  # one bucket of all
+    texts = []
+    for k in range(5):
+        w = prose(300 + k, 150).split()
+        texts += [" ".join(w), " ".join([*w[:140], f"other{k}", *w[141:]]), " ".join([*w[:128], *(f"end{k}{i}" for i in range(22))]), " ".join([*w[20:128], *(f"end{k}{i}" for i in range(22))])]
+    want = sorted(set(brute_groups(texts)))
+    assert 5 <= len(want) < 15
+    kept = simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (5, 40, 300, 5000):
+        drawn = rng.integers(0, 1 << 64, 3 * n, np.uint64)
+        sets = [np.unique(drawn[at : at + n + more]) for at in range(0, n // 2 + 1, max(1, n // 20)) for more in (0, n // 8)]
+        size = np.array([len(x) for x in sets])
+        got = set(simhash.possible(size, [simhash.sketch(x) for x in sets], np.arange(len(sets)), np.full(len(sets), 2), 0.8, None))
+        both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in itertools.combinations(range(len(sets)), 2)}
+        assert got >= {(a, b) for (a, b), k in both.items() if k >= 0.8 * (size[a] + size[b] - k)}
+        assert len(got) < len(both)
+
+
 # --- quality
 
 
