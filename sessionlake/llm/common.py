@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own_dir: list[str] = []
 
@@ -29,6 +30,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_kinds(df: DataFrame, name: str, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The same for rows of several ``kind``, each of which is read back as a table of its own."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    schema = StructType([f for f in df.schema if f.name != "kind"])
+    return {k: spark.read.schema(schema).parquet(f"{path}/kind={k}").withColumn("kind", F.lit(k)) for k in kinds}
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that :func:`materialize` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -1,32 +1,37 @@
 """Language-model scores from a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Each context of words (the preceding word if it is very common, else a class of words by their last two bytes) is a
-restaurant; all share one parent, the restaurant of words. Its new tables draw a word from its spelling: byte by byte, in
-the restaurants of the preceding three, two and one bytes, each of which shares its parent (the context without its farthest
-byte) with its siblings, down to one restaurant of bytes and a uniform base. A seating is sampled by Gibbs moves (a customer
-leaves the table, and is seated anew by the Chinese-restaurant rule); predictive probabilities are averaged over samples and
-chains.
-
-The vocabulary grows with the corpus and is never gathered: documents are encoded in blocks with a vocabulary of their own;
-these meet the counts by word and come back by block. Farther bytes of a context count by class, so the spelling has at most
-``257 * 32 * 4`` contexts of 257 symbols whatever the corpus, 34 MB in all. In contexts of words, dishes are the common words
-(at least one in 10,000 tokens, so at most 10,000) and one for all others, which the parent tells apart; preceding words
-count by themselves from one in 500 tokens on. So there are at most 565 contexts of 10,001 dishes, 23 MB. Only these two
-tables are broadcast.
-
-``score`` has the events of the base score: each word of the training vocabulary, and one for all other words, which gets
-what the model leaves to them. ``spelled_score`` has every word as an event of its own, unknown ones by their spelling.
+Every word is a context: its restaurant seats the tokens that follow it (those at a document's beginning follow an end).
+All contexts share one parent, the restaurant of words, whose customers are the contexts' tables; its own tables draw from
+a base that is even over the words of training and as many unseen ones as Chao's estimate expects, which together are one
+event. The numbers of contexts and of their dishes grow with the corpus: nothing of the model is capped or broadcast.
+
+In each sweep the seating of every dish is sampled given all others: the number of tables for its customers, in proportion
+to the generalised Stirling number (the seatings with so many tables) and the weight of a new table. That is a Gibbs move
+of all customers of a dish at once. It is drawn exactly up to ``EXACT`` customers, and beyond from bins of the same
+distribution by a saddle point, so that a dish costs the same however many its customers are. Tables stay from sweep to
+sweep: the parent's customers, a restaurant's tables and the probabilities are those of the last one. Restaurants that are
+sampled in parallel see each other's tables of the sweep before. Predictive probabilities are averaged over the sweeps
+after the burn-in.
+
+Documents are numbered in blocks with a vocabulary of their own. What blocks know of a pair of words (context and dish) or
+of a word goes, as sorted arrays, to the group that the hash of both words, or of the word, names; so neither a common
+context nor a common word meets in one task. Groups grow in number with the texts. A dish with one customer has one table
+and is left out of the sweeps. Words are told by 64 bits of their hash. The same documents give the same scores however they
+are partitioned, but that a null id may stand for several documents.
+
+``score`` has the events of the base score: each word of the training vocabulary, and one for all other words.
 
 Null text counts as empty: its one token is the end. Repeated rows and ids are documents of their own, and each counts in
-training. A null id is one that is written as nothing. Without training documents every word is the unknown one, and the spelling is uniform. Only
-``doc_id`` and ``text`` are read; an empty table gives an empty result.
+training. A null id is one that is written as nothing. Without training documents every word is the unknown one, of
+probability one. Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,365 +39,486 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import crc_remainder, materialize, slices, table, text_column
+from sessionlake.llm.common import crc_remainder, drop_table, materialize, materialize_kinds, slices, table, text_column
 
 HELD_OUT_OF, HELD_OUT = 7, 2
-END = b"\n"  #: a token, as no word can hold it
-BLOCK_TOKENS = 3_000_000
-#: Words of at least one in so many tokens are dishes in contexts of words, or contexts themselves; others are by classes.
-COMMON, CONTEXT_COMMON, WORD_CLASSES = 10_000, 500, 64
-WORD_CONTEXTS = WORD_CLASSES + CONTEXT_COMMON + 1  #: the last is a document's beginning
-CODE = 1 << 14  #: a word's context and dish in one number
-CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.7, 5.0
-SYMBOLS, CLASSES, FAR_CLASSES = 257, 32, 4
-CONTEXTS = (1, SYMBOLS, SYMBOLS * CLASSES, SYMBOLS * CLASSES * FAR_CLASSES)
-#: Of the spelling's restaurants: discount and strength. The words' discount is estimated from their counts.
-DISCOUNT, STRENGTH = 0.6, 1.0
-WORD_STRENGTH = 1.0
-CHAINS, SWEEPS, BURN_IN = 2, 4, 1
-MOVES, WORD_MOVES = 6, 12
-
-ENCODED = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, local int, token binary, n long, code int, cell long"
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
+END = b"\n"  #: a token, as no word can hold it; also the context of a document's first token
+BLOCK_TOKENS = 5_000_000
+GROUP_CHARS = 32_000_000  #: of text, for each group of pairs or words
+DOCUMENTS_AT_ONCE = 256
+CONTEXT_STRENGTH, WORD_STRENGTH = 2.0, 1.0
+SWEEPS, BURN_IN = 3, 1
+SAMPLES = SWEEPS - BURN_IN
+#: Customers of a dish up to which tables are drawn from all Stirling numbers; tables up to which these are summed exactly; bins.
+EXACT, SUMMED, BINS = 128, 48, 64
+
+PARCEL = "kind string, to long, sender long, data binary"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 # --- seatings
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, moves: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of tables (mean over the later half of the moves, and last) for so many customers of each dish.
+@lru_cache(maxsize=4)
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: seatings of c customers (rows) at t tables (columns), by weight."""
+    s = np.full((most + 1, most + 2), -np.inf)
+    s[0, 0] = 0
+    t = np.arange(most + 2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(most):
+            old = np.where(t <= c, s[c] + np.log(np.maximum(c - discount * t, 0)), -np.inf)
+            s[c + 1] = np.logaddexp(old, np.concatenate([[-np.inf], s[c, :-1]]))
+    return s[:, : most + 1]
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For arguments of about ten and more."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def log_saddle(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same numbers by the saddle point of their generating function ``(1 - (1 - x)**d)**t``, at ``x = 1 - exp(-y)``."""
+    low, high = np.zeros(t.shape), np.broadcast_to(np.log(2 * c / t + 2) / (1 - discount) + 2, t.shape)
+    for _ in range(50):  # y by halving: d (e**y - 1) / (e**(d y) - 1) grows with it from 1
+        y = (low + high) / 2
+        below = math.log(discount) + np.log(np.expm1(y)) - np.log(np.expm1(discount * y)) < np.log(c / t)
+        low, high = np.where(below, y, low), np.where(below, high, y)
+    y = np.maximum(y, 1e-9)
+    slope = discount * np.exp(y) / np.expm1(discount * y) - discount**2 * np.exp(discount * y) * np.expm1(y) / np.expm1(discount * y) ** 2
+    spread = np.maximum(t * slope * np.expm1(y), 0) + 1 / 6  # as in Gosper's form of the factorial
+    factorial = log_gamma(t + 10.0) - sum(np.log(t + k) for k in range(1, 10))
+    return log_gamma(c + 1.0) - factorial - t * math.log(discount) + t * np.log(-np.expm1(-discount * y)) - c * np.log(-np.expm1(-y)) - 0.5 * np.log(2 * math.pi * spread)
 
-    ``weight`` is what a new table weighs against ``size - discount`` for an old one. All dishes move at once: in each move
-    a random customer of each leaves and is seated anew. Few customers leave nothing to sample: none or one sit alone.
+
+def log_seatings(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same numbers for over ``EXACT`` customers, but for a factor of each row (``c``: column, ``t``: matrix of whole numbers).
+
+    For few tables by their alternating sum, as far as it keeps its digits, joined to the saddle points of the others.
     """
-    mean, last = np.minimum(customers, 1).astype(float), np.minimum(customers, 1)
-    own = np.flatnonzero(customers > 1)
-    if not len(own):
-        return mean, last
-    c, a = customers[own], np.maximum(weight[own], 1e-12)
-    t = np.clip(np.rint(a * np.log1p(c / a)), 1, np.minimum(c, 10_000)).astype(np.int64)
-    # each dish's tables stand together, with one empty place behind them
-    begin = np.concatenate([[0], np.cumsum(t + 1)])
-    size = np.ones(begin[-1], np.int64)
-    size[begin[:-1]] = c - t + 1
-    size[begin[1:] - 1] = 0
-    total, taken = np.zeros(len(c)), 0
-
-    def table_of(which: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The table of a random customer among the ``n`` of each dish."""
-        upto = np.cumsum(size)
-        before = upto[begin[which]] - size[begin[which]]
-        return np.searchsorted(upto, before + np.floor(rng.random(len(which)) * n).astype(np.int64), "right")
-
-    everyone = np.arange(len(c))
-    for move in range(moves):
-        left = table_of(everyone, c)
-        size[left] -= 1
-        t -= size[left] == 0
-        fresh = rng.random(len(c)) * (a + c - 1 - discount * t) < a
-        waiting = everyone[~fresh]
-        chosen = np.empty(len(c), np.int64)
-        while len(waiting):
-            at = table_of(waiting, c[waiting] - 1)
-            stays = rng.random(len(at)) * size[at] < size[at] - discount
-            chosen[waiting[stays]] = at[stays]
-            waiting = waiting[~stays]
-        size[chosen[~fresh]] += 1
-        size[begin[1:][fresh] - 1] = 1
-        t += fresh
-        if move >= moves // 2:
-            total, taken = total + t, taken + 1
-        filled = size > 0
-        after = np.concatenate([[0], np.cumsum(t + 1)])
-        moved = np.zeros(after[-1], np.int64)
-        moved[np.arange(filled.sum()) + np.repeat(everyone, t)] = size[filled]
-        size, begin = moved, after
-    mean[own], last[own] = total / taken, t
-    return mean, last
-
-
-# --- spelling
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all bytes and ends of the words: context of three bytes, symbol; and where each word begins."""
-    sizes = np.array([len(w) + 1 for w in words])
-    ends = np.cumsum(sizes) - 1
-    symbol = np.full(sizes.sum(), SYMBOLS - 1, np.int64)
-    inside = np.ones(len(symbol), bool)
-    inside[ends] = False
-    symbol[inside] = np.frombuffer(b"".join(words), np.uint8)
-    start = SYMBOLS - 1
-    shifted = lambda x: np.concatenate([[start], x[:-1]])
-    near = shifted(symbol)  # an end is also what stands before a word
-    second = np.where(near == start, start, shifted(near))
-    third = np.where(second == start, start, shifted(second))
-    return (near * CLASSES + second % CLASSES) * FAR_CLASSES + third % FAR_CLASSES, symbol, np.concatenate([[0], ends[:-1] + 1])
-
-
-def parent(level: int, context: np.ndarray) -> np.ndarray:
-    return context // (FAR_CLASSES if level == 3 else CLASSES if level == 2 else SYMBOLS)
-
-
-def sample_spelling(cells: np.ndarray, customers: np.ndarray, seed: int) -> np.ndarray:
-    """Predictive probabilities (contexts of three bytes x symbols), averaged over one chain's sweeps."""
-    rng, mean = np.random.default_rng(seed), np.zeros((CONTEXTS[3], SYMBOLS), np.float32)
-    predictive = [np.full((n, SYMBOLS), 1 / SYMBOLS, np.float32) for n in CONTEXTS]
-    tables = [np.zeros(n) for n in CONTEXTS]
-    for sweep in range(SWEEPS):
-        keys, count, seated = cells, customers, []
-        for level in (3, 2, 1, 0):
-            context, symbol = np.divmod(keys, SYMBOLS)
-            above = predictive[level - 1][parent(level, context), symbol] if level else np.full(len(keys), 1 / SYMBOLS)
-            weight = (STRENGTH + DISCOUNT * tables[level][context]) * above
-            average, last = seat(count, weight, DISCOUNT, MOVES, rng)
-            tables[level] = np.bincount(context, last, CONTEXTS[level])
-            seated.append((level, context, symbol, count, average))
-            if level:  # a table's dish is a customer of the parent
-                keys, back = np.unique(parent(level, context) * SYMBOLS + symbol, return_inverse=True)
-                count = np.bincount(back, last, len(keys)).astype(np.int64)
-        for level, context, symbol, count, average in reversed(seated):
-            all_tables, all_customers = np.bincount(context, average, CONTEXTS[level]), np.bincount(context, count, CONTEXTS[level])
-            p = predictive[level - 1][parent(level, np.arange(CONTEXTS[level]))] if level else np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-            p *= ((STRENGTH + DISCOUNT * all_tables) / (STRENGTH + all_customers)).astype(np.float32)[:, None]
-            p[context, symbol] += ((count - DISCOUNT * average) / (STRENGTH + all_customers[context])).astype(np.float32)
-            predictive[level] = p
-        if sweep >= BURN_IN:
-            mean += predictive[3] / (SWEEPS - BURN_IN)
-    return mean
-
-
-def spelling_of(words: DataFrame) -> np.ndarray:
-    """The averaged spelling for ``words(token, t)``, t tables of each. Cells are counted by Spark; each chain is a task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CONTEXTS[3] * SYMBOLS, np.int64)
-        for batch in slices(batches, 20_000):
-            context, symbol, begin = spelled(batch["token"].to_pylist())
-            times = np.repeat(batch["t"].to_numpy(), np.diff(np.append(begin, len(symbol))))
-            np.add.at(sums, context * SYMBOLS + symbol, times)
-        cells = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], ("cell", "n"))
-
-    found = words.filter("t > 0").select("token", "t").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    return averaged(words.sparkSession, sample_spelling, *gathered(found)).reshape(CONTEXTS[3], SYMBOLS)
-
-
-def log_spelling(words: list[bytes], spelling: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each word's probability."""
-    context, symbol, begin = spelled(words)
-    return np.add.reduceat(np.log(spelling[context, symbol].astype(float)), begin)
-
-
-# --- Spark
-
-
-def planes(ids: np.ndarray) -> bytes:
-    """Numbers compressed by their bytes' planes, the higher of which are mostly zero."""
+    out = log_saddle(c, t, discount)
+    rate = c[:, 0] ** -discount
+    upto = np.clip(np.floor(25 / np.log((1 + rate) / (1 - rate))), 2, SUMMED).astype(np.int64)
+    few = np.flatnonzero((t <= upto[:, None]).any(1))
+    if len(few):
+        j = np.arange(1, SUMMED + 1)
+        inverse = np.array([0.0 if float(x * discount).is_integer() else 1 / math.gamma(-x * discount) for x in j])
+        terms = np.exp(log_gamma(c[few] - j * discount) - log_gamma(c[few] - discount)) * inverse
+        exact = np.empty(terms.shape)
+        for k in j.tolist():
+            signs = np.array([(-1) ** i * math.comb(k, i) for i in range(1, k + 1)], float)
+            exact[:, k - 1] = np.log(np.maximum(terms[:, :k] @ signs, 1e-300)) - math.lgamma(k + 1) - k * math.log(discount)
+        last = upto[few, None]
+        exact += log_saddle(c[few], last.astype(float), discount) - np.take_along_axis(exact, last - 1, 1)
+        own = np.minimum(t[few], last).astype(np.int64)
+        out[few] = np.where(t[few] <= last, np.take_along_axis(exact, own - 1, 1), out[few])
+    return out
+
+
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables, drawn for each dish from their distribution given its customers and the weight of a new table."""
+    tables, a = np.minimum(customers, 1), np.maximum(weight, 1e-300)
+    small = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    small = small[np.argsort(customers[small], kind="stable")]
+    stirling, log_a = log_stirling(discount), np.log(a)
+    ends = np.flatnonzero(np.diff(customers[small], append=-1)) + 1
+    for start, stop in zip([0, *ends][:-1], ends, strict=True):
+        c = int(customers[small[start]])
+        t = np.arange(1, c + 1)
+        for at in range(start, stop, step := max(1, 1_000_000 // c)):
+            own = small[at : min(at + step, stop)]
+            tables[own] = 1 + drawn(stirling[c, 1 : c + 1] + log_a[own, None] * t, rng)
+    large = np.flatnonzero(customers > EXACT)
+    for at in range(0, len(large), 20_000):
+        own = large[at : at + 20_000]
+        tables[own] = seat_large(customers[own].astype(float), a[own], discount, rng)
+    return tables
+
+
+def drawn(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Of each row, the number of a column, in proportion to the exponentials."""
+    upto = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+    return np.minimum((upto < rng.random((len(logs), 1)) * upto[:, -1:]).sum(1), logs.shape[1] - 1)
+
+
+def seat_large(c: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws from ``BINS`` bins around the likeliest number of tables ``a/d (1 - e**(-d y))``, where ``(e**y - 1) e**(-d y) = c/a``."""
+    low, high = np.zeros(len(c)), np.log1p(c / a) / (1 - discount)
+    for _ in range(60):
+        y = (low + high) / 2
+        below = np.log(np.expm1(y)) - discount * y < np.log(c / a)
+        low, high = np.where(below, y, low), np.where(below, high, y)
+    mode = np.clip(-a / discount * np.expm1(-discount * y), 1, c)
+    reach = 8 * np.sqrt(mode) + 8
+    first = np.maximum(1, np.floor(mode - reach))
+    width = np.maximum(1, np.ceil((np.minimum(c, mode + reach) - first + 1) / BINS))
+    bins = first[:, None] + width[:, None] * np.arange(BINS)
+    middle = np.minimum(np.floor(bins + (width[:, None] - 1) / 2), c[:, None])
+    logs = log_seatings(c[:, None], middle, discount) + middle * np.log(a)[:, None]
+    chosen = drawn(np.where(bins <= c[:, None], logs, -np.inf), rng)
+    return np.minimum(first + width * chosen + np.floor(rng.random(len(c)) * width), c).astype(np.int64)
+
+# --- arrays in transit
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed string, by the planes of their bytes, the higher of which are mostly zero."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], "<u4").tobytes()]
+    parts += [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def from_planes(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    shapes, at, out = np.frombuffer(raw[4 : 4 + 8 * n], "<u4").reshape(-1, 2).tolist(), 4 + 8 * n, []
+    for (length, size), kind in zip(shapes, kinds, strict=True):
+        planes = np.frombuffer(raw[at : at + length * size], np.uint8).reshape(size, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += length * size
+    return out
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return [*text.encode("utf-8").lower().split(), END]  # of bytes: A-Z alone, and blanks are 20 and 09 to 0D
+def parcels(rows: list[tuple[str, int, int, bytes]]) -> pa.Table:
+    kind, to, sender, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table([pa.array(kind, pa.string()), pa.array(to, pa.int64()), pa.array(sender, pa.int64()), pa.array(data, pa.binary())], [f.split()[0] for f in PARCEL.split(", ")])
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    held = crc_remainder(F.col("doc_id").cast("long"), HELD_OUT_OF) == HELD_OUT
-    return docs.select(F.col("doc_id").cast("long"), held.alias("held"), text_column().alias("text"))
+def received(found: pa.Table, kind: str | None = None) -> list[tuple[int, bytes]]:
+    """(sender, data) of the parcels of a kind, by sender."""
+    rows = zip(found["kind"].to_pylist(), found["sender"].to_pylist(), found["data"].to_pylist(), strict=True)
+    return sorted(((s, d) for k, s, d in rows if kind in (None, k)), key=lambda r: r[0])
 
 
-def common_words(docs: DataFrame) -> tuple[list[bytes], int]:
-    """Training words of at least one in ``COMMON`` tokens, the most frequent first, and how many of them are contexts.
+def in_groups(words: np.ndarray, groups: int) -> np.ndarray:
+    return (words >> np.uint64(20)) % np.uint64(groups)
 
-    A task tells of words of half that share among its own tokens, so at most ``2 * COMMON``.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in slices(batches):
-            for held, text in zip(batch["held"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if not held:
-                    seen.update(tokens_of(text))
-        total = seen.total()
-        some = [(None, total)] + [(w, n) for w, n in seen.items() if 2 * n * COMMON >= total]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ("token", "n"))
+def pair_groups(context: np.ndarray, dish: np.ndarray, groups: int) -> np.ndarray:
+    mixed = (context * np.uint64(0x9E3779B97F4A7C15)) ^ (dish >> np.uint64(29)) ^ (dish * np.uint64(0xD6E8FEB86659FD93))
+    return in_groups(mixed ^ mixed >> np.uint64(31), groups)
+
+
+def each_group(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places in order) of the groups that occur."""
+    order = np.argsort(of, kind="stable")
+    at = np.flatnonzero(np.diff(of[order], prepend=-1.0))
+    for own in np.split(order, at[1:]) if len(of) else []:
+        yield int(of[own[0]]), own
 
-    sums = materialize(prepared(docs).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "common")
-    total = (sums.filter("token IS NULL").first() or {"n": 0})["n"]
-    found = sums.filter("token IS NOT NULL").filter(F.col("n") * COMMON >= total).collect()
-    found = sorted(((r["n"], bytes(r["token"])) for r in found), key=lambda r: (-r[0], r[1]))
-    return [w for _, w in found], sum(n * CONTEXT_COMMON >= total for n, _ in found)
 
+# --- blocks of documents
 
-def word_class(word: bytes) -> int:
-    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 7)) % WORD_CLASSES
 
+def tokens_of(text: str) -> list[bytes]:
+    return [*text.encode("utf-8").lower().split(), END]  # of bytes: A-Z alone, and blanks are 20 and 09 to 0D
 
-def encode(docs: DataFrame, common: list[bytes], contexts: int) -> DataFrame:
-    """Blocks of documents as numbers of the block's own vocabulary, that vocabulary with its counts in training, and, at a
-    task's end, how often each common word (or any other) follows in each context there."""
-    dish, others = {w: i for i, w in enumerate(common)}, len(common)
 
-    def code(word: bytes) -> int:
-        d = dish.get(word, others)
-        return (WORD_CLASSES + d if d < contexts else word_class(word)) * CODE + d
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a context and what follows, in order; and of each token its pair."""
+    before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
+    found, which = np.unique(before * words + ids, return_inverse=True)
+    return *np.divmod(found, words), which
+
+
+def encode(docs: DataFrame, groups: int) -> DataFrame:
+    """Parcels of blocks: their documents as numbers of the block's own vocabulary (by frequency), their words and their pairs."""
+    import xxhash
+
+    def block_rows(block: int, numbers: dict[bytes, int], found: list) -> Iterator[pa.RecordBatch]:
+        ids, lengths = np.concatenate([x for _, _, x in found]), np.array([len(x) for _, _, x in found])
+        trained = np.repeat(np.array([not h for _, h, _ in found]), lengths)
+        order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
+        ids = rank[ids]
+        counts = np.bincount(ids, trained, len(order)).astype(np.uint32)
+        at = 0
+        for start in range(0, len(found), DOCUMENTS_AT_ONCE):
+            some = found[start : start + DOCUMENTS_AT_ONCE]
+            stop = at + int(lengths[start : start + DOCUMENTS_AT_ONCE].sum())
+            flags = np.array([h + 2 * (d is None) for d, h, _ in some], np.uint8)
+            yield from parcels([("documents", block, start, packed(np.array([d or 0 for d, _, _ in some], np.int64), flags, np.array([len(x) for _, _, x in some], np.uint32), ids[at:stop]))]).to_batches()
+            at = stop
+        for group, own in each_group(in_groups(hashes, groups)):
+            yield from parcels([("words", group, block, packed(own.astype(np.uint32), hashes[own], counts[own]))]).to_batches()
+        context, dish, which = pairs_of(ids, lengths, len(order), int(rank[numbers[END]]))
+        seen = np.bincount(which, trained, len(context)).astype(np.uint32)
+        for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
+            local = np.unique(np.concatenate([context[own], dish[own]]))
+            u, w = np.searchsorted(local, context[own]), np.searchsorted(local, dish[own])
+            yield from parcels([("pairs", group, block, packed(hashes[local], np.diff(u, prepend=0).astype(np.uint32), w.astype(np.uint32), seen[own]))]).to_batches()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in ENCODED.split(", ")]
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-        cells = np.zeros(WORD_CONTEXTS * (others + 1), np.int64)
-
-        def rows(**columns: pa.Array) -> pa.RecordBatch:
-            n = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, t) for x, t in zip(names, types, strict=True)], names)
-
-        def block_rows() -> Iterator[pa.RecordBatch]:
-            words = list(numbers)
-            codes = np.fromiter(map(code, words), np.int64, len(words))
-            trained, counts = [ids for _, held, ids in found if not held], np.zeros(len(words), np.int64)
-            for at in range(0, len(trained), 64):
-                joined = np.concatenate(some := trained[at : at + 64])
-                np.add.at(counts, joined, 1)
-                np.add.at(cells, contexts_of(codes[joined], [len(t) for t in some]) * (others + 1) + codes[joined] % CODE, 1)
-            rank = np.empty(len(words), np.int64)
-            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
-            for at in range(0, len(found), 256):
-                some = found[at : at + 256]
-                blob = planes(rank[np.concatenate([i for _, _, i in some])])
-                row = ([block], [[d for d, _, _ in some]], [[h for _, h, _ in some]], [[len(i) for _, _, i in some]], [blob])
-                yield rows(**{x: pa.array(v, t) for x, v, t in zip(names, row, types, strict=False)})
-            for at in range(0, len(words), 20_000):
-                part = slice(at, at + 20_000)
-                yield rows(block=pa.array(np.full(len(words[part]), block)), local=pa.array(rank[part].astype(np.int32)), token=pa.array(words[part], pa.binary()), n=pa.array(counts[part].astype(np.int64)), code=pa.array(codes[part].astype(np.int32)))
-
-        block, numbers, found, tokens = TaskContext.get().partitionId() << 32, {}, [], 0
+        def fresh() -> defaultdict:
+            numbers = defaultdict()
+            numbers.default_factory = numbers.__len__
+            return numbers
+
+        block, numbers, found, tokens = TaskContext.get().partitionId() << 32, fresh(), [], 0
         for batch in slices(batches):
             for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = tokens_of(text)
-                found.append((doc_id, held, np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)))
-                tokens += len(words)
+                ids = np.fromiter(map(numbers.__getitem__, words := tokens_of(text)), np.int32, len(words))
+                found.append((doc_id, held, ids))
+                tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:
-                    yield from block_rows()
-                    block, numbers, found, tokens = block + 1, {}, [], 0
+                    yield from block_rows(block, numbers, found)
+                    block, numbers, found, tokens = block + 1, fresh(), [], 0
         if found:
-            yield from block_rows()
-        filled = np.flatnonzero(cells)
-        for at in range(0, len(filled), 20_000):
-            yield rows(cell=pa.array(filled[at : at + 20_000]), n=pa.array(cells[filled[at : at + 20_000]]))
+            yield from block_rows(block, numbers, found)
 
-    return prepared(docs).mapInArrow(number, ENCODED)
+    held = crc_remainder(F.col("doc_id").cast("long"), HELD_OUT_OF) == HELD_OUT
+    return docs.select(F.col("doc_id").cast("long"), held.alias("held"), text_column().alias("text")).mapInArrow(number, PARCEL)
 
 
-def contexts_of(codes: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """Of each token the context that the one before it is; at the documents' beginnings, that of beginnings."""
-    out = np.empty(len(codes), np.int64)
-    out[1:] = codes[:-1] // CODE
-    out[np.cumsum([0, *lengths])[:-1]] = WORD_CONTEXTS - 1
-    return out
+# --- what the corpus holds
 
 
-def sample_contexts(cells: np.ndarray, customers: np.ndarray, above: np.ndarray, seed: int) -> np.ndarray:
-    """Predictive probabilities (contexts of words x dishes), averaged over one chain's sweeps; ``above`` are the parent's."""
-    rng, mean, tables = np.random.default_rng([seed, 2]), np.zeros((WORD_CONTEXTS, len(above)), np.float32), np.zeros(WORD_CONTEXTS)
-    context, d = np.divmod(cells, len(above))
-    total = np.bincount(context, customers, WORD_CONTEXTS)
-    for sweep in range(SWEEPS):
-        average, last = seat(customers, (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * tables[context]) * above[d], CONTEXT_DISCOUNT, MOVES, rng)
-        tables = np.bincount(context, last, WORD_CONTEXTS)
-        if sweep >= BURN_IN:
-            fresh = (CONTEXT_STRENGTH + CONTEXT_DISCOUNT * np.bincount(context, average, WORD_CONTEXTS)) / (CONTEXT_STRENGTH + total)
-            p = np.outer(fresh, above)
-            p[context, d] += (customers - CONTEXT_DISCOUNT * average) / (CONTEXT_STRENGTH + total[context])
-            mean += (p / (SWEEPS - BURN_IN)).astype(np.float32)
-    return mean
+def united(hashes: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct words of all lists in order, and of each list their places there."""
+    whole, places = np.unique(np.concatenate(hashes), return_inverse=True)
+    return whole, np.split(places, np.cumsum([len(h) for h in hashes])[:-1])
 
 
-def averaged(spark: SparkSession, sample, *given: np.ndarray) -> np.ndarray:
-    """``sample(*given, seed)`` over the chains, each a task; the mean of their tables, as one long array."""
-    spread = spark.sparkContext.broadcast(given)
+def counted_words(words: DataFrame) -> DataFrame:
+    """Of each group its words and their counts in training (``data``), with the sums that the model needs."""
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seed in batch["id"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([sample(*spread.value, seed).tobytes()], pa.binary())], ("p",))
+    def count(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        lists = [unpacked(data, "<u4", "<u8", "<u4") for _, data in received(found)]
+        whole, places = united([h for _, h, _ in lists])
+        c = np.zeros(len(whole), np.int64)
+        for at, (_, _, n) in zip(places, lists, strict=True):
+            c[at] += n
+        return pa.table([[key[0].as_py()], pa.array([packed(whole, c)], pa.binary()), [int(c.sum())], *([int((c >= i).sum())] for i in (1, 2, 3))], ["to", "data", "n", "v", "twice", "thrice"])
 
-    return sum(np.frombuffer(r["p"], np.float32) for r in spark.range(0, CHAINS, 1, CHAINS).mapInArrow(chain, "p binary").toLocalIterator()) / CHAINS
+    return words.groupBy("to").applyInArrow(count, "to long, data binary, n long, v long, twice long, thrice long")
 
 
-def gathered(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """``counts(cell, n)``, of a bounded number of cells, in order."""
-    found = counts.toArrow()
-    order = np.argsort(found["cell"].to_numpy())
-    return found["cell"].to_numpy()[order], found["n"].to_numpy()[order]
+def asked(own: int, hashes: np.ndarray, u: np.ndarray, w: np.ndarray, t: np.ndarray, groups: int) -> list[tuple[str, int, int, bytes]]:
+    """To the groups of words: of each word the tables in its restaurant, and those at which it is the dish."""
+    has, is_ = (np.bincount(x, t, len(hashes)).astype(np.uint32) for x in (u, w))
+    return [("asked", group, own, packed(hashes[at], has[at], is_[at])) for group, at in each_group(in_groups(hashes, groups))]
 
 
-def seat_words(words: DataFrame, spelling: np.ndarray, discount: float, tables: float, seed: int) -> DataFrame:
-    """``words(token, c)`` with the logarithm of their spelling and their tables, mean and last, in the words' restaurant."""
-    spread = words.sparkSession.sparkContext.broadcast(spelling)
+def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
+    """Of each group of pairs, as parcels: its ``dishes`` of several customers, one table each for a start; what each block's
+    pairs are there (``codes``: 0 as the block knows, 1 a dish of one customer, from 2 on those of several); and to the groups of
+    words how many tables each has and is, at dishes of several customers (``asked``) and of one (``alone``). ``one`` and ``two``
+    count dishes of so many customers.
+    """
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for batch in slices(batches, 50_000):
-            logs, c = log_spelling(batch["token"].to_pylist(), spread.value), batch["c"].to_numpy()
-            mean, last = seat(c, (WORD_STRENGTH + discount * tables) * np.exp(logs), discount, WORD_MOVES, rng)
-            yield pa.RecordBatch.from_arrays([batch["token"], batch["c"], pa.array(logs), pa.array(mean), pa.array(last)], ("token", "c", "spelling", "mean", "t"))
+    def count(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        own, lists = key[0].as_py(), [(s, *unpacked(data, "<u8", "<u4", "<u4", "<u4")) for s, data in received(found)]
+        whole, places = united([x[1] for x in lists])
+        keys = np.concatenate([at[np.cumsum(u.astype(np.int64))] * len(whole) + at[w] for at, (_, _, u, w, _) in zip(places, lists, strict=True)])
+        n = np.concatenate([x[4] for x in lists])
+        cells, which = np.unique(keys, return_inverse=True)
+        c = np.bincount(which, n, len(cells)).astype(np.int64)
+        several = np.flatnonzero(c > 1)
+        several = several[np.argsort(-c[several], kind="stable")]
+        code = np.zeros(len(cells), np.uint32)
+        code[c == 1] = 1
+        code[several] = np.arange(2, len(several) + 2, dtype=np.uint32)
+        codes = code[which]
+        codes[(codes == 1) & (n == 1)] = 0
+        u, w = np.divmod(cells[several], len(whole))
+        named = np.unique(np.concatenate([u, w]))
+        u, w, one = np.searchsorted(named, u), np.searchsorted(named, w), np.ones(len(u), np.int64)
+        out = [("dishes", own, own, packed(whole[named], u.astype(np.uint32), w.astype(np.uint32), c[several], one, 0 * one)), *asked(own, whole[named], u, w, one, groups)]
+        out += [("codes", own, x[0], packed(part)) for x, part in zip(lists, np.split(codes, np.cumsum([len(x[4]) for x in lists])[:-1]), strict=True)]
+        u, w = np.divmod(cells[c == 1], len(whole))
+        has, is_ = (np.bincount(x, minlength=len(whole)).astype(np.uint32) for x in (u, w))
+        some = np.flatnonzero(has + is_)
+        out += [("alone", group, own, packed(whole[some[at]], has[some[at]], is_[some[at]])) for group, at in each_group(in_groups(whole[some], groups))]
+        sums = [pa.array([int((c == i).sum()), *[0] * (len(out) - 1)], pa.int64()) for i in (1, 2)]
+        return parcels(out).append_column("one", sums[0]).append_column("two", sums[1])
+
+    return pairs.groupBy("to").applyInArrow(count, PARCEL + ", one long, two long")
+
+
+# --- sweeps
+
+
+def seated_words(words: DataFrame, asked: DataFrame, weight: float, discount: float, sweep: int) -> DataFrame:
+    """Of each group of words: customers (tables at which a word is the dish), tables drawn for them, tables in its own restaurant;
+    and who asked for which words. ``customers`` and ``tables`` are sums."""
+
+    def draw(key: tuple[pa.Scalar, ...], counted: pa.Table, asked: pa.Table) -> pa.Table:
+        own, (hashes, c) = key[0].as_py(), unpacked(counted["data"][0].as_py(), "<u8", "<i8")
+        customers, restaurant, askers, places = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), [], []
+        for kind in ("alone", "asked"):
+            for sender, data in received(asked, kind):
+                some, has, is_ = unpacked(data, "<u8", "<u4", "<u4")
+                at = np.searchsorted(hashes, some)
+                restaurant[at] += has
+                customers[at] += is_
+                if kind == "asked":
+                    askers.append(sender)
+                    places.append(packed(at.astype(np.uint32)))
+        t = seat(customers, np.full(len(c), weight), discount, np.random.default_rng([sweep, 0, own]))
+        state = packed(hashes, c, customers, t, restaurant)
+        return pa.table([[own], pa.array([state], pa.binary()), pa.array([askers], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), [int(customers.sum())], [int(t.sum())]], ["to", "data", "askers", "places", "customers", "tables"])
+
+    return words.groupBy("to").cogroup(asked.groupBy("to")).applyInArrow(draw, "to long, data binary, askers array<long>, places array<binary>, customers long, tables long")
+
+
+class Base:
+    """The restaurant of words in one sweep: the weight of new tables for one word of the base, and probabilities."""
+
+    def __init__(self, events: float, discount: float, customers: int, tables: int):
+        self.each, self.discount, self.whole = (WORD_STRENGTH + discount * tables) / events, discount, WORD_STRENGTH + customers
+
+    def words(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.discount * tables + self.each) / self.whole
+
+
+def told(state: DataFrame, base: Base) -> DataFrame:
+    """To each group of pairs that asked: the words' probabilities in the restaurant of words, and tables in their own."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            _, _, customers, t, restaurant = unpacked(batch["data"][0].as_py(), "<u8", *["<i8"] * 4)
+            p = base.words(customers, t).astype("<f4")
+            for asker, places in zip(batch["askers"][0].as_py(), batch["places"][0].as_py(), strict=True):
+                (at,) = unpacked(places, "<u4")
+                yield from parcels([("told", asker, batch["to"][0].as_py(), packed(p[at], restaurant[at].astype(np.uint32)))]).to_batches()
+
+    return state.select("to", "data", "askers", "places").mapInArrow(tell, PARCEL)
+
+
+def seated_dishes(dishes: DataFrame, told: DataFrame, discount: float, groups: int, sweep: int) -> DataFrame:
+    """The next ``dishes`` and ``asked``, with tables drawn by what groups of words ``told``; after the burn-in, also their sum."""
+
+    def draw(key: tuple[pa.Scalar, ...], found: pa.Table, told: pa.Table) -> pa.Table:
+        own, (hashes, u, w, c, _, total) = key[0].as_py(), unpacked(found["data"][0].as_py(), "<u8", "<u4", "<u4", "<i8", "<i8", "<i8")
+        p, tables, answers = np.zeros(len(hashes)), np.zeros(len(hashes)), dict(received(told))
+        for group, at in each_group(in_groups(hashes, groups)):
+            p[at], tables[at] = unpacked(answers[group], "<f4", "<u4")
+        t = seat(c, (CONTEXT_STRENGTH + discount * tables[u]) * p[w], discount, np.random.default_rng([sweep, 1, own]))
+        return parcels([("dishes", own, own, packed(hashes, u, w, c, t, total + t * (sweep > BURN_IN))), *asked(own, hashes, u, w, t, groups)])
+
+    return dishes.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(draw, PARCEL)
+
+
+# --- scores
+
+
+def words_for_blocks(words: DataFrame, samples: list[tuple[DataFrame, Base]]) -> DataFrame:
+    """To each block: its words' counts, and in each sample their probabilities and tables of their own."""
+    bases = [base for _, base in samples]
+    states = samples[0][0].select("to", F.lit(0).alias("sample"), "data")
+    for i, (state, _) in enumerate(samples[1:], 1):
+        states = states.unionByName(state.select("to", F.lit(i).alias("sample"), "data"))
+
+    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, states: pa.Table) -> pa.Table:
+        columns = []
+        for sample, data in sorted(zip(states["sample"].to_pylist(), states["data"].to_pylist(), strict=True)):
+            hashes, c, customers, t, restaurant = unpacked(data, "<u8", *["<i8"] * 4)
+            columns.append((bases[sample].words(customers, t).astype("<f4"), restaurant.astype(np.uint32)))
+        out = []
+        for block, data in received(asked):
+            local, some, _ = unpacked(data, "<u4", "<u8", "<u4")
+            at = np.searchsorted(hashes, some)
+            out.append(("words", block, key[0].as_py(), packed(local, some, c[at], *(x[at] for x, _ in columns), *(x[at] for _, x in columns))))
+        return parcels(out)
 
-    return words.select("token", "c").mapInArrow(sample, "token binary, c long, spelling double, mean double, t long")
+    return words.groupBy("to").cogroup(states.groupBy("to")).applyInArrow(answer, PARCEL)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, the add-one unigram score, and the model's log10 probability."""
-    common, contexts = common_words(docs)
-    encoded = materialize(encode(docs, common, contexts), "encoded")
-    entries = encoded.filter("token is not null").select("block", "local", "token", "n", "code")
-    words = materialize(entries.groupBy("token").agg(F.sum("n").alias("c")), "words")
-    n, v, twice, thrice = (x or 0 for x in words.agg(F.sum("c"), *(F.count_if(F.col("c") >= i) for i in (1, 2, 3))).first())
-    ones, twos = v - twice, twice - thrice
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-
-    state, tables = words.withColumn("t", F.least("c", F.lit(1))), float(v)
-    for sample in range(2):
-        state = materialize(seat_words(state, spelling_of(state), discount, tables, sample), "seated")
-        tables, known = (x or 0.0 for x in state.agg(F.sum("mean"), F.sum(F.when(F.col("c") > 0, F.exp("spelling")))).first())
-    fresh, whole = WORD_STRENGTH + discount * tables, math.log10(WORD_STRENGTH + n)
-    unknown = math.log10(fresh * max(1 - known, 1e-9)) - whole
-    log10 = F.when(F.col("c") == 0, F.lit(math.log10(fresh) - whole) + F.col("spelling") / math.log(10)).otherwise(F.log10(F.col("c") - discount * F.col("mean") + fresh * F.exp("spelling")) - whole)
-    dishes = docs.sparkSession.createDataFrame([(i, bytearray(w)) for i, w in enumerate(common)], "dish int, token binary")
-    above = np.zeros(len(common) + 1)
-    for r in state.join(F.broadcast(dishes), "token").select("dish", log10.alias("p")).collect():
-        above[r["dish"]] = 10 ** r["p"]
-    above[-1] = others = max(1e-9, 1 - above.sum())
-    cells = gathered(encoded.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")))
-    following = docs.sparkSession.sparkContext.broadcast(np.log10(averaged(docs.sparkSession, sample_contexts, *cells, above).reshape(WORD_CONTEXTS, -1)))
-    values = entries.select("block", "local", "token", "code").join(state.select("token", "c", log10.alias("p")), "token").select(F.col("block").alias("in_block"), "local", "c", "p", "code")
-
-    def add_up(key, documents: pa.Table, found: pa.Table) -> pa.Table:
-        local = found["local"].to_numpy()
-        c, p, codes = np.zeros(len(local), np.int64), np.zeros(len(local)), np.zeros(len(local), np.int64)
-        c[local], p[local], codes[local] = (found[x].to_numpy() for x in ("c", "p", "code"))
-        base, seen, dish = np.log10((c + 1) / (n + 1 * (v + 1))), c > 0, codes % CODE
-        rest = np.where(dish == len(common), p - math.log10(others), 0.0)  # which of the other words
-        closed = np.where(seen, rest, unknown - math.log10(others))
+def dishes_for_blocks(codes: DataFrame, dishes: DataFrame) -> DataFrame:
+    """To each block: of its pairs in a group, in order, the customers (0: as the block knows) and the sum of sampled tables."""
+
+    def answer(key: tuple[pa.Scalar, ...], codes: pa.Table, dishes: pa.Table) -> pa.Table:
+        *_, c, _, total = unpacked(dishes["data"][0].as_py(), "<u8", "<u4", "<u4", "<i8", "<i8", "<i8")
+        c, total = np.concatenate([[0, 1], c]).astype(np.uint32), np.concatenate([[0, SAMPLES], total]).astype(np.uint32)
         out = []
-        for doc_ids, held, lengths, ids in zip(*(documents[x].to_pylist() for x in ("doc_ids", "held", "lengths", "ids")), strict=True):
-            ids, starts = from_planes(ids), np.cumsum([0, *lengths[:-1]])
-            after = following.value[contexts_of(codes[ids], lengths), dish[ids]].astype(float)
-            sums = [np.add.reduceat(x, starts) for x in (seen[ids].astype(np.int64), base[ids], after + closed[ids], after + rest[ids])]
-            out.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), sums[0], np.full(len(held), n, np.int64), *sums[1:]], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names)
+        for block, data in received(codes):
+            (code,) = unpacked(data, "<u4")
+            out.append(("dishes", block, key[0].as_py(), packed(c[code], total[code])))
+        return parcels(out)
+
+    return codes.groupBy("to").cogroup(dishes.groupBy("to")).applyInArrow(answer, PARCEL)
+
+
+def scored(documents: DataFrame, answers: DataFrame, bases: list[Base], unknown: float, discount: float, groups: int, n: int, v: int) -> DataFrame:
+    """Of each block its documents' rows."""
+    import xxhash
 
     names = [f.split()[0] for f in SCHEMA.split(", ")]
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 3)
-    documents = encoded.filter("ids is not null").select("block", "doc_ids", "held", "lengths", "ids")
-    return documents.groupBy("block").cogroup(values.groupBy("in_block")).applyInArrow(add_up, SCHEMA)
+
+    def add_up(key: tuple[pa.Scalar, ...], documents: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [unpacked(data, "<i8", "u1", "<u4", "<u4") for _, data in received(documents)]
+        doc_ids, flags, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        lengths, held = lengths.astype(np.int64), flags % 2 == 1
+        lists = [unpacked(data, "<u4", "<u8", "<i8", *["<f4"] * SAMPLES, *["<u4"] * SAMPLES) for _, data in received(answers, "words")]
+        local, hashes, c, *rest = (np.concatenate(x) for x in zip(*lists, strict=True))
+        hashes, c, *rest = (x[np.argsort(local)] for x in (hashes, c, *rest))
+        p = [np.where(c > 0, x.astype(float), base.each * unknown / base.whole) for x, base in zip(rest[:SAMPLES], bases, strict=True)]
+        end = int(np.flatnonzero(hashes == np.uint64(xxhash.xxh64_intdigest(END)))[0])
+        context, dish, which = pairs_of(ids, lengths, len(c), end)
+        # dishes that no other block knows have one customer and one table
+        customers = (np.bincount(which, np.repeat(~held, lengths), len(context)) > 0).astype(np.int64)
+        tables, of = SAMPLES * customers, dict(received(answers, "dishes"))
+        for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
+            found, total = unpacked(of[group], "<u4", "<u4")
+            customers[own], tables[own] = np.where(found, found, customers[own]), np.where(found, total, tables[own])
+        sum_, followed = np.zeros(len(context)), c[context]
+        for q, restaurant in zip(p, rest[SAMPLES:], strict=True):
+            sum_ += (CONTEXT_STRENGTH + discount * restaurant[context]) * q[dish] / SAMPLES
+        model = np.log10((customers - discount * tables / SAMPLES + sum_) / (CONTEXT_STRENGTH + followed))
+        base = np.log10((c + 1) / (n + 1 * (v + 1)))
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        sums = [np.add.reduceat(x[at], starts) for x, at in (((c > 0).astype(np.int64), ids), (base, ids), (model, which))]
+        return pa.table([pa.array(doc_ids, pa.int64(), mask=flags > 1), pa.array(held), pa.array(lengths), sums[0], np.full(len(held), n, np.int64), *sums[1:]], names)
+
+    return documents.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(add_up, SCHEMA)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """One row per document: counts, the add-one unigram score, and the model's log10 probability."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.length(text_column())).alias("chars")).first()
+    if not size["rows"]:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    groups = -(-size["chars"] // GROUP_CHARS) or 1
+    blocks = materialize_kinds(encode(docs, groups), "blocks", ("documents", "words", "pairs"))
+    words = materialize(counted_words(blocks["words"]), "words")
+    n, v, twice, thrice = words.agg(*(F.sum(x) for x in ("n", "v", "twice", "thrice"))).first()
+    once = v - twice
+    unseen = max(1.0, once * once / (2 * (twice - thrice)) if twice > thrice else once * (once - 1) / 2)
+    whole = v + unseen
+    word_discount = discount_of(once, twice - thrice)
+
+    pairs = materialize_kinds(counted_pairs(blocks["pairs"], groups), "pairs", ("dishes", "codes", "asked", "alone"))
+    drop_table(blocks["pairs"])
+    ones, twos = pairs["dishes"].agg(F.sum("one"), F.sum("two")).first()
+    discount = discount_of(ones, twos)
+    alone, dishes, asked_ = (pairs[k].drop("one", "two") for k in ("alone", "dishes", "asked"))
+    tables, samples = v, []
+    for sweep in range(SWEEPS + 1):
+        weight = (WORD_STRENGTH + word_discount * tables) / whole
+        state = materialize(seated_words(words, alone.unionByName(asked_), weight, word_discount, sweep), "seated")
+        customers, tables = state.agg(F.sum("customers"), F.sum("tables")).first()
+        base = Base(whole, word_discount, customers, tables)
+        if sweep > BURN_IN:
+            samples.append((state, base))
+        if sweep < SWEEPS:
+            following = materialize_kinds(seated_dishes(dishes, told(state, base), discount, groups, sweep + 1), "dishes", ("dishes", "asked"))
+            for over in (dishes, asked_, *(() if sweep > BURN_IN else (state,))):
+                drop_table(over)
+            dishes, asked_ = following["dishes"], following["asked"]
+    answers = words_for_blocks(blocks["words"], samples).unionByName(dishes_for_blocks(pairs["codes"], dishes))
+    return scored(blocks["documents"], answers, [base for _, base in samples], unseen, discount, groups, n, v)
+
+
+def discount_of(once: int, twice: int) -> float:
+    """The discount that so many dishes of one and of two customers suggest."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
 def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
