@@ -183,6 +183,15 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, which are smaller; :func:`upto` is the way back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def upto(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
 def parcels(rows: list[tuple[str, int, int, bytes]]) -> pa.Table:
     kind, to, sender, data = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.table([pa.array(kind, pa.string()), pa.array(to, pa.int64()), pa.array(sender, pa.int64()), pa.array(data, pa.binary())], [f.split()[0] for f in PARCEL.split(", ")])
@@ -218,12 +227,13 @@ def tokens_of(text: str) -> list[bytes]:
     return [*text.encode("utf-8").lower().split(), END]  # of bytes: A-Z alone, and blanks are 20 and 09 to 0D
 
 
-def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a context and what follows, in order; and of each token its pair."""
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int) -> np.ndarray:
+    """Of each token its pair as one number: the context (the word before, or an end) times ``words``, and the token."""
     before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
     before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
-    found, which = np.unique(before * words + ids, return_inverse=True)
-    return *np.divmod(found, words), which
+    before *= words
+    before += ids
+    return before
 
 
 def encode(docs: DataFrame, groups: int) -> DataFrame:
@@ -239,6 +249,8 @@ def encode(docs: DataFrame, groups: int) -> DataFrame:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
         ids = rank[ids]
         counts = np.bincount(ids, trained, len(order)).astype(np.uint32)
+        by_hash, place = np.argsort(hashes), np.empty(len(order), np.uint32)
+        place[by_hash] = np.arange(len(order), dtype=np.uint32)
         at = 0
         for start in range(0, len(found), DOCUMENTS_AT_ONCE):
             some = found[start : start + DOCUMENTS_AT_ONCE]
@@ -246,14 +258,20 @@ def encode(docs: DataFrame, groups: int) -> DataFrame:
             flags = np.array([h + 2 * (d is None) for d, h, _ in some], np.uint8)
             yield from parcels([("documents", block, start, packed(np.array([d or 0 for d, _, _ in some], np.int64), flags, np.array([len(x) for _, _, x in some], np.uint32), ids[at:stop]))]).to_batches()
             at = stop
+        hashes, counts = hashes[by_hash], counts[by_hash]
         for group, own in each_group(in_groups(hashes, groups)):
-            yield from parcels([("words", group, block, packed(own.astype(np.uint32), hashes[own], counts[own]))]).to_batches()
-        context, dish, which = pairs_of(ids, lengths, len(order), int(rank[numbers[END]]))
-        seen = np.bincount(which, trained, len(context)).astype(np.uint32)
+            yield from parcels([("words", group, block, packed(by_hash[own].astype(np.uint32), steps(hashes[own]), counts[own]))]).to_batches()
+        pairs = pairs_of(place[ids], lengths, len(order), int(place[rank[numbers[END]]]))
+        pairs *= 2
+        pairs += trained
+        pairs.sort()
+        first = np.flatnonzero(np.diff(pairs >> 1, prepend=-1))
+        seen = np.add.reduceat(pairs & 1, first).astype(np.uint32)
+        context, dish = np.divmod(pairs[first] >> 1, len(order))
         for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
-            local = np.unique(np.concatenate([context[own], dish[own]]))
-            u, w = np.searchsorted(local, context[own]), np.searchsorted(local, dish[own])
-            yield from parcels([("pairs", group, block, packed(hashes[local], np.diff(u, prepend=0).astype(np.uint32), w.astype(np.uint32), seen[own]))]).to_batches()
+            named = np.unique(np.concatenate([context[own], dish[own]]))
+            u, w = (np.searchsorted(named, x[own]).astype(np.uint32) for x in (context, dish))
+            yield from parcels([("pairs", group, block, packed(steps(hashes[named]), steps(u), w, seen[own]))]).to_batches()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> defaultdict:
@@ -291,11 +309,11 @@ def counted_words(words: DataFrame) -> DataFrame:
 
     def count(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         lists = [unpacked(data, "<u4", "<u8", "<u4") for _, data in received(found)]
-        whole, places = united([h for _, h, _ in lists])
+        whole, places = united([upto(h) for _, h, _ in lists])
         c = np.zeros(len(whole), np.int64)
         for at, (_, _, n) in zip(places, lists, strict=True):
             c[at] += n
-        return pa.table([[key[0].as_py()], pa.array([packed(whole, c)], pa.binary()), [int(c.sum())], *([int((c >= i).sum())] for i in (1, 2, 3))], ["to", "data", "n", "v", "twice", "thrice"])
+        return pa.table([[key[0].as_py()], pa.array([packed(steps(whole), c)], pa.binary()), [int(c.sum())], *([int((c >= i).sum())] for i in (1, 2, 3))], ["to", "data", "n", "v", "twice", "thrice"])
 
     return words.groupBy("to").applyInArrow(count, "to long, data binary, n long, v long, twice long, thrice long")
 
@@ -303,7 +321,7 @@ def counted_words(words: DataFrame) -> DataFrame:
 def asked(own: int, hashes: np.ndarray, u: np.ndarray, w: np.ndarray, t: np.ndarray, groups: int) -> list[tuple[str, int, int, bytes]]:
     """To the groups of words: of each word the tables in its restaurant, and those at which it is the dish."""
     has, is_ = (np.bincount(x, t, len(hashes)).astype(np.uint32) for x in (u, w))
-    return [("asked", group, own, packed(hashes[at], has[at], is_[at])) for group, at in each_group(in_groups(hashes, groups))]
+    return [("asked", group, own, packed(steps(hashes[at]), has[at], is_[at])) for group, at in each_group(in_groups(hashes, groups))]
 
 
 def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
@@ -315,8 +333,8 @@ def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
 
     def count(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         own, lists = key[0].as_py(), [(s, *unpacked(data, "<u8", "<u4", "<u4", "<u4")) for s, data in received(found)]
-        whole, places = united([x[1] for x in lists])
-        keys = np.concatenate([at[np.cumsum(u.astype(np.int64))] * len(whole) + at[w] for at, (_, _, u, w, _) in zip(places, lists, strict=True)])
+        whole, places = united([upto(x[1]) for x in lists])
+        keys = np.concatenate([at[upto(u)] * len(whole) + at[w] for at, (_, _, u, w, _) in zip(places, lists, strict=True)])
         n = np.concatenate([x[4] for x in lists])
         cells, which = np.unique(keys, return_inverse=True)
         c = np.bincount(which, n, len(cells)).astype(np.int64)
@@ -330,12 +348,12 @@ def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
         u, w = np.divmod(cells[several], len(whole))
         named = np.unique(np.concatenate([u, w]))
         u, w, one = np.searchsorted(named, u), np.searchsorted(named, w), np.ones(len(u), np.int64)
-        out = [("dishes", own, own, packed(whole[named], u.astype(np.uint32), w.astype(np.uint32), c[several], one, 0 * one)), *asked(own, whole[named], u, w, one, groups)]
+        out = [("dishes", own, own, packed(steps(whole[named]), u.astype(np.uint32), w.astype(np.uint32), c[several], one, 0 * one)), *asked(own, whole[named], u, w, one, groups)]
         out += [("codes", own, x[0], packed(part)) for x, part in zip(lists, np.split(codes, np.cumsum([len(x[4]) for x in lists])[:-1]), strict=True)]
         u, w = np.divmod(cells[c == 1], len(whole))
         has, is_ = (np.bincount(x, minlength=len(whole)).astype(np.uint32) for x in (u, w))
         some = np.flatnonzero(has + is_)
-        out += [("alone", group, own, packed(whole[some[at]], has[some[at]], is_[some[at]])) for group, at in each_group(in_groups(whole[some], groups))]
+        out += [("alone", group, own, packed(steps(whole[some[at]]), has[some[at]], is_[some[at]])) for group, at in each_group(in_groups(whole[some], groups))]
         sums = [pa.array([int((c == i).sum()), *[0] * (len(out) - 1)], pa.int64()) for i in (1, 2)]
         return parcels(out).append_column("one", sums[0]).append_column("two", sums[1])
 
@@ -345,22 +363,36 @@ def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
 # --- sweeps
 
 
+def with_alone(words: DataFrame, alone: DataFrame) -> DataFrame:
+    """Of each group its words, their counts, and of dishes of one customer how many each has and is."""
+
+    def add(key: tuple[pa.Scalar, ...], counted: pa.Table, alone: pa.Table) -> pa.Table:
+        hashes, c = unpacked(counted["data"][0].as_py(), "<u8", "<i8")
+        has, is_, whole = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), upto(hashes)
+        for _, data in received(alone):
+            some, has_some, is_some = unpacked(data, "<u8", "<u4", "<u4")
+            at = np.searchsorted(whole, upto(some))
+            has[at] += has_some
+            is_[at] += is_some
+        return pa.table([[key[0].as_py()], pa.array([packed(hashes, c, has, is_)], pa.binary())], ["to", "data"])
+
+    return words.groupBy("to").cogroup(alone.groupBy("to")).applyInArrow(add, "to long, data binary")
+
+
 def seated_words(words: DataFrame, asked: DataFrame, weight: float, discount: float, sweep: int) -> DataFrame:
     """Of each group of words: customers (tables at which a word is the dish), tables drawn for them, tables in its own restaurant;
     and who asked for which words. ``customers`` and ``tables`` are sums."""
 
     def draw(key: tuple[pa.Scalar, ...], counted: pa.Table, asked: pa.Table) -> pa.Table:
-        own, (hashes, c) = key[0].as_py(), unpacked(counted["data"][0].as_py(), "<u8", "<i8")
-        customers, restaurant, askers, places = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), [], []
-        for kind in ("alone", "asked"):
-            for sender, data in received(asked, kind):
-                some, has, is_ = unpacked(data, "<u8", "<u4", "<u4")
-                at = np.searchsorted(hashes, some)
-                restaurant[at] += has
-                customers[at] += is_
-                if kind == "asked":
-                    askers.append(sender)
-                    places.append(packed(at.astype(np.uint32)))
+        own, (hashes, c, restaurant, customers) = key[0].as_py(), unpacked(counted["data"][0].as_py(), "<u8", *["<i8"] * 3)
+        whole, askers, places = upto(hashes), [], []
+        for sender, data in received(asked):
+            some, has, is_ = unpacked(data, "<u8", "<u4", "<u4")
+            at = np.searchsorted(whole, upto(some))
+            restaurant[at] += has
+            customers[at] += is_
+            askers.append(sender)
+            places.append(packed(steps(at.astype(np.uint32))))
         t = seat(customers, np.full(len(c), weight), discount, np.random.default_rng([sweep, 0, own]))
         state = packed(hashes, c, customers, t, restaurant)
         return pa.table([[own], pa.array([state], pa.binary()), pa.array([askers], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), [int(customers.sum())], [int(t.sum())]], ["to", "data", "askers", "places", "customers", "tables"])
@@ -386,7 +418,7 @@ def told(state: DataFrame, base: Base) -> DataFrame:
             _, _, customers, t, restaurant = unpacked(batch["data"][0].as_py(), "<u8", *["<i8"] * 4)
             p = base.words(customers, t).astype("<f4")
             for asker, places in zip(batch["askers"][0].as_py(), batch["places"][0].as_py(), strict=True):
-                (at,) = unpacked(places, "<u4")
+                at = upto(*unpacked(places, "<u4"))
                 yield from parcels([("told", asker, batch["to"][0].as_py(), packed(p[at], restaurant[at].astype(np.uint32)))]).to_batches()
 
     return state.select("to", "data", "askers", "places").mapInArrow(tell, PARCEL)
@@ -397,11 +429,11 @@ def seated_dishes(dishes: DataFrame, told: DataFrame, discount: float, groups: i
 
     def draw(key: tuple[pa.Scalar, ...], found: pa.Table, told: pa.Table) -> pa.Table:
         own, (hashes, u, w, c, _, total) = key[0].as_py(), unpacked(found["data"][0].as_py(), "<u8", "<u4", "<u4", "<i8", "<i8", "<i8")
-        p, tables, answers = np.zeros(len(hashes)), np.zeros(len(hashes)), dict(received(told))
-        for group, at in each_group(in_groups(hashes, groups)):
+        p, tables, answers, whole = np.zeros(len(hashes)), np.zeros(len(hashes)), dict(received(told)), upto(hashes)
+        for group, at in each_group(in_groups(whole, groups)):
             p[at], tables[at] = unpacked(answers[group], "<f4", "<u4")
         t = seat(c, (CONTEXT_STRENGTH + discount * tables[u]) * p[w], discount, np.random.default_rng([sweep, 1, own]))
-        return parcels([("dishes", own, own, packed(hashes, u, w, c, t, total + t * (sweep > BURN_IN))), *asked(own, hashes, u, w, t, groups)])
+        return parcels([("dishes", own, own, packed(hashes, u, w, c, t, total + t * (sweep > BURN_IN))), *asked(own, whole, u, w, t, groups)])
 
     return dishes.groupBy("to").cogroup(told.groupBy("to")).applyInArrow(draw, PARCEL)
 
@@ -424,7 +456,7 @@ def words_for_blocks(words: DataFrame, samples: list[tuple[DataFrame, Base]]) ->
         out = []
         for block, data in received(asked):
             local, some, _ = unpacked(data, "<u4", "<u8", "<u4")
-            at = np.searchsorted(hashes, some)
+            at = np.searchsorted(upto(hashes), upto(some))
             out.append(("words", block, key[0].as_py(), packed(local, some, c[at], *(x[at] for x, _ in columns), *(x[at] for _, x in columns))))
         return parcels(out)
 
@@ -457,11 +489,15 @@ def scored(documents: DataFrame, answers: DataFrame, bases: list[Base], unknown:
         doc_ids, flags, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         lengths, held = lengths.astype(np.int64), flags % 2 == 1
         lists = [unpacked(data, "<u4", "<u8", "<i8", *["<f4"] * SAMPLES, *["<u4"] * SAMPLES) for _, data in received(answers, "words")]
-        local, hashes, c, *rest = (np.concatenate(x) for x in zip(*lists, strict=True))
-        hashes, c, *rest = (x[np.argsort(local)] for x in (hashes, c, *rest))
+        local, hashes, c, *rest = (np.concatenate(x) for x in zip(*((x[0], upto(x[1]), *x[2:]) for x in lists), strict=True))
+        order, place = np.argsort(hashes), np.empty(len(c), np.int64)
+        hashes, c, *rest = (x[order] for x in (hashes, c, *rest))
+        place[local[order]] = np.arange(len(c))
+        ids = place[ids]
         p = [np.where(c > 0, x.astype(float), base.each * unknown / base.whole) for x, base in zip(rest[:SAMPLES], bases, strict=True)]
-        end = int(np.flatnonzero(hashes == np.uint64(xxhash.xxh64_intdigest(END)))[0])
-        context, dish, which = pairs_of(ids, lengths, len(c), end)
+        end = int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(END))))
+        pairs, which = np.unique(pairs_of(ids, lengths, len(c), end), return_inverse=True)
+        context, dish = np.divmod(pairs, len(c))
         # dishes that no other block knows have one customer and one table
         customers = (np.bincount(which, np.repeat(~held, lengths), len(context)) > 0).astype(np.int64)
         tables, of = SAMPLES * customers, dict(received(answers, "dishes"))
@@ -498,11 +534,12 @@ def score(docs: DataFrame) -> DataFrame:
     drop_table(blocks["pairs"])
     ones, twos = pairs["dishes"].agg(F.sum("one"), F.sum("two")).first()
     discount = discount_of(ones, twos)
-    alone, dishes, asked_ = (pairs[k].drop("one", "two") for k in ("alone", "dishes", "asked"))
+    dishes, asked_ = (pairs[k].drop("one", "two") for k in ("dishes", "asked"))
+    words = materialize(with_alone(words, pairs["alone"]), "words")
     tables, samples = v, []
     for sweep in range(SWEEPS + 1):
         weight = (WORD_STRENGTH + word_discount * tables) / whole
-        state = materialize(seated_words(words, alone.unionByName(asked_), weight, word_discount, sweep), "seated")
+        state = materialize(seated_words(words, asked_, weight, word_discount, sweep), "seated")
         customers, tables = state.agg(F.sum("customers"), F.sum("tables")).first()
         base = Base(whole, word_discount, customers, tables)
         if sweep > BURN_IN:
