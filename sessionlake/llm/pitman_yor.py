@@ -232,10 +232,24 @@ def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int) -> np.n
     before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
     before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
     before *= words
-    before += ids
+    before += ids.astype(np.int64)
     return before
 
 
+def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of pairs, with whether each counts in training: the distinct ones in order, and their counts. Empties the list."""
+    every, at = np.empty(sum(len(x) for x, _ in parts), np.int64), 0
+    while parts:
+        some, trained = parts.pop()
+        every[at : at + len(some)] = 2 * some + trained
+        at += len(some)
+    every.sort()
+    trained = (every & 1).astype(np.uint32)
+    every >>= 1
+    first = np.concatenate([[0], np.flatnonzero(every[1:] != every[:-1]) + 1])
+    return every[first], np.add.reduceat(trained, first).astype(np.uint32)
+
+
 def encode(docs: DataFrame, groups: int) -> DataFrame:
     """Parcels of blocks: their documents as numbers of the block's own vocabulary (by frequency), their words and their pairs."""
     import xxhash
@@ -261,13 +275,8 @@ def encode(docs: DataFrame, groups: int) -> DataFrame:
         hashes, counts = hashes[by_hash], counts[by_hash]
         for group, own in each_group(in_groups(hashes, groups)):
             yield from parcels([("words", group, block, packed(by_hash[own].astype(np.uint32), steps(hashes[own]), counts[own]))]).to_batches()
-        pairs = pairs_of(place[ids], lengths, len(order), int(place[rank[numbers[END]]]))
-        pairs *= 2
-        pairs += trained
-        pairs.sort()
-        first = np.flatnonzero(np.diff(pairs >> 1, prepend=-1))
-        seen = np.add.reduceat(pairs & 1, first).astype(np.uint32)
-        context, dish = np.divmod(pairs[first] >> 1, len(order))
+        pairs, seen = distinct_pairs([(pairs_of(place[ids], lengths, len(order), int(place[rank[numbers[END]]])), trained)])
+        context, dish = (x.astype(np.uint32) for x in np.divmod(pairs, len(order)))
         for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
             named = np.unique(np.concatenate([context[own], dish[own]]))
             u, w = (np.searchsorted(named, x[own]).astype(np.uint32) for x in (context, dish))
@@ -485,33 +494,33 @@ def scored(documents: DataFrame, answers: DataFrame, bases: list[Base], unknown:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def add_up(key: tuple[pa.Scalar, ...], documents: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [unpacked(data, "<i8", "u1", "<u4", "<u4") for _, data in received(documents)]
-        doc_ids, flags, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        lengths, held = lengths.astype(np.int64), flags % 2 == 1
         lists = [unpacked(data, "<u4", "<u8", "<i8", *["<f4"] * SAMPLES, *["<u4"] * SAMPLES) for _, data in received(answers, "words")]
         local, hashes, c, *rest = (np.concatenate(x) for x in zip(*((x[0], upto(x[1]), *x[2:]) for x in lists), strict=True))
-        order, place = np.argsort(hashes), np.empty(len(c), np.int64)
+        order, place = np.argsort(hashes), np.empty(len(c), np.uint32)
         hashes, c, *rest = (x[order] for x in (hashes, c, *rest))
-        place[local[order]] = np.arange(len(c))
-        ids = place[ids]
+        place[local[order]] = np.arange(len(c), dtype=np.uint32)
         p = [np.where(c > 0, x.astype(float), base.each * unknown / base.whole) for x, base in zip(rest[:SAMPLES], bases, strict=True)]
         end = int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(END))))
-        pairs, which = np.unique(pairs_of(ids, lengths, len(c), end), return_inverse=True)
-        context, dish = np.divmod(pairs, len(c))
+        parts = [(d, f, n.astype(np.int64), place[ids]) for d, f, n, ids in (unpacked(data, "<i8", "u1", "<u4", "<u4") for _, data in received(documents))]
+        pairs, seen = distinct_pairs([(pairs_of(ids, lengths, len(c), end), np.repeat(flags % 2 == 0, lengths)) for _, flags, lengths, ids in parts])
+        context, dish = (x.astype(np.uint32) for x in np.divmod(pairs, len(c)))
         # dishes that no other block knows have one customer and one table
-        customers = (np.bincount(which, np.repeat(~held, lengths), len(context)) > 0).astype(np.int64)
+        customers = (seen > 0).astype(np.uint32)
         tables, of = SAMPLES * customers, dict(received(answers, "dishes"))
         for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
             found, total = unpacked(of[group], "<u4", "<u4")
             customers[own], tables[own] = np.where(found, found, customers[own]), np.where(found, total, tables[own])
-        sum_, followed = np.zeros(len(context)), c[context]
+        model = customers - discount / SAMPLES * tables
         for q, restaurant in zip(p, rest[SAMPLES:], strict=True):
-            sum_ += (CONTEXT_STRENGTH + discount * restaurant[context]) * q[dish] / SAMPLES
-        model = np.log10((customers - discount * tables / SAMPLES + sum_) / (CONTEXT_STRENGTH + followed))
-        base = np.log10((c + 1) / (n + 1 * (v + 1)))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        sums = [np.add.reduceat(x[at], starts) for x, at in (((c > 0).astype(np.int64), ids), (base, ids), (model, which))]
-        return pa.table([pa.array(doc_ids, pa.int64(), mask=flags > 1), pa.array(held), pa.array(lengths), sums[0], np.full(len(held), n, np.int64), *sums[1:]], names)
+            model += (CONTEXT_STRENGTH + discount * restaurant)[context] * q[dish] / SAMPLES
+        model = np.log10(model / (CONTEXT_STRENGTH + c)[context])
+        base, out = np.log10((c + 1) / (n + 1 * (v + 1))), []
+        for doc_ids, flags, lengths, ids in parts:
+            own, which = np.unique(pairs_of(ids, lengths, len(c), end), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            sums = [np.add.reduceat(x, starts) for x in ((c > 0).astype(np.int64)[ids], base[ids], model[np.searchsorted(pairs, own)][which])]
+            out.append(pa.table([pa.array(doc_ids, pa.int64(), mask=flags > 1), pa.array(flags % 2 == 1), pa.array(lengths), sums[0], np.full(len(flags), n, np.int64), *sums[1:]], names))
+        return pa.concat_tables(out)
 
     return documents.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(add_up, SCHEMA)
 
