@@ -16,7 +16,7 @@ after the burn-in.
 Documents are numbered in blocks with a vocabulary of their own. What blocks know of a pair of words (context and dish) or
 of a word goes, as sorted arrays, to the group that the hash of both words, or of the word, names; so neither a common
 context nor a common word meets in one task. Groups grow in number with the texts. A dish with one customer has one table
-and is left out of the sweeps. Words are told by 64 bits of their hash. The same documents give the same scores however they
+and is left out of the sweeps. Words are told by 56 bits of their hash. The same documents give the same scores however they
 are partitioned, but that a null id may stand for several documents.
 
 ``score`` has the events of the base score: each word of the training vocabulary, and one for all other words.
@@ -227,22 +227,24 @@ def tokens_of(text: str) -> list[bytes]:
     return [*text.encode("utf-8").lower().split(), END]  # of bytes: A-Z alone, and blanks are 20 and 09 to 0D
 
 
-def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int) -> np.ndarray:
+def pairs_of(ids: np.ndarray, lengths: np.ndarray, words: int, end: int, out: np.ndarray | None = None) -> np.ndarray:
     """Of each token its pair as one number: the context (the word before, or an end) times ``words``, and the token."""
-    before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
-    before *= words
-    before += ids.astype(np.int64)
-    return before
-
-
-def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists of pairs, with whether each counts in training: the distinct ones in order, and their counts. Empties the list."""
-    every, at = np.empty(sum(len(x) for x, _ in parts), np.int64), 0
-    while parts:
-        some, trained = parts.pop()
-        every[at : at + len(some)] = 2 * some + trained
-        at += len(some)
+    out = np.empty(len(ids), np.int64) if out is None else out
+    out[1:] = ids[:-1]
+    out[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
+    out *= words
+    out += ids
+    return out
+
+
+def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], words: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of ``(ids, lengths, held)`` of documents, in order, and how often each is in those not held out."""
+    every, at = np.empty(sum(len(ids) for ids, _, _ in parts), np.int64), 0
+    for ids, lengths, held in parts:
+        own = pairs_of(ids, lengths, words, end, every[at : at + len(ids)])
+        own <<= 1
+        own += np.repeat(~held, lengths)
+        at += len(ids)
     every.sort()
     trained = (every & 1).astype(np.uint32)
     every >>= 1
@@ -250,32 +252,41 @@ def distinct_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarr
     return every[first], np.add.reduceat(trained, first).astype(np.uint32)
 
 
+def word_hashes(words) -> np.ndarray:
+    """56 bits of each word's XXH64."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64) >> np.uint64(8)
+
+
 def encode(docs: DataFrame, groups: int) -> DataFrame:
     """Parcels of blocks: their documents as numbers of the block's own vocabulary (by frequency), their words and their pairs."""
-    import xxhash
 
     def block_rows(block: int, numbers: dict[bytes, int], found: list) -> Iterator[pa.RecordBatch]:
-        ids, lengths = np.concatenate([x for _, _, x in found]), np.array([len(x) for _, _, x in found])
-        trained = np.repeat(np.array([not h for _, h, _ in found]), lengths)
+        lengths, held = np.array([len(x) for _, _, x in found]), np.array([h for _, h, _ in found])
+        ids, counts, at = np.empty(lengths.sum(), np.uint32), np.zeros(len(numbers), np.int64), 0
+        for _, h, x in found:
+            ids[at : at + len(x)] = x
+            at += len(x)
+        marks = [(d or 0, h + 2 * (d is None)) for d, h, _ in found]
+        found.clear()
         order = np.argsort(-np.bincount(ids, minlength=len(numbers)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
-        ids = rank[ids]
-        counts = np.bincount(ids, trained, len(order)).astype(np.uint32)
+        hashes = word_hashes(numbers)[order]
+        ids, at = rank[ids], 0
+        for start in range(0, len(marks), DOCUMENTS_AT_ONCE):
+            some, sizes = marks[start : start + DOCUMENTS_AT_ONCE], lengths[start : start + DOCUMENTS_AT_ONCE]
+            stop = at + int(sizes.sum())
+            counts += np.bincount(ids[at:stop][np.repeat(~held[start : start + DOCUMENTS_AT_ONCE], sizes)], minlength=len(order))
+            yield from parcels([("documents", block, start, packed(np.array([d for d, _ in some], np.int64), np.array([f for _, f in some], np.uint8), sizes.astype(np.uint32), ids[at:stop]))]).to_batches()
+            at = stop
         by_hash, place = np.argsort(hashes), np.empty(len(order), np.uint32)
         place[by_hash] = np.arange(len(order), dtype=np.uint32)
-        at = 0
-        for start in range(0, len(found), DOCUMENTS_AT_ONCE):
-            some = found[start : start + DOCUMENTS_AT_ONCE]
-            stop = at + int(lengths[start : start + DOCUMENTS_AT_ONCE].sum())
-            flags = np.array([h + 2 * (d is None) for d, h, _ in some], np.uint8)
-            yield from parcels([("documents", block, start, packed(np.array([d or 0 for d, _, _ in some], np.int64), flags, np.array([len(x) for _, _, x in some], np.uint32), ids[at:stop]))]).to_batches()
-            at = stop
-        hashes, counts = hashes[by_hash], counts[by_hash]
+        hashes, counts = hashes[by_hash], counts[by_hash].astype(np.uint32)
         for group, own in each_group(in_groups(hashes, groups)):
             yield from parcels([("words", group, block, packed(by_hash[own].astype(np.uint32), steps(hashes[own]), counts[own]))]).to_batches()
-        pairs, seen = distinct_pairs([(pairs_of(place[ids], lengths, len(order), int(place[rank[numbers[END]]])), trained)])
+        pairs, seen = distinct_pairs([(place[ids], lengths, held)], len(order), int(place[rank[numbers[END]]]))
         context, dish = (x.astype(np.uint32) for x in np.divmod(pairs, len(order)))
         for group, own in each_group(pair_groups(hashes[context], hashes[dish], groups)):
             named = np.unique(np.concatenate([context[own], dish[own]]))
@@ -341,24 +352,37 @@ def counted_pairs(pairs: DataFrame, groups: int) -> DataFrame:
     """
 
     def count(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
-        own, lists = key[0].as_py(), [(s, *unpacked(data, "<u8", "<u4", "<u4", "<u4")) for s, data in received(found)]
-        whole, places = united([upto(x[1]) for x in lists])
-        keys = np.concatenate([at[upto(u)] * len(whole) + at[w] for at, (_, _, u, w, _) in zip(places, lists, strict=True)])
-        n = np.concatenate([x[4] for x in lists])
-        cells, which = np.unique(keys, return_inverse=True)
-        c = np.bincount(which, n, len(cells)).astype(np.int64)
+        own, senders, lists = key[0].as_py(), found["sender"].to_numpy(), []
+        for i in np.argsort(senders).tolist():
+            lists.append(unpacked(found["data"][i].as_py(), "<u8", "<u4", "<u4", "<u4"))
+        senders = sorted(senders.tolist())
+        whole, places = united([upto(x[0]) for x in lists])
+        sizes = [len(x[3]) for x in lists]
+        keys, n, at = np.empty(sum(sizes), np.int64), np.concatenate([x[3] for x in lists]), 0
+        for i, place in enumerate(places):
+            _, u, w, _ = lists[i]
+            keys[at : at + len(u)] = place[upto(u)]
+            keys[at : at + len(u)] *= len(whole)
+            keys[at : at + len(u)] += place[w]
+            at, lists[i] = at + len(u), None
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        cells, c = keys[first], np.add.reduceat(n[order], first, dtype=np.int64)
         several = np.flatnonzero(c > 1)
         several = several[np.argsort(-c[several], kind="stable")]
         code = np.zeros(len(cells), np.uint32)
         code[c == 1] = 1
         code[several] = np.arange(2, len(several) + 2, dtype=np.uint32)
-        codes = code[which]
+        codes = np.empty(len(keys), np.uint32)
+        codes[order] = np.repeat(code, np.diff(first, append=len(keys)))
+        del keys, order
         codes[(codes == 1) & (n == 1)] = 0
         u, w = np.divmod(cells[several], len(whole))
         named = np.unique(np.concatenate([u, w]))
         u, w, one = np.searchsorted(named, u), np.searchsorted(named, w), np.ones(len(u), np.int64)
         out = [("dishes", own, own, packed(steps(whole[named]), u.astype(np.uint32), w.astype(np.uint32), c[several], one, 0 * one)), *asked(own, whole[named], u, w, one, groups)]
-        out += [("codes", own, x[0], packed(part)) for x, part in zip(lists, np.split(codes, np.cumsum([len(x[4]) for x in lists])[:-1]), strict=True)]
+        out += [("codes", own, s, packed(part)) for s, part in zip(senders, np.split(codes, np.cumsum(sizes)[:-1]), strict=True)]
         u, w = np.divmod(cells[c == 1], len(whole))
         has, is_ = (np.bincount(x, minlength=len(whole)).astype(np.uint32) for x in (u, w))
         some = np.flatnonzero(has + is_)
@@ -489,8 +513,6 @@ def dishes_for_blocks(codes: DataFrame, dishes: DataFrame) -> DataFrame:
 
 def scored(documents: DataFrame, answers: DataFrame, bases: list[Base], unknown: float, discount: float, groups: int, n: int, v: int) -> DataFrame:
     """Of each block its documents' rows."""
-    import xxhash
-
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def add_up(key: tuple[pa.Scalar, ...], documents: pa.Table, answers: pa.Table) -> pa.Table:
@@ -500,9 +522,9 @@ def scored(documents: DataFrame, answers: DataFrame, bases: list[Base], unknown:
         hashes, c, *rest = (x[order] for x in (hashes, c, *rest))
         place[local[order]] = np.arange(len(c), dtype=np.uint32)
         p = [np.where(c > 0, x.astype(float), base.each * unknown / base.whole) for x, base in zip(rest[:SAMPLES], bases, strict=True)]
-        end = int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(END))))
+        end = int(np.searchsorted(hashes, word_hashes([END])[0]))
         parts = [(d, f, n.astype(np.int64), place[ids]) for d, f, n, ids in (unpacked(data, "<i8", "u1", "<u4", "<u4") for _, data in received(documents))]
-        pairs, seen = distinct_pairs([(pairs_of(ids, lengths, len(c), end), np.repeat(flags % 2 == 0, lengths)) for _, flags, lengths, ids in parts])
+        pairs, seen = distinct_pairs([(ids, lengths, flags % 2 == 1) for _, flags, lengths, ids in parts], len(c), end)
         context, dish = (x.astype(np.uint32) for x in np.divmod(pairs, len(c)))
         # dishes that no other block knows have one customer and one table
         customers = (seen > 0).astype(np.uint32)

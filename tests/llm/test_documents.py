@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -55,8 +56,7 @@ def test_clashing_columns_change_nothing(spark, name):
     plain = sorted(map(repr, OPERATORS[name](spark, docs(spark)).drop("sequence_id", "offset").collect()))
     extra = sorted(map(repr, OPERATORS[name](spark, docs(spark, extra=True)).drop("sequence_id", "offset").collect()))
     assert len(plain) >= len(TEXTS)
-    if name != "pitman_yor":  # whose samples differ with the partitions of its tables
-        assert plain == extra
+    assert plain == extra
 
 
 # --- secrets
@@ -216,32 +216,7 @@ def test_base_scores_and_counts(spark):
     for i, ws in tokens:
         want[i].append((held(i), len(ws), sum(w in c for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 4)))
     assert {i: sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rs) for i, rs in got.items()} == {i: sorted(x) for i, x in want.items()}
-    assert all(r["score"] < 0 and math.isfinite(r["spelled_score"]) for rs in got.values() for r in rs)
-
-
-def test_spelling_is_a_distribution_and_learns():
-    context, symbol, _ = pitman_yor.spelled([b"the"] * 50 + [b"on"] * 20)
-    keys, counts = np.unique(context * pitman_yor.SYMBOLS + symbol, return_counts=True)
-    p = pitman_yor.sample_spelling(keys, counts, 1)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-    logs = pitman_yor.log_spelling([b"the", b"on", b"zzz"], p)
-    assert logs[0] > logs[1] > logs[2]
-
-
-def test_seatings_have_the_right_mean():
-    """Tables of c customers with a constant weight for new ones: against the exact distribution, by generalised Stirling numbers."""
-    d, a, c = 0.5, 2.0, 6
-    s = [[0.0] * (c + 2) for _ in range(c + 1)]
-    s[0][0] = 1.0
-    for n in range(c):
-        for t in range(1, c + 1):
-            s[n + 1][t] = s[n][t - 1] + (n - d * t) * s[n][t]
-    weights = np.array([s[c][t] * a**t for t in range(c + 1)])
-    exact = (weights * np.arange(c + 1)).sum() / weights.sum()
-    mean, last = pitman_yor.seat(np.full(4000, c), np.full(4000, a), d, 60, np.random.default_rng(0))
-    assert abs(mean.mean() - exact) < 0.05 and last.min() >= 1 and last.max() <= c
-    mean, last = pitman_yor.seat(np.array([0, 1, 5]), np.array([1.0, 1.0, 1e-9]), d, 10, np.random.default_rng(0))
-    assert last[:2].tolist() == [0, 1] and last[2] >= 1
+    assert all(r["score"] < 0 for rs in got.values() for r in rs)
 
 
 def test_model_beats_the_base_on_held_out_text(spark):
@@ -250,9 +225,121 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_planes_round_trip():
-    x = np.array([0, 1, 255, 256, 1 << 20, (1 << 31) - 1])
-    assert pitman_yor.from_planes(pitman_yor.planes(x)).tolist() == x.tolist()
+def test_seatings_are_those_of_stirling_numbers():
+    """Tables of c customers with a constant weight for new ones, drawn as in production, against the exact distribution."""
+    for d, a, c in ((0.5, 2.0, 6), (0.7, 5.0, 2000), (0.2, 0.5, 2000), (0.73, 0.001, 500), (0.5, 50.0, 1000), (0.8, 300.0, 150)):
+        s = np.full(c + 2, -np.inf)
+        s[0], t = 0.0, np.arange(c + 2)
+        for n in range(c):
+            s = np.logaddexp(s + np.log(np.maximum(n - d * t, 1e-300)), np.concatenate([[-np.inf], s[:-1]]))
+        logs = s[1:-1] + t[1:-1] * math.log(a)
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        mean = (p * t[1:-1]).sum()
+        sd = math.sqrt(max((p * (t[1:-1] - mean) ** 2).sum(), 1e-12))
+        got = pitman_yor.seat(np.full(4000, c), np.full(4000, a), d, np.random.default_rng(0))
+        assert abs(got.mean() - mean) < 0.1 * sd + 0.01 * mean and abs(got.std() - sd) < 0.1 * sd + 0.02, (d, a, c, got.mean(), mean)
+        assert got.min() >= 1 and got.max() <= c
+    assert pitman_yor.seat(np.array([0, 1, 5]), np.array([1.0, 1.0, 1e-9]), 0.5, np.random.default_rng(0)).tolist() == [0, 1, 1]
+
+
+def seated_one_by_one(texts, held, sweeps=60):
+    """The model by plain Gibbs sampling: single customers leave their tables and are seated anew, in dictionaries; mean log10 scores."""
+    rng = random.Random(4)
+    tokens = [[*WORD.findall(t.translate(LOWER)), "\n"] for t in texts]
+    pairs = Counter((u, w) for ws, h in zip(tokens, held, strict=True) if not h for u, w in itertools.pairwise(["\n", *ws]))
+    words = Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
+    once, twice = (sum(c == i for c in words.values()) for i in (1, 2))
+    unseen = max(1.0, once * once / (2 * twice) if twice else once * (once - 1) / 2)
+    dw = pitman_yor.discount_of(once, twice)
+    dc = pitman_yor.discount_of(*(sum(c == i for c in pairs.values()) for i in (1, 2)))
+    each, sc, sw = 1 / (len(words) + unseen), pitman_yor.CONTEXT_STRENGTH, pitman_yor.WORD_STRENGTH
+    rooms = {k: [1] * c for k, c in pairs.items()}  # table sizes
+    followed = Counter()
+    for (u, _), c in pairs.items():
+        followed[u] += c
+    dishes = Counter()
+    for (_, w), tables in rooms.items():
+        dishes[w] += len(tables)
+    top = {w: [1] * c for w, c in dishes.items()}
+    has = Counter({u: sum(len(t) for (v, _), t in rooms.items() if v == u) for u in followed})
+
+    def p_word(w):
+        t = top.get(w, [])
+        n, k = sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(t) - dw * len(t) + (sw + dw * k) * each) / (sw + n)
+
+    def leave(tables):
+        at = rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+        return False
+
+    def enter(tables, d, new):
+        at = rng.choices(range(len(tables) + 1), [*(n - d for n in tables), new])[0]
+        if at == len(tables):
+            tables.append(1)
+            return True
+        tables[at] += 1
+        return False
+
+    total, taken = np.zeros(len(texts)), 0
+    for sweep in range(sweeps):
+        for (u, w), tables in rooms.items():
+            for _ in range(sum(tables)):
+                if leave(tables):
+                    has[u] -= 1
+                    leave(top[w])
+                if enter(tables, dc, (sc + dc * has[u]) * p_word(w)):
+                    has[u] += 1
+                    enter(top[w], dw, (sw + dw * sum(map(len, top.values()))) * each)
+        if sweep >= sweeps // 3:
+            memo = {w: p_word(w) for w in words}
+            unknown = p_word(None) * unseen
+            own = lambda u, w: (sum(t := rooms.get((u, w), [])) - dc * len(t) + (sc + dc * has[u]) * memo.get(w, unknown)) / (sc + followed[u])  # noqa: B023, E731
+            total += [sum(math.log10(own(u, w)) for u, w in itertools.pairwise(["\n", *ws])) for ws in tokens]
+            taken += 1
+    return total / taken
+
+
+def test_scores_are_those_of_plain_sampling(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("a b c d e f g h rare1 rare2 rare3".split(), [9, 8, 7, 6, 5, 4, 3, 2, 0.3, 0.3, 0.3], k=25)) + f" only{i % 9}" for i in range(24)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(24)]
+    want = seated_one_by_one(texts, held)
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert any(held) and max(abs(got[i] / want[i] - 1) for i in range(24)) < 0.04
+
+
+def test_scores_do_not_depend_on_blocks_and_groups(spark, monkeypatch):
+    whole = sorted(map(repr, pitman_yor.score(docs(spark)).collect()))
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 700)
+    again = sorted(map(repr, pitman_yor.score(docs(spark).repartition(5)).collect()))
+    assert again == whole
+    monkeypatch.setattr(pitman_yor, "GROUP_CHARS", 30_000)
+    others = by_id(pitman_yor.score(docs(spark)))
+    first = by_id(pitman_yor.score(docs(spark).coalesce(1)))
+    assert {i: sorted(map(repr, r)) for i, r in others.items()} == {i: sorted(map(repr, r)) for i, r in first.items()}
+
+
+def test_packed_arrays_round_trip():
+    x, y = np.array([0, 1, 255, 256, 1 << 20, (1 << 31) - 1], np.uint32), np.array([3, 1 << 40, 1 << 63], np.uint64)
+    got = pitman_yor.unpacked(pitman_yor.packed(x, pitman_yor.steps(y), x[:0]), "<u4", "<u8", "<u4")
+    assert got[0].tolist() == x.tolist() and pitman_yor.upto(got[1]).tolist() == y.tolist() and not len(got[2])
+
+
+def test_a_certain_word_after_a_context(spark):
+    made = spark.createDataFrame([(i, " ".join(["left right", "up down"][(i + j) % 2] for j in range(50))) for i in range(60)], "doc_id long, text string")
+    got = pitman_yor.score(made).collect()
+    assert all(r["score"] > 0.7 * r["base_score"] for r in got)  # of two words in a row, the second is certain
+
+
+def test_only_held_out_documents(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = pitman_yor.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids) and all(r["train_tokens"] == 0 == r["n_known"] and abs(r["score"]) < 1e-6 for r in got)
 
 
 # --- SimHash
@@ -443,17 +530,3 @@ def test_media_boxes():
         media.read_media(media.write_media(bytes(64))[:-5])
 
 
-def test_contexts_are_distributions_and_help(spark):
-    above = np.array([0.5, 0.3, 0.2])
-    cells, customers = np.array([0, 1, 5 * 3 + 2]), np.array([90, 10, 7])
-    p = pitman_yor.sample_contexts(cells, customers, above, 3)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and p[0, 0] > 0.7 > 0.5 and p[5, 2] > 0.2 and np.allclose(p[9], above, atol=1e-4)
-    made = spark.createDataFrame([(i, " ".join(["left right", "up down"][(i + j) % 2] for j in range(50))) for i in range(60)], "doc_id long, text string")
-    got = pitman_yor.score(made).collect()
-    assert all(r["score"] > 0.7 * r["base_score"] for r in got)  # of two words in a row, the second is certain
-
-
-def test_only_held_out_documents(spark):
-    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
-    got = pitman_yor.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
-    assert len(got) == len(ids) and all(r["train_tokens"] == 0 == r["n_known"] and abs(r["score"]) < 1e-6 and r["spelled_score"] < -1 for r in got)
