@@ -15,9 +15,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, and on a cluster an error."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -31,20 +33,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize_kinds(df: DataFrame, name: str, kinds: tuple[str, ...]) -> dict[str, DataFrame]:
-    """The same for rows of several ``kind``, each of which is read back as a table of its own."""
+    """The same for rows of several ``kind``, each of which is read back as a table of its own; one without rows is empty."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     schema = StructType([f for f in df.schema if f.name != "kind"])
-    return {k: spark.read.schema(schema).parquet(f"{path}/kind={k}").withColumn("kind", F.lit(k)) for k in kinds}
+    written = {k: hadoop_path(spark, f"{path}/kind={k}") for k in kinds}
+    return {
+        k: (spark.read.schema(schema).parquet(folder.toString()) if system.exists(folder) else spark.createDataFrame([], schema)).withColumn("kind", F.lit(k))
+        for k, (system, folder) in written.items()
+    }
+
+
+def hadoop_path(spark: SparkSession, folder: str) -> tuple:
+    """The file system of a folder, and its path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that :func:`materialize` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        system, path = hadoop_path(df.sparkSession, folder)
+        system.delete(path, True)
 
 
 def text_column(name: str = "text") -> Column:
