@@ -78,26 +78,28 @@ TITLES = {
     "preferences & corrections": "preferences",
     "open threads": "open_threads",
 }
-_TITLE = re.compile(r"\*{1,2}(?P<title>[^*]+?)\*{1,2}:?\s*(?P<rest>.*)")
+#: A title between asterisks at a line's beginning, and a bullet's mark.
+HEAD = re.compile(r"^\*{1,2}([^*\n]+)\*{1,2}:?", re.MULTILINE)
+MARK = re.compile(r"^[-–•]")
+
+
+def bullets(body: str) -> list[str]:
+    return [b for line in body.split("\n") if (b := MARK.sub("", line.strip()).strip())]
 
 
 def parse_sections(text: str) -> tuple[str | None, list[tuple[str, list[str]]]]:
     """A rendered note's context, and its sections in order of appearance with their bullets.
 
-    Unknown titles, and lines before any title, are key details.
+    The text is cut at its titles. What stands before the first, or under an unknown one, is of the key details.
     """
-    sections: dict[str | None, list[str]] = {}
-    here: str | None = "key_details"
-    for line in re.split(r"\r?\n", text):
-        if m := _TITLE.fullmatch(line):
-            here = TITLES.get(m["title"].strip().removesuffix(":").strip().lower(), "key_details")
-            line = m["rest"]
-        bullet = re.sub(r"^[-–•]\s*", "", line.strip()).strip()
-        if bullet:
-            sections.setdefault(here, []).append(bullet)
-    why = sections.pop("why", None)
-    sections.pop(None, None)
-    return "\n".join(why) if why else None, list(sections.items())
+    heads = list(HEAD.finditer(text))
+    ends = [m.start() for m in heads] + [len(text)]
+    found: dict[str | None, list[str]] = {"key_details": bullets(text[: ends[0]])}
+    for m, end in zip(heads, ends[1:], strict=True):
+        kind = TITLES.get(m[1].strip().removesuffix(":").strip().lower(), "key_details")
+        some = bullets(text[m.end() : end])
+        found[kind] = found.pop(kind) + some if found.get(kind) == [] else found.get(kind, []) + some
+    return "\n".join(found.pop("why", [])) or None, [(k, v) for k, v in found.items() if k and v]
 
 
 def sections(texts: DataFrame) -> DataFrame:

@@ -58,11 +58,16 @@ def report(ranked: DataFrame, captures: DataFrame) -> DataFrame:
     return omitted.join(F.broadcast(undistilled)).withColumn("complete", (F.col("omitted") == 0) & (F.col("undistilled") == 0))
 
 
-def imported(found: DataFrame, site: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing."""
-    captures = turns_of(found).select(
+def imported(found: DataFrame, site: str, now: str, repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing.
+
+    ``repos(cwd, repo)`` tells the folders' repositories, which the captures' metadata then hold.
+    """
+    turns = turns_of(found)
+    turns = turns.join(repos.select("cwd", "repo").dropDuplicates(["cwd"]), "cwd", "left") if repos is not None else turns.withColumn("repo", F.lit(None).cast("string"))
+    captures = turns.select(
         F.sha2(F.to_json(F.struct(F.lit(site).alias("site"), "session", "source_key")), 256).alias("id"), F.lit(site).alias("site"), F.col("session").alias("conversation_id"),
-        F.lit(None).cast("string").alias("conversation_title"), "prompt", "response", "model", "cwd", "source_key", F.col("at").alias("captured_at"), F.lit(now).alias("created_at"),
+        F.lit(None).cast("string").alias("conversation_title"), "prompt", "response", "model", F.to_json(F.struct(F.col("repo").alias("repo_name"))).alias("metadata"), "cwd", "source_key", F.col("at").alias("captured_at"), F.lit(now).alias("created_at"),
         F.lit(None).cast("string").alias("distilled_at"), F.col("offset").alias("seq"),
     )
     return captures, parse_errors(found)

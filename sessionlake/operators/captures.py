@@ -9,15 +9,15 @@ from sessionlake.functions.text import repo_leaf
 
 
 def pair_turns(records: DataFrame) -> DataFrame:
-    """Turns of ``records(session, position, role, text, cwd, …)``: each assistant with the latest user text before it.
+    """Turns of ``records(session, position, role, text, cwd, …)``: each assistant with the latest user before it.
 
-    A user's text is not used up: several assistants may answer it. Assistants without text, or before any user, make no turn. The
-    working folder is the assistant's own, else the user's.
+    A user is not used up: several assistants may answer. A user's text may be empty, as that of a tool's result is. Assistants
+    without text, or before any user, make no turn. The working folder is the assistant's own, else the user's.
     """
     before = Window.partitionBy("session").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    said = F.when(F.col("role") == "user", F.struct(F.col("text").alias("text"), F.col("cwd").alias("cwd")))
+    said = F.when(F.col("role") == "user", F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("cwd").alias("cwd")))
     asked = records.filter(F.col("role").isin("user", "assistant")).withColumn("asked", F.last(said, ignorenulls=True).over(before))
-    turns = asked.filter((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != "") & (F.coalesce(F.col("asked.text"), F.lit("")) != ""))
+    turns = asked.filter((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != "") & F.col("asked").isNotNull())
     return turns.withColumn("prompt", F.col("asked.text")).withColumn("cwd", F.coalesce("cwd", F.col("asked.cwd"))).withColumnRenamed("text", "response").drop("asked", "role")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values.
-KINDS = ("distill", "link-cluster", "reembed", "backfill-run", "backfill-page")
+KINDS = ("distill", "link-cluster", "reembed", "backfill", "backfill-page")
 STATUSES = ("queued", "running", "done", "failed")
 LEASE_SECONDS, MAX_ATTEMPTS, BACKOFF_SECONDS, MAX_BACKOFF_SECONDS = 300, 5, 30, 1800
 
@@ -90,7 +90,7 @@ def failed(jobs: DataFrame, claim: dict, error: str, now: object, retry_at: obje
     """A failure: the last attempt, or a fatal one, is put aside; others wait until ``retry_at``."""
     dead = F.lit(fatal) | (F.col("attempts") >= MAX_ATTEMPTS)
     return _update(
-        jobs, _fenced(claim), {"status": F.when(dead, "failed").otherwise("queued"), "last_error": F.lit(error), "run_after": F.when(dead, F.col("run_after")).otherwise(F.lit(retry_at)), "lease_until": F.lit(None), "updated_at": F.lit(now)}
+        jobs, _fenced(claim), {"status": F.when(dead, "failed").otherwise("queued"), "last_error": F.lit(error), "run_after": F.when(~dead, F.lit(retry_at)), "lease_until": F.lit(None), "updated_at": F.lit(now)}
     )
 
 

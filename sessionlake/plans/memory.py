@@ -13,7 +13,7 @@ from sessionlake.plans.tables import table
 from sessionlake.sources import transcripts
 
 #: The log of events as a queue, in SQL that both engines read.
-JOBS = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'distill' WHEN 1 THEN 'distill' WHEN 2 THEN 'link-cluster' WHEN 3 THEN 'backfill-run' ELSE 'backfill-page' END AS kind,
+JOBS = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'distill' WHEN 1 THEN 'distill' WHEN 2 THEN 'link-cluster' WHEN 3 THEN 'backfill' ELSE 'backfill-page' END AS kind,
   concat('{{"site":"', event_type, '","conversation_id":"', CAST(user_id AS STRING), '"}}') AS payload,
   CASE event_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'queued' ELSE 'done' END AS status,
   CAST(event_id % 6 AS INT) AS attempts, CAST(event_id % 3 AS INT) AS epoch, CAST(NULL AS STRING) AS last_error,
@@ -219,7 +219,7 @@ def hash_of(column: str) -> str:
 LOG = "log AS (" + JOBS.format(events="events") + ")"
 PAIRED = """r AS (SELECT conv_id AS session, turn AS position, role, text, CASE WHEN role = 'user' THEN '/work/r' || CAST(conv_id % 7 AS VARCHAR) END AS cwd FROM conversations WHERE role IN ('user', 'assistant')),
 a AS (SELECT *, last_value(CASE WHEN role = 'user' THEN {'text': text, 'cwd': cwd} END IGNORE NULLS) OVER (PARTITION BY session ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM r),
-turns AS (SELECT session, position, asked.text AS prompt, text AS response, coalesce(cwd, asked.cwd) AS cwd FROM a WHERE role = 'assistant' AND text <> '' AND asked.text <> '')"""
+turns AS (SELECT session, position, coalesce(asked.text, '') AS prompt, text AS response, coalesce(cwd, asked.cwd) AS cwd FROM a WHERE role = 'assistant' AND text <> '' AND asked IS NOT NULL)"""
 MEMBERS = "members AS (SELECT lang || '-' || CAST(doc_id % 10 AS VARCHAR) AS cluster, CASE WHEN doc_id % 2 = 0 THEN lower(source) WHEN doc_id % 9 = 0 THEN NULL ELSE lower(source) END AS repo FROM documents)"
 DOMINANT = f"""WITH {MEMBERS}, votes AS (SELECT cluster, repo, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, repo) AS rn FROM members WHERE repo IS NOT NULL GROUP BY cluster, repo),
 dominant AS (SELECT c.cluster, v.repo FROM (SELECT DISTINCT cluster FROM members) c LEFT JOIN votes v ON v.cluster = c.cluster AND v.rn = 1)"""

@@ -30,7 +30,7 @@ for _name, _ddl in _DDL.items():
 #: Columns that hold a few words only.
 ENUMS = {
     "decisions": {"provenance": ("distilled", "ratified"), "origin": ("local", "ledger")},
-    "jobs": {"status": ("queued", "running", "done", "failed"), "kind": ("distill", "link-cluster", "reembed", "backfill-run", "backfill-page")},
+    "jobs": {"status": ("queued", "running", "done", "failed"), "kind": ("distill", "link-cluster", "reembed", "backfill", "backfill-page")},
 }
 #: Unique keys; where a condition is given, among the rows that meet it.
 KEYS: dict[str, list[tuple[tuple[str, ...], str]]] = {

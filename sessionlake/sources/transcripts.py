@@ -92,9 +92,9 @@ def records(lines: DataFrame) -> DataFrame:
     return out.withColumn("bad", F.col("broken") | F.coalesce(shape, F.lit(False))).drop("broken", "has_message")
 
 
-def parse_errors(found: DataFrame) -> DataFrame:
-    """(path, errors, last_bad_offset)."""
-    return found.filter("bad").groupBy("path").agg(F.count("*").alias("errors"), F.max("offset").alias("last_bad_offset"))
+def parse_errors(found: DataFrame, start: int = 0) -> DataFrame:
+    """(path, errors, last_bad_offset) of the records that begin at ``start`` or after; earlier ones were counted when they came."""
+    return found.filter(F.col("bad") & (F.col("offset") >= start)).groupBy("path").agg(F.count("*").alias("errors"), F.max("offset").alias("last_bad_offset"))
 
 
 def merged_errors(old: DataFrame, new: DataFrame) -> DataFrame:

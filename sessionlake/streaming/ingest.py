@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sessionlake.operators.captures import insert_or_ignore
-from sessionlake.sources.transcripts import LINES, complete_lines, next_offset, records
+from sessionlake.sources.transcripts import LINES, OffsetError, complete_lines, next_offset, records
 
 
 class Slice(InputPartition):
@@ -21,6 +21,20 @@ class Slice(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def last_record(path: str, block: int = 1 << 16) -> int:
+    """The bytes up to a file's last newline, looked for from its end, so that only an open record is read."""
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END)
+        while at:
+            start = max(0, at - block)
+            f.seek(start)
+            found = next_offset(f.read(at - start))
+            if found:
+                return start + found
+            at = start
+    return 0
+
+
 class TranscriptReader(DataSourceStreamReader):
     """Offsets are the files' bytes up to their last complete record; a task reads one file's new bytes."""
 
@@ -35,13 +49,12 @@ class TranscriptReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path in self._files():
-            with open(path, "rb") as f:
-                out[path] = next_offset(f.read())
-        return out
+        return {path: last_record(path) for path in self._files()}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
+        shorter = [p for p, stop in end.items() if stop < start.get(p, 0)]
+        if shorter:
+            raise OffsetError(f"shorter than what was read of them: {shorter}")
         return [Slice(p, start.get(p, 0), stop) for p, stop in end.items() if stop > start.get(p, 0)]
 
     def read(self, part: Slice) -> Iterator[tuple]:
@@ -75,8 +88,8 @@ def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
     out = []
     for r in pd.concat(list(frames)).sort_values(["path", "offset"]).itertuples():
         if r.role == "user":
-            text, cwd = r.text, r.cwd
-        elif r.text and text:
+            text, cwd = r.text or "", r.cwd
+        elif r.text and text is not None:
             out.append((key[0], r.uuid or str(r.offset), text, r.text, r.model, r.cwd or cwd, r.at, r.path, r.offset))
     state.update((text, cwd))
     yield pd.DataFrame(out, columns=[f.split()[0] for f in TURNS.split(", ")])
@@ -96,7 +109,7 @@ def keyed_sink(path: str, key: tuple[str, ...] = ("session", "source_key")):
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         known = spark.read.schema(batch.schema).parquet(path) if os.path.isdir(path) else batch.limit(0)
-        insert_or_ignore(known.select(*key).cache(), batch, list(key), ["path", "offset"]).write.mode("append").parquet(path)
+        insert_or_ignore(known.select(*key), batch, list(key), ["path", "offset"]).write.mode("append").parquet(path)
 
     return write
 

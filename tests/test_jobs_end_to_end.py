@@ -3,9 +3,10 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.functions.text import safe_excerpt
-from sessionlake.operators import backfill, link_cluster
+from sessionlake.operators import backfill, link_cluster, notes
 from sessionlake.schemas import TABLES
 from sessionlake.sources import calibration, repos, transcripts
 from tests.test_sources import record, write
@@ -55,6 +56,15 @@ def test_import(spark, tmp_path):
     assert [(r["conversation_id"], r["source_key"], r["prompt"], r["response"], r["captured_at"]) for r in captures.collect()] == [("s", "u1", "q", "r", "t")] and errors.first()["errors"] == 1
 
 
+def test_imported_captures_can_be_distilled(spark, tmp_path):
+    path = write(tmp_path / "b.jsonl", record("user", "s", "q", cwd="/work/tools"), record("assistant", "s", "r", "u1"), record("user", "o", "q2"), record("assistant", "o", "r2", "u2"))
+    known = spark.createDataFrame([("/work/tools", "tools"), ("/work/tools", "tools")], "cwd string, repo string")
+    captures, _ = backfill.imported(transcripts.records(transcripts.read_lines(spark, path)), "site", "now", known)
+    assert {r["conversation_id"]: r["metadata"] for r in captures.collect()} == {"s": '{"repo_name":"tools"}', "o": "{}"}
+    made, _ = notes.distilled(captures, lambda chunk: F.lit('{"topic": "t", "decisions": ["keep it"]}'), "now", "model")
+    assert {(r["conversation_id"], r["repo_name"], r["topic"], r["turn_count"]) for r in made.collect()} == {("s", "tools", "t", 1), ("o", None, "t", 1)}
+
+
 def test_repositories(spark, tmp_path):
     (tmp_path / "Repo" / ".git").mkdir(parents=True)
     (tmp_path / "Repo" / "sub" / "tree").mkdir(parents=True)

@@ -54,6 +54,32 @@ def test_errors_are_counted_where_they_begin(spark, tmp_path):
     assert got == [("s", "q", "r")] and errors[0]["last_bad_offset"] == len(first) + 1
 
 
+def test_users_without_text_are_answered_too(spark, tmp_path):
+    lines = [record("user", "s", "look it up"), record("assistant", "s", "calling"), record("user", "s", [{"type": "tool_result", "content": "7"}]), record("assistant", "s", "seven"), record("assistant", "t", "nobody asked")]
+    got, _ = turns(spark, write(tmp_path / "tool.jsonl", *lines))
+    assert got == [("s", "look it up", "calling"), ("s", "", "seven")]
+
+
+def test_errors_before_a_delta_are_not_counted_again(spark, tmp_path):
+    found = transcripts.records(transcripts.read_lines(spark, write(tmp_path / "e.jsonl", "{one", "{two", record("user", "s", "q"))))
+    assert [r["errors"] for r in transcripts.parse_errors(found).collect()] == [2] and [(r["errors"], r["last_bad_offset"]) for r in transcripts.parse_errors(found, 5).collect()] == [(1, 5)]
+
+
+def test_the_last_record_is_found_from_the_end(tmp_path):
+    path = tmp_path / "long.jsonl"
+    for content in (b"", b"open", b"a\n", b"a\n" + b"x" * 500, b"y" * 300 + b"\n" + b"z" * 64 + b"\n" + b"open"):
+        path.write_bytes(content)
+        for block in (1, 7, 64, 1 << 16):
+            assert ingest.last_record(str(path), block) == transcripts.next_offset(content)
+
+
+def test_a_file_that_became_shorter_is_an_error():
+    reader = ingest.TranscriptReader("unused")
+    assert [(s.path, s.start, s.end) for s in reader.partitions({"a": 3}, {"a": 9, "b": 4})] == [("a", 3, 9), ("b", 0, 4)]
+    with pytest.raises(transcripts.OffsetError):
+        reader.partitions({"a": 9}, {"a": 3})
+
+
 def test_a_delta_has_earlier_users_as_context(spark, tmp_path):
     first = record("user", "s", "q")
     path = write(tmp_path / "d.jsonl", first, record("assistant", "s", "r"))
