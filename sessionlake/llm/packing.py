@@ -14,6 +14,7 @@ Null text counts as empty: one piece that holds only id 0. Repeated rows and ids
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections import Counter
@@ -53,24 +54,31 @@ def byte_of() -> dict[str, int]:
 def encoding(path: str | None):
     """The file's vocabulary, whose ids are in the order of its merges, for tiktoken: the same ids as by tokenizers, sooner.
 
-    Special tokens are not in it, so their strings in a text are ordinary text.
+    Beside it the added tokens, which are no part of the merges, and a pattern of them. Their strings in a text are these tokens.
     """
     if not _encoding or _encoding[0] != path:
         import public_tokenizers
         import tiktoken
 
         with open(path or tokenizer_file(), encoding="utf-8") as f:
-            found, special = (x := json.load(f))["model"]["vocab"], {t["id"] for t in x["added_tokens"]}
+            found, added = (x := json.load(f))["model"]["vocab"], {t["content"]: t["id"] for t in x["added_tokens"]}
         byte = byte_of()
-        ranks = {bytes(byte[c] for c in word): rank for word, rank in found.items() if rank not in special}
-        _encoding[:] = path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte[c] for c in word): rank for word, rank in found.items() if word not in added}
+        pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        _encoding[:] = path, (tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added, pattern)
     return _encoding[1]
 
 
 def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers, without the end."""
-    ordinary = encoding(path).encode_ordinary
-    return [np.array(ordinary(t), "<u4").tobytes() for t in texts]
+    vocabulary, added, pattern = encoding(path)
+
+    def ids(text: str) -> list[int]:
+        if not added or not pattern.search(text):
+            return vocabulary.encode_ordinary(text)
+        return [i for part in pattern.split(text) for i in ([added[part]] if part in added else vocabulary.encode_ordinary(part))]
+
+    return [np.array(ids(t), "<u4").tobytes() for t in texts]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

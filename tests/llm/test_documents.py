@@ -158,8 +158,7 @@ def test_ids_are_those_of_tokenizers():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_file())
-    t.encode_special_tokens = True
-    texts = [x for _, x in TEXTS] + ["<|endoftext|> a", " a  b\n \ny", "日本 語\x00 don't 'll", "a b　c"]
+    texts = [x for _, x in TEXTS] + ["<|endoftext|> a", "a<|endoftext|><|endoftext|>  b<|endoftext", "x <|endoftext|>", " a  b\n \ny", "日本 語\x00 don't 'll", "a b　c"]
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
