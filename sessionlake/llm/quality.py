@@ -26,6 +26,7 @@ from sessionlake.llm.common import crc_remainder, slices, table, text_column
 DIM, STEP, FILTERS = 8, 4, 24
 STRETCH = 256  #: bytes; a chunk is two of them, and begins at each
 GROUPS = STRETCH // STEP
+WINDOW, BYTES_AT_ONCE = 1024, 4 << 20
 #: Labelled rows that training takes at most.
 SAMPLE_ROWS = 3000
 #: Passes over the sample, more where it is so small that they would have fewer steps.
@@ -82,12 +83,21 @@ class Network:
         return np.maximum(np.maximum(stretches[first], stretches[second]), 0), np.concatenate([[0], np.cumsum(np.maximum(1, n - 1))]), first
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probability of label 1."""
+        """Probability of label 1. Texts are taken by about ``BYTES_AT_ONCE``, and a longer one by itself."""
+        ends = np.cumsum([len(t) for t in texts]) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(texts)]
+        return np.concatenate([self.scores_of(texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def scores_of(self, texts: list[str]) -> np.ndarray:
+        """The filters run over windows of ``WINDOW`` stretches and the one behind, so that their responses take the same memory for any text."""
         data, starts = laid_out(texts)
         stretches = np.empty((starts[-1], FILTERS), np.float32)
-        for lo, hi in runs(starts, 1024):
-            z, _ = self.responses(data[starts[lo] * STRETCH : starts[hi] * STRETCH], starts[lo : hi + 1] - starts[lo])
-            stretches[starts[lo] : starts[hi]] = z.reshape(-1, GROUPS, FILTERS).max(1)
+        for lo in range(0, len(stretches), WINDOW):
+            hi = min(lo + WINDOW, len(stretches))
+            behind = min(hi + 1, len(stretches))
+            inner = starts[np.searchsorted(starts, lo, "right") : np.searchsorted(starts, behind, "left")]
+            z, _ = self.responses(data[lo * STRETCH : behind * STRETCH], np.array([lo, *inner, behind]) - lo)
+            stretches[lo:hi] = z.reshape(-1, GROUPS, FILTERS).max(1)[: hi - lo]
         chunks, begin, _ = self.pooled(stretches, starts)
         mean = np.add.reduceat(chunks.astype(np.float64), begin[:-1]) / np.diff(begin)[:, None]
         top = np.maximum.reduceat(chunks, begin[:-1])
@@ -136,15 +146,6 @@ class Network:
         return [d_embedding, d_left, d_right, np.bincount(k, d, FILTERS).astype(np.float32), error @ features, error.sum(keepdims=True)]
 
 
-def runs(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Stretches of texts, of about ``most`` stretches or one text each."""
-    lo = 0
-    while lo < len(starts) - 1:
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + most, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     net, labels = Network.fresh(rng), np.asarray(labels, np.float32)

@@ -492,6 +492,44 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(net.scores(texts), alone, atol=1e-6) and np.allclose(net.scores(texts[::-1])[::-1], alone, atol=1e-6)
 
 
+def plain_score(net, text):
+    """The network, one window of eight bytes after the other."""
+    raw = text.encode()
+    raw += bytes(-len(raw) % 256 or (0 if raw else 256))
+    rows_ = []
+    for stretch in range(0, len(raw), 256):
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(stretch, stretch + 256, 4):
+            first, second = (np.concatenate([net.embedding[c] for c in (raw + bytes(4))[k : k + 4]]) for k in (at, at + 4))
+            best = np.maximum(best, first @ net.left + second @ net.right + net.bias)
+        rows_.append(best)
+    chunks = [np.maximum(np.maximum(rows_[i], rows_[min(i + 1, len(rows_) - 1)]), 0) for i in range(max(1, len(rows_) - 1))]
+    logit = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)]) @ net.out + net.offset[0]
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_are_those_of_a_plain_convolution(monkeypatch):
+    net = quality.Network.fresh(np.random.default_rng(3))
+    texts = ["", "a", prose(6, 300), "x" * 256, prose(8, 90) + "é" * 99, prose(9, 150)]
+    want = [plain_score(net, t) for t in texts]
+    for window in (1, 2, 3, 1024):
+        monkeypatch.setattr(quality, "WINDOW", window)
+        assert np.allclose(net.scores(texts), want, atol=1e-5)
+    monkeypatch.setattr(quality, "BYTES_AT_ONCE", 700)
+    assert np.allclose(net.scores(texts), want, atol=1e-5)
+
+
+def test_very_long_texts_take_little_memory():
+    import tracemalloc
+
+    net, long = quality.Network.fresh(np.random.default_rng(4)), "long text, " * 1_000_000
+    tracemalloc.start()
+    got = net.scores([long, "short"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(long) and abs(got[1] - net.scores(["short"])[0]) < 1e-6
+
+
 def test_held_out_accuracy(spark):
     made = [(i, prose(i, 60) if i % 3 else " | ".join(prose(i, 40).upper().split()), None) for i in range(300)]
     d = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
