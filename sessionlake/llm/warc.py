@@ -33,7 +33,7 @@ V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Locat
 PAGE_FIELD = b"X-Page-Id"
 ARCHIVE_BYTES = 4 << 20
 LEVEL = 1
-#: Repeated payloads' firsts that may be broadcast: some megabytes.
+#: Repeated payloads whose firsts are broadcast, the most frequent ones: some megabytes.
 FEW = 20_000
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -198,11 +198,18 @@ def convert(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(warc): WARC archives of gzip members, one a record, of ARC archives. Payloads of ``min_bytes`` or more are stored once.
 
     The archives are read twice: once for their heads, which tell the first of equal payloads, and once for the documents.
-    Where few payloads are repeated (``FEW``), their firsts are broadcast; beyond that, documents meet them by a shuffle.
+    The firsts of the ``FEW`` most frequent payloads are broadcast, so that no payload with many pages is a key of a shuffle; if
+    there are more, the documents that these leave open meet the others by a shuffle.
     """
     heads = arc_documents(archives, documents=False).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first"), F.count("*").alias("n"))
-    firsts = materialize(heads.filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "firsts")
-    judged = arc_documents(archives).join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "digest", "left").select("page_id", "head", "document", "first_id", "first_url")
+    firsts = materialize(heads.filter("n > 1").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "n"), "firsts")
+    frequent = firsts.orderBy(F.desc("n"), "digest").limit(FEW).drop("n")
+    judged = arc_documents(archives).join(F.broadcast(frequent), "digest", "left")
+    if firsts.count() > FEW:
+        others = firsts.drop("n").join(F.broadcast(frequent.select("digest")), "digest", "left_anti")
+        still_open = judged.filter("first_url IS NULL").drop("first_id", "first_url").join(others, "digest", "left")
+        judged = judged.filter("first_url IS NOT NULL").unionByName(still_open)
+    judged = judged.select("page_id", "head", "document", "first_id", "first_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
