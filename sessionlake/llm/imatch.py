@@ -8,7 +8,10 @@ A term of the band occurs in at least one of ``RAREST`` documents. By counting,
 number of distinct terms of a document of these, whatever the corpus: only this lexicon is broadcast. Document frequencies
 cover all documents, and combine before their shuffle.
 
-Null text counts as empty. A text without terms of the band has the hash of its bytes in place of its terms'. Repeated rows
+A text with fewer than ``LEAST_TERMS`` terms of the band, as where its words are those of a third of all rows, or of a rare
+language, takes all its own terms instead: which subsets a term belongs to follows from its hash alone.
+
+Null text counts as empty. A text without terms has the hash of its bytes in place of its terms'. Repeated rows
 count as documents each. Documents of equal ids are ordered by text; a null id comes after all others. Only ``doc_id`` and
 ``text`` are read; an empty table gives an empty result.
 """
@@ -21,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,10 @@ RAREST, COMMONEST = 2000, 10
 RATES, PER_RATE = (2, 8, 32, 128, 512), 12
 SUBSETS = PER_RATE * len(RATES)
 EMPTY = "----"
-BUCKET_CHARS, BUCKETS_PER_TASK, MAX_BUCKETS = 3_000_000, 4, 4096
+LEAST_TERMS = 8
+#: Characters in a bucket at least. It grows, as the number of buckets does, with the square root of the corpus, and a task reads
+#: its buckets as a sorted stream, document by document.
+BUCKET_CHARS, BUCKET_GROWTH, BUCKETS_PER_TASK = 3_000_000, 130, 4
 TERMS_AT_ONCE = 500_000
 
 #: Lower case for A-Z, and blanks for control characters, blanks and marks of ASCII.
@@ -45,6 +52,16 @@ def terms_of(text: str) -> set[bytes]:
     return set(text.encode("utf-8").translate(PLAIN).split())
 
 
+def membership(hashes: np.ndarray) -> np.ndarray:
+    """Which subsets the terms of these hashes are in (terms x subsets)."""
+    member = np.empty((len(hashes), SUBSETS), bool)
+    for s in range(SUBSETS):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        member[:, s] = (mixed >> np.uint64(40)) % np.uint64(RATES[s // PER_RATE]) == 0
+    return member
+
+
 class Lexicon:
     """The terms of the band in order, and which subsets each is in."""
 
@@ -55,11 +72,7 @@ class Lexicon:
 
         self.number = {t: i for i, t in enumerate(terms)}
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(t) for t in terms), np.uint64, len(terms))
-        self.member = np.empty((len(terms), SUBSETS), bool)
-        for s in range(SUBSETS):
-            mixed = (self.hashes ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
-            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            self.member[:, s] = (mixed >> np.uint64(40)) % np.uint64(RATES[s // PER_RATE]) == 0
+        self.member = membership(self.hashes)
 
     @classmethod
     def of(cls, spread) -> Lexicon:
@@ -72,10 +85,15 @@ class Lexicon:
         """The hash of all terms of the band, and 16 bits for each subset; for a subset without terms, a mark."""
         import xxhash
 
-        at = sorted(self.number[t] for t in terms_of(text) if t in self.number)
-        if not at:
+        own = terms_of(text)
+        at = sorted(self.number[t] for t in own if t in self.number)
+        if not own:
             return f"{xxhash.xxh64_intdigest(text.encode('utf-8'), 1):016x}" + EMPTY * SUBSETS
-        hashes, member = self.hashes[at], self.member[at]
+        if len(at) >= LEAST_TERMS:
+            hashes, member = self.hashes[at], self.member[at]
+        else:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, sorted(own)), np.uint64, len(own))
+            member = membership(hashes)
         filled = member.any(0)
         digest = xxhash.xxh64_intdigest
         return f"{digest(hashes):016x}" + "".join(f"{digest(hashes[member[:, s]]) & 0xFFFF:04x}" if filled[s] else EMPTY for s in range(SUBSETS))
@@ -118,14 +136,18 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     plain = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
     chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(1, -(-chars // BUCKET_CHARS)))
+    buckets = max(1, -(-chars // max(BUCKET_CHARS, BUCKET_GROWTH * math.isqrt(chars))))
     cuts = []
     if buckets > 1:
         shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
         cuts = plain.agg(F.percentile_approx("doc_id", shares, F.lit(10 * buckets)).alias("q")).first()["q"] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.size(bounds)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))))
-    placed = plain.withColumn("bucket", bucket)
+    bounds = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("int")
+    def later(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64)), dtype="int32")
+
+    placed = plain.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(later(F.coalesce("doc_id", F.lit(0)))) if len(bounds) else F.lit(0))
     firsts = placed.groupBy("bucket").agg(F.max("doc_id").alias("first")).orderBy("bucket").collect()
     hosts = {r["bucket"]: firsts[(i + 1) % len(firsts)] for i, r in enumerate(firsts)}
     guests = [(host, r["bucket"], r["first"]) for host, r in hosts.items()]

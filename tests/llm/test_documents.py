@@ -149,6 +149,42 @@ def test_likeness_follows_the_terms():
         near, far = known.fingerprint(text(range(n // 20, n))), known.fingerprint(text(range(1500, 1500 + n)))
         assert imatch.likeness(a, a) == 1 and imatch.likeness(a, near) > 0.5 > 0.2 > imatch.likeness(a, far)
     assert imatch.likeness(known.fingerprint("alpha"), known.fingerprint("beta")) == 0
+    assert imatch.likeness(known.fingerprint(""), known.fingerprint("--")) == 0
+
+
+def brute_fingerprint_of_terms(t, band):
+    """The hash of all terms and 16 bits for each subset, one by one."""
+    own = {w.encode() for w in re.split("[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+", t.translate(LOWER)) if w}
+    if not own:
+        return f"{xxhash.xxh64_intdigest(t.encode(), 1):016x}" + "----" * 60
+    used = sorted(own & band) if len(own & band) >= 8 else sorted(own)
+    line = lambda terms: b"".join(xxhash.xxh64_intdigest(w).to_bytes(8, "little") for w in terms)
+    out, top = f"{xxhash.xxh64_intdigest(line(used)):016x}", (1 << 64) - 1
+    for s in range(60):
+        held = []
+        for w in used:
+            x = ((xxhash.xxh64_intdigest(w) ^ 0x9E3779B97F4A7C15 * (s + 1) & top) * 0xD6E8FEB86659FD93) & top
+            x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & top
+            if (x >> 40) % (2, 8, 32, 128, 512)[s // 12] == 0:
+                held.append(w)
+        out += f"{xxhash.xxh64_intdigest(line(held)) & 0xFFFF:04x}" if held else "----"
+    return out
+
+
+def test_fingerprints_are_those_of_brute_force(spark):
+    counts = Counter(w for _, t in TEXTS for w in imatch.terms_of(t))
+    band = {w for w, c in counts.items() if 2 <= c <= max(2, len(TEXTS) // 10)}
+    got = by_id(imatch.fingerprints(docs(spark)))
+    for i, t in TEXTS:
+        assert brute_fingerprint_of_terms(t, band) in [r["fingerprint"] for r in got[i]]
+
+
+def test_edited_copies_that_hold_a_third_of_the_rows_are_alike(spark):
+    base = prose(77, 200).split(" ")
+    edited = lambda i: " ".join([*base[: i % 190], f"edit{i}", *base[i % 190 + 1 :]])
+    made = [(i, edited(i)) for i in range(60)] + [(i, prose(i, 150)) for i in range(60, 180)]
+    got = by_id(imatch.fingerprints(spark.createDataFrame(made, "doc_id long, text string")))
+    assert min(got[i][0]["near_next"] for i in range(1, 60)) > 0.5 > max(got[i][0]["near_next"] for i in range(62, 180))
 
 
 # --- packing
