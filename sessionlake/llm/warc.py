@@ -123,6 +123,20 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What each gzip member holds. Stretches are fed one by one, so that no member has the whole rest of the archive copied."""
+    at = 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            fed = data[at : at + step]
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
+        yield b"".join(parts)
+
+
 def record_id(page_id: int | None, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
 
@@ -235,7 +249,7 @@ def index_warc(archives: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = []
-            for headers, block in read_warc(gzip.decompress(batch["warc"][0].as_py())):
+            for headers, block in (record for member in members(batch["warc"][0].as_py()) for record in read_warc(member)):
                 fields, digest = http_fields(block), headers["WARC-Payload-Digest"].removeprefix("sha1:")
                 if headers["WARC-Type"] == "response" and base32_sha1(block.partition(b"\r\n\r\n")[2]) != digest:
                     raise ValueError(f"digest of {headers['WARC-Record-ID']} does not hold")

@@ -171,3 +171,16 @@ def test_partial_epoch_follows_the_permutation(spark):
             break
         want.append((b, o, t))
     assert second == want
+
+
+def test_gzip_members_are_read_one_by_one():
+
+    import random
+
+    rng = random.Random(5)
+    parts = [b"", b"a", rng.randbytes(70_000), b"b" * 300_000, rng.randbytes(3)]
+    stored = b"".join(gzip.compress(p, 1, mtime=0) for p in parts)
+    for step in (1000, 1 << 16, 1 << 24):
+        assert list(warc.members(stored, step)) == parts
+    with pytest.raises(ValueError):
+        list(warc.members(stored[:-4]))
