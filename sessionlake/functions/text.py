@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 
 from pyspark.sql import Column
@@ -91,6 +92,15 @@ def clamp_limit(value: object, default: int = 20, most: int = 50) -> int:
     return min(most, math.floor(value))
 
 
+def tool_limit(value: object) -> int | None:
+    """A tool's limit argument is left out or a whole number from 1 to 50; unlike ``clamp_limit``, nothing else is mended."""
+    if value is None:
+        return None
+    if isinstance(value, bool) or not isinstance(value, int | float) or value != value or value not in range(1, 51):
+        raise ValueError(f"not a limit: {value!r}")
+    return int(value)
+
+
 #: A note's sections: (field, title), as rendered, in order; the first three are inline, the others lists.
 INLINE = (("topic", "Topic"), ("summary", "One-line summary"), ("context", "Context"))
 SECTIONS = (
@@ -146,14 +156,11 @@ def merge_notes(notes: Column) -> Column:
     return F.struct(first("topic").alias("topic"), summaries.alias("summary"), first("context").alias("context"), *lists)
 
 
-def safe_excerpt(text: str, secrets: list[str], most: int = 512) -> str:
+def safe_excerpt(text: Column, secrets: list[str], most: int = 512) -> Column:
     """An error message fit to be stored: known secrets, also as JSON writes them, authorisation lines and bearer tokens go first."""
-    import json
-    import re
-
     for secret in filter(None, secrets):
-        for form in (secret, json.dumps(secret)[1:-1]):
-            text = text.replace(form, "[REDACTED]")
-    text = re.sub(r"(?im)^((?:proxy-)?authorization|x-api-key)\s*:.*$", r"\1: [REDACTED]", text)
-    text = re.sub(r"(?i)\bbearer\s+\S+", "Bearer [REDACTED]", text)
-    return re.sub(r"[\r\n]+", " ", text)[:most]
+        for form in dict.fromkeys((secret, json.dumps(secret, ensure_ascii=False)[1:-1])):
+            text = F.replace(text, F.lit(form), F.lit("[REDACTED]"))
+    text = F.regexp_replace(text, r"(?im)^((?:proxy-)?authorization|x-api-key)[ \t]*:[^\r\n]*", "$1: [REDACTED]")
+    text = F.regexp_replace(text, r"(?i)\bbearer[ \t]+[^ \t\r\n]+", "Bearer [REDACTED]")
+    return F.substring(F.regexp_replace(text, r"[\r\n]+", " "), 1, most)

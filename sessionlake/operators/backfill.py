@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.operators.captures import turns_of
+from sessionlake.operators.jobs import counts, live_leases
 from sessionlake.sources.transcripts import parse_errors
 
 #: Fixed values.
@@ -58,6 +59,13 @@ def report(ranked: DataFrame, captures: DataFrame) -> DataFrame:
     return omitted.join(F.broadcast(undistilled)).withColumn("complete", (F.col("omitted") == 0) & (F.col("undistilled") == 0))
 
 
+def status(captures: DataFrame, notes: DataFrame, decisions: DataFrame, queue: DataFrame, now: object) -> DataFrame:
+    """(counter, n): what a status report counts, each in one pass over its table."""
+    counted = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    rows = counted(captures.filter("distilled_at IS NULL"), "undistilled").unionByName(counted(notes, "notes")).unionByName(counted(decisions, "decisions"))
+    return rows.unionByName(live_leases(queue, now).select(F.lit("live leases").alias("counter"), F.col("live").alias("n"))).unionByName(counts(queue).select(F.concat(F.lit("jobs "), "status").alias("counter"), "n"))
+
+
 def imported(found: DataFrame, site: str, now: str, repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing.
 

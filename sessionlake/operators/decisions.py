@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.text import clamp_limit, content_hash
+from sessionlake.functions.text import clamp_limit, content_hash, js_trim
 from sessionlake.operators.search import scored
 
 #: Fixed values.
@@ -61,9 +61,13 @@ def check(decisions: DataFrame, vectors: DataFrame, query: list[float], floor: f
     return decisions.join(near, "id").orderBy(F.desc("similarity"), "id").limit(cap)
 
 
-def receipt(statement: str, ids: list[str], now: str, receipt_id: str) -> dict:
-    """The row that each successful check leaves, also one that found nothing."""
-    return {"id": receipt_id, "statement": statement, "surfaced_ids": ids, "surfaced_at": now}
+def receipt(found: DataFrame, statement: str, now: str, receipt_id: str) -> DataFrame:
+    """(id, statement, surfaced_ids, surfaced_at): the row that each successful check leaves, also one that found nothing.
+
+    ``found`` is the check's result, of ``CHECK_CAP`` rows at most; the ids are in its order.
+    """
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("away"), "id")))["id"].cast("array<string>")
+    return found.agg(listed.alias("surfaced_ids")).select(F.lit(receipt_id).alias("id"), F.lit(statement).alias("statement"), "surfaced_ids", F.lit(now).alias("surfaced_at"))
 
 
 def standing(decisions: DataFrame, limit: object = None) -> DataFrame:
@@ -71,6 +75,11 @@ def standing(decisions: DataFrame, limit: object = None) -> DataFrame:
     return decisions.orderBy(F.col("decided_at").desc_nulls_last(), "id").limit(clamp_limit(limit))
 
 
+def listing(decisions: DataFrame) -> DataFrame:
+    """All decisions, the latest first, undated ones last, then by id; without a limit, as a report of all must not be cut."""
+    return decisions.orderBy(F.col("decided_at").desc_nulls_last(), "id")
+
+
 def standing_on_topic(decisions: DataFrame, vectors: DataFrame, query: list[float], floor: float, limit: object = None, cap: int = STANDING_TOPIC_CAP) -> DataFrame:
     """Of the ``cap`` decisions most similar to the topic, the latest; equal dates in the order of similarity, then id."""
     return check(decisions, vectors, query, floor, cap).orderBy(F.col("decided_at").desc_nulls_last(), F.desc("similarity"), "id").limit(clamp_limit(limit))
@@ -125,21 +134,39 @@ def reconcile(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select("note_id", "content_hash", action.alias("action"))
 
 
-def ratify(exact: list[dict], similar: dict | None, quote: str, confirmed: object, text_hash: str) -> dict:
-    """What ratifying does, given local decisions of the same hash (with similarity, created_at, id) and the ladder's pick.
+def ratified(decisions: DataFrame, wanted: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(decisions, outcomes) after all of ``wanted(id, text, reason, topic, quote, confirmed, pick)`` are ratified, as in order of id.
 
-    The gate: confirmed must be true itself, and the human's quote not blank. An exact hash wins over a similar decision, as it
-    may have come meanwhile; a distilled one becomes ratified, one ratified already keeps its first quote if the hash is the
-    same; a pick that disappeared is no pick. A few rows at most come here.
+    ``decisions`` has the columns of that table and may have ``similarity``, of vectors to the wanted text (none counts as zero).
+    ``outcomes(id, decision_id, action)``: ``refuse`` without confirmation or a quote; else the local decision of the same
+    hash (most similar, then oldest, then by id) wins over ``pick``, the dedup ladder's choice, and a pick that is gone is none.
+    ``keep`` leaves a decision with its first quote, ``upgrade`` ratifies a distilled one, ``requote`` replaces the quote of another
+    text's, ``insert`` adds a row, whose id comes of its hash; of wanted rows of one new hash the first does, others keep it.
     """
-    if confirmed is not True or not quote.strip():
-        return {"action": "refuse"}
-    first = min(exact, key=lambda d: (-(d.get("similarity") or 0.0), d["created_at"], d["id"]), default=None)
-    pick = first or similar
-    if pick is None:
-        return {"action": "insert"}
-    if pick["provenance"] == "distilled":
-        return {"action": "upgrade", "id": pick["id"]}
-    if pick["content_hash"] == text_hash:
-        return {"action": "keep", "id": pick["id"]}
-    return {"action": "requote", "id": pick["id"]}
+    asked = wanted.withColumn("content_hash", content_hash(F.col("text"))).withColumn("valid", F.coalesce("confirmed", F.lit(False)) & (js_trim(F.coalesce("quote", F.lit(""))) != ""))
+    local = decisions.filter("origin = 'local'")
+    similarity = F.coalesce("similarity", F.lit(0.0)) if "similarity" in decisions.columns else F.lit(0.0)
+    first = local.groupBy("content_hash").agg(F.min_by(F.struct("id", "provenance", "content_hash"), F.struct(-similarity, "created_at", "id")).alias("same"))
+    picks = local.select(F.col("id").alias("pick"), F.struct("id", "provenance", "content_hash").alias("other"))
+    met = asked.join(first, "content_hash", "left").join(picks, "pick", "left").withColumn("winner", F.coalesce("same", "other"))
+    fresh = Window.partitionBy("content_hash", (F.col("valid") & F.col("winner").isNull())).orderBy("id")
+    met = met.withColumn("nth", F.row_number().over(fresh))
+    action = (
+        F.when(~F.col("valid"), "refuse").when(F.col("winner").isNull(), F.when(F.col("nth") == 1, "insert").otherwise("keep")).when(F.col("winner.content_hash") != F.col("content_hash"), "requote")
+        .when(F.col("winner.provenance") == "distilled", "upgrade").otherwise("keep")
+    )
+    made = F.sha2(F.concat_ws("\0", F.lit("ratified"), F.col("content_hash")), 256)
+    acted = met.withColumn("action", action).withColumn("decision_id", F.when(F.col("valid"), F.coalesce(F.col("winner.id"), made)))
+    # Of an upgraded decision's wanted rows the first gives the quote; one of another text's overwrites it, whichever is the last.
+    quotes = acted.filter("action IN ('upgrade', 'requote')").groupBy(F.col("decision_id").alias("id")).agg(
+        F.coalesce(F.max_by(F.when(F.col("action") == "requote", F.col("quote")), F.when(F.col("action") == "requote", F.col("id"))), F.min_by("quote", "id")).alias("new_quote")
+    )
+    updated = decisions.join(quotes, "id", "left").withColumn("provenance", F.when(F.col("new_quote").isNotNull(), "ratified").otherwise(F.col("provenance")))
+    updated = updated.withColumn("human_quote", F.coalesce("new_quote", "human_quote")).select(decisions.columns)
+    values = {
+        "id": F.col("decision_id"), "decision_text": F.col("text"), "reason": F.col("reason"), "topic": F.col("topic"), "content_hash": F.col("content_hash"), "provenance": F.lit("ratified"),
+        "human_quote": F.col("quote"), "origin": F.lit("local"), "decided_at": F.lit(now), "created_at": F.lit(now),
+    }
+    kinds = {f.name: f.dataType for f in decisions.schema.fields}
+    rows = acted.filter("action = 'insert'").select(*(values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in decisions.columns))
+    return updated.unionByName(rows), acted.select("id", "decision_id", "action")

@@ -15,7 +15,7 @@ from sessionlake.functions.text import enforce_repo_prefix, normalize_repo, repo
 #: Fixed values.
 LINK_K, BACKBONE_K, BACKBONE_WEIGHT = 10, 3, 0.5
 REPO_BOOST, RESOLUTION, OVERLAP = 0.10, 2.0, 0.5
-SEED = 0x7E6D2B79
+SEED = 1
 BLOCK = 1024
 
 
@@ -219,11 +219,24 @@ def deleted_projects(projects: DataFrame, matches: DataFrame) -> DataFrame:
     return projects.select("project").distinct().join(matches.filter("project IS NOT NULL"), "project", "left_anti")
 
 
+def changes(components: DataFrame, projects: DataFrame, all_projects: DataFrame) -> DataFrame:
+    """(change, n): why components of two or more are not exactly the projects; empty if they are.
+
+    ``joined`` and ``left`` are members on one side only, ``empty`` projects without members, ``parted`` pairs of a component and a
+    project that share some members but not all. Both sides are partitions, so sizes tell; no set of members is gathered.
+    """
+    a = components.withColumn("size_a", F.count("*").over(Window.partitionBy("component"))).filter("size_a >= 2")
+    b = projects.withColumn("size_b", F.count("*").over(Window.partitionBy("project")))
+    shared = a.join(b, "id", "full_outer").groupBy("component", "project", "size_a", "size_b").agg(F.count("*").alias("both"))
+    kind = F.when(F.col("project").isNull(), "joined").when(F.col("component").isNull(), "left").when((F.col("both") < F.col("size_a")) | (F.col("both") < F.col("size_b")), "parted")
+    empty = all_projects.join(projects, "project", "left_anti").agg(F.count("*").alias("n")).select(F.lit("empty").alias("change"), "n")
+    found = shared.select(kind.alias("change"), F.when(kind == "parted", 1).otherwise(F.col("both")).alias("n")).filter("change IS NOT NULL")
+    return found.groupBy("change").agg(F.sum("n").alias("n")).unionByName(empty.filter("n > 0"))
+
+
 def is_unchanged(components: DataFrame, projects: DataFrame, all_projects: DataFrame) -> bool:
     """Whether components of two or more are exactly the projects; a project without members is a change."""
-    sets = lambda df, key, least: df.groupBy(key).agg(F.array_sort(F.collect_list("id")).alias("m")).filter(F.size("m") >= least).select("m")
-    x, y = sets(components, "component", 2), sets(projects, "project", 1)
-    return not (x.exceptAll(y).head(1) or y.exceptAll(x).head(1) or all_projects.join(projects, "project", "left_anti").head(1))
+    return not changes(components, projects, all_projects).head(1)
 
 
 def dominant_repo(members: DataFrame) -> DataFrame:

@@ -125,6 +125,17 @@ def enqueued(jobs: DataFrame, wanted: DataFrame, by_conversation: bool = False)
     return once.join(queued, ["kind", "k1", "k2"], "left_anti").select(wanted.columns)
 
 
+def pages_of_run(jobs: DataFrame, run: str, start: int) -> DataFrame:
+    """A run's page jobs of the slice that begins at ``start``, in order of insertion."""
+    mine = (F.col("kind") == "backfill-page") & (path("runJobId") == run) & (path("sliceStart").cast("long") == start)
+    return jobs.filter(mine).select("id", "kind", "payload", "status", "last_error", "seq").orderBy("seq").drop("seq")
+
+
+def live_leases(jobs: DataFrame, now: object) -> DataFrame:
+    """(live): running jobs whose lease is not over."""
+    return jobs.filter((F.col("status") == "running") & (F.col("lease_until") >= F.lit(now))).agg(F.count("*").alias("live"))
+
+
 def next_wake(jobs: DataFrame) -> DataFrame:
     """(wake): the least time at which a waiting job is due or a lease ends."""
     return jobs.agg(F.min(F.when(F.col("status") == "queued", F.col("run_after")).when(F.col("status") == "running", F.col("lease_until"))).alias("wake"))

@@ -64,6 +64,31 @@ def pool(tokens: np.ndarray, mask: np.ndarray, how: str = "mean", normalize: boo
     return out.astype(np.float32)
 
 
+def truncated(tokens: DataFrame, most: int) -> DataFrame:
+    """``tokens(id, ids, mask, …)`` cut to their first ``most``. A row without tokens, or a mask that is not binary or not aligned, fails the job."""
+    aligned = (F.size("ids") > 0) & (F.size("ids") == F.size("mask")) & F.forall("mask", lambda m: m.isin(0, 1))
+    bad = F.raise_error(F.concat(F.lit("tokens and mask do not agree: "), F.col("id").cast("string")))
+    cut = {c: F.when(F.coalesce(aligned, F.lit(False)), F.slice(c, 1, most)).otherwise(bad.cast(tokens.schema[c].dataType)) for c in ("ids", "mask")}
+    return tokens.withColumns(cut)
+
+
+def pooled(states: DataFrame, how: str = "mean", normalize: bool = True) -> DataFrame:
+    """(id, embedding) of ``states(id, states, mask)``, a vector and a bit for each token."""
+
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [pool(np.array([*map(np.asarray, s)], np.float32)[None], np.asarray(m)[None], how, normalize)[0] for s, m in zip(frame["states"], frame["mask"], strict=True)]
+            yield pd.DataFrame({"id": frame["id"], "embedding": rows})
+
+    return states.select("id", "states", "mask").mapInPandas(apply, f"id {states.schema['id'].dataType.simpleString()}, embedding array<float>")
+
+
+def shown(decisions: DataFrame, notes: DataFrame, wanted: str) -> DataFrame:
+    """(kind, id, row): the decision of that id, else the note, as JSON; no row if there is neither."""
+    one = lambda df, kind, rank: df.filter(F.col("id") == wanted).select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "id", F.to_json(F.struct(*df.columns)).alias("row"))
+    return one(decisions, "decision", 0).unionByName(one(notes, "note", 1)).orderBy("rank").limit(1).drop("rank")
+
+
 def embedded(texts: DataFrame, embedder: Embedder, kind: str = "document", batch: int = 64) -> DataFrame:
     """(id, embedding) of ``texts(id, text)``. Vectors of another dimension, or not finite, fail the job."""
 

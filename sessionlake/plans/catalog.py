@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionlake.plans import memory, retrieval
+from sessionlake.plans import memory, records, retrieval
 
-QUERIES = {**retrieval.QUERIES, **memory.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **memory.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **memory.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **memory.ORACLE_SQL, **records.ORACLE_SQL}

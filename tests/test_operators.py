@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlake.functions.text import tool_limit
 from sessionlake.operators import backfill, calibrate, captures, decisions, graph, jobs, notes, search
 
 
@@ -227,14 +229,73 @@ def test_reconcile_decisions(spark):
     assert {(r["content_hash"], r["action"]) for r in decisions.reconcile(old, new).collect()} == {("kept", "keep"), ("gone", "delete"), ("human", "keep"), ("fresh", "insert")}
 
 
-def test_ratify():
-    d = {"id": "d", "provenance": "distilled", "content_hash": "h", "created_at": "1"}
-    r = {"id": "r", "provenance": "ratified", "content_hash": "g", "created_at": "0"}
-    assert decisions.ratify([], None, "yes", "true", "h") == {"action": "refuse"} == decisions.ratify([], None, " ", True, "h")
-    assert decisions.ratify([], None, "yes", True, "h") == {"action": "insert"}
-    assert decisions.ratify([d], r, "yes", True, "h") == {"action": "upgrade", "id": "d"}
-    assert decisions.ratify([], r, "yes", True, "h") == {"action": "requote", "id": "r"}
-    assert decisions.ratify([], r, "yes", True, "g") == {"action": "keep", "id": "r"}
+STORED = "id string, decision_text string, reason string, topic string, content_hash string, provenance string, human_quote string, origin string, decided_at string, created_at string"
+WANTED = "id string, text string, reason string, topic string, quote string, confirmed boolean, pick string"
+
+
+def test_ratified(spark):
+    hashed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    stored = spark.createDataFrame(
+        [("d", "use x", None, None, hashed("use x"), "distilled", None, "local", None, "2"), ("r", "use y", None, None, hashed("use y"), "ratified", "first", "local", None, "1"), ("l", "use z", None, None, hashed("use z"), "distilled", None, "ledger", None, "0")], STORED
+    )
+    wanted = spark.createDataFrame(
+        [
+            ("1", " USE  x", None, None, "a", True, "r"), ("2", "use x", None, None, "b", True, None), ("3", "use y", None, None, "c", True, None), ("4", "use z", "why", "t", "e", True, "gone"), ("5", "Use z", None, None, "f", True, None),
+            ("6", "use w", None, None, "g", True, "r"), ("7", "use v", None, None, " ", True, None), ("8", "use v", None, None, "h", None, None), ("9", "use u", None, None, "i", True, "l"),
+        ], WANTED,
+    )
+    after, outcomes = decisions.ratified(stored, wanted, "now")
+    done = {r["id"]: (r["action"], r["decision_id"]) for r in outcomes.collect()}
+    assert [done[str(i)][0] for i in range(1, 10)] == ["upgrade", "upgrade", "keep", "insert", "keep", "requote", "refuse", "refuse", "insert"]
+    assert done["4"][1] == done["5"][1] and done["7"][1] is None and done["6"][1] == "r"
+    rows = {r["id"]: r for r in after.collect()}
+    assert len(rows) == 5 and (rows["d"]["provenance"], rows["d"]["human_quote"]) == ("ratified", "a") and rows["r"]["human_quote"] == "g" and rows["l"]["provenance"] == "distilled"
+    made = rows[done["4"][1]]
+    assert (made["decision_text"], made["reason"], made["provenance"], made["human_quote"], made["decided_at"]) == ("use z", "why", "ratified", "e", "now")
+    none, said = decisions.ratified(stored.limit(0), wanted.limit(0), "now")
+    assert none.count() == said.count() == 0
+
+
+def test_receipt_and_listing(spark):
+    found = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.9)], "id string, similarity double")
+    assert decisions.receipt(found, "s", "now", "1").first().asDict() == {"id": "1", "statement": "s", "surfaced_ids": ["c", "a", "b"], "surfaced_at": "now"}
+    assert decisions.receipt(found.limit(0), "s", "now", "1").first()["surfaced_ids"] == []
+    many = spark.range(60).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 3, F.format_string("%02d", "id")).alias("decided_at"))
+    listed = [r["id"] for r in decisions.listing(many).collect()]
+    assert len(listed) == 60 and listed[0] == "59" and listed[-4:] == ["0", "1", "2", "3"]
+
+
+def test_search_fails_closed_and_has_texts(spark):
+    note = spark.createDataFrame([("n", "t", "s", "x"), ("m", "u", None, "y")], "id string, topic string, summary string, compacted_text string")
+    said = spark.createDataFrame([("d", "t", "why", "z", "2024", "ratified")], "id string, topic string, reason string, decision_text string, decided_at string, provenance string")
+    v, w = embeddings(spark, n=at(0.9), m=at(0.1)), embeddings(spark, d=at(0.8))
+    edges = spark.createDataFrame([("m", "n", 0.7)], "a string, b string, similarity double")
+    query = [1, 0, 0, 0]
+    found = search.hydrated(search.search(note, v, said, w, edges, query), note, said).collect()
+    assert [(r["kind"], r["id"], r["text"], r["via"], r["provenance"]) for r in found] == [("note", "n", "x", "anchor", None), ("decision", "d", "z", "anchor", "ratified"), ("note", "m", "y", "link", None)]
+    lost = search.fail_closed(lambda: search.search(note.filter("id = 'n'"), v, said, w, edges, query))
+    assert lost.rows == [] and lost.error
+    broken = v.withColumn("embedding", F.when(F.col("id") == "m", F.array(*[F.lit(float("nan")).cast("float")] * 4)).otherwise(F.col("embedding")))
+    assert search.fail_closed(lambda: search.search(note, broken, said, w, edges, query)).error
+
+
+def test_tokens_and_masks_must_agree(spark):
+    rows = lambda *r: notes.truncated(spark.createDataFrame([*r], "id int, ids array<int>, mask array<int>"), 2)
+    assert [tuple(r) for r in rows((1, [5, 6, 7], [1, 0, 1])).collect()] == [(1, [5, 6], [1, 0])]
+    for bad in ((1, [], []), (1, [5], [1, 1]), (1, [5], [2]), (1, None, [1]), (1, [5], None)):
+        with pytest.raises(Exception, match="do not agree"):
+            rows(bad).collect()
+
+
+@pytest.mark.parametrize("value, want", [(None, None), (1, 1), (50, 50), (7.0, 7)])
+def test_tool_limits(value, want):
+    assert tool_limit(value) == want
+
+
+@pytest.mark.parametrize("value", [0, 51, -2, 1.5, "3", True, float("nan"), float("inf")])
+def test_bad_tool_limits(value):
+    with pytest.raises(ValueError):
+        tool_limit(value)
 
 
 # --- captures
