@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,57 +19,95 @@ ANCHORS = {"link": 0.70, "merge": 0.70, "judge_low": 0.60, "floor": 0.55}
 TOLERANCE, MIN_NOTES = 0.02, 200
 
 
-def pairwise(vectors: DataFrame, block: int = 512) -> DataFrame:
-    """(i, j, s) of all pairs i < j of ``vectors(id, embedding)``, scaled to unit length first; blocks of vectors meet in tasks.
+#: Vectors in a block, at most, and how finely similarities are counted.
+BLOCK, BINS = 2048, 65_536
 
-    Products are summed from left to right. All pairs are the result here: a calibration corpus is some hundred notes.
+
+def tiles(vectors: DataFrame, fold: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows that ``fold(i, j, s)`` gives for each pair of blocks of ``vectors(id, embedding)``, scaled to unit length first.
+
+    ``s`` are the similarities of all pairs i < j of both blocks, summed from left to right. Only what ``fold`` gives leaves a
+    task. There are at least as many pairs of blocks as tasks can run, and blocks of at most about ``BLOCK`` vectors.
     """
+    count = vectors.count()
+    wide = min(-(-count // 256), math.isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism) + 1)
+    parts = max(1, -(-count // BLOCK), wide)
     unit = vectors.select("id", normalized(F.col("embedding")).alias("v"))
-    parts = max(1, -(-vectors.count() // block))
     packed = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     left = packed.select(F.col("block").alias("own"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(parts - 1).cast("long"))).alias("block"))
     met = left.join(packed.withColumnRenamed("rows", "b"), "block").select(F.col("a.id").alias("a_ids"), F.col("a.v").alias("a_vs"), F.col("b.id").alias("b_ids"), F.col("b.v").alias("b_vs"), (F.col("own") == F.col("block")).alias("same"))
-    kind = vectors.schema["id"].dataType.simpleString()
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a_ids, a_vs, b_ids, b_vs, same in frame.itertuples(index=False, name=None):
                 a, b = (np.array([*map(np.asarray, vs)], float).reshape(len(vs), -1) for vs in (a_vs, b_vs))
-                total = np.zeros((len(a), len(b)))
-                for x, y in zip(a.T, b.T, strict=True):
-                    total += np.outer(x, y)
-                x, y = np.meshgrid(np.asarray(a_ids), np.asarray(b_ids), indexing="ij")
-                kept = x < y if same else np.ones(total.shape, bool)
-                x, y, s = x[kept], y[kept], total[kept]
-                yield pd.DataFrame({"i": np.where(x < y, x, y), "j": np.where(x < y, y, x), "s": s})
-
-    return met.mapInPandas(multiply, f"i {kind}, j {kind}, s double")
+                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
+                for at in range(0, len(a), 256):  # a few rows at a time, so that no product is larger than 256 times a block
+                    total = np.zeros((len(a[at : at + 256]), len(b)))
+                    for x, y in zip(a[at : at + 256].T, b.T, strict=True):
+                        total += np.outer(x, y)
+                    x, y = np.meshgrid(a_ids[at : at + 256], b_ids, indexing="ij")
+                    kept = x < y if same else np.ones(total.shape, bool)
+                    x, y, s = x[kept], y[kept], total[kept]
+                    if not np.isfinite(s).all():
+                        raise ValueError("a vector that is not finite")
+                    if len(s):
+                        yield fold(np.where(x < y, x, y), np.where(x < y, y, x), s)
+
+    return met.repartition(F.col("a_ids"), F.col("b_ids")).mapInPandas(multiply, schema) if parts > 1 else met.mapInPandas(multiply, schema)
+
+
+def pairwise(vectors: DataFrame) -> DataFrame:
+    """(i, j, s) of all pairs i < j: for rank correlation alone, whose corpus is some hundred texts. All else folds them in tasks."""
+    kind = vectors.schema["id"].dataType.simpleString()
+    return tiles(vectors, lambda i, j, s: pd.DataFrame({"i": i, "j": j, "s": s}), f"i {kind}, j {kind}, s double")
 
 
-def summary(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.count("*").alias("pairs"), round4(F.avg("s")).alias("mean"), round4(F.stddev_pop("s")).alias("sd"))
+def summary(vectors: DataFrame) -> DataFrame:
+    """(pairs, mean, sd) of all pairs' similarities, four places."""
+    moments = tiles(vectors, lambda i, j, s: pd.DataFrame({"n": [len(s)], "m": [s.mean()], "q": [((s - s.mean()) ** 2).sum()]}), "n long, m double, q double")
+    total = moments.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("q") + F.col("n") * F.col("m") * F.col("m")).alias("squares"))
+    spread = F.greatest(F.lit(0.0), F.col("squares") / F.col("pairs") - F.col("mean") * F.col("mean"))
+    return total.select("pairs", round4(F.col("mean")).alias("mean"), round4(F.sqrt(spread)).alias("sd"))
 
 
-def density(pairs: DataFrame, anchors: dict[str, float] = ANCHORS) -> DataFrame:
+def density(vectors: DataFrame, anchors: dict[str, float] = ANCHORS) -> DataFrame:
     """(anchor, density): the share of pairs at or above each anchor."""
-    shares = [F.avg((F.col("s") >= v).cast("double")).alias(k) for k, v in anchors.items()]
-    return pairs.agg(*shares).select(F.explode(F.array(*(F.struct(F.lit(k).alias("anchor"), F.col(k).alias("density")) for k in anchors))).alias("x")).select("x.*")
+    names, values = [*anchors], [*anchors.values()]
+    counted = tiles(vectors, lambda i, j, s: pd.DataFrame({"anchor": names, "n": [int((s >= v).sum()) for v in values], "of": len(s)}), "anchor string, n long, of long")
+    return counted.groupBy("anchor").agg((F.sum("n") / F.sum("of")).alias("density"))
+
+
+def _bins(s: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((s + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+
+
+def _counted(values: np.ndarray, name: str) -> pd.DataFrame:
+    found, n = np.unique(values, return_counts=True)
+    return pd.DataFrame({name: found, "n": n})
 
 
-def threshold_at(pairs: DataFrame, densities: dict[str, float]) -> DataFrame:
+def threshold_at(vectors: DataFrame, densities: dict[str, float]) -> DataFrame:
     """(anchor, threshold): the similarity at index floor((1 - density) * n) of all in ascending order, four places.
 
-    Not a percentile function, which takes another rank. The ranks are numbered over ranges of the values: only counts of
-    ranges are summed up in one place, and each range is sorted by itself.
+    Not a percentile function, which takes another rank. Tasks count similarities by ``BINS`` ranges, of which the driver gets no
+    more than that; a second pass gives the values of the ranges that hold a wanted index, each value once with its count.
     """
-    pairs = checkpointed(pairs.select("s"))
-    n = pairs.count()
-    wanted = pairs.sparkSession.createDataFrame([(k, min(n - 1, max(0, int((1 - d) * n // 1)))) for k, d in densities.items()], "anchor string, ix long")
-    ranged = pairs.select("s").withColumn("range", F.least(F.lit(1999), F.greatest(F.lit(0), F.floor((F.col("s") + 1) * 1000))))
-    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hit = wanted.join(F.broadcast(starts), (F.col("ix") >= F.col("start")) & (F.col("ix") < F.col("start") + F.col("n")))
-    ranks = ranged.join(F.broadcast(hit.select("range").distinct()), "range").withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("s")) - 1)
-    return ranks.join(F.broadcast(hit), "range").filter(F.col("rank") + F.col("start") == F.col("ix")).select("anchor", round4(F.col("s")).alias("threshold"))
+    histogram = tiles(vectors, lambda i, j, s: _counted(_bins(s), "bin"), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    ends = np.cumsum([r["n"] for r in histogram])
+    if not histogram:
+        return vectors.sparkSession.createDataFrame([], "anchor string, threshold double")
+    total, rows = int(ends[-1]), []
+    for anchor, share in densities.items():
+        index = min(total - 1, max(0, int((1 - share) * total // 1)))
+        place = int(np.searchsorted(ends, index, side="right"))
+        rows.append((anchor, histogram[place]["bin"], index - (int(ends[place]) - histogram[place]["n"])))
+    hit = np.unique([r[1] for r in rows])
+    wanted = vectors.sparkSession.createDataFrame(rows, "anchor string, bin long, ix long")
+    values = tiles(vectors, lambda i, j, s: _counted(s[np.isin(_bins(s), hit)], "s"), "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    binned = values.withColumn("bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("s") + 1) * (BINS / 2)))))
+    upto = binned.withColumn("end", F.sum("n").over(Window.partitionBy("bin").orderBy("s")))
+    return upto.join(F.broadcast(wanted), "bin").filter((F.col("ix") < F.col("end")) & (F.col("ix") >= F.col("end") - F.col("n"))).select("anchor", round4(F.col("s")).alias("threshold"))
 
 
 def ranked(pairs: DataFrame, value: str, name: str) -> DataFrame:
@@ -85,7 +124,7 @@ def spearman(pairs: DataFrame) -> DataFrame:
 
 
 def carried(reference: DataFrame, other: DataFrame, anchors: dict[str, float] = ANCHORS) -> DataFrame:
-    """(anchor, threshold): where the other space is as dense as the reference space at its anchors."""
+    """(anchor, threshold): where the ``other`` vectors' pairs are as dense as the ``reference`` vectors' are at the anchors."""
     found = {r["anchor"]: r["density"] for r in density(reference, anchors).collect()}
     return threshold_at(other, found)
 

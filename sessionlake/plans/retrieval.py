@@ -90,25 +90,25 @@ def halves(spark, d) -> tuple[DataFrame, DataFrame]:
     return v.select("id", F.slice("v", 1, 32).alias("embedding")), v.select("id", F.slice("v", 33, 32).alias("embedding"))
 
 
-def all_pairs(spark, d) -> DataFrame:
-    return calibrate.pairwise(vectors(spark, d).select("id", F.col("v").alias("embedding")))
+def corpus(spark, d) -> DataFrame:
+    return vectors(spark, d).select("id", F.col("v").alias("embedding"))
 
 
 def pairwise_cosine_stats(spark, d):
-    return calibrate.summary(all_pairs(spark, d))
+    return calibrate.summary(corpus(spark, d))
 
 
 def density_at_anchor(spark, d):
-    return calibrate.density(all_pairs(spark, d), ANCHORS)
+    return calibrate.density(corpus(spark, d), ANCHORS)
 
 
 def threshold_at_density(spark, d):
-    return calibrate.threshold_at(all_pairs(spark, d), {"link": 0.0436, "judge_low": 0.2091, "floor": 0.3756})
+    return calibrate.threshold_at(corpus(spark, d), {"link": 0.0436, "judge_low": 0.2091, "floor": 0.3756})
 
 
 def calibration_carried(spark, d):
     a, b = halves(spark, d)
-    return calibrate.carried(calibrate.pairwise(a), calibrate.pairwise(b), ANCHORS)
+    return calibrate.carried(a, b, ANCHORS)
 
 
 def spearman_subspaces(spark, d):

@@ -441,9 +441,23 @@ def test_coalescing(spark):
 # --- calibration and backfill
 
 
-def test_threshold_takes_the_floor_index(spark):
-    pairs = spark.createDataFrame([(i / 100,) for i in range(100)], "s double")
-    assert {r["anchor"]: r["threshold"] for r in calibrate.threshold_at(pairs, {"x": 0.05, "all": 1.0, "none": 0.0}).collect()} == {"x": 0.95, "all": 0.0, "none": 0.99}
+def test_calibration_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(70, 3)).round(1)
+    v[20:40] = v[0]  # many ties
+    u = v / np.sqrt((v * v).sum(1, keepdims=True))
+    s = np.sort([float(sum(x * y for x, y in zip(u[i], u[j], strict=True))) for i in range(70) for j in range(i + 1, 70)])
+    df = spark.createDataFrame([(i, [*map(float, x)]) for i, x in enumerate(v)], "id long, embedding array<double>")
+    up = lambda x: math.floor(x * 10_000 + 0.5) / 10_000
+    wanted = {"x": 0.05, "most": 0.93, "all": 1.0, "none": 0.0}
+    assert {r["anchor"]: r["threshold"] for r in calibrate.threshold_at(df, wanted).collect()} == {k: up(s[min(len(s) - 1, int((1 - d) * len(s) // 1))]) for k, d in wanted.items()}
+    assert {r["anchor"]: r["density"] for r in calibrate.density(df, {"a": 0.5, "b": -0.25}).collect()} == pytest.approx({"a": (s >= 0.5).mean(), "b": (s >= -0.25).mean()})
+    assert tuple(calibrate.summary(df).first()) == (len(s), up(s.mean()), up(s.std()))
+    assert calibrate.pairwise(df).count() == len(s)
+    assert calibrate.threshold_at(df.limit(0), wanted).count() == 0 and calibrate.summary(df.limit(0)).first()["pairs"] == 0
+
+
+def test_thresholds_are_reconciled():
     assert calibrate.reconciled({"a": 0.5, "b": 0.5}, {"a": 0.51, "b": 0.6}) == {"a": 0.5, "b": 0.6}
     assert calibrate.reconciled({"a": 0.5}, None) == {"a": 0.5}
 
