@@ -127,7 +127,7 @@ def statements(spark, d) -> DataFrame:
     return v.select("id", said.alias("text"), (F.col("id") * 31 % 97).alias("created_at"))
 
 
-def same_parity(a: Column, b: Column) -> Column:
+def same_length(a: Column, b: Column) -> Column:
     """A judge that can be told in SQL."""
     return F.length(a) == F.length(b)
 
@@ -136,7 +136,7 @@ def dedup_winner(spark, d):
     s = statements(spark, d)
     near = graph.neighbours(note_vectors(spark, d), RAIL.floor)
     pairs = near.filter("src % 2 = 1 AND dst % 2 = 0").select(F.col("src").alias("incoming"), F.col("dst").alias("candidate"), "similarity")
-    found = decisions.dedup_candidates(s.filter("id % 2 = 1").select("id", "text"), s.filter("id % 2 = 0"), pairs, RAIL, same_parity)
+    found = decisions.dedup_candidates(s.filter("id % 2 = 1").select("id", "text"), s.filter("id % 2 = 0"), pairs, RAIL, same_length)
     return found.select("incoming", "candidate", F.round("similarity", 6).alias("similarity"), "band", F.array_join(F.col("also").cast("array<string>"), ",").alias("also"))
 
 
