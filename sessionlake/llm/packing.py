@@ -32,6 +32,9 @@ from sessionlake.llm.common import materialize, slices, table, text_column
 CAPACITY = 2048
 END = struct.pack("<I", 0)
 BLOCK_ROWS = 16_384
+#: What the vocabulary's pattern takes for white space. The pattern looks ahead at each blank of a run, one call deeper
+#: each, so runs of so many are told before it sees them.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -69,14 +72,28 @@ def encoding(path: str | None):
     return _encoding[1]
 
 
+def ordinary(vocabulary, text: str) -> list[int]:
+    """The ids of a text without added tokens.
+
+    By the pattern, a run of white space is one piece up to its end, or up to its last character if other text follows, to which
+    that one may belong. Long runs are cut there and merged as the piece that they are, so the ids stay the same.
+    """
+    at, out = 0, []
+    for run in LONG_BLANKS.finditer(text) if len(text) >= 4096 else ():
+        stop = run.end() - (run.end() < len(text))
+        out += vocabulary.encode_ordinary(text[at : run.start()]) + vocabulary._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + vocabulary.encode_ordinary(text[at:])
+
+
 def encode(texts: list[str], path: str | None = None) -> list[bytes]:
     """Each text's ids as little-endian 32-bit numbers, without the end."""
     vocabulary, added, pattern = encoding(path)
 
     def ids(text: str) -> list[int]:
         if not added or not pattern.search(text):
-            return vocabulary.encode_ordinary(text)
-        return [i for part in pattern.split(text) for i in ([added[part]] if part in added else vocabulary.encode_ordinary(part))]
+            return ordinary(vocabulary, text)
+        return [i for part in pattern.split(text) for i in ([added[part]] if part in added else ordinary(vocabulary, part))]
 
     return [np.array(ids(t), "<u4").tobytes() for t in texts]
 

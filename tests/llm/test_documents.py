@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sessionlake.llm import imatch, media, packing, pitman_yor, quality, secrets, simhash
 from tests.llm.fixtures import docs, empty, prose, rows
@@ -603,3 +604,28 @@ def test_media_boxes():
         media.read_media(media.write_media(bytes(64))[:-5])
 
 
+
+
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 20_000])
+def test_ids_of_long_runs_of_white_space(n):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_file())
+    mixed = " \n\t\u2003\x85\xa0 \r"
+    texts = [f"{a}{run}{b}" for run in (" " * n, "\n" * n, (mixed * n)[:n], "\x1c" * n, "\u200b" * n) for a in ("", "word", "<|endoftext|>", "1 ") for b in ("", "word", "<|endoftext|>", "!", "'s", "\x1c")]
+    texts.append((" " * n + "a") * 3 + "\n" * n)
+    for text, ids in zip(texts, packing.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, (text[:8], text[-8:])
+
+
+def test_a_million_and_more_blanks_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_file())
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "end", "a" + " \n" * 500_000, "b" + " " * 10_000_000 + "c", "\n" * 10_000_000, "\t \u3000" * 3_400_000]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["n"] for r in packing.pack(table).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    for i, text in enumerate(texts[:3]):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.encode([text])[0], "<u4").tolist() == ids and got[i] == len(ids) + 1
+    assert sorted(got) == [*range(6)] and all(n > 1000 for n in got.values())
