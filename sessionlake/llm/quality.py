@@ -29,6 +29,8 @@ GROUPS = STRETCH // STEP
 WINDOW, BYTES_AT_ONCE = 1024, 4 << 20
 #: Labelled rows that training takes at most.
 SAMPLE_ROWS = 3000
+#: And their bytes together.
+SAMPLE_BYTES = 64 << 20
 #: Passes over the sample, more where it is so small that they would have fewer steps.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 500, 32, 4e-3
 HELD_OUT_OF = 5
@@ -170,12 +172,26 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on at most ``sample_rows`` labelled rows, those of least hash, that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Train on at most ``sample_rows`` labelled texts, those of least hash, that are not held out.
+
+    Of texts in this order those are taken that fit into ``sample_bytes`` together. Rows of one id, text and label count once, so
+    what goes to the driver is bounded however often an id recurs.
+    """
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").filter(crc_remainder(F.col("doc_id"), HELD_OUT_OF) != 0)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
+    texts = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
+    sized = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "quality", F.octet_length("text").alias("size")).distinct()
+    room, wanted = sample_bytes, []
+    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id", "h", "quality").limit(sample_rows).collect():
+        if r["size"] <= room:
+            room -= r["size"]
+            wanted.append((r["doc_id"], r["h"], r["quality"]))
+    if not wanted:
+        return train([], np.zeros(0, np.float32))
+    keys = F.broadcast(docs.sparkSession.createDataFrame(wanted, "doc_id long, h long, quality int"))
+    found = texts.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).join(keys, ["doc_id", "h"])
+    rows = sorted(found.groupBy("doc_id", "h", "quality").agg(F.first("text").alias("text")).collect(), key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     return train([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 

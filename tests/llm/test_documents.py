@@ -629,3 +629,17 @@ def test_a_million_and_more_blanks_are_packed(spark):
         ids = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(packing.encode([text])[0], "<u4").tolist() == ids and got[i] == len(ids) + 1
     assert sorted(got) == [*range(6)] and all(n > 1000 for n in got.values())
+
+
+def test_the_training_sample_is_bounded_whatever_recurs(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: taken.append((texts, labels.tolist())))
+    table = spark.createDataFrame([(i % 2 + 1, f"text {i % 300}", None, None, None) for i in range(3000)], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0)], LABELS)
+    for rows, size in ((1000, 1 << 20), (20, 1 << 20), (1000, 100), (1000, 3)):
+        quality.fit(table, marks, rows, size)
+        texts, own = taken.pop()
+        assert len(texts) == len(own) <= rows and sum(map(len, texts)) <= size and len({*zip(texts, own, strict=True)}) == len(texts)
+        assert all(x == (int(t.split()[1]) % 2 == 0) for t, x in zip(texts, own, strict=True))
+    quality.fit(table, marks)
+    assert len(taken.pop()[0]) > 100
