@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.text import clamp_limit, content_hash, js_trim
+from sessionlake.checkpoints import checkpointed
+from sessionlake.functions.text import clamp_limit, content_hash, js_trim, scrub
+from sessionlake.functions.vectors import cosine
+from sessionlake.operators.graph import similar
 from sessionlake.operators.search import scored
 
 #: Fixed values.
@@ -91,27 +94,29 @@ def band(similarity: Column, exact: Column, rail: Rail) -> Column:
     return F.when(exact, "exact").when(F.isnan(similarity), "none").when(merge, "merge").when(similarity >= rail.judge_low, "judge").otherwise("none")
 
 
-def dedup_candidates(incoming: DataFrame, existing: DataFrame, pairs: DataFrame, rail: Rail, judge=None) -> DataFrame:
+def dedup_candidates(incoming: DataFrame, existing: DataFrame, rail: Rail, judge=None) -> DataFrame:
     """(incoming, candidate, similarity, band, also): the decision that each incoming one is the same as, and others that match.
 
-    ``incoming(id, text)``, ``existing(id, text, created_at)``; ``pairs(incoming, candidate, similarity)``. Where texts have equal
-    hashes nothing else is looked at. ``judge`` is a function of (text column, text column); it gets the pairs of its band
-    alone, which are filtered before it is applied. Without a judge, or where it fails to answer, these pairs do not match.
+    ``incoming(id, text, embedding)``, ``existing(id, text, created_at, embedding)``. Where texts have equal hashes nothing else is
+    looked at. Others are compared with every existing decision that has a vector: all pairs of at least ``judge_low`` are candidates,
+    without a limit. ``judge`` is a function of (text column, text column); it gets the pairs of its band alone, which are filtered
+    before it is applied. Without a judge, or where it fails to answer, these pairs do not match.
     """
-    new = incoming.select(F.col("id").alias("incoming"), F.col("text").alias("new_text"), content_hash(F.col("text")).alias("hash"))
-    old = existing.select(F.col("id").alias("candidate"), F.col("text").alias("old_text"), content_hash(F.col("text")).alias("hash"), "created_at")
-    similar = pairs.select("incoming", "candidate", "similarity")
-    exact = new.join(old, "hash").join(similar, ["incoming", "candidate"], "left").select("incoming", "candidate", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.lit("exact").alias("band"), "created_at")
-    rest = similar.join(new.join(exact.select("incoming"), "incoming", "left_anti").drop("hash"), "incoming").join(old.drop("hash"), "candidate")
-    rest = rest.withColumn("band", band(F.col("similarity"), F.lit(False), rail))
-    found = exact.unionByName(rest.filter("band = 'merge'").select(exact.columns))
+    new = incoming.select(F.col("id").alias("incoming"), F.col("text").alias("new_text"), content_hash(F.col("text")).alias("hash"), F.col("embedding").alias("v"))
+    old = existing.select(F.col("id").alias("candidate"), F.col("text").alias("old_text"), content_hash(F.col("text")).alias("hash"), F.col("embedding").alias("w"), "created_at")
+    both = F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), cosine(F.col("v"), F.col("w"))).otherwise(0.0)
+    exact = new.join(old, "hash").select("incoming", "candidate", both.alias("similarity"), F.lit("exact").alias("band"), "created_at")
+    alone = new.join(old.select("hash"), "hash", "left_anti").select("incoming", "new_text", "v")
+    near = similar(alone.filter("v IS NOT NULL").select(F.col("incoming").alias("id"), "v"), old.filter("w IS NOT NULL").select(F.col("candidate").alias("id"), F.col("w").alias("v")), min(rail.judge_low, rail.merge))
+    rest = near.select(F.col("src").alias("incoming"), F.col("dst").alias("candidate"), "similarity").withColumn("band", band(F.col("similarity"), F.lit(False), rail))
+    dated = rest.join(old.select("candidate", "old_text", "created_at"), "candidate")
+    found = exact.unionByName(dated.filter("band = 'merge'").select(exact.columns))
     if judge is not None:
-        asked = rest.filter("band = 'judge'")
+        asked = dated.filter("band = 'judge'").join(alone.select("incoming", "new_text"), "incoming")
         found = found.unionByName(asked.filter(F.coalesce(judge(F.col("new_text"), F.col("old_text")), F.lit(False))).select(exact.columns))
-    order = Window.partitionBy("incoming").orderBy(F.desc("similarity"), "created_at", "candidate")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    also = ranked.groupBy("incoming").agg(F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "candidate")))).alias("others"))
-    return ranked.filter("rank = 1").join(also, "incoming").select("incoming", "candidate", "similarity", "band", F.col("others.candidate").alias("also"))
+    listed = found.groupBy("incoming").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("away"), "created_at", "candidate", "band"))).alias("l"))
+    best = F.element_at("l", 1)
+    return listed.select("incoming", best["candidate"].alias("candidate"), (-best["away"]).alias("similarity"), best["band"].alias("band"), F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))["candidate"].alias("also"))
 
 
 def distinct_decisions(listed: DataFrame) -> DataFrame:
@@ -134,21 +139,40 @@ def reconcile(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select("note_id", "content_hash", action.alias("action"))
 
 
-def ratified(decisions: DataFrame, wanted: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(decisions, outcomes) after all of ``wanted(id, text, reason, topic, quote, confirmed, pick)`` are ratified, as in order of id.
+@dataclass(frozen=True)
+class Ratified:
+    """``decisions`` after all rows, ``outcomes(id, decision_id, action)``, and ``vectors(id, embedding)`` of the rows that are new."""
+
+    decisions: DataFrame
+    outcomes: DataFrame
+    vectors: DataFrame
+
+
+def scrubbed(wanted: DataFrame) -> DataFrame:
+    """``wanted(text, reason, topic, quote, …)`` without secrets in these four, which goes before hashes and vectors are made of them."""
+    return wanted.withColumns({c: scrub(F.col(c)) for c in ("text", "reason", "topic", "quote")})
 
-    ``decisions`` has the columns of that table and may have ``similarity``, of vectors to the wanted text (none counts as zero).
-    ``outcomes(id, decision_id, action)``: ``refuse`` without confirmation or a quote; else the local decision of the same
-    hash (most similar, then oldest, then by id) wins over ``pick``, the dedup ladder's choice, and a pick that is gone is none.
-    ``keep`` leaves a decision with its first quote, ``upgrade`` ratifies a distilled one, ``requote`` replaces the quote of another
-    text's, ``insert`` adds a row, whose id comes of its hash; of wanted rows of one new hash the first does, others keep it.
+
+def ratified(decisions: DataFrame, wanted: DataFrame, now: str, vectors: DataFrame | None = None) -> Ratified:
+    """After all of ``wanted(id, text, reason, topic, quote, confirmed, pick)`` are ratified, as in order of id. Secrets go first.
+
+    ``vectors(id, embedding)`` are the decisions', ``wanted.embedding`` that of the scrubbed text; none counts as no similarity.
+    The action is ``refuse`` without confirmation or a quote; else the local decision of the same hash (most similar, then
+    oldest, then by id) wins over ``pick``, the dedup ladder's choice, and a pick that is gone is none. ``keep`` leaves a decision
+    with its first quote, ``upgrade`` ratifies a distilled one, ``requote`` replaces the quote of another text's, ``insert`` adds a row
+    and its vector, whose id comes of its hash; of wanted rows of one new hash the first does, others keep it.
     """
-    asked = wanted.withColumn("content_hash", content_hash(F.col("text"))).withColumn("valid", F.coalesce("confirmed", F.lit(False)) & (js_trim(F.coalesce("quote", F.lit(""))) != ""))
-    local = decisions.filter("origin = 'local'")
-    similarity = F.coalesce("similarity", F.lit(0.0)) if "similarity" in decisions.columns else F.lit(0.0)
-    first = local.groupBy("content_hash").agg(F.min_by(F.struct("id", "provenance", "content_hash"), F.struct(-similarity, "created_at", "id")).alias("same"))
+    none = F.lit(None).cast("array<double>")
+    given = wanted if "embedding" in wanted.columns else wanted.withColumn("embedding", none)
+    valid = F.coalesce("confirmed", F.lit(False)) & (js_trim(F.coalesce("quote", F.lit(""))) != "")
+    asked = scrubbed(given.withColumn("valid", valid)).withColumn("content_hash", content_hash(F.col("text")))
+    local = decisions.filter("origin = 'local'").select("id", "provenance", "content_hash", "created_at")
+    stored = local.join(vectors.select("id", F.col("embedding").alias("v")), "id", "left") if vectors is not None else local.withColumn("v", none)
+    similarity = F.when(F.col("v").isNotNull() & F.col("embedding").isNotNull(), cosine(F.col("v"), F.col("embedding"))).otherwise(0.0)
+    equal = asked.select(F.col("id").alias("asked"), "content_hash", "embedding").join(stored, "content_hash")
+    first = equal.groupBy("asked").agg(F.min_by(F.struct("id", "provenance", "content_hash"), F.struct(-similarity, "created_at", "id")).alias("same"))
     picks = local.select(F.col("id").alias("pick"), F.struct("id", "provenance", "content_hash").alias("other"))
-    met = asked.join(first, "content_hash", "left").join(picks, "pick", "left").withColumn("winner", F.coalesce("same", "other"))
+    met = asked.join(first.withColumnRenamed("asked", "id"), "id", "left").join(picks, "pick", "left").withColumn("winner", F.coalesce("same", "other"))
     fresh = Window.partitionBy("content_hash", (F.col("valid") & F.col("winner").isNull())).orderBy("id")
     met = met.withColumn("nth", F.row_number().over(fresh))
     action = (
@@ -168,5 +192,14 @@ def ratified(decisions: DataFrame, wanted: DataFrame, now: str) -> tuple[DataFra
         "human_quote": F.col("quote"), "origin": F.lit("local"), "decided_at": F.lit(now), "created_at": F.lit(now),
     }
     kinds = {f.name: f.dataType for f in decisions.schema.fields}
-    rows = acted.filter("action = 'insert'").select(*(values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in decisions.columns))
-    return updated.unionByName(rows), acted.select("id", "decision_id", "action")
+    inserted = acted.filter("action = 'insert'")
+    rows = inserted.select(*(values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in decisions.columns))
+    return Ratified(updated.unionByName(rows), acted.select("id", "decision_id", "action"), inserted.select(F.col("decision_id").alias("id"), "embedding"))
+
+
+def ratify(decisions: DataFrame, vectors: DataFrame, wanted: DataFrame, rail: Rail, now: str, judge=None) -> Ratified:
+    """The same with the ladder's choice as ``pick``: of local decisions with vectors, by the guarded rail, so that a judge decides."""
+    clean = checkpointed(scrubbed(wanted.drop("pick")))
+    local = decisions.filter("origin = 'local'").join(vectors.select("id", "embedding"), "id").select("id", F.col("decision_text").alias("text"), "created_at", "embedding")
+    found = dedup_candidates(clean.select("id", "text", "embedding"), local, rail.guarded(), judge).select(F.col("incoming").alias("id"), F.col("candidate").alias("pick"))
+    return ratified(decisions, clean.join(found, "id", "left"), now, vectors)

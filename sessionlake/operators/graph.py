@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,61 +19,173 @@ from sessionlake.functions.text import enforce_repo_prefix, normalize_repo, repo
 LINK_K, BACKBONE_K, BACKBONE_WEIGHT = 10, 3, 0.5
 REPO_BOOST, RESOLUTION, OVERLAP = 0.10, 2.0, 0.5
 SEED = 1
-BLOCK = 1024
+#: Rows of a matrix product; vectors of a part at least; bytes of a part of a tile at most.
+BLOCK, LEAST_PART, TILE_BYTES = 1024, 256, 32 << 20
 
 
-def _candidates(a: np.ndarray, b: np.ndarray, same: np.ndarray | None, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of rows of ``a`` and ``b``: at least each row's ``k`` best of at least ``threshold``.
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x))
 
-    A matrix product tells which may be; only these are summed from left to right, as single vectors would be.
-    """
-    a_norm, b_norm = (np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x)) for x in (a, b))
+
+def _units(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
-        rough = np.nan_to_num(a @ b.T / np.outer(a_norm, b_norm), nan=0.0, posinf=0.0, neginf=0.0)
-    if same is not None:
-        rough[same] = -np.inf
-    least = np.full(len(a), threshold)
-    if k < len(b):
-        least = np.maximum(least, -np.partition(-rough, k - 1, axis=1)[:, k - 1] if k else np.inf)
-    i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
-    scale = a_norm[i] * b_norm[j]
-    dots = np.cumsum(a[i] * b[j], axis=1)[:, -1] if len(i) and a.shape[1] else np.zeros(len(i))
-    exact = np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0)
-    kept = exact >= threshold
-    return i[kept], j[kept], exact[kept]
-
-
-def neighbours(vectors: DataFrame, threshold: float | None, k: int = LINK_K, block: int = BLOCK, within: str | None = None) -> DataFrame:
-    """(src, dst, similarity): for each source its ``k`` most similar others of at least ``threshold``, ids settling ties.
-
-    With ``within``, a column, only others of the same value. Exact: blocks of ``vectors(id, v)`` meet pairwise; each pair is one
-    matrix product in a task and gives about ``k`` rows a source, so neither all pairs nor a whole side is ever held, and a
-    value that very many rows have is as many more tasks.
+        return np.nan_to_num(x / norms[:, None], nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def alike(a: np.ndarray, b: np.ndarray | None, floor: float, k: int | None, code: np.ndarray, other: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, similarity) of rows i of ``a`` and j of ``b``, or of pairs of ``a`` alone, by blocks: all of at least ``floor``, or the ``k`` best of each row.
+
+    Rows are put in order of their angle to one of them, the pivot. Blocks whose angles lie so far apart that no pair can reach
+    ``floor`` are passed over. Of others a matrix product tells which pairs may qualify; only these are summed from left to right, as
+    single vectors would be. With ``k``, more than the best may come, as each block gives its own. Rows of equal ``code`` are no pair,
+    where ``other`` has codes for ``b`` or there is no ``b``.
+    """
+    x, y = a, a if b is None else b
+    if not len(x) or not len(y):
+        return
+    x_norm, y_norm = _norms(x), _norms(y)
+    x_unit, y_unit = _units(x, x_norm), _units(y, y_norm)
+    x_angle, y_angle = (np.arccos(np.clip(u @ x_unit[0], -1, 1)) for u in (x_unit, y_unit))
+    x_order, y_order = np.argsort(x_angle, kind="stable"), np.argsort(y_angle, kind="stable")
+    x_code, y_code = code, code if b is None else other
+    for p in range(0, len(x), BLOCK):
+        i = x_order[p : p + BLOCK]
+        for q in range(p if b is None else 0, len(y), BLOCK):
+            j = y_order[q : q + BLOCK]
+            gap = max(x_angle[i[0]] - y_angle[j[-1]], y_angle[j[0]] - x_angle[i[-1]], 0.0)
+            if math.cos(gap) < floor - 1e-6:
+                continue
+            rough = x_unit[i] @ y_unit[j].T
+            if y_code is not None:
+                rough[np.equal.outer(x_code[i], y_code[j])] = -np.inf
+            least, under = np.full(len(i), floor), np.full(len(j), floor)
+            if k is not None and k < len(j):
+                least = np.maximum(least, -np.partition(-rough, k - 1, axis=1)[:, k - 1] if k else np.inf)
+            if k is not None and k < len(i):
+                under = np.maximum(under, -np.partition(-rough, k - 1, axis=0)[k - 1] if k else np.inf)
+            may = ((rough >= least[:, None] - 1e-9) | (rough >= under - 1e-9)) & (rough > -np.inf)
+            r, c = np.nonzero(np.triu(may, 1) if b is None and p == q else may)
+            r, c = i[r], j[c]
+            scale = x_norm[r] * y_norm[c]
+            dots = np.cumsum(x[r] * y[c], axis=1)[:, -1] if len(r) and x.shape[1] else np.zeros(len(r))
+            exact = np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0)
+            kept = exact >= floor
+            yield r[kept], c[kept], exact[kept]
+
+
+def _codes(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of the ids, equal for equal ones."""
+    order = pc.sort_indices(ids)
+    plain = ids.take(order)
+    new = np.ones(len(ids), np.int64)
+    new[1:] = pc.fill_null(pc.not_equal(plain[1:], plain[:-1]), True).to_numpy(zero_copy_only=False) if len(ids) > 1 else 0
+    out = np.empty(len(ids), np.int64)
+    out[order.to_numpy()] = np.cumsum(new)
+    return out
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    if not rows.num_rows:
+        return np.zeros((0, 0))
+    lists = pa.concat_arrays(rows["v"].chunks)
+    size = np.diff(lists.offsets.to_numpy())
+    if (size != size[0]).any():
+        raise ValueError("vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+
+
+Fold = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray | None], Iterator[pa.RecordBatch]]
+
+
+def tiled(left: DataFrame, right: DataFrame | None, fold: Fold, schema: str) -> DataFrame:
+    """What ``fold(ids, vectors, other ids, other vectors)`` gives for the tiles of all pairs of ``left(id, v, group)`` and ``right``, within groups.
+
+    Both sides are dealt by hash to as few parts as fit into a task (``TILE_BYTES``), or as many as keep all tasks busy. A tile is a
+    pair of parts, so a vector is sent to as many tiles as the other side has parts: with T tiles about n sqrt(2 T) vectors are
+    shuffled where ``right`` is None (pairs of one table, of which each unordered pair of parts is one tile; the other vectors
+    are None for a part with itself), and 2 n sqrt(T) otherwise. No tile is sent on again, and none holds more than two parts.
+    """
+    wide = math.isqrt(2 * left.sparkSession.sparkContext.defaultParallelism) + 1
+    one = right is None
+
+    def parted(df: DataFrame, name: str) -> DataFrame:
+        each = F.greatest(F.lit(LEAST_PART), F.floor(F.lit(TILE_BYTES) / (8 * F.greatest(F.max(F.size("v")), F.lit(1)))))
+        return df.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / each), F.least(F.ceil(F.count("*") / LEAST_PART), F.lit(wide)), F.lit(1)).cast("int").alias(name))
+
+    part = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int").alias("part")
+    upto = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    tile = lambda row, column: F.struct(row.alias("row"), column.alias("column"))
+    columns = "group", "id", "v", "part", "side"
+    if one:
+        spread = left.join(parted(left, "parts"), "group").select("group", "id", "v", part("parts"), F.lit(0).alias("side"), "parts")
+        sent = spread.select(*columns, F.explode(F.transform(upto("parts"), lambda o: tile(F.least(o, F.col("part")), F.greatest(o, F.col("part"))))).alias("t"))
+    else:
+        sizes = parted(left, "parts").join(parted(right, "others"), "group")
+        a = left.join(sizes, "group").select("group", "id", "v", part("parts"), F.lit(0).alias("side"), "others")
+        b = right.join(sizes, "group").select("group", "id", "v", part("others"), F.lit(1).alias("side"), "parts")
+        sent = a.select(*columns, F.explode(F.transform(upto("others"), lambda o: tile(F.col("part"), o))).alias("t")).unionByName(
+            b.select(*columns, F.explode(F.transform(upto("parts"), lambda o: tile(o, F.col("part")))).alias("t"))
+        )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        row, column = rows["row"][0], rows["column"][0]
+        of = lambda name, value: rows.filter(pc.equal(rows[name], value))
+        first, second = (of("side", 0), of("side", 1)) if not one else (rows, None) if row == column else (of("part", row), of("part", column))
+        ids = lambda t: pa.concat_arrays(t["id"].chunks) if t.num_rows else pa.array([], t["id"].type)
+        yield from fold(ids(first), _matrix(first), *((ids(second), _matrix(second)) if second is not None else (ids(first), None)))
+
+    return sent.select("group", "t.row", "t.column", "part", "side", "id", "v").groupBy("group", "row", "column").applyInArrow(solve, schema)
+
+
+def _plain(vectors: DataFrame, within: str | None = None) -> DataFrame:
+    return vectors.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("group"))
+
+
+def neighbours(vectors: DataFrame, threshold: float | None, k: int = LINK_K, within: str | None = None) -> DataFrame:
+    """(src, dst, similarity): for each source its ``k`` nearest others of at least ``threshold``, ids settling ties.
+
+    With ``within``, a column, only others of the same value. Exact, see ``tiled`` and ``alike``: a tile gives at most ``k`` rows a source.
     """
     if k < 0 or int(k) != k:
         raise ValueError("k must be a whole number, not negative")
-    plain = vectors.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("group"))
-    parts = plain.groupBy("group").agg(F.ceil(F.count("*") / block).alias("parts"))
-    spread = plain.join(parts, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
-    packed = spread.groupBy("group", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"), F.first("parts").alias("parts"))
-    left = packed.select("group", F.col("rows.id").alias("a_ids"), F.col("rows.v").alias("a_vs"), F.col("block").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"))
-    pairs = left.join(packed.select("group", "block", F.col("rows.id").alias("b_ids"), F.col("rows.v").alias("b_vs")), ["group", "block"]).select((F.col("own") == F.col("block")).alias("same"), "a_ids", "a_vs", "b_ids", "b_vs")
-    id_type, floor = vectors.schema["id"].dataType.simpleString(), -np.inf if threshold is None else threshold
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for same, a_ids, a_vs, b_ids, b_vs in frame.itertuples(index=False, name=None):
-                a, b = (np.array([*map(np.asarray, vs)], float).reshape(len(vs), -1) for vs in (a_vs, b_vs))
-                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
-                i, j, similarity = _candidates(a, b, np.equal.outer(a_ids, b_ids).astype(bool) if same else None, floor, k)
-                out = pd.DataFrame({"src": a_ids[i], "dst": b_ids[j], "similarity": similarity}).sort_values(["src", "similarity", "dst"], ascending=[True, False, True])
-                yield out.groupby("src", sort=False).head(k)
-
-    found = pairs.mapInPandas(multiply, f"src {id_type}, dst {id_type}, similarity double")
+    kind, floor = vectors.schema["id"].dataType.simpleString(), -np.inf if threshold is None else threshold
+
+    def nearest(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        ids = a_ids if b is None else pa.concat_arrays([a_ids, b_ids])
+        code = _codes(ids)
+        found = list(alike(a, b, floor, k, code[: len(a)], None if b is None else code[len(a) :]))
+        if not found:
+            return
+        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        j = j if b is None else j + len(a)
+        src, dst, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
+        order = np.lexsort((code[dst], -s, src))
+        src, dst, s = src[order], dst[order], s[order]
+        place = np.arange(len(src))
+        kept = place - np.maximum.accumulate(np.where(np.diff(src, prepend=-1) != 0, place, 0)) < k
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(src[kept])), ids.take(pa.array(dst[kept])), pa.array(s[kept])], ("src", "dst", "similarity"))
+
+    found = tiled(_plain(vectors, within), None, nearest, f"src {kind}, dst {kind}, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
 
 
+def similar(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """(src, dst, similarity): all pairs of ``left(id, v)`` and ``right`` of at least ``threshold``, however many a source has.
+
+    Without ``right``, the pairs of ``left`` alone, each once. A tile's pairs come out block by block as they qualify; nothing ranks
+    or gathers them.
+    """
+    kind, other = (df.schema["id"].dataType.simpleString() for df in (left, left if right is None else right))
+
+    def qualify(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for i, j, s in alike(a, b, threshold, None, _codes(a_ids), None):
+            yield pa.RecordBatch.from_arrays([a_ids.take(pa.array(i)), b_ids.take(pa.array(j)), pa.array(s)], ("src", "dst", "similarity"))
+
+    return tiled(_plain(left), None if right is None else _plain(right), qualify, f"src {kind}, dst {other}, similarity double")
+
+
 def undirected(found: DataFrame) -> DataFrame:
     """(a, b, similarity), a < b, each pair once."""
     return found.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("similarity").alias("similarity"))
@@ -280,8 +395,12 @@ def unique_names(taken: list[str], wanted: list[str], attempts: int = 1000) -> l
 
 
 def best_edges(edges: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(id, similarity): nodes outside ``anchors(id)`` next to one, with their best such link."""
+    """(id, similarity): nodes outside ``anchors(id)`` next to one, with their best such link. A link whose similarity is not a finite number fails the job."""
     flag = anchors.select("id", F.lit(True).alias("is"))
     both = edges.join(flag.select(F.col("id").alias("a"), F.col("is").alias("in_a")), "a", "left").join(flag.select(F.col("id").alias("b"), F.col("is").alias("in_b")), "b", "left")
     crossing = both.filter(F.col("in_a").isNull() != F.col("in_b").isNull())
-    return crossing.groupBy(F.when(F.col("in_a").isNull(), F.col("a")).otherwise(F.col("b")).alias("id")).agg(F.max("similarity").alias("similarity"))
+    finite = F.coalesce(F.abs("similarity") < float("inf"), F.lit(False))  # a NaN is above infinity
+    bad = F.raise_error(F.concat(F.lit("a link without a similarity: "), F.col("a").cast("string"), F.lit(" "), F.col("b").cast("string"))).cast("double")
+    outer = F.when(F.col("in_a").isNull(), F.col("a")).otherwise(F.col("b"))
+    sure = F.when(F.col("in_a").isNull() == F.col("in_b").isNull(), None).when(finite, F.col("similarity")).otherwise(bad)
+    return crossing.groupBy(outer.alias("id")).agg(F.max(sure).alias("similarity"))

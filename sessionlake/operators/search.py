@@ -19,17 +19,19 @@ def literal_vector(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
-def scored(vectors: DataFrame, query: list[float], floor: float | None = None, strict: bool = False) -> DataFrame:
+def scored(vectors: DataFrame, query: list[float], floor: float | None = None, rows: DataFrame | None = None) -> DataFrame:
     """``vectors(id, embedding, …)`` with their similarity to the query; those below ``floor``, or not a number, go.
 
-    With ``strict``, a vector that is not of finite numbers fails the job, as an answer that left it out would look complete. One of
-    another dimension always does.
+    With ``rows(id)``, only the vectors of these, and one of them that is not of finite numbers fails the job, as an answer that left
+    it out would look complete; a broken vector that belongs to no row is not looked at. One of another dimension always fails.
     """
     similarity = cosine(F.col("embedding"), literal_vector(query))
-    if strict:
+    if rows is not None:
+        # The error depends on both sides of the join, so it cannot be raised before it.
+        vectors = vectors.join(rows.select("id", F.lit(True).alias("_known")), "id", "left")
         bad = F.raise_error(F.concat(F.lit("a broken vector: "), F.col("id").cast("string"))).cast("double")
-        similarity = F.when(is_valid(F.col("embedding"), len(query)), similarity).otherwise(bad)
-    out = vectors.withColumn("similarity", similarity).filter(~F.isnan("similarity"))
+        similarity = F.when(F.col("_known"), F.when(is_valid(F.col("embedding"), len(query)), similarity).otherwise(bad))
+    out = vectors.withColumn("similarity", similarity).drop("_known").filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
     return out if floor is None else out.filter(F.col("similarity") >= floor)
 
 
@@ -38,10 +40,11 @@ def search(notes: DataFrame, note_vec: DataFrame, decisions: DataFrame, decision
 
     Notes and decisions of at least ``floor`` are anchors. A note outside them that is linked to one comes with its best
     link's weight, which no floor applies to; at most ``cap`` of these are looked up. Ids alone are ranked; ``hydrated`` adds the
-    texts. A link to a note that does not exist fails the job if it is among these.
+    texts. A link to a note that does not exist fails the job if it is among these, and so does a link from an anchor to another
+    note whose similarity is null or not finite.
     """
-    note_anchors = scored(note_vec, query, floor, strict=True).join(notes.select("id"), "id", "left_semi").select("id", "similarity")
-    decision_anchors = scored(decision_vec, query, floor, strict=True).join(decisions.select("id"), "id", "left_semi").select("id", "similarity")
+    note_anchors = scored(note_vec, query, floor, notes).select("id", "similarity")
+    decision_anchors = scored(decision_vec, query, floor, decisions).select("id", "similarity")
     near = best_edges(links, note_anchors).orderBy(F.desc("similarity"), "id").limit(cap).join(notes.select("id", F.lit(True).alias("known")), "id", "left")
     missing = F.raise_error(F.concat(F.lit("a missing linked note: "), F.col("id").cast("string"))).cast("double")
     near = near.select("id", F.when(F.col("known"), F.col("similarity")).otherwise(missing).alias("similarity"))

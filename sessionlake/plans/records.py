@@ -133,10 +133,9 @@ def same_length(a: Column, b: Column) -> Column:
 
 
 def dedup_winner(spark, d):
-    s = statements(spark, d)
-    near = graph.neighbours(note_vectors(spark, d), RAIL.floor)
-    pairs = near.filter("src % 2 = 1 AND dst % 2 = 0").select(F.col("src").alias("incoming"), F.col("dst").alias("candidate"), "similarity")
-    found = decisions.dedup_candidates(s.filter("id % 2 = 1").select("id", "text"), s.filter("id % 2 = 0"), pairs, RAIL, same_length)
+    """Odd vectors as incoming decisions against all even ones."""
+    s = statements(spark, d).join(note_vectors(spark, d).select("id", F.col("v").alias("embedding")), "id")
+    found = decisions.dedup_candidates(s.filter("id % 2 = 1"), s.filter("id % 2 = 0"), RAIL, same_length)
     return found.select("incoming", "candidate", F.round("similarity", 6).alias("similarity"), "band", F.array_join(F.col("also").cast("array<string>"), ",").alias("also"))
 
 
@@ -149,7 +148,7 @@ def stored_decisions(spark, d) -> DataFrame:
     )
 
 
-def ratifications(spark, d) -> tuple[DataFrame, DataFrame]:
+def ratifications(spark, d) -> decisions.Ratified:
     wanted = documents(spark, d).filter("doc_id % 2 = 1").select(
         F.format_string("w%09d", "doc_id").alias("id"), F.when(F.col("doc_id") % 8 == 5, F.concat(F.lit("New "), F.floor(F.col("doc_id") / 16))).otherwise(F.concat(F.lit(" TAKE  "), F.floor(F.col("doc_id") / 4))).alias("text"), F.lit("r").alias("reason"), F.col("lang").alias("topic"),
         F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.concat(F.lit("yes "), "doc_id")).alias("quote"), (F.col("doc_id") % 11 != 0).alias("confirmed"), F.when(F.col("doc_id") % 32 == 13, F.col("doc_id") - 1).alias("pick"),
@@ -159,11 +158,50 @@ def ratifications(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def ratify_outcomes(spark, d):
-    return ratifications(spark, d)[1].select("id", "action", F.when(F.col("decision_id").startswith("s"), F.col("decision_id")).alias("decision_id"))
+    return ratifications(spark, d).outcomes.select("id", "action", F.when(F.col("decision_id").startswith("s"), F.col("decision_id")).alias("decision_id"))
 
 
 def ratified_decisions(spark, d):
-    return ratifications(spark, d)[0].select(F.when(F.col("provenance").isNotNull() & F.col("id").startswith("s"), F.col("id")).alias("id"), "decision_text", "topic", "content_hash", "provenance", "human_quote", "origin", "decided_at")
+    return ratifications(spark, d).decisions.select(F.when(F.col("provenance").isNotNull() & F.col("id").startswith("s"), F.col("id")).alias("id"), "decision_text", "topic", "content_hash", "provenance", "human_quote", "origin", "decided_at")
+
+
+def secret_ratifications(spark, d) -> decisions.Ratified:
+    """Statements with a secret in each field, of every document; those of every third are stored already, as scrubbed."""
+    docs = documents(spark, d)
+    word = F.sha2(F.col("doc_id").cast("string"), 224)
+    wanted = docs.select(
+        F.format_string("w%09d", "doc_id").alias("id"), F.concat(F.lit("Rule "), "doc_id", F.lit(": password: x"), word, F.lit(" stays")).alias("text"), F.concat(F.lit("as sk-"), word, F.lit(" says")).alias("reason"),
+        F.concat(F.lit("api_key="), word).alias("topic"), F.concat(F.lit("yes, Bearer "), word, F.lit("!")).alias("quote"), F.lit(True).alias("confirmed"), F.lit(None).cast("string").alias("pick"),
+    )
+    measured = decisions.scrubbed(wanted).select("id", F.array(F.length("text").cast("double"), F.lit(1.0)).alias("embedding"))
+    old = F.concat(F.lit("rule "), "doc_id", F.lit(": password: [redacted] stays"))
+    stored = docs.filter("doc_id % 3 = 0").select(
+        F.format_string("s%09d", "doc_id").alias("id"), old.alias("decision_text"), F.lit("old").alias("reason"), F.lit("old").alias("topic"), F.sha2(old, 256).alias("content_hash"), F.lit("distilled").alias("provenance"),
+        F.lit(None).cast("string").alias("human_quote"), F.lit("local").alias("origin"), F.lit(None).cast("string").alias("decided_at"), F.lit("c").alias("created_at"),
+    )
+    return decisions.ratified(stored, wanted.join(measured, "id"), "now")
+
+
+def ratify_scrubbed(spark, d):
+    """What is stored of texts with secrets: nothing of them, and hashes and vectors are of the scrubbed texts."""
+    found = secret_ratifications(spark, d)
+    made = found.decisions.join(found.vectors, "id", "left")
+    return made.select(F.regexp_extract("decision_text", "[0-9]+", 0).cast("long").alias("doc_id"), "decision_text", "reason", "topic", "human_quote", "content_hash", "provenance", F.col("embedding")[0].alias("measured"))
+
+
+def ratify_ladder(spark, d):
+    """Odd vectors are ratified against stored even ones: equal texts by similarity, others by the judge over all pairs."""
+    v = note_vectors(spark, d).select("id", F.col("v").alias("embedding"))
+    said = F.when(F.col("id") % 10 < 4, F.concat(F.lit("Use  "), F.floor(F.col("id") / 10))).otherwise(F.concat(F.lit("use no. "), "id"))
+    name = lambda c: F.format_string("%06d", c)
+    none = F.lit(None).cast("string")
+    stored = v.filter("id % 2 = 0").select(
+        name("id").alias("id"), said.alias("decision_text"), none.alias("reason"), none.alias("topic"), text.content_hash(said).alias("content_hash"), F.when(F.col("id") % 3 == 0, "ratified").otherwise("distilled").alias("provenance"), none.alias("human_quote"),
+        F.when(F.col("id") % 14 == 0, "ledger").otherwise("local").alias("origin"), none.alias("decided_at"), name(F.col("id") * 31 % 97).alias("created_at"),
+    )
+    wanted = v.filter("id % 2 = 1").select(name("id").alias("id"), said.alias("text"), none.alias("reason"), none.alias("topic"), F.lit("yes").alias("quote"), (F.col("id") % 11 != 0).alias("confirmed"), "embedding")
+    found = decisions.ratify(stored, v.filter("id % 2 = 0 AND id % 5 <> 4").select(name("id").alias("id"), "embedding"), wanted, RAIL, "now", same_length)
+    return found.outcomes.select("id", "action", F.when(F.length("decision_id") == 6, F.col("decision_id")).alias("decision_id"))
 
 
 def check_receipt(spark, d):
@@ -294,7 +332,7 @@ def fallback_names(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        parsed_notes, merged_notes, parsed_sections, distilled_notes, distilled_decisions, upserted_notes, pending_captures, reembedded_vectors, truncated_tokens, pooled_vectors, dedup_winner, ratify_outcomes, ratified_decisions, check_receipt,
+        parsed_notes, merged_notes, parsed_sections, distilled_notes, distilled_decisions, upserted_notes, pending_captures, reembedded_vectors, truncated_tokens, pooled_vectors, dedup_winner, ratify_outcomes, ratified_decisions, ratify_scrubbed, ratify_ladder, check_receipt,
         decision_listing, hydrated_search, shown_row, invalid_vectors, error_excerpts, aliased_arguments, imported_captures, import_errors, run_pages, reembed_barrier, claim_transitions, status_counters, session_counts, project_changes, fallback_names,
     )
 }
@@ -348,15 +386,21 @@ FROM (SELECT * FROM r WHERE id % 3 = 0) o FULL JOIN (SELECT * FROM r WHERE id %
 SELECT id, len(ids) AS n, array_to_string(ids, ',') AS ids, len(list_filter(ids, lambda n: n > 3)) AS kept FROM t""",
     "pooled_vectors": f"""WITH {V}, m AS (SELECT id, list_transform(range(1, 17), lambda i: (e[i] + e[16 + i] + e[32 + i] + CASE WHEN id % 2 = 0 THEN e[48 + i] ELSE 0 END) / CASE WHEN id % 2 = 0 THEN 4 ELSE 3 END) AS p FROM v)
 SELECT id, CAST(a.place AS INTEGER) AS place, CAST(floor(p[a.place + 1] / sqrt(list_dot_product(p, p)) * 20 + 0.5) AS BIGINT) AS x FROM m, range(0, 16) a(place)""",
-    "dedup_winner": f"""WITH {LINKS}, said AS (SELECT id, CASE WHEN id % 10 < 2 THEN 'Use  ' || CAST(id // 10 AS VARCHAR) ELSE 'use no. ' || CAST(id AS VARCHAR) END AS text, id * 31 % 97 AS created_at FROM v),
-exact AS (SELECT n.id AS incoming, o.id AS candidate, 'exact' AS band FROM said n JOIN said o ON n.id % 10 = 1 AND o.id % 10 = 0 AND n.id // 10 = o.id // 10),
-pairs AS (SELECT src AS incoming, dst AS candidate, sim FROM near WHERE src % 2 = 1 AND dst % 2 = 0),
-found AS (SELECT e.incoming, e.candidate, coalesce(p.sim, 0) AS sim, e.band FROM exact e LEFT JOIN pairs p ON p.incoming = e.incoming AND p.candidate = e.candidate
-  UNION ALL SELECT p.incoming, p.candidate, p.sim, CASE WHEN p.sim >= 0.4 THEN 'merge' ELSE 'judge' END FROM pairs p JOIN said n ON n.id = p.incoming JOIN said o ON o.id = p.candidate
-  WHERE p.incoming NOT IN (SELECT incoming FROM exact) AND (p.sim >= 0.4 OR (p.sim >= 0.3 AND length(n.text) = length(o.text)))),
-placed AS (SELECT f.*, row_number() OVER (PARTITION BY f.incoming ORDER BY f.sim DESC, o.created_at, f.candidate) AS rn FROM found f JOIN said o ON o.id = f.candidate)
+    "dedup_winner": f"""WITH {V}, said AS (SELECT id, e, CASE WHEN id % 10 < 2 THEN 'Use  ' || CAST(id // 10 AS VARCHAR) ELSE 'use no. ' || CAST(id AS VARCHAR) END AS text, id * 31 % 97 AS created_at FROM v),
+pairs AS (SELECT n.id AS incoming, o.id AS candidate, list_cosine_similarity(n.e, o.e) AS sim, length(n.text) = length(o.text) AS alike, o.created_at, n.id % 10 = 1 AND o.id % 10 = 0 AND n.id // 10 = o.id // 10 AS same FROM said n JOIN said o ON n.id % 2 = 1 AND o.id % 2 = 0),
+found AS (SELECT *, CASE WHEN same THEN 'exact' WHEN sim >= 0.4 THEN 'merge' ELSE 'judge' END AS band FROM pairs WHERE same OR (sim >= 0.4 OR (sim >= 0.3 AND alike)) AND incoming NOT IN (SELECT incoming FROM pairs WHERE same)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY incoming ORDER BY sim DESC, created_at, candidate) AS rn FROM found)
 SELECT incoming, max(CASE WHEN rn = 1 THEN candidate END) AS candidate, round(max(CASE WHEN rn = 1 THEN sim END), 6) AS similarity, max(CASE WHEN rn = 1 THEN band END) AS band,
   coalesce(string_agg(CASE WHEN rn > 1 THEN CAST(candidate AS VARCHAR) END, ',' ORDER BY rn), '') AS also FROM placed GROUP BY 1""",
+    "ratify_scrubbed": """WITH t AS (SELECT doc_id, 'ule ' || CAST(doc_id AS VARCHAR) || ': password: ' AS said, doc_id % 3 = 0 AS old FROM documents)
+SELECT doc_id, CASE WHEN old THEN 'r' || said || '[redacted] stays' ELSE 'R' || said || '[REDACTED] stays' END AS decision_text, CASE WHEN old THEN 'old' ELSE 'as [REDACTED] says' END AS reason, CASE WHEN old THEN 'old' ELSE 'api_key=[REDACTED]' END AS topic,
+  'yes, Bearer [REDACTED]!' AS human_quote, sha256('r' || said || '[redacted] stays') AS content_hash, 'ratified' AS provenance, CASE WHEN NOT old THEN CAST(length(said) + 17 AS DOUBLE) END AS measured FROM t""",
+    "ratify_ladder": f"""WITH {V}, said AS (SELECT id, e, printf('%06d', id) AS name, CASE WHEN id % 10 < 4 THEN 'use ' || CAST(id // 10 AS VARCHAR) ELSE 'use no. ' || CAST(id AS VARCHAR) END AS text, CASE WHEN id % 10 < 4 THEN 1 ELSE 0 END AS wide, id * 31 % 97 AS created_at FROM v),
+pairs AS (SELECT n.id, o.name AS other, o.id AS oid, n.text = o.text AS same, o.id % 5 <> 4 AS placed, CASE WHEN o.id % 5 <> 4 THEN list_cosine_similarity(n.e, o.e) ELSE 0 END AS sim, length(n.text) + n.wide = length(o.text) + o.wide AS alike, o.created_at
+  FROM said n JOIN said o ON n.id % 2 = 1 AND o.id % 2 = 0 AND o.id % 14 <> 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same DESC, sim DESC, created_at, other) AS rn FROM pairs WHERE same OR (placed AND sim >= 0.3 AND alike))
+SELECT n.name AS id, CASE WHEN n.id % 11 = 0 THEN 'refuse' WHEN r.id IS NULL THEN CASE WHEN row_number() OVER (PARTITION BY n.text, n.id % 11 <> 0, r.id IS NULL ORDER BY n.id) = 1 THEN 'insert' ELSE 'keep' END WHEN NOT r.same THEN 'requote' WHEN r.oid % 3 <> 0 THEN 'upgrade' ELSE 'keep' END AS action,
+  CASE WHEN n.id % 11 <> 0 THEN r.other END AS decision_id FROM said n LEFT JOIN ranked r ON r.id = n.id AND r.rn = 1 WHERE n.id % 2 = 1""",
     "ratify_outcomes": f"WITH {STORED}, {ASKED} SELECT id, action, CASE WHEN valid THEN winner END AS decision_id FROM acts",
     "ratified_decisions": f"""WITH {STORED}, {ASKED} SELECT s.id, decision_text, topic, content_hash, CASE WHEN q.id IS NOT NULL THEN 'ratified' ELSE provenance END AS provenance, coalesce(q.quote, human_quote) AS human_quote, origin, decided_at FROM stored s LEFT JOIN quotes q ON q.id = s.id
 UNION ALL SELECT NULL, text, topic, content_hash, 'ratified', quote, 'local', 'now' FROM acts WHERE action = 'insert'""",

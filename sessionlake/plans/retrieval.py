@@ -81,8 +81,10 @@ def standing_recent(spark, d):
 
 
 def dedup_ladder_bands(spark, d):
-    near = graph.neighbours(vectors(spark, d), RAIL.floor)
-    return rounded(near.withColumn("band", decisions.band(F.col("similarity"), F.lit(False), RAIL)), "similarity")
+    """Every pair from the floor on, however many one vector has."""
+    near = graph.similar(vectors(spark, d), None, RAIL.floor)
+    pairs = near.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "similarity")
+    return rounded(pairs.withColumn("band", decisions.band(F.col("similarity"), F.lit(False), RAIL)), "similarity")
 
 
 def halves(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +202,7 @@ ORDER BY similarity DESC, via, id LIMIT 20""",
     "standing_topic": f"""WITH {V}, {QUERY}, {DATED}, t AS (SELECT d.id, d.decided_at, q.sim FROM q JOIN d ON d.id = q.id WHERE q.sim >= 0.05 ORDER BY q.sim DESC, d.id LIMIT 200)
 SELECT id, decided_at, round(sim, 6) AS similarity FROM t ORDER BY decided_at DESC NULLS LAST, sim DESC, id LIMIT 50""",
     "standing_recent": f"WITH {DATED} SELECT id, decided_at FROM d ORDER BY decided_at DESC NULLS LAST, id LIMIT 50",
-    "dedup_ladder_bands": f"WITH {LINKS} SELECT src, dst, round(sim, 6) AS similarity, CASE WHEN sim >= 0.4 THEN 'merge' WHEN sim >= 0.3 THEN 'judge' ELSE 'none' END AS band FROM near",
+    "dedup_ladder_bands": f"WITH {V} SELECT a, b, round(sim, 6) AS similarity, CASE WHEN sim >= 0.4 THEN 'merge' WHEN sim >= 0.3 THEN 'judge' ELSE 'none' END AS band FROM (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS sim FROM v x JOIN v y ON x.id < y.id) WHERE sim >= {RAIL.floor}",
     "pairwise_cosine_stats": f"WITH {V}, {_pairs('p', 'e')} SELECT count(*) AS pairs, floor(avg(s) * 10000 + 0.5) / 10000 AS mean, floor(stddev_pop(s) * 10000 + 0.5) / 10000 AS sd FROM p",
     "density_at_anchor": f"WITH {V}, {_pairs('p', 'e')} {_ANCHOR_ROWS.format('p')}",
     "threshold_at_density": f"WITH {V}, {_pairs('p', 'e')} " + _at("p", "SELECT 'link' AS anchor, CAST(0.0436 AS DOUBLE) AS density UNION ALL SELECT 'judge_low', 0.2091 UNION ALL SELECT 'floor', 0.3756"),

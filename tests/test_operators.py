@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,11 +46,12 @@ def test_links_ties_by_id_and_degree_beyond_k(spark):
         graph.links(same, 1.0, -1)
 
 
-def test_links_in_blocks_are_exact(spark):
+def test_links_in_blocks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_PART", 7)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 5))
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
-    got = {(r["src"], r["dst"]) for r in graph.neighbours(v, 0.3, 4, block=7).collect()}
+    got = {(r["src"], r["dst"]) for r in graph.neighbours(v, 0.3, 4).collect()}
     sim = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
     want = set()
     for i in range(60):
@@ -200,18 +202,51 @@ def test_nan_is_not_similar(spark):
 
 
 def test_dedup_ladder(spark):
-    new = spark.createDataFrame([("n1", "Use  SQLITE"), ("n2", "other"), ("n3", "third"), ("n4", "none")], "id string, text string")
-    old = spark.createDataFrame([("o1", "use sqlite", "2"), ("o2", "x", "1"), ("o3", "y", "1"), ("o4", "z", "0")], "id string, text string, created_at string")
-    pairs = spark.createDataFrame([("n1", "o2", 1.0), ("n1", "o1", 0.1), ("n2", "o2", 0.8), ("n2", "o3", 0.8), ("n2", "o4", 0.7), ("n3", "o3", 0.65), ("n4", "o3", 0.59)], "incoming string, candidate string, similarity double")
+    at_ = lambda x: [x, math.sqrt(1 - x * x)]
+    new = spark.createDataFrame([("n1", "Use  SQLITE", [1.0, 0.0]), ("n2", "other", [1.0, 0.0]), ("n3", "third", at_(-0.2)), ("n4", "none", [-1.0, 0.0]), ("n5", "alone", None)], "id string, text string, embedding array<double>")
+    old = spark.createDataFrame(
+        [("o1", "use sqlite", "2", at_(0.1)), ("o2", "x", "1", at_(0.8)), ("o3", "y", "1", at_(0.8)), ("o4", "z", "0", at_(0.75)), ("o5", "use SQLite", "0", None), ("o6", "w", "0", at_(0.65))], "id string, text string, created_at string, embedding array<double>"
+    )
 
     def run(rail, judge=None):
-        return {r["incoming"]: (r["candidate"], r["band"], r["also"]) for r in decisions.dedup_candidates(new, old, pairs, rail, judge).collect()}
+        return {r["incoming"]: (r["candidate"], r["band"], r["also"]) for r in decisions.dedup_candidates(new, old, rail, judge).collect()}
 
-    assert run(RAIL) == {"n1": ("o1", "exact", []), "n2": ("o2", "merge", ["o3", "o4"])}
+    assert run(RAIL) == {"n1": ("o1", "exact", ["o5"]), "n2": ("o2", "merge", ["o3", "o4"]), "n3": ("o1", "merge", [])}
     yes = lambda a, b: F.lit(True)
-    assert run(RAIL, yes)["n3"] == ("o3", "judge", [])
+    assert run(RAIL, yes)["n2"] == ("o2", "merge", ["o3", "o4", "o6"])
     guarded = run(RAIL.guarded(), yes)
-    assert guarded["n2"][1] == "judge" and "n4" not in guarded and run(RAIL.guarded()).keys() == {"n1"}
+    assert guarded["n2"] == ("o2", "judge", ["o3", "o4", "o6"]) and "n4" not in guarded and "n5" not in guarded and run(RAIL.guarded()).keys() == {"n1"}
+
+
+@pytest.mark.parametrize("floor", [-2.0, 0.3, 0.8])
+def test_similar_finds_every_pair(spark, monkeypatch, floor):
+    monkeypatch.setattr(graph, "LEAST_PART", 5)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((40, 6)) + 3 * c for c in np.eye(6)[:3]] + [np.zeros((2, 6))])
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<float>")
+    x = x.astype(np.float32).astype(float)
+    norm = np.linalg.norm(x, axis=1)
+    sim = np.divide(x @ x.T, np.outer(norm, norm), out=np.zeros((len(x), len(x))), where=np.outer(norm, norm) > 0)
+    own = sorted(tuple(sorted((r["src"], r["dst"]))) for r in graph.similar(v, None, floor).collect())
+    assert own == [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if sim[i, j] >= floor]
+    both = sorted((r["src"], r["dst"]) for r in graph.similar(v.filter("id % 3 = 0"), v.filter("id % 2 = 0"), floor).collect())
+    assert both == [(i, j) for i in range(0, len(x), 3) for j in range(0, len(x), 2) if sim[i, j] >= floor]
+    assert graph.similar(v.limit(0), v, floor).count() == graph.similar(v, v.limit(0), floor).count() == graph.similar(v.limit(0), None, floor).count() == 0
+
+
+def test_vectors_are_sent_to_few_tiles(spark, monkeypatch):
+    """With T tiles a table is sent about sqrt(2 T) times, not T times."""
+    monkeypatch.setattr(graph, "LEAST_PART", 8)
+    monkeypatch.setattr(graph, "TILE_BYTES", 8 * 8 * 2)
+    v = spark.range(400).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"), F.lit(0).alias("group"))
+
+    def sizes(a_ids, a, b_ids, b):
+        yield pa.RecordBatch.from_arrays([pa.array([len(a) + (len(b) if b is not None else 0)])], ["n"])
+
+    rows = [r["n"] for r in graph.tiled(v, None, sizes, "n long").collect()]
+    assert len(rows) == 50 * 51 // 2 and sum(rows) == 400 * 50 < 400 * math.sqrt(2 * len(rows)) + 400
+    rect = [r["n"] for r in graph.tiled(v, v.filter("id < 100"), sizes, "n long").collect()]
+    assert len(rect) == 50 * 13 and sum(rect) == 400 * 13 + 100 * 50
 
 
 def test_rails_are_never_substituted(monkeypatch):
@@ -244,7 +279,8 @@ def test_ratified(spark):
             ("6", "use w", None, None, "g", True, "r"), ("7", "use v", None, None, " ", True, None), ("8", "use v", None, None, "h", None, None), ("9", "use u", None, None, "i", True, "l"),
         ], WANTED,
     )
-    after, outcomes = decisions.ratified(stored, wanted, "now")
+    found = decisions.ratified(stored, wanted, "now")
+    after, outcomes = found.decisions, found.outcomes
     done = {r["id"]: (r["action"], r["decision_id"]) for r in outcomes.collect()}
     assert [done[str(i)][0] for i in range(1, 10)] == ["upgrade", "upgrade", "keep", "insert", "keep", "requote", "refuse", "refuse", "insert"]
     assert done["4"][1] == done["5"][1] and done["7"][1] is None and done["6"][1] == "r"
@@ -252,8 +288,29 @@ def test_ratified(spark):
     assert len(rows) == 5 and (rows["d"]["provenance"], rows["d"]["human_quote"]) == ("ratified", "a") and rows["r"]["human_quote"] == "g" and rows["l"]["provenance"] == "distilled"
     made = rows[done["4"][1]]
     assert (made["decision_text"], made["reason"], made["provenance"], made["human_quote"], made["decided_at"]) == ("use z", "why", "ratified", "e", "now")
-    none, said = decisions.ratified(stored.limit(0), wanted.limit(0), "now")
-    assert none.count() == said.count() == 0
+    none = decisions.ratified(stored.limit(0), wanted.limit(0), "now")
+    assert none.decisions.count() == none.outcomes.count() == none.vectors.count() == 0
+
+
+def test_ratify_stores_no_secret(spark):
+    key = "sk-" + "a" * 24
+    wanted = spark.createDataFrame([("1", f"use {key}", f"since password: {key}", key, f"yes {key}", True, [0.0, 1.0]), ("2", "use [REDACTED]", None, None, "again", True, [1.0, 0.0])], WANTED.replace("pick string", "embedding array<double>"))
+    stored = spark.createDataFrame([], STORED)
+    vectors = spark.createDataFrame([], "id string, embedding array<double>")
+    found = decisions.ratify(stored, vectors, wanted, RAIL, "now")
+    row = found.decisions.collect()
+    assert len(row) == 1 and key not in str(row) and row[0]["content_hash"] == hashlib.sha256(b"use [redacted]").hexdigest()
+    assert [(r["id"], r["embedding"]) for r in found.vectors.collect()] == [(row[0]["id"], [0.0, 1.0])]
+    assert {r["id"]: r["action"] for r in found.outcomes.collect()} == {"1": "insert", "2": "keep"}
+
+
+def test_the_most_similar_of_equal_texts_is_ratified(spark):
+    hashed = hashlib.sha256(b"same").hexdigest()
+    stored = spark.createDataFrame([(i, "same", None, None, hashed, "distilled", None, "local", None, at) for i, at in (("a", "1"), ("b", "2"), ("c", "0"))], STORED)
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<double>")
+    wanted = spark.createDataFrame([("1", "Same", None, None, "yes", True, None, [0.1, 1.0]), ("2", "same ", None, None, "yes", True, None, None)], WANTED + ", embedding array<double>")
+    done = {r["id"]: r["decision_id"] for r in decisions.ratified(stored, wanted, "now", vectors).outcomes.collect()}
+    assert done == {"1": "b", "2": "c"}
 
 
 def test_receipt_and_listing(spark):
@@ -265,6 +322,21 @@ def test_receipt_and_listing(spark):
     assert len(listed) == 60 and listed[0] == "59" and listed[-4:] == ["0", "1", "2", "3"]
 
 
+def test_search_fails_on_links_without_a_similarity(spark):
+    note = spark.createDataFrame([("n",), ("m",), ("k",)], "id string")
+    none = spark.createDataFrame([], "id string, embedding array<double>")
+    v = embeddings(spark, n=at(0.9), m=at(0.1), k=at(0.2))
+    found = lambda rows: search.fail_closed(lambda: search.search(note, v, none, none, spark.createDataFrame(rows, "a string, b string, similarity double"), [1, 0, 0, 0]))
+    for bad in (float("nan"), float("inf"), float("-inf"), None):
+        got = found([("m", "n", 0.7), ("k", "n", 0.5), ("m", "n", bad)])
+        assert got.rows == [] and "a link without a similarity" in got.error, bad
+        assert found([("m", "n", 0.7), ("k", "m", bad), ("x", "y", bad)]).error is None  # no anchor, so the link is not looked at
+    broken = v.unionByName(spark.createDataFrame([("orphan", [float("nan")] * 4)], v.schema))
+    assert len(search.fail_closed(lambda: search.search(note, broken, none, none, spark.createDataFrame([], "a string, b string, similarity double"), [1, 0, 0, 0])).rows) == 1
+    known = note.unionByName(spark.createDataFrame([("orphan",)], "id string"))
+    assert "a broken vector" in search.fail_closed(lambda: search.search(known, broken, none, none, spark.createDataFrame([], "a string, b string, similarity double"), [1, 0, 0, 0])).error
+
+
 def test_search_fails_closed_and_has_texts(spark):
     note = spark.createDataFrame([("n", "t", "s", "x"), ("m", "u", None, "y")], "id string, topic string, summary string, compacted_text string")
     said = spark.createDataFrame([("d", "t", "why", "z", "2024", "ratified")], "id string, topic string, reason string, decision_text string, decided_at string, provenance string")
