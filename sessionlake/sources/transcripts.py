@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionlake.checkpoints import checkpointed
+
 LINES = "path string, offset long, line string"
 
 
@@ -50,18 +54,56 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.orderBy(F.desc("modified"), "path")
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, offset, line) of the complete records of whole files, one file in a task at a time."""
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows = list(complete_lines(bytes(content)))
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    yield pd.DataFrame({"path": path, "offset": [o for o, _ in part], "line": [x for _, x in part]})
+def read_lines(spark: SparkSession, *paths: str, starts: DataFrame | None = None) -> DataFrame:
+    """(path, offset, line, next) of the complete records of files and the offset after each; a file is read by as many
+    tasks as it has splits, wherever Spark can read.
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(split, LINES)
+    A task gets the lines that begin in its byte range and knows their places within it; where the range's first line begins
+    follows from the bytes of the lines of the ranges before, which a first pass adds up (a number a range). A record that no
+    newline ends is left for later. Bytes that are no UTF-8 are replaced. With ``starts(path, offset)``, a file's records from its
+    offset on, which must be where a record begins or will begin; all others from their start.
+    """
+    text = spark.read.format("text").option("lineSep", "\n").load(list(paths))
+    raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    sums = raw.groupBy("path", "block").agg(F.sum(F.octet_length("line") + 1).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = checkpointed(sums.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"), "n"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, at = None, 0
+        for batch in batches:
+            key = list(zip(batch["path"].to_pylist(), batch["block"].to_pylist(), strict=True))
+            step = pc.binary_length(batch["line"]).to_numpy() + 1
+            offset, first = np.zeros(len(key), np.int64), 0
+            while first < len(key):
+                stop = next((i for i in range(first, len(key)) if key[i] != key[first]), len(key))
+                at = at if key[first] == current else 0
+                ends = at + np.cumsum(step[first:stop], dtype=np.int64)
+                offset[first:stop], at, current, first = ends - step[first:stop], ends[-1], key[first], stop
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offset)], ["path", "block", "size", "line", "at"])
+
+    placed = raw.mapInArrow(place, "path string, block long, size long, line binary, at long")
+    lines = placed.join(bases.drop("n"), ["path", "block"]).withColumn("offset", F.col("base") + F.col("at"))
+    lines = lines.filter(F.col("offset") + F.octet_length("line") + 1 <= F.col("size"))
+    if starts is not None:
+        lines = _from(lines, starts)
+    return lines.select("path", "offset", F.make_valid_utf8(F.col("line").cast("string")).alias("line"), (F.col("offset") + F.octet_length("line") + 1).alias("next"))
+
+
+def _from(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Lines from the start of their file on; a start within a record or beyond the last one fails the job."""
+    wanted = starts.select("path", F.col("offset").cast("long").alias("start"))
+    ends = lines.join(wanted, "path").groupBy("path", "start").agg(
+        F.max((F.col("offset") == F.col("start")) | (F.col("offset") + F.octet_length("line") + 1 == F.col("start"))).alias("begins")
+    )
+    sure = ends.select("path", F.when(F.col("begins") | (F.col("start") == 0), F.col("start")).otherwise(F.raise_error(F.concat(F.lit("not the start of a record: "), F.col("path"), F.lit(" "), F.col("start").cast("string"))).cast("long")).alias("start"))
+    # A file without a complete record has no row here; its start can only be 0.
+    return lines.join(sure, "path", "left").filter(F.col("offset") >= F.coalesce("start", F.lit(0)))
+
+
+def checkpoints(lines: DataFrame) -> DataFrame:
+    """(path, offset): where each file is to be read on from, the end of its last complete record."""
+    return lines.groupBy("path").agg(F.max("next").alias("offset"))
 
 
 def _string(value: Column) -> Column:

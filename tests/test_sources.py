@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.operators.captures import turns_of
 from sessionlake.sources import store, transcripts
@@ -65,6 +66,46 @@ def test_errors_before_a_delta_are_not_counted_again(spark, tmp_path):
     assert [r["errors"] for r in transcripts.parse_errors(found).collect()] == [2] and [(r["errors"], r["last_bad_offset"]) for r in transcripts.parse_errors(found, 5).collect()] == [(1, 5)]
 
 
+def rows_of(content: bytes) -> list[tuple]:
+    return list(transcripts.complete_lines(content))
+
+
+def test_a_file_is_read_by_many_tasks_with_the_same_offsets(spark, tmp_path):
+    lines = [(b"x" * (i * 37 % 900)) + (b"\xff\xc3\xa9\r" if i % 5 == 0 else b"") for i in range(6000)] + [b"", b"y" * 300_000, b""]
+    contents = {"long.jsonl": b"\n".join(lines) + b"\nopen", "one.jsonl": b"\n", "open.jsonl": b"no end", "none.jsonl": b"", "a b.jsonl": b"q\n\n"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = transcripts.read_lines(spark, str(tmp_path))
+        got = found.collect()
+        assert found.rdd.getNumPartitions() > 1
+        whole = spark.read.format("text").option("lineSep", "\n").load(str(tmp_path / "long.jsonl"))
+        assert whole.rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, content in contents.items():
+        assert sorted((r["offset"], r["line"]) for r in got if r["path"].replace("%20", " ").endswith("/" + name)) == rows_of(content), name
+    ends = {r["path"].rsplit("/", 1)[1]: r["offset"] for r in transcripts.checkpoints(found).collect()}
+    assert ends["long.jsonl"] == transcripts.next_offset(contents["long.jsonl"]) and set(ends) == {"long.jsonl", "one.jsonl", "a%20b.jsonl"}
+
+
+def test_reading_goes_on_from_a_checkpoint(spark, tmp_path):
+    path = tmp_path / "t.jsonl"
+    path.write_bytes(b"one\ntw\xff\nthr")
+    first = transcripts.read_lines(spark, str(path))
+    assert [(r["offset"], r["line"]) for r in first.orderBy("offset").collect()] == [(0, "one"), (4, "tw\ufffd")]
+    at = spark.createDataFrame(transcripts.checkpoints(first).collect())
+    path.write_bytes(b"one\ntw\xff\nthree\nfour\n")
+    assert [(r["offset"], r["line"]) for r in transcripts.read_lines(spark, str(path), starts=at).orderBy("offset").collect()] == [(8, "three"), (14, "four")]
+    end = transcripts.checkpoints(transcripts.read_lines(spark, str(path)))
+    assert transcripts.read_lines(spark, str(path), starts=end).count() == 0
+    for bad in (1, 5, 99, -1):
+        with pytest.raises(Exception, match="not the start of a record"):
+            transcripts.read_lines(spark, str(path), starts=at.withColumn("offset", F.lit(bad))).count()
+    assert transcripts.read_lines(spark, str(path), starts=at.withColumn("offset", F.lit(0))).count() == 4
+
+
 def test_the_last_record_is_found_from_the_end(tmp_path):
     path = tmp_path / "long.jsonl"
     for content in (b"", b"open", b"a\n", b"a\n" + b"x" * 500, b"y" * 300 + b"\n" + b"z" * 64 + b"\n" + b"open"):
