@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.operators.captures import turns_of
 from sessionlake.operators.jobs import counts, live_leases
+from sessionlake.operators.order import row_numbers
 from sessionlake.sources.transcripts import parse_errors
 
 #: Fixed values.
@@ -14,13 +15,8 @@ DEFAULT_CAP, CONFIRM_ABOVE, PAGE = 50, 200, 50
 
 
 def snapshot(found: DataFrame, limit: int | None) -> DataFrame:
-    """``found(path, modified)`` with ``rank`` from 1, the latest first, then by path, and whether it is ``selected``.
-
-    Ranks come from counts by time, so that the order needs no single task over all files.
-    """
-    earlier = found.groupBy("modified").agg(F.count("*").alias("n"))
-    starts = earlier.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("modified")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = found.join(starts, "modified").withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy("modified").orderBy("path"))).drop("start")
+    """``found(path, modified)`` with ``rank`` from 1, the latest first, then by path, and whether it is ``selected``."""
+    ranked = row_numbers(found, "rank", F.desc("modified"), "path")
     return ranked.withColumn("selected", F.lit(True) if limit is None else F.col("rank") <= limit)
 
 
@@ -66,16 +62,19 @@ def status(captures: DataFrame, notes: DataFrame, decisions: DataFrame, queue: D
     return rows.unionByName(live_leases(queue, now).select(F.lit("live leases").alias("counter"), F.col("live").alias("n"))).unionByName(counts(queue).select(F.concat(F.lit("jobs "), "status").alias("counter"), "n"))
 
 
-def imported(found: DataFrame, site: str, now: str, repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing.
+def captured(turns: DataFrame, site: str, now: str, repos: DataFrame | None = None) -> DataFrame:
+    """Rows of the captures' table, of ``turns(session, source_key, prompt, response, model, cwd, at, offset)``; ids follow from their keys.
 
     ``repos(cwd, repo)`` tells the folders' repositories, which the captures' metadata then hold.
     """
-    turns = turns_of(found)
     turns = turns.join(repos.select("cwd", "repo").dropDuplicates(["cwd"]), "cwd", "left") if repos is not None else turns.withColumn("repo", F.lit(None).cast("string"))
-    captures = turns.select(
+    return turns.select(
         F.sha2(F.to_json(F.struct(F.lit(site).alias("site"), "session", "source_key")), 256).alias("id"), F.lit(site).alias("site"), F.col("session").alias("conversation_id"),
         F.lit(None).cast("string").alias("conversation_title"), "prompt", "response", "model", F.to_json(F.struct(F.col("repo").alias("repo_name"))).alias("metadata"), "cwd", "source_key", F.col("at").alias("captured_at"), F.lit(now).alias("created_at"),
         F.lit(None).cast("string").alias("distilled_at"), F.col("offset").alias("seq"),
     )
-    return captures, parse_errors(found)
+
+
+def imported(found: DataFrame, site: str, now: str, repos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(captures, parse errors) of whole sessions' records. Captures go in by key, so a session imported again adds nothing."""
+    return captured(turns_of(found), site, now, repos), parse_errors(found)

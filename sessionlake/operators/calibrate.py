@@ -2,59 +2,56 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.checkpoints import checkpointed
 from sessionlake.functions.text import round4
 from sessionlake.functions.vectors import normalized
+from sessionlake.operators.graph import tiled
 
 #: Fixed values.
 ANCHORS = {"link": 0.70, "merge": 0.70, "judge_low": 0.60, "floor": 0.55}
 TOLERANCE, MIN_NOTES = 0.02, 200
 
 
-#: Vectors in a block, at most, and how finely similarities are counted.
-BLOCK, BINS = 2048, 65_536
+#: Rows and columns of similarities that are made at once, and how finely they are counted.
+ROWS, COLUMNS, BINS = 256, 2048, 65_536
 
 
 def tiles(vectors: DataFrame, fold: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """The rows that ``fold(i, j, s)`` gives for each pair of blocks of ``vectors(id, embedding)``, scaled to unit length first.
+    """The rows that ``fold(i, j, s)`` gives for blocks of the pairs of ``vectors(id, embedding)``, scaled to unit length first.
 
-    ``s`` are the similarities of all pairs i < j of both blocks, summed from left to right. Only what ``fold`` gives leaves a
-    task. There are at least as many pairs of blocks as tasks can run, and blocks of at most about ``BLOCK`` vectors.
+    ``s`` are the similarities of pairs i < j, summed from left to right. Only what ``fold`` gives leaves a task; vectors are sent once
+    to each of the tiles that they are in, see ``graph.tiled``.
     """
-    count = vectors.count()
-    wide = min(-(-count // 256), math.isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism) + 1)
-    parts = max(1, -(-count // BLOCK), wide)
-    unit = vectors.select("id", normalized(F.col("embedding")).alias("v"))
-    packed = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    left = packed.select(F.col("block").alias("own"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(parts - 1).cast("long"))).alias("block"))
-    met = left.join(packed.withColumnRenamed("rows", "b"), "block").select(F.col("a.id").alias("a_ids"), F.col("a.v").alias("a_vs"), F.col("b.id").alias("b_ids"), F.col("b.v").alias("b_vs"), (F.col("own") == F.col("block")).alias("same"))
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a_ids, a_vs, b_ids, b_vs, same in frame.itertuples(index=False, name=None):
-                a, b = (np.array([*map(np.asarray, vs)], float).reshape(len(vs), -1) for vs in (a_vs, b_vs))
-                a_ids, b_ids = np.asarray(a_ids), np.asarray(b_ids)
-                for at in range(0, len(a), 256):  # a few rows at a time, so that no product is larger than 256 times a block
-                    total = np.zeros((len(a[at : at + 256]), len(b)))
-                    for x, y in zip(a[at : at + 256].T, b.T, strict=True):
-                        total += np.outer(x, y)
-                    x, y = np.meshgrid(a_ids[at : at + 256], b_ids, indexing="ij")
-                    kept = x < y if same else np.ones(total.shape, bool)
-                    x, y, s = x[kept], y[kept], total[kept]
-                    if not np.isfinite(s).all():
-                        raise ValueError("a vector that is not finite")
-                    if len(s):
-                        yield fold(np.where(x < y, x, y), np.where(x < y, y, x), s)
-
-    return met.repartition(F.col("a_ids"), F.col("b_ids")).mapInPandas(multiply, schema) if parts > 1 else met.mapInPandas(multiply, schema)
+    unit = vectors.select("id", normalized(F.col("embedding")).alias("v"), F.lit(0).alias("group"))
+
+    def multiply(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        own, y_ids = b is None, b_ids.to_numpy(zero_copy_only=False)
+        x_ids, other = a_ids.to_numpy(zero_copy_only=False), a if own else b
+        for p in range(0, len(a), ROWS):
+            for q in range(0, len(other), COLUMNS):
+                left, right = a[p : p + ROWS], other[q : q + COLUMNS]
+                total = np.zeros((len(left), len(right)))
+                product = np.empty_like(total)
+                for x, y in zip(left.T, right.T, strict=True):
+                    np.multiply(x[:, None], y, out=product)
+                    total += product
+                x, y = np.meshgrid(x_ids[p : p + ROWS], y_ids[q : q + COLUMNS], indexing="ij")
+                kept = x < y if own else np.ones(total.shape, bool)
+                x, y, s = x[kept], y[kept], total[kept]
+                if not np.isfinite(s).all():
+                    raise ValueError("a vector that is not finite")
+                if len(s):
+                    yield pa.RecordBatch.from_pandas(fold(np.where(x < y, x, y), np.where(x < y, y, x), s), preserve_index=False)
+
+    return tiled(unit, None, multiply, schema)
 
 
 def pairwise(vectors: DataFrame) -> DataFrame:

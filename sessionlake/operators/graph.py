@@ -11,14 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sessionlake.checkpoints import checkpointed
 from sessionlake.functions.text import enforce_repo_prefix, normalize_repo, repo_display
+from sessionlake.operators.order import row_numbers
 
 #: Fixed values.
 LINK_K, BACKBONE_K, BACKBONE_WEIGHT = 10, 3, 0.5
 REPO_BOOST, RESOLUTION, OVERLAP = 0.10, 2.0, 0.5
-SEED = 1
+SEED = 1  #: of the order in which nodes are visited
 #: Rows of a matrix product; vectors of a part at least; bytes of a part of a tile at most.
 BLOCK, LEAST_PART, TILE_BYTES = 1024, 256, 32 << 20
 
@@ -305,11 +307,16 @@ def clusters(nodes: DataFrame, weights: DataFrame, resolution: float = RESOLUTIO
     return nodes.select("id").distinct().join(solved, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def collated(name: str, df: DataFrame) -> Column:
+    """A column for sorting: strings in the order of Unicode's collation, other types as they are."""
+    return F.collate(name, "UNICODE") if isinstance(df.schema[name].dataType, StringType) else F.col(name)
+
+
 def numbered(communities: DataFrame) -> DataFrame:
     """(id, community, cluster): communities numbered from 0 by size, the larger first, then by least member."""
     sizes = communities.groupBy("community").agg(F.count("*").alias("size"))
-    order = Window.orderBy(F.desc("size"), "community")
-    return communities.join(sizes.withColumn("cluster", F.row_number().over(order) - 1), "community").select("id", "community", "cluster", "size")
+    placed = row_numbers(sizes, "place", F.desc("size"), collated("community", sizes), "community").select("community", (F.col("place") - 1).cast("int").alias("cluster"), "size")
+    return communities.join(placed, "community").select("id", "community", "cluster", "size")
 
 
 def cluster_stats(communities: DataFrame) -> DataFrame:
@@ -355,10 +362,10 @@ def is_unchanged(components: DataFrame, projects: DataFrame, all_projects: DataF
 
 
 def dominant_repo(members: DataFrame) -> DataFrame:
-    """(cluster, repo): the most frequent repository of ``members(cluster, repo)``, the first in order of equals; null if none."""
+    """(cluster, repo): the most frequent repository of ``members(cluster, repo)``, of equals the first as people sort words; null if none."""
     counted = members.select("cluster", normalize_repo(F.col("repo").cast("string")).alias("repo"))
     votes = counted.filter("repo IS NOT NULL").groupBy("cluster", "repo").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("n"), "repo")
+    order = Window.partitionBy("cluster").orderBy(F.desc("n"), collated("repo", votes), "repo")
     best = votes.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("cluster", "repo")
     return counted.select("cluster").distinct().join(best, "cluster", "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.checkpoints import checkpointed
-from sessionlake.functions.text import enforce_repo_prefix
+from sessionlake.functions.text import enforce_repo_prefix, js_trim
 from sessionlake.operators import graph
 from sessionlake.operators.notes import require_vectors
 
@@ -26,8 +26,8 @@ class Outcome:
     unchanged: bool
 
 
-def asked_names(chat: Callable[[str], str] | None, topics: list[list[str]]) -> list[str] | None:
-    """A name for each new cluster, by a chat function that gets the clusters' topics as JSON and answers with a JSON list.
+def asked_names(chat: Callable[[str], str] | None, topics: list) -> list[str] | None:
+    """A name for each new cluster, by a chat function that gets descriptions of the clusters as JSON and answers with a JSON list.
 
     Any failure, or a second answer of the wrong number, means none for all.
     """
@@ -49,7 +49,8 @@ def run(notes: DataFrame, vectors: DataFrame, projects: DataFrame, threshold: fl
     """A note without vector fails the job. Clusters of two or more are projects; the project that holds over half of one goes on.
 
     Where clusters are the projects already, notes and projects stay as they are. Names of new projects alone are made; their
-    number is small, and they are what comes to the driver.
+    number is small, and they are what comes to the driver; for a chat function, with the topics of all their notes, their repository
+    and how many clusters have it, as that is what it is asked.
     """
     known = require_vectors(notes.select("id", F.col("repo_name").alias("repo"), "project_id"), vectors.select("id", "embedding")).withColumnRenamed("embedding", "v")
     edges = checkpointed(graph.merged(graph.links(known, threshold), graph.backbone(known)))
@@ -63,11 +64,16 @@ def run(notes: DataFrame, vectors: DataFrame, projects: DataFrame, threshold: fl
     match = checkpointed(graph.reconcile(component, members))
     order = graph.numbered(found).groupBy("community").agg(F.first("cluster").alias("cluster"))
     dominant = graph.dominant_repo(component.join(notes.select("id", F.col("repo_name").alias("repo")), "id").select(F.col("component").alias("cluster"), "repo"))
-    topic = component.join(notes.select("id", "topic"), "id").groupBy("component").agg(F.min_by("topic", "id").alias("first"), F.slice(F.array_sort(F.collect_set("topic")), 1, 20).alias("topics"))
+    shared = graph.sharing(dominant.join(match.select(F.col("component").alias("cluster")), "cluster")).select(F.col("cluster").alias("component"), "sharing")
+    # A chat function is asked with what every note is about; without one, nothing but the first topic is looked at.
+    about = F.coalesce(*(F.nullif(js_trim(c), F.lit("")) for c in ("topic", "conversation_title")), F.lit("untitled"))
+    listed = F.array_sort(F.collect_list(F.struct("id", about.alias("about"))))["about"] if chat is not None else F.array().cast("array<string>")
+    fresh = match.filter("project IS NULL").select("component").join(component, "component")
+    topic = fresh.join(notes.select("id", "topic", "conversation_title"), "id").groupBy("component").agg(F.min_by("topic", "id").alias("first"), listed.alias("topics")).join(shared, "component")
     new = match.filter("project IS NULL").select("component").join(order.withColumnRenamed("community", "component"), "component").join(dominant.withColumnRenamed("cluster", "component"), "component").join(topic, "component")
     position = F.row_number().over(Window.orderBy("cluster")) - 1
     rows = new.withColumn("plain", graph.fallback_name(position, F.col("repo"), F.col("first"))).orderBy("cluster").collect()
-    names = asked_names(chat, [r["topics"] for r in rows])
+    names = asked_names(chat, [{"topics": r["topics"], "repository": r["repo"], "clusters of the repository": r["sharing"] if r["repo"] is not None else None} for r in rows])
     spark = notes.sparkSession
     if names is not None:
         given = spark.createDataFrame([(i, n, r["repo"]) for i, (n, r) in enumerate(zip(names, rows, strict=True))], "i int, name string, repo string")

@@ -121,6 +121,17 @@ def repo_members(spark, d) -> DataFrame:
     return t.select(F.concat("lang", F.lit("-"), (F.col("doc_id") % 10).cast("string")).alias("cluster"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "source")).alias("repo"))
 
 
+#: Names in the order in which people sort words.
+WORDS = ("a_b", "ab", "Ábc", "é", "f", "zeta")
+
+
+def repo_ties(spark, d):
+    """Runs of documents whose repositories are all as frequent."""
+    t = table(spark, d, "documents").filter("doc_id % 7 < 6")
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.col("doc_id") * 5, F.lit(6)) + 1).cast("int"))
+    return graph.dominant_repo(t.filter((F.col("doc_id") / 7).cast("long") % 6 <= F.col("doc_id") % 7).select(F.floor(F.col("doc_id") / 7).alias("cluster"), word.alias("repo")))
+
+
 def repo_share_count(spark, d):
     return graph.sharing(dominant_repo(spark, d))
 
@@ -201,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pair_turns, transcript_text, conversation_stats, majority_repo, content_hash_dedup, insert_or_ignore, parse_error_accounting, repo_names, repo_prefix_names, scrub_redaction, render_sections, chunk_sizes,
-        dominant_repo, repo_share_count, distinct_decisions, decision_reconcile, queue_counts, claim_order, claim_candidate, backoff_schedule, coalesce_payload, coalesce_conversation, retry_failed, next_wake,
+        dominant_repo, repo_share_count, repo_ties, distinct_decisions, decision_reconcile, queue_counts, claim_order, claim_candidate, backoff_schedule, coalesce_payload, coalesce_conversation, retry_failed, next_wake,
         backfill_slices, omitted_age_range, completeness_report, run_roll_up,
     )
 }
@@ -262,6 +273,7 @@ SELECT min(doc_id) AS doc_id, site, conversation_id, source_key FROM t n WHERE d
   || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '**Decisions & Reasoning**:' || chr(10) || '- ' || source ELSE '' END
   || chr(10) || chr(10) || '**Open Threads**:' || chr(10) || '- ' || lang AS compacted_text FROM documents""",
     "dominant_repo": f"{DOMINANT} SELECT cluster, repo FROM dominant",
+    "repo_ties": f"SELECT doc_id // 7 AS cluster, lower(list_extract({list(WORDS)}, min(doc_id * 5 % 6) + 1)) AS repo FROM documents WHERE doc_id % 7 < 6 AND doc_id // 7 % 6 <= doc_id % 7 GROUP BY 1",
     "repo_share_count": f"{DOMINANT} SELECT cluster, repo, count(*) OVER (PARTITION BY repo) AS sharing FROM dominant",
     "distinct_decisions": f"WITH {DECISIONS} SELECT note_id, content_hash, text, ix FROM h",
     "decision_reconcile": f"""WITH {DECISIONS}, k AS (SELECT *, CAST(regexp_extract(text, '(\\d+)', 1) AS INTEGER) AS number FROM h),

@@ -41,6 +41,17 @@ def test_link_cluster(spark):
         link_cluster.run(notes, v.filter("id <> 'e'"), none, 0.7, "now")
 
 
+def test_chat_is_asked_with_every_topic_and_the_repository(spark):
+    rows = [(f"n{i:02}", "org/app" if i < 11 else "org/app " if i < 22 else None, f"topic {i % 4}" if i % 7 else " ", None) for i in range(33)]
+    v = vec(spark, **{f"n{i:02}": [[1, 0, 0], [0, 1, 0], [0, 0, 1]][i // 11] for i in range(33)})
+    asked = []
+    out = link_cluster.run(notes_of(spark, rows), v, spark.createDataFrame([], TABLES["projects"]), 0.99, "now", lambda q: asked.append(json.loads(q)) or json.dumps([f"wrong: name {i}" for i in range(len(asked[-1]))]))
+    [clusters] = asked
+    assert [len(c["topics"]) for c in clusters] == [11, 11, 11]
+    assert sorted((c["repository"] or "", c["clusters of the repository"]) for c in clusters) == [("", None), ("org/app", 2), ("org/app", 2)]
+    assert sorted(t for c in clusters for t in c["topics"]) == sorted(r[2] if r[2].strip() else "untitled" for r in rows) and len(out.projects.collect()) == 3
+
+
 def test_names_by_chat():
     assert link_cluster.asked_names(lambda q: json.dumps([f"n{i}" for i in range(len(json.loads(q)))]), [["x"], ["y"]]) == ["n0", "n1"]
     answers = iter(['["only one"]', '["one", "two"]'])

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.functions.text import tool_limit
+from sessionlake.operators.order import row_numbers
 from sessionlake.operators import backfill, calibrate, captures, decisions, graph, jobs, notes, search
 
 
@@ -543,3 +544,22 @@ def test_backfill_plan():
     assert backfill.plan(300, None, False, "subscription", False) == {"count": 50}
     assert "error" in backfill.plan(300, 10, True, "api", True) and "error" in backfill.plan(300, None, True, "subscription", True)
     assert backfill.plan(300, None, True, "api", False) == {"confirm": 300} and backfill.plan(300, None, True, "api", True) == {"count": 300}
+
+
+def test_ties_are_in_the_order_of_words(spark):
+    repos = ["zeta", "é", "f", "ab", "a_b", "a-b"]
+    for n, first in ((6, "a_b"), (4, "ab"), (3, "é"), (1, "zeta")):
+        rows = [("c", r) for r in repos[:n]]
+        assert graph.dominant_repo(spark.createDataFrame(rows, "cluster string, repo string")).first()["repo"] == first
+    c = spark.createDataFrame([(x, x) for x in ("zeta", "é", "f")], "id string, community string")
+    assert [r["community"] for r in graph.numbered(c).orderBy("cluster").collect()] == ["é", "f", "zeta"]
+
+
+def test_row_numbers(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2, 3]), rng.choice("ab")) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x int, y string").repartition(7)
+    got = {r["id"]: r["n"] for r in row_numbers(df, "n", F.desc_nulls_last("x"), "y", "id").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2], r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    assert row_numbers(df.limit(0), "n", "x").count() == 0

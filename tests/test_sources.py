@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlake.operators import notes
 from sessionlake.operators.captures import turns_of
 from sessionlake.sources import store, transcripts
 from sessionlake.streaming import ingest
@@ -138,21 +139,56 @@ def test_discovery(spark, tmp_path):
 
 
 def test_stream_resumes_and_never_repeats(spark, tmp_path):
-    root, table, checkpoint = tmp_path / "in", str(tmp_path / "turns"), str(tmp_path / "checkpoint")
+    root, checkpoint = tmp_path / "in", str(tmp_path / "checkpoint")
     root.mkdir()
-    user, answer = record("user", "s", "q"), record("assistant", "s", "r1")
+    user, answer = record("user", "s", "q", cwd="/w/app"), record("assistant", "s", "r1")
     path = root / "a.jsonl"
-    path.write_text(user + "\n" + answer + "\n" + '{"type":')
-    ingest.capture(spark, str(root), table, checkpoint).awaitTermination()
-    assert [r["response"] for r in spark.read.parquet(table).collect()] == ["r1"]
-    path.write_text(user + "\n" + answer + "\n" + record("assistant", "s", "r2") + "\n")
+    path.write_text(user + "\n" + answer + "\n" + "{bad\n" + record("user", "t", "only asks") + "\n" + '{"type":')
+    repos = spark.createDataFrame([("/w/app", "org/app")], "cwd string, repo string")
+    sink = ingest.Sink(str(tmp_path / "out"), "r", "cli", lambda: "now", repos)
+    ingest.capture(spark, str(root), checkpoint, sink).awaitTermination()
+    assert [(r["response"], r["metadata"]) for r in sink.captures(spark).collect()] == [("r1", '{"repo_name":"org/app"}')]
+    assert [(r["errors"], r["last_bad_offset"]) for r in sink.errors(spark).collect()] == [(1, len(user) + len(answer) + 2)]
+    assert [json.loads(r["payload"]) for r in sink.jobs(spark).collect()] == [{"site": "cli", "conversation_id": "s"}]
+    more = [record("assistant", "s", "r2", "u"), "{worse", record("assistant", "s", "again", "u"), record("assistant", "o", "nobody asked")]
+    path.write_text(user + "\n" + answer + "\n" + "{bad\n" + record("user", "t", "only asks") + "\n" + "\n".join(more) + "\n")
     for _ in range(2):
-        ingest.capture(spark, str(root), table, checkpoint).awaitTermination()
-    got = spark.read.parquet(table).orderBy("offset").collect()
-    assert [(r["prompt"], r["response"], r["source_key"]) for r in got] == [("q", "r1", str(len(user) + 1)), ("q", "r2", str(len(user) + len(answer) + 2))]
-    again = spark.read.parquet(table)
-    ingest.keyed_sink(table)(again, 0)
-    assert spark.read.parquet(table).count() == 2
+        ingest.capture(spark, str(root), checkpoint, sink).awaitTermination()
+    (root / "b.jsonl").write_text(record("assistant", "s", "a copy", "u") + "\n" + record("assistant", "t", "late", "v") + "\n")
+    ingest.capture(spark, str(root), checkpoint, sink).awaitTermination()
+    got = sink.captures(spark).orderBy("created_at", "conversation_id", "seq").collect()
+    assert [(r["conversation_id"], r["prompt"], r["response"], r["source_key"]) for r in got] == [("s", "q", "r1", str(len(user) + 1)), ("s", "q", "r2", "u"), ("t", "only asks", "late", "v")]
+    assert [r["errors"] for r in sink.errors(spark).collect()] == [2]
+    assert sorted(json.loads(r["payload"])["conversation_id"] for r in sink.jobs(spark).collect()) == ["s", "s", "t"]
+    note, _ = notes.distilled(sink.captures(spark), lambda chunk: F.lit('{"topic": "t"}'), "now", "m")
+    assert sorted((r["conversation_id"], r["turn_count"], r["repo_name"]) for r in note.collect()) == [("s", 2, "app"), ("t", 1, None)]
+
+
+def test_a_batch_that_is_run_again_adds_nothing_and_reads_no_other(spark, tmp_path):
+    event = lambda kind, session, at: (kind, session, f"k{at}", "q", "r", None, None, "t", "p", at)
+    batches = [[event("turn", "s", 1), event("error", None, 2)], [event("turn", "s", 3), event("turn", "u", 4)], []]
+    sink = ingest.Sink(str(tmp_path / "out"), "r", clock=lambda: "now")
+    for number in (0, 1, 1, 0, 2):
+        sink(spark.createDataFrame(batches[number], ingest.EVENTS), number)
+    assert sorted(r["source_key"] for r in sink.captures(spark).collect()) == ["k1", "k3", "k4"]
+    assert [tuple(r) for r in sink.errors(spark).collect()] == [("p", 1, 2)] and sink.jobs(spark).count() == 3
+    broken = tmp_path / "out" / "captures" / "batch=r-000000000"
+    for f in broken.glob("part-*"):
+        f.write_bytes(b"unreadable")
+    sink(spark.createDataFrame(batches[1], ingest.EVENTS), 3)  # would fail if it looked at earlier parts
+
+
+def test_only_changed_files_are_opened(tmp_path, monkeypatch):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("{}\n")
+    reader, opened = ingest.TranscriptReader(str(tmp_path)), []
+    real = ingest.last_record
+    monkeypatch.setattr(ingest, "last_record", lambda path: opened.append(path) or real(path))
+    assert {*reader.latestOffset().values()} == {3} and len(opened) == 2
+    (tmp_path / "a.jsonl").write_text("{}\n{}\n")
+    assert sorted(reader.latestOffset().values()) == [3, 6] and len(opened) == 3
+    reader.latestOffset()
+    assert len(opened) == 3
 
 
 def test_store_publishes_all_or_nothing(spark, tmp_path):
