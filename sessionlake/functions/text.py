@@ -72,7 +72,8 @@ def scrub(text: Column, rules: tuple[tuple[str, str, tuple[str, ...]], ...] = SC
     A text is named but a few times in the expression, however many rules there are, so that it compiles.
     """
     clean = functools.reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
-    may = functools.reduce(Column.__or__, (F.contains(F.lower(text), F.lit(x)) for rule in rules for x in rule[2]))
+    # Lower case is made once for all literals.
+    may = F.exists(F.array(F.lower(text)), lambda lower: functools.reduce(Column.__or__, (F.contains(lower, F.lit(x)) for rule in rules for x in rule[2])))
     return F.when(may, clean).otherwise(text)
 
 

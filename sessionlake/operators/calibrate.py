@@ -30,7 +30,8 @@ def tiles(vectors: DataFrame, fold: Callable[[np.ndarray, np.ndarray, np.ndarray
     ``s`` are the similarities of pairs i < j, summed from left to right. Only what ``fold`` gives leaves a task; vectors are sent once
     to each of the tiles that they are in, see ``graph.tiled``.
     """
-    unit = vectors.select("id", normalized(F.col("embedding")).alias("v"), F.lit(0).alias("group"))
+    # Written, or else each vector would be scaled again for every tile it is sent to.
+    unit = checkpointed(vectors.select("id", normalized(F.col("embedding")).alias("v"), F.lit(0).alias("group")))
 
     def multiply(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         own, y_ids = b is None, b_ids.to_numpy(zero_copy_only=False)
@@ -40,7 +41,7 @@ def tiles(vectors: DataFrame, fold: Callable[[np.ndarray, np.ndarray, np.ndarray
                 left, right = a[p : p + ROWS], other[q : q + COLUMNS]
                 total = np.zeros((len(left), len(right)))
                 product = np.empty_like(total)
-                for x, y in zip(left.T, right.T, strict=True):
+                for x, y in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T), strict=True):
                     np.multiply(x[:, None], y, out=product)
                     total += product
                 x, y = np.meshgrid(x_ids[p : p + ROWS], y_ids[q : q + COLUMNS], indexing="ij")

@@ -137,7 +137,10 @@ def tiled(left: DataFrame, right: DataFrame | None, fold: Fold, schema: str) ->
         ids = lambda t: pa.concat_arrays(t["id"].chunks) if t.num_rows else pa.array([], t["id"].type)
         yield from fold(ids(first), _matrix(first), *((ids(second), _matrix(second)) if second is not None else (ids(first), None)))
 
-    return sent.select("group", "t.row", "t.column", "part", "side", "id", "v").groupBy("group", "row", "column").applyInArrow(solve, schema)
+    # A number is given, as tiles are small to send but long to work on, so that they must not be put together by their size.
+    spread_over = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.select("group", "t.row", "t.column", "part", "side", "id", "v").repartition(spread_over, "group", "row", "column")
+    return dealt.groupBy("group", "row", "column").applyInArrow(solve, schema)
 
 
 def _plain(vectors: DataFrame, within: str | None = None) -> DataFrame:
