@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; where that is unset, to a temporary folder in local mode, and on a cluster an error."""
-    context = df.sparkSession.sparkContext
+def _set(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir``; where that is unset, to a temporary folder in local mode, and on a cluster an error."""
+    _set(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the same place, for tables."""
+    _set(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

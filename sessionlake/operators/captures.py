@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from sessionlake.functions.text import repo_leaf
 
 
-def pair_turns(records: DataFrame) -> DataFrame:
+def pair_turns(records: DataFrame, *within: str) -> DataFrame:
     """Turns of ``records(session, position, role, text, cwd, …)``: each assistant with the latest user before it.
 
+    Positions are those in a session, or in its part ``within`` further columns.
+
     A user is not used up: several assistants may answer. A user's text may be empty, as that of a tool's result is. Assistants
     without text, or before any user, make no turn. The working folder is the assistant's own, else the user's.
     """
-    before = Window.partitionBy("session").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("session", *within).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     said = F.when(F.col("role") == "user", F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("cwd").alias("cwd")))
     asked = records.filter(F.col("role").isin("user", "assistant")).withColumn("asked", F.last(said, ignorenulls=True).over(before))
     turns = asked.filter((F.col("role") == "assistant") & (F.coalesce("text", F.lit("")) != "") & F.col("asked").isNotNull())
@@ -24,10 +26,10 @@ def pair_turns(records: DataFrame) -> DataFrame:
 def turns_of(found: DataFrame, start: int = 0) -> DataFrame:
     """(session, source_key, prompt, response, model, cwd, at, path, offset) of transcript records that begin at ``start`` or after.
 
-    Earlier records are there as context. A turn's key is the assistant's id, else its byte offset.
+    Earlier records are there as context. A session that is in several files is paired in each by itself. A turn's key is the assistant's id, else its byte offset.
     """
     good = found.filter("NOT bad").withColumn("position", F.col("offset"))
-    turns = pair_turns(good.withColumn("session", F.col("session"))).filter(F.col("offset") >= start)
+    turns = pair_turns(good, "path").filter(F.col("offset") >= start)
     return turns.select("session", F.coalesce("uuid", F.col("offset").cast("string")).alias("source_key"), "prompt", "response", "model", "cwd", "at", "path", "offset")
 
 

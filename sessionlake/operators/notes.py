@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.chunks import CHUNK_BUDGET, chunks
@@ -15,6 +16,9 @@ from sessionlake.functions.text import content_hash, merge_notes, parse_note, re
 from sessionlake.functions.vectors import is_valid
 from sessionlake.operators.captures import conversation_stats, majority_repo, repo_of_metadata, transcript_text
 from sessionlake.operators.decisions import distinct_decisions
+from sessionlake.operators.jobs import enqueued
+from sessionlake.schemas import TABLES
+from sessionlake.sources.store import Conflict, Snapshot, Store
 
 
 class Embedder(Protocol):
@@ -156,3 +160,59 @@ def require_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 def reembedded(rows: DataFrame, shadow: DataFrame, embedder: Embedder) -> DataFrame:
     """The complete vectors of the new model: what the shadow has of existing rows, and the missing ones."""
     return without_orphans(shadow, rows).unionByName(embedded(missing_vectors(rows, shadow), embedder))
+
+
+#: Into how many steps a re-embedding is parted, by hash of the id. What a step has embedded is kept once it is through.
+STEPS = 16
+
+
+def shadow_of(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """(id, embedding, step) that a re-embedding has written to ``folder``; none if it has not begun."""
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, embedding array<float>, step int"
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def reembed(rows: DataFrame, folder: str, embedder: Embedder, steps: int = STEPS) -> DataFrame:
+    """(id, embedding) of exactly ``rows(id, text)`` by the new model, by way of a shadow in ``folder`` that a next run goes on from.
+
+    Each step is a job that reads its own part of the shadow, embeds the rows missing there and appends them as a whole; so a run that
+    died loses the step it was in, and no row of a finished step is embedded again. Rows come and gone since are embedded and left out.
+    ``folder`` is one model's alone, in a place that all executors reach.
+    """
+    spark = rows.sparkSession
+    parted = rows.withColumn("step", F.pmod(F.xxhash64("id"), F.lit(steps)).cast("int"))
+    for step in range(steps):
+        todo = missing_vectors(parted.filter(F.col("step") == step), shadow_of(spark, folder, rows).filter(F.col("step") == step))
+        embedded(todo, embedder).write.mode("append").parquet(f"{folder}/step={step}")
+    return without_orphans(shadow_of(spark, folder, rows).select("id", "embedding"), rows)
+
+
+#: Which texts a model's vectors are of.
+VECTOR_TEXTS = {"note_vec": ("notes", "compacted_text"), "decision_vec": ("decisions", "decision_text")}
+
+
+def switch_model(store: Store, folder: str, embedder: Embedder, now: str, fence: Callable[[], bool] | None = None, steps: int = STEPS) -> Snapshot:
+    """Embed all notes and decisions by another model and publish vectors, its id and dimension, and a job for links, in one commit.
+
+    The commit holds only if the tables are still those that were embedded; else the rows that came since are embedded as well. A lost
+    ``fence`` is a ``Conflict``, and the shadow in ``folder`` stays for whoever takes over. Nothing is done if the model is the store's.
+    """
+    while True:
+        at = store.open()
+        if at.meta.get("embedder_id") == embedder.id:
+            return at
+        texts = {vec: store.table(name, at).select("id", F.col(text).alias("text")) for vec, (name, text) in VECTOR_TEXTS.items()}
+        vectors = {vec: reembed(rows, f"{folder}/{embedder.id}/{vec}", embedder, steps) for vec, rows in texts.items()}
+        jobs = store.table("jobs", at)
+        job = {"id": uuid.uuid4().hex, "kind": "link-cluster", "payload": "{}", "status": "queued", "attempts": 0, "epoch": 0, "created_at": now, "updated_at": now, "seq": (jobs.agg(F.max("seq")).first()[0] or 0) + 1}
+        wanted = store.spark.createDataFrame([job], TABLES["jobs"])
+        try:
+            return store.commit(at, {**vectors, "jobs": jobs.unionByName(enqueued(jobs, wanted))}, {"embedder_id": embedder.id, "embedder_dim": str(embedder.dim)}, fence)
+        except Conflict:
+            if store.open().revision == at.revision or (fence is not None and not fence()):
+                raise

@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.checkpoints import new_folder
 from sessionlake.functions import chunks, text, vectors
 from sessionlake.operators import backfill, captures, decisions, graph, jobs, notes, search
 from sessionlake.plans.memory import LOG, NOW, PAIRED, SPACE, _scrubbed, conversation_records, hash_of, job_log, pair_turns, sessions
 from sessionlake.plans.retrieval import FLOOR, LINKS, QUERY, RAIL, V, others, query_vector, threshold_links
 from sessionlake.plans.retrieval import vectors as note_vectors
 from sessionlake.plans.tables import table
-from sessionlake.sources import transcripts
+from sessionlake.sources import repos, transcripts
 
 
 def documents(spark, d) -> DataFrame:
@@ -104,6 +105,15 @@ def reembedded_vectors(spark, d):
     return whole.select("id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
 
 
+def reembed_resumed(spark, d):
+    """A first run that saw even documents only, and one that no longer is there; a second one goes on from its shadow."""
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = new_folder(spark, "shadow")
+    gone = rows.filter("id % 50 = 0").withColumn("id", -1 - F.col("id"))
+    notes.reembed(rows.filter("id % 2 = 0").withColumn("text", F.concat("text", F.lit(" x"))).unionByName(gone), folder, Measures(), 4)
+    return notes.reembed(rows, folder, Measures(), 4).select("id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"))
+
+
 def truncated_tokens(spark, d):
     ids = F.transform(F.split(F.coalesce("text", F.lit("")), " "), F.length)
     t = notes.truncated(documents(spark, d).select(F.col("doc_id").alias("id"), ids.alias("ids"), F.transform(ids, lambda n: (n > 3).cast("int")).alias("mask")), 64)
@@ -270,6 +280,27 @@ def imported_captures(spark, d):
     return rows.select("site", "conversation_id", "source_key", "prompt", "response", "captured_at", "seq")
 
 
+def backfill_page_results(spark, d):
+    """Transcripts in pages of 50: some cannot be read, some have bad records, some captures are there already."""
+    files = table(spark, d, "conversations").select("conv_id").distinct().select(F.floor(F.col("conv_id") / 50).alias("page"), F.concat(F.lit("s"), "conv_id").alias("path"))
+    broken = files.filter(F.expr("cast(substring(path, 2) AS long) % 13 = 5")).select("path", F.lit("gone").alias("error"))
+    found = transcripts.records(record_lines(spark, d))
+    stored = backfill.captured(captures.turns_of(found), "cli", "then").filter("seq % 4 = 1 OR conversation_id % 3 = 0")
+    _, results = backfill.imported_page(files, found, broken, stored, "cli", "now")
+    return results.select("page", "inserted", F.to_json(F.transform("failures", lambda f: F.array(f.path, f.error))).alias("failures"), F.array_join("conversations", ",").alias("conversations"))
+
+
+def folder_repos(spark, d):
+    """Each document's folder, written in several ways, and its repository: of those within each other the innermost."""
+    doc = documents(spark, d)
+    up = F.when(F.col("doc_id") % 3 == 0, "/./").when(F.col("doc_id") % 3 == 1, "/x/../").otherwise("/")
+    inner = F.concat(F.lit("/Work/"), "source", up, F.lit("P"), F.col("doc_id") % 7, F.lit("/in"), F.col("doc_id") % 4, F.lit("/deep"))
+    cwd = F.when(F.col("doc_id") % 11 == 0, F.substring(inner, 2, 1000)).when(F.col("doc_id") % 11 != 1, inner)
+    held = doc.select(F.concat(F.lit("/Work/"), "source").alias("path"), F.col("doc_id").alias("n"), "source")
+    folders = held.filter("n % 20 < 19 AND source > 'src1'").select("path").unionByName(held.filter("n % 7 > 3").select(F.concat("path", F.lit("/P"), F.col("n") % 7).alias("path")))
+    return repos.with_repo(doc.select("doc_id", cwd.alias("cwd")), folders).select("doc_id", "cwd", "repo")
+
+
 def import_errors(spark, d):
     found = transcripts.records(record_lines(spark, d))
     return transcripts.merged_errors(transcripts.parse_errors(found), transcripts.parse_errors(found, 2))
@@ -332,7 +363,7 @@ def fallback_names(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        parsed_notes, merged_notes, parsed_sections, distilled_notes, distilled_decisions, upserted_notes, pending_captures, reembedded_vectors, truncated_tokens, pooled_vectors, dedup_winner, ratify_outcomes, ratified_decisions, ratify_scrubbed, ratify_ladder, check_receipt,
+        parsed_notes, merged_notes, parsed_sections, distilled_notes, distilled_decisions, upserted_notes, pending_captures, reembedded_vectors, reembed_resumed, backfill_page_results, folder_repos, truncated_tokens, pooled_vectors, dedup_winner, ratify_outcomes, ratified_decisions, ratify_scrubbed, ratify_ladder, check_receipt,
         decision_listing, hydrated_search, shown_row, invalid_vectors, error_excerpts, aliased_arguments, imported_captures, import_errors, run_pages, reembed_barrier, claim_transitions, status_counters, session_counts, project_changes, fallback_names,
     )
 }
@@ -418,6 +449,20 @@ SELECT CASE WHEN note THEN 'note' ELSE 'decision' END AS kind, t.id, 'topic ' ||
     "error_excerpts": """SELECT doc_id, substring(regexp_replace(replace(replace('X-Api-Key: [REDACTED]' || chr(10) || 'said ' || lang || ' and "' || source || '" with Bearer [REDACTED]' || chr(10) || coalesce(text, ''), 'fr', '[REDACTED]'), 'src1', '[REDACTED]'), '[\\r\\n]+', ' ', 'g'), 1, 512) AS excerpt FROM documents""",
     "aliased_arguments": f"""SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN role END, CASE WHEN turn % 2 = 1 THEN nullif({trimmed("text")}, '') END, CASE WHEN turn % 4 = 2 THEN nullif({trimmed("text")}, '') END) AS statement FROM conversations""",
     "imported_captures": f"""WITH {PAIRED}, {LINES} SELECT 'cli' AS site, CAST(session AS VARCHAR) AS conversation_id, CAST(session AS VARCHAR) || '-' || CAST(position AS VARCHAR) AS source_key, prompt, response, printf('t%04d', position) AS captured_at, position AS seq FROM said""",
+    "reembed_resumed": """SELECT doc_id AS id, CAST(length(t) + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS first, CAST(length(t) - length(replace(t, ' ', '')) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS second
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "backfill_page_results": f"""WITH {PAIRED}, bad AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 9 = 4 AND role <> 'system' GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM conversations),
+got AS (SELECT session, count(*) AS n FROM turns WHERE session % 9 <> 4 AND session % 13 <> 5 AND session % 3 <> 0 AND position % 4 <> 1 GROUP BY 1)
+SELECT conv_id // 50 AS page, CAST(coalesce(sum(got.n), 0) AS BIGINT) AS inserted,
+  '[' || coalesce(string_agg(CASE WHEN conv_id % 13 = 5 THEN '["s' || c || '","gone"]' WHEN bad.n > 0 THEN '["s' || c || '","' || CAST(bad.n AS VARCHAR) || ' malformed records"]' END, ',' ORDER BY 's' || c), '') || ']' AS failures,
+  coalesce(string_agg(CASE WHEN got.n > 0 THEN c END, ',' ORDER BY c), '') AS conversations
+FROM ids LEFT JOIN bad USING (conv_id) LEFT JOIN got ON got.session = conv_id GROUP BY 1""",
+    "folder_repos": """WITH w AS (SELECT doc_id, source, '/Work/' || source AS base, 'P' || CAST(doc_id % 7 AS VARCHAR) AS p, '/in' || CAST(doc_id % 4 AS VARCHAR) || '/deep' AS rest FROM documents),
+held AS (SELECT DISTINCT base AS path FROM w WHERE doc_id % 20 < 19 AND source > 'src1' UNION SELECT DISTINCT base || '/' || p FROM w WHERE doc_id % 7 > 3),
+c AS (SELECT *, base || CASE doc_id % 3 WHEN 0 THEN '/./' WHEN 1 THEN '/x/../' ELSE '/' END || p || rest AS written, base || '/' || p || rest AS plain FROM w),
+best AS (SELECT doc_id, max_by(path, length(path)) AS path FROM c JOIN held ON starts_with(plain || '/', path || '/') GROUP BY 1)
+SELECT c.doc_id, CASE WHEN c.doc_id % 11 = 0 THEN substr(written, 2) WHEN c.doc_id % 11 <> 1 THEN written END AS cwd, CASE WHEN c.doc_id % 11 > 1 THEN lower(regexp_extract(best.path, '[^/]+$')) END AS repo FROM c LEFT JOIN best ON best.doc_id = c.doc_id""",
     "import_errors": "SELECT 's' || CAST(conv_id AS VARCHAR) AS path, count(*) + count(*) FILTER (WHERE turn >= 2) AS errors, max(turn) AS last_bad_offset FROM conversations WHERE conv_id % 9 = 4 AND role <> 'system' GROUP BY 1",
     "run_pages": """SELECT event_id AS id, 'backfill-page' AS kind, '{"runJobId":"run3","sliceStart":100}' AS payload, 'done' AS status, CAST(NULL AS VARCHAR) AS last_error FROM events WHERE event_id % 3 <> 0 AND user_id % 5 = 3 AND event_id % 4 = 2""",
     "reembed_barrier": f"""WITH {LOG}, waiting AS (SELECT * FROM log WHERE id % 100 = 7), free AS (SELECT t.now FROM (VALUES ({NOW}), (1000)) t(now) WHERE NOT EXISTS (SELECT 1 FROM log WHERE status = 'running' AND lease_until >= t.now)),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -54,18 +54,53 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.orderBy(F.desc("modified"), "path")
 
 
-def read_lines(spark: SparkSession, *paths: str, starts: DataFrame | None = None) -> DataFrame:
+def _raw(spark: SparkSession, paths: Sequence[str], tolerant: bool) -> DataFrame:
+    skipping = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"} if tolerant else {}
+    text = spark.read.format("text").option("lineSep", "\n").options(**skipping).load(list(paths))
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+
+def _range_bytes(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("path", "block").agg(F.sum(F.octet_length("line") + 1).alias("n"))
+
+
+def broken_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, error) of the files of which fewer bytes can be read than they have, paths as in ``read_lines``.
+
+    A tolerant read leaves the rest of such a file out without a word, so its records must not be used.
+    """
+    sizes = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+    got = _range_bytes(_raw(spark, paths, True)).groupBy("path").agg(F.sum("n").alias("n"))
+    short = sizes.join(got, "path", "left").filter(F.coalesce("n", F.lit(0)) < F.col("size"))
+    return short.select("path", F.concat_ws(" ", F.lit("could be read up to byte"), F.coalesce("n", F.lit(0)), F.lit("of"), "size").alias("error"))
+
+
+def existing(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """Each path with the one that ``read_lines`` gives for it, or none where there is no such file; an empty file, of which Spark has no row, gives ''. Asks once a path; for a page."""
+    found: dict[str, str | None] = {}
+    for path in paths:
+        try:
+            row = spark.read.format("binaryFile").load(path).select("_metadata.file_path").first()
+            found[path] = row[0] if row else ""
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found[path] = None
+    return found
+
+
+def read_lines(spark: SparkSession, *paths: str, starts: DataFrame | None = None, tolerant: bool = False) -> DataFrame:
     """(path, offset, line, next) of the complete records of files and the offset after each; a file is read by as many
     tasks as it has splits, wherever Spark can read.
 
     A task gets the lines that begin in its byte range and knows their places within it; where the range's first line begins
     follows from the bytes of the lines of the ranges before, which a first pass adds up (a number a range). A record that no
     newline ends is left for later. Bytes that are no UTF-8 are replaced. With ``starts(path, offset)``, a file's records from its
-    offset on, which must be where a record begins or will begin; all others from their start.
+    offset on, which must be where a record begins or will begin; all others from their start. If ``tolerant``, a file that cannot be
+    read does not fail the others: ``broken_files`` tells which these are.
     """
-    text = spark.read.format("text").option("lineSep", "\n").load(list(paths))
-    raw = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
-    sums = raw.groupBy("path", "block").agg(F.sum(F.octet_length("line") + 1).alias("n"))
+    raw = _raw(spark, paths, tolerant)
+    sums = _range_bytes(raw)
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = checkpointed(sums.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"), "n"))
 

@@ -80,10 +80,41 @@ def test_repositories(spark, tmp_path):
     (tmp_path / "Repo" / ".git").mkdir(parents=True)
     (tmp_path / "Repo" / "sub" / "tree").mkdir(parents=True)
     (tmp_path / "Repo" / "sub" / ".git").write_text("gitdir: elsewhere")
-    assert repos.resolve_repo(str(tmp_path / "Repo" / "sub" / "tree")) == "repo"
-    assert repos.resolve_repo("relative") is None is repos.resolve_repo(None)
-    df = spark.createDataFrame([(1, str(tmp_path / "Repo")), (2, None), (3, "x")], "i int, cwd string")
-    assert {r["i"]: r["repo"] for r in repos.with_repo(df).collect()} == {1: "repo", 2: None, 3: None}
+    (tmp_path / "Repo" / ".git" / "HEAD").write_text("ref")
+    (tmp_path / "Repo" / "sub" / "In ner" / ".git").mkdir(parents=True)
+    (tmp_path / "Repo" / "sub" / "In ner" / ".git" / "HEAD").write_text("ref")
+    folders = repos.git_folders(spark, str(tmp_path))
+    assert {r["path"] for r in folders.collect()} == {str(tmp_path / "Repo"), str(tmp_path / "Repo" / "sub" / "In ner")}
+    base = str(tmp_path)
+    asked = [f"{base}/Repo", f"{base}/Repo/sub/tree", f"{base}//Repo/./sub/tree/", f"{base}/Repo/sub/In ner/x", f"{base}/Repo/sub/In ner/../x", f"{base}/Repository", base, "/", "/..", "", "Repo", None]
+    df = spark.createDataFrame([(i, c, "old") for i, c in enumerate(asked)], "i int, cwd string, repo string")
+    want = ["repo", "repo", "repo", "in ner", "repo", *[None] * 7]
+    got = {r["i"]: r["repo"] for r in repos.with_repo(df, folders).collect()}
+    assert [got[i] for i in range(len(asked))] == want
+    root = spark.createDataFrame([("/",), (None,), ("a",)], "path string")
+    assert {r["repo"] for r in repos.with_repo(df, root).collect()} == {None} == {r["repo"] for r in repos.with_repo(df, folders.limit(0)).collect()}
+
+
+def test_a_page_keeps_its_files_apart(spark, tmp_path):
+    good = write(tmp_path / "a b.jsonl", record("user", "s", "q"), record("assistant", "s", "r", "u1"), record("assistant", "s", "r2", "u2"))
+    half = write(tmp_path / "half.jsonl", record("user", "s", "other"), "{bad", record("assistant", "s", "r", "u1"), record("assistant", "t", "nobody"), record("user", "t", "q3"), record("assistant", "t", "r3", "u3"))
+    torn, gone, empty = write(tmp_path / "torn.jsonl", record("user", "x", "q"), record("assistant", "x", "r", "u9")), str(tmp_path / "gone.jsonl"), tmp_path / "empty.jsonl"
+    (tmp_path / ".torn.jsonl.crc").write_bytes(b"crc\0\0\0\2\0\1\2\3\4")  # a checksum that is not the file's
+    empty.write_bytes(b"")
+    paths = [good, half, torn, gone, str(empty)]
+    stored = spark.createDataFrame([], TABLES["captures"])
+    new, results = backfill.import_page(spark, 3, paths, stored, "cli", "now")
+    assert {(r["conversation_id"], r["source_key"], r["prompt"]) for r in new.collect()} == {("s", "u1", "q"), ("s", "u2", "q"), ("t", "u3", "q3")}
+    row = results.first()
+    assert (row["page"], row["inserted"], row["conversations"], results.count()) == (3, 3, ["s", "t"], 1)
+    failures = {f["path"]: (f["error"], f["parse_errors"]) for f in row["failures"]}
+    assert failures.keys() == {half, torn, gone} and failures[half] == ("1 malformed records", 1) and failures[gone] == ("no such file", None) and failures[torn][0].startswith("could be read up to byte 0 of")
+    again, results = backfill.import_page(spark, 3, paths, new, "cli", "now")
+    assert again.count() == 0 and (results.first()["inserted"], results.first()["conversations"], len(results.first()["failures"])) == (0, [], 3)
+    whole = backfill.rolled_up(results).first()
+    assert (whole["inserted"], whole["outcome"], len(whole["failures"])) == (0, "partial", 3)
+    _, results = backfill.import_page(spark, 0, [gone], stored, "cli", "now")
+    assert [f["error"] for f in results.first()["failures"]] == ["no such file"]
 
 
 def test_calibration_corpus(spark, tmp_path):

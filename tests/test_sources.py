@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.operators import notes
 from sessionlake.operators.captures import turns_of
+from sessionlake.schemas import TABLES
 from sessionlake.sources import store, transcripts
 from sessionlake.streaming import ingest
 
@@ -210,3 +211,75 @@ def test_store_publishes_all_or_nothing(spark, tmp_path):
     (tmp_path / "db" / "MANIFEST.json").write_text(json.dumps({"schema_version": "9"}))
     with pytest.raises(store.SchemaError):
         store.Store(spark, str(tmp_path / "db"))
+
+
+class Logged(notes.HashingEmbedder):
+    """Writes down what it embeds, and dies on a text that says so while a file is there."""
+
+    def __init__(self, folder, name="other"):
+        super().__init__(4, name)
+        self.folder = str(folder)
+
+    def embed(self, texts, kind):
+        import os
+        import uuid
+
+        if "die" in texts and os.path.exists(f"{self.folder}/die"):
+            raise RuntimeError("killed")
+        with open(f"{self.folder}/log-{uuid.uuid4().hex}", "w") as f:
+            f.writelines(t + "\n" for t in texts)
+        return super().embed(texts, kind)
+
+    def log(self):
+        from pathlib import Path
+
+        return sorted(t for p in Path(self.folder).glob("log-*") for t in p.read_text().split("\n") if t)
+
+
+def test_reembedding_goes_on_after_it_died(spark, tmp_path):
+    embedder, folder = Logged(tmp_path), str(tmp_path / "shadow")
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(40)], "id string, text string")
+    step = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(4)).alias("step"))
+    last = step.filter("step = 3").first()["id"]
+    dying = rows.withColumn("text", F.when(F.col("id") == last, "die").otherwise(F.col("text")))
+    (tmp_path / "die").write_text("")
+    with pytest.raises(Exception, match="killed"):
+        notes.reembed(dying, folder, embedder, 4)
+    kept = {r["id"] for r in notes.shadow_of(spark, folder, rows).collect()}
+    assert kept == {r["id"] for r in step.filter("step < 3").collect()}
+    (tmp_path / "die").unlink()
+    for p in tmp_path.glob("log-*"):
+        p.unlink()
+    changed = dying.filter("id <> '0'").unionByName(spark.createDataFrame([("new", "text new")], rows.schema))
+    got = {r["id"]: r["embedding"] for r in notes.reembed(changed, folder, embedder, 4).collect()}
+    assert got.keys() == {r["id"] for r in changed.collect()} and all(len(v) == 4 for v in got.values())
+    assert embedder.log() == sorted(r["text"] for r in changed.collect() if r["id"] not in kept)
+    assert notes.reembed(rows.limit(0), str(tmp_path / "none"), embedder, 4).count() == 0
+
+
+def test_another_model_is_published_as_a_whole(spark, tmp_path):
+    s, embedder = store.Store(spark, str(tmp_path / "db")), Logged(tmp_path)
+    note = lambda i, t: {"id": i, "site": "s", "conversation_id": i, "compacted_text": t}
+    old = spark.createDataFrame([("a", [1.0, 0.0])], TABLES["note_vec"])
+    at = s.commit(s.open(), {"notes": spark.createDataFrame([note("a", "one"), note("b", "two")], TABLES["notes"]), "note_vec": old}, {"embedder_id": "old", "embedder_dim": "2"})
+    with pytest.raises(store.Conflict):
+        notes.switch_model(s, str(tmp_path / "shadow"), embedder, "now", lambda: False, 2)
+    assert s.open().meta["embedder_id"] == "old" and s.table("note_vec").collect() == old.collect()
+    calls = []
+
+    def late():  # a note comes between the embedding and its commit
+        calls.append(1)
+        return True
+
+    class Racing(store.Store):
+        def commit(self, at, tables, meta=None, fence=None, check=True):
+            if not calls:
+                late()
+                super().commit(self.open(), {"notes": self.table("notes").unionByName(spark.createDataFrame([note("c", "three")], TABLES["notes"]))})
+            return super().commit(at, tables, meta, fence, check)
+
+    done = notes.switch_model(Racing(spark, str(tmp_path / "db")), str(tmp_path / "shadow"), embedder, "now", late, 2)
+    assert done.meta == {"embedder_id": "other", "embedder_dim": "4"} and done.revision == at.revision + 2
+    assert {r["id"]: len(r["embedding"]) for r in s.table("note_vec").collect()} == {"a": 4, "b": 4, "c": 4} and embedder.log() == ["one", "three", "two"]
+    assert [(r["kind"], r["status"]) for r in s.table("jobs").collect()] == [("link-cluster", "queued")]
+    assert notes.switch_model(s, str(tmp_path / "shadow"), embedder, "now").revision == done.revision
