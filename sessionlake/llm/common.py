@@ -57,6 +57,22 @@ def drop_table(df: DataFrame) -> None:
         system.delete(path, True)
 
 
+#: A key with one of so many rows is frequent; so there are at most as many such keys.
+FREQUENT = 1000
+
+
+def joined_by(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``keyed(*keys, n, …)`` but ``n``, the number of rows of a key, of which there are ``total``; null where it has none.
+
+    Frequent keys, which are few by definition, are broadcast, so that their rows stay where they are; others meet by a shuffle.
+    """
+    frequent = F.col("n") * FREQUENT >= total
+    values = [c for c in keyed.columns if c not in (*keys, "n")]
+    found = rows.join(F.broadcast(keyed.filter(frequent).select(*keys, F.struct(*values).alias("_found"))), keys, "left")
+    others = found.filter("_found IS NULL").drop("_found").join(keyed.filter(~frequent).drop("n"), keys, "left")
+    return others.unionByName(found.filter("_found IS NOT NULL").select(*rows.columns, "_found.*"))
+
+
 def text_column(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

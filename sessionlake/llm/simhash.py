@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import materialize, slices, table, text_column
+from sessionlake.llm.common import joined_by, materialize, slices, table, text_column
 from sessionlake.llm.components import connected_components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -75,34 +75,50 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(compute, "doc_id long, fp long")
 
 
+#: A half that more fingerprints have than this is told apart further, by the quarters of their other half.
+CROWDED = 256
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of ``distinct.fp`` at most three bits apart.
 
     Of two halves that differ in one bit, one is the other with a set bit cleared; so it is enough to look up a half
-    itself and the halves with one of its set bits cleared.
+    itself and the halves with one of its set bits cleared. Of a crowded half, the quarters of the other half are looked up along
+    with it: they are at most three bits apart, so one of them at most one. A half and a quarter leave 16 bits, so no group of fingerprints
+    that are compared with each other is larger than 65,536, whatever the texts are.
     """
-    halves = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), h.cast("long").alias("half")) for i, h in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))))).alias("h")).select("fp", "h.*")
-    balls = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(32)))
-    probes = halves.select(
-        F.col("fp").alias("p"), "side", F.explode(F.filter(balls, lambda bit: F.col("half").bitwiseAND(bit) == bit)).alias("bit"), "half"
-    ).select("p", "side", F.col("half").bitwiseXOR(F.col("bit")).alias("half"))
-    near = probes.join(halves, ["side", "half"]).filter("p <> fp").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= MAX_DISTANCE)
+    low = lambda c, bits: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    upper, lower = F.shiftrightunsigned("fp", 32), low("fp", 32)
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), h.cast("long").alias("half"), o.cast("long").alias("other")) for i, (h, o) in enumerate(((upper, lower), (lower, upper)))))
+    halves = materialize(distinct.select("fp", F.explode(sides).alias("h")).select("fp", "h.*"), "halves")
+    balls = lambda bits: F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(bits)))
+    probes = halves.select(F.col("fp").alias("p"), "side", "other", F.explode(F.filter(balls(32), lambda bit: F.col("half").bitwiseAND(bit) == bit)).alias("bit"), "half")
+    probes = probes.select("p", "side", F.col("half").bitwiseXOR(F.col("bit")).alias("half"), "other")
+    crowded = materialize(halves.groupBy("side", "half").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).withColumn("crowded", F.lit(True)), "crowded")
+    key, total = ["side", "half"], halves.count()
+    probes, members = (joined_by(df, crowded, key, total) for df in (probes, halves))
+    quarters = lambda df: df.filter("crowded").withColumn("q", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.shiftright("other", 16).alias("quarter")), F.struct(F.lit(1).alias("place"), low("other", 16).alias("quarter")))))
+    asked = quarters(probes).select("p", *key, "q.place", F.explode(balls(16)).alias("bit"), "q.quarter").withColumn("quarter", F.col("quarter").bitwiseXOR(F.col("bit")))
+    within = asked.join(quarters(members).select("fp", *key, "q.*"), [*key, "place", "quarter"])
+    alone = probes.filter("crowded IS NULL").join(members.filter("crowded IS NULL"), key)
+    near = alone.select("p", "fp").unionByName(within.select("p", "fp")).filter("p <> fp").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= MAX_DISTANCE)
     return near.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
 
 
 def components(fps: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of ``fps(doc_id, fp)``; ``root`` is the component's least fingerprint."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """(fp, root, component_id, n) for each distinct fingerprint of ``fps(doc_id, fp)``, of n rows; ``root`` is the component's least fingerprint."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")).withColumnRenamed("size", "n")
+    return joined_by(rooted.withColumnRenamed("n", "rows"), least, ["root"], distinct.count()).select("fp", "root", "component_id", F.col("rows").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    return fps.join(components(fps), "fp", "left").select("doc_id", "fp", "component_id")
+    found = materialize(components(fps).select("fp", "component_id", "n"), "found")
+    return joined_by(fps, found, ["fp"], fps.count()).select("doc_id", "fp", "component_id")
 
 
 #: Fingerprints of parts: tier i takes one shingle in RATE**(i+1) and has so many parts. Shingles go to parts by their hash; a

@@ -406,6 +406,23 @@ def test_fingerprints_and_components(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 20])
+def test_links_within_crowded_halves(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "CROWDED", most)
+    rng = np.random.default_rng(5)
+    half = 0x89ABCDEF
+    fps = {half << 32 | int(x) for x in rng.integers(0, 1 << 32, 40)} | {int(x) << 32 | half for x in rng.integers(0, 1 << 32, 40)} | {0, (1 << 64) - 1}
+    for f in [*fps]:
+        for n in (1, 2, 3, 4):
+            fps.add(f ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False)))
+            fps.add(f ^ sum(1 << int(i) for i in rng.choice(16, n, replace=False)))
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 400
+    assert simhash.links(spark.createDataFrame([], "fp long")).count() == 0
+
+
 def test_links_are_all_pairs_within_three_bits(spark):
     rng = np.random.default_rng(1)
     fps = set()
