@@ -251,6 +251,15 @@ def _scrubbed() -> str:
 
 
 ORACLE_SQL = {
+    "chunk_sizes": """WITH RECURSIVE l AS (SELECT doc_id, ix, length(x) + CASE WHEN ix < n THEN 1 ELSE 0 END AS w, n FROM
+  (SELECT doc_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS ix, len(p) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))),
+s AS (SELECT doc_id, 0::BIGINT AS ix, 0::BIGINT AS done, 0::BIGINT AS held, 0::BIGINT AS longest, 1::BIGINT AS n FROM l WHERE ix = 1
+  UNION ALL SELECT s.doc_id, l.ix,
+    s.done + CASE WHEN s.held > 0 AND s.held + l.w > 2000 THEN 1 ELSE 0 END + CASE WHEN l.w > 2000 THEN (l.w - 1) // 2000 ELSE 0 END,
+    CASE WHEN l.w > 2000 THEN l.w - (l.w - 1) // 2000 * 2000 WHEN s.held + l.w > 2000 THEN l.w ELSE s.held + l.w END,
+    greatest(s.longest, CASE WHEN s.held + l.w > 2000 THEN s.held ELSE 0 END, CASE WHEN l.w > 2000 THEN 2000 ELSE 0 END), l.n
+  FROM s JOIN l ON l.doc_id = s.doc_id AND l.ix = s.ix + 1)
+SELECT doc_id AS id, CASE WHEN done = 0 OR held > 0 THEN done + 1 ELSE done END AS chunks, CAST(greatest(longest, held) AS INTEGER) AS longest, true AS lossless FROM s WHERE ix = n AND ix > 0""",
     "pair_turns": f"WITH {PAIRED} SELECT * FROM turns",
     "transcript_text": f"WITH {PAIRED} SELECT session AS conversation, string_agg('User:' || chr(10) || prompt || chr(10) || chr(10) || 'Assistant:' || chr(10) || response, chr(10) || chr(10) ORDER BY position) AS transcript FROM turns GROUP BY 1",
     "conversation_stats": f"""WITH {PAIRED} SELECT session AS conversation, count(*) AS turn_count, min(position) AS first_at, max(position) AS last_at,

@@ -87,6 +87,18 @@ def dedup_ladder_bands(spark, d):
     return rounded(pairs.withColumn("band", decisions.band(F.col("similarity"), F.lit(False), RAIL)), "similarity")
 
 
+def guarded_bands(spark, d):
+    """Pairs by band where similarity alone merges nothing, by the stored thresholds and by this one; vectors of a label are exact copies if their ids say so."""
+    near = graph.similar(vectors(spark, d), None, RAIL.floor)
+    found = []
+    for model, shift in ((None, 0.0), ("hosted", 0.3), ("local-384", 0.25)):
+        rail = RAIL if model is None else decisions.rail_for(model)
+        exact = (F.col("src") + F.col("dst")) % 50 == 0
+        for name, r in (("plain", rail), ("guarded", rail.guarded())):
+            found.append(F.struct(F.lit(model or "test").alias("model"), F.lit(name).alias("rail"), decisions.band(F.col("similarity") + shift, exact, r).alias("band")))
+    return near.select(F.explode(F.array(*found)).alias("f")).groupBy("f.model", "f.rail", "f.band").count().withColumnRenamed("count", "n")
+
+
 def halves(spark, d) -> tuple[DataFrame, DataFrame]:
     v = vectors(spark, d)
     return v.select("id", F.slice("v", 1, 32).alias("embedding")), v.select("id", F.slice("v", 33, 32).alias("embedding"))
@@ -183,7 +195,7 @@ _ANCHOR_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS anchor, avg(CASE WHEN s >= {
 QUERIES = {
     f.__name__: f
     for f in (
-        search_onehop, link_topk, backbone_topk, merged_edges, boosted_edges, edge_best_neighbor, check_topk, standing_topic, standing_recent, dedup_ladder_bands, pairwise_cosine_stats, density_at_anchor,
+        search_onehop, link_topk, backbone_topk, merged_edges, boosted_edges, edge_best_neighbor, check_topk, standing_topic, standing_recent, dedup_ladder_bands, guarded_bands, pairwise_cosine_stats, density_at_anchor,
         threshold_at_density, calibration_carried, spearman_subspaces, reconcile_overlap, cluster_stats, cluster_order, louvain_clusters, reembed_missing, reembed_orphans,
     )
 }
@@ -203,6 +215,10 @@ ORDER BY similarity DESC, via, id LIMIT 20""",
 SELECT id, decided_at, round(sim, 6) AS similarity FROM t ORDER BY decided_at DESC NULLS LAST, sim DESC, id LIMIT 50""",
     "standing_recent": f"WITH {DATED} SELECT id, decided_at FROM d ORDER BY decided_at DESC NULLS LAST, id LIMIT 50",
     "dedup_ladder_bands": f"WITH {V} SELECT a, b, round(sim, 6) AS similarity, CASE WHEN sim >= 0.4 THEN 'merge' WHEN sim >= 0.3 THEN 'judge' ELSE 'none' END AS band FROM (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS sim FROM v x JOIN v y ON x.id < y.id) WHERE sim >= {RAIL.floor}",
+    "guarded_bands": f"""WITH {V}, p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS sim FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= {RAIL.floor}),
+m(model, shift, merge, low) AS (VALUES ('test', 0.0, 0.4, 0.3), ('hosted', 0.3, 0.7, 0.6), ('local-384', 0.25, 0.7176, 0.6127)), r(rail) AS (VALUES ('plain'), ('guarded'))
+SELECT model, rail, CASE WHEN (a + b) % 50 = 0 THEN 'exact' WHEN rail = 'plain' AND sim + CAST(shift AS DOUBLE) >= CAST(merge AS DOUBLE) THEN 'merge' WHEN sim + CAST(shift AS DOUBLE) >= CAST(low AS DOUBLE) THEN 'judge' ELSE 'none' END AS band, count(*) AS n
+FROM p, m, r GROUP BY 1, 2, 3""",
     "pairwise_cosine_stats": f"WITH {V}, {_pairs('p', 'e')} SELECT count(*) AS pairs, floor(avg(s) * 10000 + 0.5) / 10000 AS mean, floor(stddev_pop(s) * 10000 + 0.5) / 10000 AS sd FROM p",
     "density_at_anchor": f"WITH {V}, {_pairs('p', 'e')} {_ANCHOR_ROWS.format('p')}",
     "threshold_at_density": f"WITH {V}, {_pairs('p', 'e')} " + _at("p", "SELECT 'link' AS anchor, CAST(0.0436 AS DOUBLE) AS density UNION ALL SELECT 'judge_low', 0.2091 UNION ALL SELECT 'floor', 0.3756"),
