@@ -27,3 +27,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the same place, for tables."""
     _set(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the same place. For loops of many steps: unlike a checkpoint, it does not carry the plan's constraints on, which grow with every step."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

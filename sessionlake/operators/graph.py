@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sessionlake.checkpoints import checkpointed
+from sessionlake.checkpoints import checkpointed, written
 from sessionlake.functions.text import enforce_repo_prefix, normalize_repo, repo_display
 from sessionlake.operators.order import row_numbers
 
@@ -23,6 +23,8 @@ REPO_BOOST, RESOLUTION, OVERLAP = 0.10, 2.0, 0.5
 SEED = 1  #: of the order in which nodes are visited
 #: Rows of a matrix product; vectors of a part at least; bytes of a part of a tile at most.
 BLOCK, LEAST_PART, TILE_BYTES = 1024, 256, 32 << 20
+#: Links of a connected part that one task clusters; what modularity must gain for another sweep over a larger one.
+MOST_LINKS, LEAST_GAIN = 500_000, 1e-4
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -236,15 +238,19 @@ def louvain(ids: list, edges: list[tuple], total: float, resolution: float = RES
     """Communities of one connected part, by local moves and folding; ``total`` is the weight of all edges of the whole graph.
 
     A node joins the community whose modularity gain, against the whole graph's weight, is the greatest; the order of visits is
-    drawn from ``seed`` over the sorted nodes, and the least label settles ties, so the input's order is of no account.
+    drawn from ``seed`` over the sorted nodes, and the least label settles ties, so the input's order is of no account. An edge from
+    a node to itself is what lies within the node, if it stands for several.
     """
     ids = sorted(ids)
     place = {x: i for i, x in enumerate(ids)}
     near: list[dict[int, float]] = [{} for _ in ids]
+    loops, member = [0.0] * len(ids), list(range(len(ids)))
     for a, b, w in sorted(edges):
         i, j = place[a], place[b]
-        near[i][j] = near[j][i] = w
-    loops, member = [0.0] * len(ids), list(range(len(ids)))
+        if i == j:
+            loops[i] += w
+        else:
+            near[i][j] = near[j][i] = w
     rng = np.random.default_rng(seed)
     while True:
         n = len(near)
@@ -289,25 +295,96 @@ def _named(ids: list, member: list[int]) -> dict:
     return {x: least[m] for x, m in zip(ids, member, strict=True)}
 
 
-def clusters(nodes: DataFrame, weights: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+def modularity(edges: DataFrame, communities: DataFrame, total: float, resolution: float = RESOLUTION) -> float:
+    """Of ``communities(id, community)`` over ``edges(a, b, weight)``, each once, within a graph whose edges weigh ``total``."""
+    of = lambda end: communities.select(F.col("id").alias(end), F.col("community").alias(f"of_{end}"))
+    placed = edges.join(of("a"), "a").join(of("b"), "b")
+    ends = F.explode(F.array(F.struct(F.col("of_a").alias("c"), F.col("of_b").alias("d")), F.struct(F.col("of_b").alias("c"), F.col("of_a").alias("d")))).alias("e")
+    sums = placed.select(ends, "weight").groupBy("e.c").agg(F.sum("weight").alias("volume"), F.sum(F.when(F.col("e.c") == F.col("e.d"), F.col("weight") / 2)).alias("inner"))
+    each = F.coalesce("inner", F.lit(0.0)) / total - resolution * (F.col("volume") / (2 * total)) ** 2
+    return sums.agg(F.sum(each)).first()[0] or 0.0
+
+
+def moved(state: DataFrame, ends: DataFrame, total: float, resolution: float, sweep: int, half: int) -> DataFrame:
+    """``state(id, community, degree)`` after all nodes of one half have gone to the best community next to them.
+
+    Halves are drawn by hash anew in each sweep, so that two nodes which would only change places are parted soon. A node stays
+    where no other community is better; the least label settles ties. ``ends(x, y, weight)`` holds each edge from both sides.
+    """
+    chosen = lambda name: F.pmod(F.xxhash64(name, F.lit(sweep)), F.lit(2)) == half
+    volumes = state.groupBy("community").agg(F.sum("degree").alias("volume"))
+    near = ends.filter(chosen("x")).join(state.select(F.col("id").alias("y"), "community"), "y").select("x", "community", "weight")
+    home = state.filter(chosen("id")).select(F.col("id").alias("x"), F.col("community").alias("home"), "degree")
+    options = near.unionByName(home.select("x", F.col("home").alias("community"), F.lit(0.0).alias("weight"))).groupBy("x", "community").agg(F.sum("weight").alias("weight"))
+    known = options.join(volumes, "community").join(home, "x")
+    away = F.col("community") != F.col("home")
+    others = F.col("volume") - F.when(away, 0.0).otherwise(F.col("degree"))
+    gain = F.col("weight") / total - resolution * F.col("degree") * others / (2 * total * total)
+    best = known.groupBy("x").agg(F.min(F.struct(F.round(-gain * total, 9), away, "community"))["community"].alias("to"))
+    return state.join(best, F.col("id") == F.col("x"), "left").select("id", F.coalesce("to", "community").alias("community"), "degree")
+
+
+def settled(edges: DataFrame, total: float, resolution: float = RESOLUTION) -> DataFrame | None:
+    """(id, community) of the nodes of ``edges(a, b, weight)`` after local moves by halves, each a few joins; None if no sweep gains.
+
+    A sweep moves both halves once. Sweeps go on until two in a row gain less than ``LEAST_GAIN`` of what modularity these edges can
+    have, so there is an end to them; those two are dropped.
+    """
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight"))
+    ends = written(both.filter("x <> y"), "ends")
+    state = written(both.groupBy("x").agg(F.sum("weight").alias("degree")).select(F.col("x").alias("id"), F.col("x").alias("community"), "degree"), "nodes")
+    least = LEAST_GAIN * (edges.agg(F.sum("weight")).first()[0] or 0.0) / total
+    best, reached, sweep, idle = None, modularity(edges, state, total, resolution), 0, 0
+    while idle < 2:
+        for half in 0, 1:
+            state = written(moved(state, ends, total, resolution, sweep, half), "nodes")
+        now, sweep, idle = modularity(edges, state, total, resolution), sweep + 1, idle + 1
+        if now > reached + least:
+            best, reached, idle = state.select("id", "community"), now, 0
+    return best
+
+
+def clusters(nodes: DataFrame, weights: DataFrame, resolution: float = RESOLUTION, most_links: int = MOST_LINKS) -> DataFrame:
     """(id, community): Louvain communities, named by their least member; nodes without links are their own.
 
     No community spans connected components, so each component is a group of its own, which carries the whole graph's weight.
-    Links to unknown nodes and repeated ones are left out.
+    One of over ``most_links`` is first moved and folded by joins, level by level, until what is left of it fits into a task or
+    no move gains any more. Links to unknown nodes and repeated ones are left out.
     """
     known = weights.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
     once = checkpointed(known.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight")))
     total = once.agg(F.sum("weight")).first()[0] or 0.0
     id_type = nodes.schema["id"].dataType.simpleString()
     parts = connected(once, nodes)
-    grouped = once.join(parts.select(F.col("id").alias("a"), "component"), "a")
+    graph = once.join(parts.select(F.col("id").alias("a"), "component"), "a")
+    member = None  # (id, at): the folded node that stands for each node of a large component
+    while True:
+        sizes = written(graph.groupBy("component").count().filter(F.col("count") > most_links), "sizes")
+        if not sizes.head(1):
+            break
+        large, graph = written(graph.join(sizes, "component", "left_semi"), "large"), graph.join(sizes, "component", "left_anti")
+        found = settled(large.select("a", "b", "weight"), total, resolution)
+        if found is None:
+            break
+        of = lambda end: found.select(F.col("id").alias(end), F.col("community").alias(f"of_{end}"))  # noqa: B023, E731
+        joined = large.join(of("a"), "a").join(of("b"), "b")
+        folded = joined.groupBy("component", F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).agg(F.sum("weight").alias("weight"))
+        graph = written(graph.select("component", "a", "b", "weight").unionByName(folded), "folded")
+        further = found.select(F.col("id").alias("at"), "community")
+        at = found.select("id", F.col("community").alias("at")) if member is None else member.join(further, "at", "left").select("id", F.coalesce("community", "at").alias("at"))
+        member = written(at, "member")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         found = louvain([*{*frame["a"], *frame["b"]}], list(frame[["a", "b", "weight"]].itertuples(index=False, name=None)), total, resolution)
         return pd.DataFrame({"id": list(found), "community": list(found.values())})
 
-    solved = grouped.groupBy("component").applyInPandas(solve, f"id {id_type}, community {id_type}")
-    return nodes.select("id").distinct().join(solved, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    solved = graph.select("component", "a", "b", "weight").groupBy("component").applyInPandas(solve, f"id {id_type}, community {id_type}")
+    every = nodes.select("id").distinct()
+    if member is None:
+        return every.join(solved, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    at = every.join(member, "id", "left").select("id", F.coalesce("at", "id").alias("at"))
+    ends = checkpointed(at.join(solved.withColumnRenamed("id", "at"), "at", "left").select("id", F.coalesce("community", "at").alias("community")))
+    return ends.join(ends.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
 
 
 def collated(name: str, df: DataFrame) -> Column:

@@ -146,10 +146,15 @@ def cluster_order(spark, d):
     return found.select("id", "community", "cluster", "size")
 
 
-def louvain_clusters(spark, d):
+def louvain_clusters(spark, d, most_links=graph.MOST_LINKS):
     notes = vectors(spark, d)
     weights = graph.boosted(graph.merged(threshold_links(spark, d), graph.backbone(notes)), notes)
-    return graph.numbered(graph.clusters(notes.select("id"), weights))
+    return graph.numbered(graph.clusters(notes.select("id"), weights, most_links=most_links))
+
+
+def louvain_by_joins(spark, d):
+    """The same notes, with no component left to a task: every level is moved and folded by joins."""
+    return louvain_clusters(spark, d, most_links=0)
 
 
 def reembed_missing(spark, d):
@@ -196,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_onehop, link_topk, backbone_topk, merged_edges, boosted_edges, edge_best_neighbor, check_topk, standing_topic, standing_recent, dedup_ladder_bands, guarded_bands, pairwise_cosine_stats, density_at_anchor,
-        threshold_at_density, calibration_carried, spearman_subspaces, reconcile_overlap, cluster_stats, cluster_order, louvain_clusters, reembed_missing, reembed_orphans,
+        threshold_at_density, calibration_carried, spearman_subspaces, reconcile_overlap, cluster_stats, cluster_order, louvain_clusters, louvain_by_joins, reembed_missing, reembed_orphans,
     )
 }
 ORACLE_SQL = {

@@ -535,6 +535,43 @@ def test_thresholds_are_reconciled():
     assert calibrate.reconciled({"a": 0.5}, None) == {"a": 0.5}
 
 
+def brute_modularity(edges, of, total, resolution):
+    volume, inner = {}, {}
+    for a, b, w in edges:
+        for x in (a, b):
+            volume[of[x]] = volume.get(of[x], 0.0) + w
+        if of[a] == of[b]:
+            inner[of[a]] = inner.get(of[a], 0.0) + w
+    return sum(inner.get(c, 0.0) / total - resolution * (v / (2 * total)) ** 2 for c, v in volume.items())
+
+
+def test_large_components_are_clustered_by_joins(spark):
+    rng = random.Random(7)
+    names = [f"n{i:03d}" for i in range(160)]
+    edges = [(a, b, rng.uniform(0.7, 1.0)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and rng.random() < (0.5 if i % 8 == j % 8 else 0.02)]
+    small = [("x", "y", 0.9), ("y", "z", 0.8)]
+    total = sum(w for _, _, w in edges + small)
+    nodes = spark.createDataFrame([(n,) for n in [*names, "x", "y", "z", "alone"]], "id string")
+    links = spark.createDataFrame(edges + small + [("x", "unknown", 1.0), ("y", "x", 0.1), ("y", "y", 1.0)], "a string, b string, weight double")
+    for most in 200, 0:
+        found = graph.clusters(nodes, links, most_links=most)
+        of = {r["id"]: r["community"] for r in found.collect()}
+        assert len(of) == 164 and of["alone"] == "alone" and of["x"] == of["y"] == "x" and found.count() == 164
+        for c in set(of.values()):
+            assert c == min(x for x in of if of[x] == c)
+        assert all(of[n] == names[int(n[1:]) % 8] for n in names)
+        told = graph.modularity(links.join(nodes.withColumnRenamed("id", "b"), "b").filter("a < b"), found, total)
+        assert told == pytest.approx(brute_modularity(edges + small, of, total, 2.0), abs=1e-9)
+    alone = {n: of[n] for n in names}
+    assert brute_modularity(edges, alone, total, 2.0) >= 0.99 * brute_modularity(edges, graph.louvain(names, edges, total), total, 2.0)
+
+
+def test_clusters_of_an_empty_graph(spark):
+    nodes, links = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "a string, b string, weight double")
+    assert [tuple(r) for r in graph.clusters(nodes, links, most_links=0).collect()] == [("a", "a")]
+    assert graph.clusters(nodes.limit(0), links, most_links=0).count() == 0
+
+
 def test_spearman_breaks_ties_by_position(spark):
     df = spark.createDataFrame([(0, 1, 0.5, 0.1), (0, 2, 0.5, 0.2), (1, 2, 0.5, 0.3)], "i int, j int, s double, t double")
     assert calibrate.spearman(df).first()["spearman"] == 1.0

@@ -16,8 +16,9 @@ def test_chunks_are_lossless_and_within_budget(spark, data):
     assert found and all(r["lossless"] and r["longest"] <= 2000 for r in found)
 
 
-def test_louvain_covers_every_node_once(spark, data):
-    found = catalog.QUERIES["louvain_clusters"](spark, data).collect()
+@pytest.mark.parametrize("name", ["louvain_clusters", "louvain_by_joins"])
+def test_louvain_covers_every_node_once(spark, data, name):
+    found = catalog.QUERIES[name](spark, data).collect()
     assert len({r["id"] for r in found}) == len(found) == 500
     assert sum(1 for r in found if r["cluster"] == 0) == max(r["size"] for r in found)
 
