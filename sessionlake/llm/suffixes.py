@@ -163,16 +163,21 @@ def _rows(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: ``anchor``, a context with its text and place; ``span``, bytes known to be repeated within their text."""
+    """Rows of two kinds: ``anchor``, a context with its text and place; ``span``, bytes known to be repeated, as the text has them twice or a copy of it was read."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen = [], 0, {}
         for batch in batches:
             for text in batch["text"]:
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(data) < LENGTH or (key := digest(data)) in seen:
+                if len(data) < LENGTH:
+                    continue
+                key = digest(data)
+                seen[key] = seen.get(key, 0) + 1
+                if seen[key] > 1:  # its anchors are out already; a copy says that all of it is repeated
+                    if seen[key] == 2:
+                        yield _rows("span", *(np.array([x]) for x in (0, 0, *key, 0, len(data), 0, 0)))
                     continue
-                seen.add(key)
                 for offset in range(0, len(data) - LENGTH + 1, STRETCH - LENGTH + 1):
                     held.append((key, offset, data[offset : offset + STRETCH]))
                     size += len(held[-1][2])

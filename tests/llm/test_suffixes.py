@@ -64,6 +64,13 @@ def test_planted_passages_as_by_brute_force(spark, seed, hot):
     check(spark, planted(seed), hot)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_copies_that_one_task_reads_are_repeats(spark, parts):
+    alone, twice = prose(41, 60), prose(42, 80)
+    texts = [twice, alone, twice, prose(43, 3) + twice[30:400], "short", "short", *[prose(44, 70)] * 4]
+    check(spark, texts, parts=parts)
+
+
 def test_long_texts_are_read_by_stretches(spark):
     shared = prose(5, 400)
     long = "".join(prose(100 + i, 3000) for i in range(60))
