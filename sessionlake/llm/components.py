@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     Each round hangs a node's larger neighbours, then its smaller ones, under the least of them, until nothing moves
     (logarithmically many rounds). No neighbourhood is gathered: minima combine before the shuffle, and the joins back
     leave the edges of hubs in place. Loops and repeated edges do no
-    harm, edges with a null end are left out. Every round is written to the shared folder.
+    harm, edges with a null end are left out. Every round is written to the shared folder, and so are its steps, each of which
+    is read several times: as one plan a round would hold the first step some thirty times, for the driver to keep.
     """
     current = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -37,13 +38,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(max_rounds):
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_least(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        under = with_least(large, least, seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = materialize(under.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        first = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = materialize(with_least(both, first, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        second = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        under = with_least(large, second, seen[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = materialize(under.unionByName(second.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = following.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        drop_table(current)
+        for done in (current, first, large, second):
+            drop_table(done)
         current = following
         if now == seen:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import joined_by, materialize, slices, table, text_column
+from sessionlake.llm.common import drop_table, joined_by, materialize, slices, table, text_column
 from sessionlake.llm.components import connected_components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -185,14 +185,16 @@ def unsettled(keyed: DataFrame, near: DataFrame, contents: DataFrame, roots: Dat
     those of two contents, are settled. In the others, contents of one root (that of the least content) meet
     only the rest, and the rest meet each other, by salted blocks: a task holds two blocks, without texts.
     """
-    rooted = contents.select(F.col("content").alias("x"), "fp").join(roots, "x", "left").select("x", "fp", F.coalesce("root", "x").alias("root"))
+    rooted = materialize(contents.select(F.col("content").alias("x"), "fp").join(roots, "x", "left").select("x", "fp", F.coalesce("root", "x").alias("root")), "rooted")
     by_fp = rooted.groupBy("fp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     of = lambda end: by_fp.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "lo", "hi")))
     mixed = near.join(of("a"), "a").join(of("b"), "b").filter("n_a + n_b > 2 AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
     ends = mixed.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key"))
-    shared = keyed.join(rooted, "x").select("key", "x", "root").unionByName(rooted.join(ends, "fp").select("key", "x", "root"))
+    shared = materialize(keyed.join(rooted, "x").select("key", "x", "root").unionByName(rooted.join(ends, "fp").select("key", "x", "root")), "shared")
     buckets = shared.groupBy("key").agg(F.min_by("root", "x").alias("main"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
     members = materialize(shared.join(buckets.select("key", "main"), "key").select("key", "x", "root", (F.col("root") == F.col("main")).alias("main")), "members")
+    for done in (rooted, shared):
+        drop_table(done)
     blocks = lambda own: F.ceil(F.count_if(own) / BLOCK).cast("long")
     placed = members.join(members.groupBy("key").agg(blocks(~F.col("main")).alias("rest"), blocks(F.col("main")).alias("mains")), "key")
     own = F.pmod(F.xxhash64("x"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rest")))

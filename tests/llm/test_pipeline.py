@@ -51,3 +51,28 @@ def test_stages_one_by_one_against_plain_python(spark, data):
 def test_run_is_all_stages(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_steps_of_near_dedup_are_written_once(spark, monkeypatch):
+    """No plan that near_dedup writes holds a step many times over, and contents meet their groups once in a pass."""
+    from sessionlake.llm import components, simhash
+
+    plans = []
+
+    def recorded(write):
+        def run(df, name):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return write(df, name)
+
+        return run
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "materialize", recorded(module.materialize))
+    base = [f"word{i}" for i in range(200)]
+    texts = [" ".join(base[:at] + ["other"] + base[at:]) for at in range(0, 200, 20)] + ["something else"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [0, 10]
+    reads = [p.count("Relation [") for p in plans]
+    assert max(reads) <= 20, reads
+    meet = [p.count("LeftOuter, (x#") for p in plans]
+    assert sum(meet) == 2, meet
