@@ -57,6 +57,15 @@ def drop_table(df: DataFrame) -> None:
         system.delete(path, True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that shuffles, sorts and merges, whatever size Spark takes its sides to have.
+
+    Spark knows a table by its compressed files, and does not count the rows that an explode makes of them. So it may take a table of
+    hundreds of megabytes for one below its limit for broadcasts, and build it in the driver.
+    """
+    return df.hint("merge")
+
+
 #: A key with one of so many rows is frequent; so there are at most as many such keys.
 FREQUENT = 1000
 
@@ -69,7 +78,7 @@ def joined_by(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) ->
     frequent = F.col("n") * FREQUENT >= total
     values = [c for c in keyed.columns if c not in (*keys, "n")]
     found = rows.join(F.broadcast(keyed.filter(frequent).select(*keys, F.struct(*values).alias("_found"))), keys, "left")
-    others = found.filter("_found IS NULL").drop("_found").join(keyed.filter(~frequent).drop("n"), keys, "left")
+    others = found.filter("_found IS NULL").drop("_found").join(merged(keyed.filter(~frequent).drop("n")), keys, "left")
     return others.unionByName(found.filter("_found IS NOT NULL").select(*rows.columns, "_found.*"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import drop_table, materialize
+from sessionlake.llm.common import drop_table, materialize, merged
 
 
 #: A node with one of so many ends of all edges is a hub; there are at most so many hubs.
@@ -19,7 +19,7 @@ def with_least(ends: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     """
     hubs = least.filter(F.col("n") * HUBS >= edges).select("u", F.col("m").alias("hub"))
     marked = ends.join(F.broadcast(hubs), "u", "left")
-    others = marked.filter("hub IS NULL").join(least, "u").select("u", "v", "m")
+    others = marked.filter("hub IS NULL").join(merged(least), "u").select("u", "v", "m")
     return others.unionByName(marked.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")))
 
 

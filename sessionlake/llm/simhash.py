@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm.common import drop_table, joined_by, materialize, slices, table, text_column
+from sessionlake.llm.common import drop_table, joined_by, materialize, merged, slices, table, text_column
 from sessionlake.llm.components import connected_components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -99,8 +99,8 @@ def links(distinct: DataFrame) -> DataFrame:
     probes, members = (joined_by(df, crowded, key, total) for df in (probes, halves))
     quarters = lambda df: df.filter("crowded").withColumn("q", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.shiftright("other", 16).alias("quarter")), F.struct(F.lit(1).alias("place"), low("other", 16).alias("quarter")))))
     asked = quarters(probes).select("p", *key, "q.place", F.explode(balls(16)).alias("bit"), "q.quarter").withColumn("quarter", F.col("quarter").bitwiseXOR(F.col("bit")))
-    within = asked.join(quarters(members).select("fp", *key, "q.*"), [*key, "place", "quarter"])
-    alone = probes.filter("crowded IS NULL").join(members.filter("crowded IS NULL"), key)
+    within = asked.join(merged(quarters(members).select("fp", *key, "q.*")), [*key, "place", "quarter"])
+    alone = probes.filter("crowded IS NULL").join(merged(members.filter("crowded IS NULL")), key)
     near = alone.select("p", "fp").unionByName(within.select("p", "fp")).filter("p <> fp").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= MAX_DISTANCE)
     return near.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
 
@@ -109,7 +109,7 @@ def components(fps: DataFrame) -> DataFrame:
     """(fp, root, component_id, n) for each distinct fingerprint of ``fps(doc_id, fp)``, of n rows; ``root`` is the component's least fingerprint."""
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    rooted = distinct.join(merged(roots), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")).withColumnRenamed("size", "n")
     return joined_by(rooted.withColumnRenamed("n", "rows"), least, ["root"], distinct.count()).select("fp", "root", "component_id", F.col("rows").alias("n"))
 
@@ -185,25 +185,25 @@ def unsettled(keyed: DataFrame, near: DataFrame, contents: DataFrame, roots: Dat
     those of two contents, are settled. In the others, contents of one root (that of the least content) meet
     only the rest, and the rest meet each other, by salted blocks: a task holds two blocks, without texts.
     """
-    rooted = materialize(contents.select(F.col("content").alias("x"), "fp").join(roots, "x", "left").select("x", "fp", F.coalesce("root", "x").alias("root")), "rooted")
+    rooted = materialize(contents.select(F.col("content").alias("x"), "fp").join(merged(roots), "x", "left").select("x", "fp", F.coalesce("root", "x").alias("root")), "rooted")
     by_fp = rooted.groupBy("fp").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     of = lambda end: by_fp.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "lo", "hi")))
-    mixed = near.join(of("a"), "a").join(of("b"), "b").filter("n_a + n_b > 2 AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
+    mixed = near.join(merged(of("a")), "a").join(merged(of("b")), "b").filter("n_a + n_b > 2 AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)")
     ends = mixed.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key"))
-    shared = materialize(keyed.join(rooted, "x").select("key", "x", "root").unionByName(rooted.join(ends, "fp").select("key", "x", "root")), "shared")
+    shared = materialize(keyed.join(merged(rooted), "x").select("key", "x", "root").unionByName(rooted.join(merged(ends), "fp").select("key", "x", "root")), "shared")
     buckets = shared.groupBy("key").agg(F.min_by("root", "x").alias("main"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 AND lo <> hi")
-    members = materialize(shared.join(buckets.select("key", "main"), "key").select("key", "x", "root", (F.col("root") == F.col("main")).alias("main")), "members")
+    members = materialize(shared.join(merged(buckets.select("key", "main")), "key").select("key", "x", "root", (F.col("root") == F.col("main")).alias("main")), "members")
     for done in (rooted, shared):
         drop_table(done)
     blocks = lambda own: F.ceil(F.count_if(own) / BLOCK).cast("long")
-    placed = members.join(members.groupBy("key").agg(blocks(~F.col("main")).alias("rest"), blocks(F.col("main")).alias("mains")), "key")
+    placed = members.join(merged(members.groupBy("key").agg(blocks(~F.col("main")).alias("rest"), blocks(F.col("main")).alias("mains"))), "key")
     own = F.pmod(F.xxhash64("x"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rest")))
     group = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("group"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
     upto = lambda count, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)
     apart = lambda t: F.when(t == F.col("own"), 2).when(F.col("own") < t, 0).otherwise(1)
     rest = F.concat(upto("rest", lambda t: group(0, F.least("own", t), F.greatest("own", t), apart(t))), upto("mains", lambda t: group(1, F.col("own"), t, 0)))
     dealt = placed.withColumn("own", own).withColumn("g", F.explode(F.when(F.col("main"), upto("rest", lambda t: group(1, t, F.col("own"), 1))).otherwise(rest)))
-    described = dealt.select("g.group", "g.side", "x", "root").join(contents.select(F.col("content").alias("x"), "size", "sketch"), "x")
+    described = dealt.select("g.group", "g.side", "x", "root").join(merged(contents.select(F.col("content").alias("x"), "size", "sketch")), "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows, at = [], [], None
@@ -270,10 +270,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tup
     contents = materialize(marked.groupBy(F.col("__content").alias("content")).agg(*(F.first(f"__{c}").alias(c) for c in described[1:]), F.min(own_id).alias("id")), "contents")
     firsts = contents.groupBy("fp").agg(F.min("content").alias("content"))
     near = materialize(links(firsts.select("fp")), "near")
-    whole = near.join(firsts.select(F.col("fp").alias("a"), F.col("content").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("content").alias("y")), "b").select("x", "y")
+    first = lambda end, name: merged(firsts.select(F.col("fp").alias(end), F.col("content").alias(name)))
+    whole = near.join(first("a", "x"), "a").join(first("b", "y"), "b").select("x", "y")
     keyed = contents.select(F.col("content").alias("x"), F.explode(F.concat("keys", F.array("fp"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("x").alias("y"), F.count("*").alias("n")).filter("n > 1")
-    parts = keyed.join(shared, "key").filter("x <> y").select("x", "y")
+    parts = keyed.join(merged(shared), "key").filter("x <> y").select("x", "y")
     pairs = materialize(whole.unionByName(parts).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
 
     @F.pandas_udf("double")
@@ -282,17 +283,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> tup
 
     def linked(pairs: DataFrame) -> DataFrame:
         involved = pairs.select(F.explode(F.array("x", "y")).alias("content")).distinct()
-        asked = involved.join(contents.select("content", "id"), "content").select(F.col("content").alias("c"), "id")
-        found = marked.join(asked, (F.col("__content") == F.col("c")) & own_id.eqNullSafe(F.col("id")), "left_semi")  # one of the copies
+        asked = involved.join(merged(contents.select("content", "id")), "content").select(F.col("content").alias("c"), "id")
+        found = marked.join(merged(asked), (F.col("__content") == F.col("c")) & own_id.eqNullSafe(F.col("id")), "left_semi")  # one of the copies
         texts = materialize(found.groupBy("__content").agg(F.first(text_column()).alias("text")), "candidate-texts")
-        texts_of = lambda name, text: texts.select(F.col("__content").alias(name), F.col("text").alias(text))
+        texts_of = lambda name, text: merged(texts.select(F.col("__content").alias(name), F.col("text").alias(text)))
         similar = pairs.join(texts_of("x", "s"), "x").join(texts_of("y", "t"), "y").filter(likeness("s", "t") >= least)
         return similar.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     edges = materialize(linked(pairs), "links")
     groups = connected_components(edges)
     for limit in (FIRST_PARTNERS, None):
-        more = materialize(unsettled(keyed, near, contents, groups.select(F.col("node").alias("x"), "root"), least, limit).join(pairs, ["x", "y"], "left_anti"), "candidates")
+        more = materialize(unsettled(keyed, near, contents, groups.select(F.col("node").alias("x"), "root"), least, limit).join(merged(pairs), ["x", "y"], "left_anti"), "candidates")
         found = materialize(linked(more), "links")
         pairs = pairs.unionByName(more)
         if found.isEmpty():
@@ -310,10 +311,10 @@ def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     marked, groups = similar_groups(docs, shingle, least)
     roots = groups.select(F.col("node").alias("__content"), F.col("root").alias("__root"))
     ids = marked.select("__content", F.col("doc_id").cast("long").alias("__id")).groupBy("__content").agg(F.min("__id").alias("__id"))
-    rooted = ids.join(roots, "__content", "left").select("__content", F.coalesce("__root", "__content").alias("__root"), "__id")
+    rooted = ids.join(merged(roots), "__content", "left").select("__content", F.coalesce("__root", "__content").alias("__root"), "__id")
     first = rooted.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__content"))).alias("__m"))
     chosen = first.select(F.col("__m.__content").alias("__chosen"), F.col("__m.__id").alias("__first"))
-    kept = marked.join(chosen, (F.col("__content") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
+    kept = marked.join(merged(chosen), (F.col("__content") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__first")))
     return kept.dropDuplicates(["__content"]).select(*docs.columns)
 
 

@@ -436,6 +436,40 @@ def test_links_are_all_pairs_within_three_bits(spark):
     assert got == want and len(want) > 50
 
 
+def broadcast_parts(df) -> list[str]:
+    """What lies below each broadcast of the plan that ``df``, already collected, ran as."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    parts = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            parts.append("\n".join(lines[i + 1 : end]))
+    return parts
+
+
+def test_rows_that_an_explode_makes_are_not_broadcast(spark):
+    rng = np.random.default_rng(3)
+    found = simhash.links(spark.createDataFrame([(int(f),) for f in rng.integers(0, 1 << 63, 400)], "fp long"))
+    assert found.collect() == []
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert all("* 1000) >= 800" in x for x in broadcast_parts(found))  # the frequent of the crowded halves alone
+
+
+def test_only_frequent_keys_are_broadcast(spark):
+    from sessionlake.llm.common import joined_by
+    from sessionlake.llm.components import with_least
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    found = joined_by(rows, rows.select("k", F.lit(2).alias("w"), F.lit(1).cast("long").alias("n")), ["k"], 3000)
+    assert found.filter("w = 2").count() == len(found.collect()) == 3000
+    ends = rows.select(F.col("k").alias("u"), F.col("v").alias("v"))
+    least = with_least(ends, rows.select(F.col("k").alias("u"), F.lit(0).alias("m"), F.lit(1).alias("n")), 3000)
+    assert len(least.collect()) == 3000
+    for df in found, least:
+        assert all("* 1000) >= 3000" in x or "* 500) >= 3000" in x for x in broadcast_parts(df))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from sessionlake.llm.components import connected_components
 
