@@ -21,58 +21,112 @@ from sessionlake.operators.order import row_numbers
 LINK_K, BACKBONE_K, BACKBONE_WEIGHT = 10, 3, 0.5
 REPO_BOOST, RESOLUTION, OVERLAP = 0.10, 2.0, 0.5
 SEED = 1  #: of the order in which nodes are visited
-#: Rows of a matrix product; vectors of a part at least; bytes of a part of a tile at most.
-BLOCK, LEAST_PART, TILE_BYTES = 1024, 256, 32 << 20
+#: Rows of a matrix product; vectors of a part at least; bytes of a part of a tile at most; products that are summed at once.
+BLOCK, LEAST_PART, TILE_BYTES, PRODUCTS = 1024, 256, 32 << 20, 1 << 20
 #: Links of a connected part that one task clusters; what modularity must gain for another sweep over a larger one.
 MOST_LINKS, LEAST_GAIN = 500_000, 1e-4
 
 
-def _norms(x: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x))
-
+def dots(x: np.ndarray, y: np.ndarray, r: np.ndarray | None = None, c: np.ndarray | None = None) -> np.ndarray:
+    """Products of rows ``r`` of ``x`` and ``c`` of ``y`` (all in turn by default), summed from left to right, as single vectors would be."""
+    n, width = len(x) if r is None else len(r), x.shape[1]
+    out, step = np.zeros(n), max(1, PRODUCTS // max(1, width))
+    for at in range(0, n if width else 0, step):
+        k = slice(at, at + step)
+        out[k] = np.cumsum((x[k] if r is None else x[r[k]]) * (y[k] if c is None else y[c[k]]), axis=1)[:, -1]
+    return out
 
-def _units(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num(x / norms[:, None], nan=0.0, posinf=0.0, neginf=0.0)
 
+def slack(width: int) -> float:
+    """By how much a product of unit vectors in single precision may differ from the exact one, at most, in any order of sums."""
+    return (width + 4) * 2.0**-23
 
-def alike(a: np.ndarray, b: np.ndarray | None, floor: float, k: int | None, code: np.ndarray, other: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, similarity) of rows i of ``a`` and j of ``b``, or of pairs of ``a`` alone, by blocks: all of at least ``floor``, or the ``k`` best of each row.
 
-    Rows are put in order of their angle to one of them, the pivot. Blocks whose angles lie so far apart that no pair can reach
-    ``floor`` are passed over. Of others a matrix product tells which pairs may qualify; only these are summed from left to right, as
-    single vectors would be. With ``k``, more than the best may come, as each block gives its own. Rows of equal ``code`` are no pair,
-    where ``other`` has codes for ``b`` or there is no ``b``.
+def _units(x: np.ndarray, norms: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at unit length in single precision (zero where that is no number), and their angles to the row ``pivot``."""
+    out, angles, step = np.empty(x.shape, np.float32), np.empty(len(x)), max(1, PRODUCTS // max(1, x.shape[1]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scaled = lambda rows, n: np.nan_to_num(rows / n, nan=0.0, posinf=0.0, neginf=0.0)
+        to = scaled(pivot, np.sqrt((pivot * pivot).sum()))
+        for at in range(0, len(x), step):
+            k = slice(at, at + step)
+            rows = scaled(x[k], norms[k, None])
+            out[k], angles[k] = rows, np.arccos(np.clip(rows @ to, -1, 1))
+    return out, angles
+
+
+class Best:
+    """The ``k`` best partners of each row so far, and the least similarity that a further one needs; 16 k bytes a row, however many come."""
+
+    def __init__(self, code: np.ndarray, k: int, floor: float) -> None:
+        self.code, self.k, self.floor = np.append(code, np.iinfo(np.int64).max), k, floor
+        self.to, self.similarity = np.full((len(code), k), -1), np.full((len(code), k), -np.inf)
+        self.least = np.full(len(code), floor if k else np.inf)
+
+    def put(self, src: np.ndarray, dst: np.ndarray, s: np.ndarray) -> None:
+        """Take pairs of rows; the least code of ``dst`` settles ties."""
+        if not len(src) or not self.k:
+            return
+        rows = np.unique(src)
+        src, dst, s = (np.concatenate(x) for x in ((np.repeat(rows, self.k), src), (self.to[rows].ravel(), dst), (self.similarity[rows].ravel(), s)))
+        order = np.lexsort((self.code[dst], -s, src))
+        src, place = src[order], np.arange(len(src))
+        kept = order[place - np.maximum.accumulate(np.where(np.diff(src, prepend=-1) != 0, place, 0)) < self.k]
+        self.to[rows], self.similarity[rows] = dst[kept].reshape(-1, self.k), s[kept].reshape(-1, self.k)
+        self.least[rows] = np.maximum(self.floor, self.similarity[rows, -1])
+
+
+def alike(a: np.ndarray, b: np.ndarray | None, floor: float, code: np.ndarray, other: np.ndarray | None, best: Best | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, similarity) of rows i of ``a`` and j of ``b``, or of pairs of ``a`` alone, by blocks: all of at least ``floor``, or what ``best`` may need.
+
+    Rows are put in order of their angle to one of them, the pivot. Blocks whose angles lie so far apart that no pair can qualify
+    are passed over. Of others a matrix product tells which pairs may qualify (``slack``); only these are summed from left to
+    right, as single vectors would be. ``best`` has the rows of ``a``, then those of ``b``; the caller puts in what comes, so that a pair
+    of a later block must be better than those of the blocks before. Rows of equal ``code`` are no pair, where ``other`` has codes
+    for ``b`` or there is no ``b``.
     """
     x, y = a, a if b is None else b
     if not len(x) or not len(y):
         return
-    x_norm, y_norm = _norms(x), _norms(y)
-    x_unit, y_unit = _units(x, x_norm), _units(y, y_norm)
-    x_angle, y_angle = (np.arccos(np.clip(u @ x_unit[0], -1, 1)) for u in (x_unit, y_unit))
+    x_norm = np.sqrt(dots(x, x))
+    y_norm = x_norm if b is None else np.sqrt(dots(y, y))
+    x_unit, x_angle = _units(x, x_norm, x[0])
+    y_unit, y_angle = (x_unit, x_angle) if b is None else _units(y, y_norm, x[0])
     x_order, y_order = np.argsort(x_angle, kind="stable"), np.argsort(y_angle, kind="stable")
+    x_unit = x_unit[x_order]
+    y_unit = x_unit if b is None else y_unit[y_order]
     x_code, y_code = code, code if b is None else other
+    repeated = y_code is not None and (len(np.unique(x_code)) < len(x_code) if b is None else bool(np.isin(x_code, y_code).any()))
+    least = np.full(len(x), floor) if best is None else best.least[: len(x)]
+    under = (least if b is None else np.full(len(y), floor)) if best is None else least if b is None else best.least[len(x) :]
+    k, off = None if best is None else best.k, 2 * slack(x.shape[1])
     for p in range(0, len(x), BLOCK):
         i = x_order[p : p + BLOCK]
         for q in range(p if b is None else 0, len(y), BLOCK):
             j = y_order[q : q + BLOCK]
+            need, needs = least[i], under[j]
             gap = max(x_angle[i[0]] - y_angle[j[-1]], y_angle[j[0]] - x_angle[i[-1]], 0.0)
-            if math.cos(gap) < floor - 1e-6:
+            if math.cos(gap) < min(need.min(), needs.min()) - 1e-6:
                 continue
-            rough = x_unit[i] @ y_unit[j].T
-            if y_code is not None:
+            rough = x_unit[p : p + BLOCK] @ y_unit[q : q + BLOCK].T
+            own = b is None and p == q
+            if own:
+                np.fill_diagonal(rough, -np.inf)
+            if repeated:
                 rough[np.equal.outer(x_code[i], y_code[j])] = -np.inf
-            least, under = np.full(len(i), floor), np.full(len(j), floor)
-            if k is not None and k < len(j):
-                least = np.maximum(least, -np.partition(-rough, k - 1, axis=1)[:, k - 1] if k else np.inf)
-            if k is not None and k < len(i):
-                under = np.maximum(under, -np.partition(-rough, k - 1, axis=0)[k - 1] if k else np.inf)
-            may = ((rough >= least[:, None] - 1e-9) | (rough >= under - 1e-9)) & (rough > -np.inf)
-            r, c = np.nonzero(np.triu(may, 1) if b is None and p == q else may)
+            reach = lambda: (rough >= (need - off).astype(np.float32)[:, None]) | (rough >= (needs - off).astype(np.float32))  # noqa: B023, E731
+            may = reach()
+            if k and np.count_nonzero(may) > 4 * k * (len(i) + len(j)):  # rows that have no k partners yet
+                if k < len(j):
+                    need = np.maximum(need, np.partition(rough, len(j) - k, axis=1)[:, len(j) - k])
+                if k < len(i):
+                    needs = np.maximum(needs, np.partition(rough, len(i) - k, axis=0)[len(i) - k])
+                may = reach()
+            may &= rough > -np.inf
+            r, c = np.nonzero(np.triu(may, 1) if own else may)
             r, c = i[r], j[c]
             scale = x_norm[r] * y_norm[c]
-            dots = np.cumsum(x[r] * y[c], axis=1)[:, -1] if len(r) and x.shape[1] else np.zeros(len(r))
-            exact = np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0)
+            exact = np.where(scale > 0, dots(x, y, r, c) / np.where(scale > 0, scale, 1), 0.0)
             kept = exact >= floor
             yield r[kept], c[kept], exact[kept]
 
@@ -91,11 +145,14 @@ def _codes(ids: pa.Array) -> np.ndarray:
 def _matrix(rows: pa.Table) -> np.ndarray:
     if not rows.num_rows:
         return np.zeros((0, 0))
-    lists = pa.concat_arrays(rows["v"].chunks)
-    size = np.diff(lists.offsets.to_numpy())
-    if (size != size[0]).any():
+    sizes = pc.unique(pc.list_value_length(rows["v"]))
+    if len(sizes) > 1:
         raise ValueError("vectors of different lengths")
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+    out, at = np.empty((rows.num_rows, sizes[0].as_py() or 0)), 0
+    for chunk in rows["v"].chunks:
+        out[at : at + len(chunk)] = chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1)
+        at += len(chunk)
+    return out
 
 
 Fold = Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray | None], Iterator[pa.RecordBatch]]
@@ -137,7 +194,9 @@ def tiled(left: DataFrame, right: DataFrame | None, fold: Fold, schema: str) ->
         of = lambda name, value: rows.filter(pc.equal(rows[name], value))
         first, second = (of("side", 0), of("side", 1)) if not one else (rows, None) if row == column else (of("part", row), of("part", column))
         ids = lambda t: pa.concat_arrays(t["id"].chunks) if t.num_rows else pa.array([], t["id"].type)
-        yield from fold(ids(first), _matrix(first), *((ids(second), _matrix(second)) if second is not None else (ids(first), None)))
+        sides = [(ids(t), _matrix(t)) for t in (first, second) if t is not None]
+        del rows, first, second  # the matrices are all that is needed, for as long as the tile takes
+        yield from fold(*sides[0], *(sides[1] if len(sides) > 1 else (sides[0][0], None)))
 
     # A number is given, as tiles are small to send but long to work on, so that they must not be put together by their size.
     spread_over = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,7 +205,8 @@ def tiled(left: DataFrame, right: DataFrame | None, fold: Fold, schema: str) ->
 
 
 def _plain(vectors: DataFrame, within: str | None = None) -> DataFrame:
-    return vectors.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(within) if within else F.lit(0)).alias("group"))
+    v = F.col("v") if vectors.schema["v"].dataType.simpleString() == "array<float>" else F.col("v").cast("array<double>")  # the former are half as long to send
+    return vectors.select("id", v.alias("v"), (F.col(within) if within else F.lit(0)).alias("group"))
 
 
 def neighbours(vectors: DataFrame, threshold: float | None, k: int = LINK_K, within: str | None = None) -> DataFrame:
@@ -161,17 +221,13 @@ def neighbours(vectors: DataFrame, threshold: float | None, k: int = LINK_K, wit
     def nearest(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         ids = a_ids if b is None else pa.concat_arrays([a_ids, b_ids])
         code = _codes(ids)
-        found = list(alike(a, b, floor, k, code[: len(a)], None if b is None else code[len(a) :]))
-        if not found:
-            return
-        i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
-        j = j if b is None else j + len(a)
-        src, dst, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s])
-        order = np.lexsort((code[dst], -s, src))
-        src, dst, s = src[order], dst[order], s[order]
-        place = np.arange(len(src))
-        kept = place - np.maximum.accumulate(np.where(np.diff(src, prepend=-1) != 0, place, 0)) < k
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(src[kept])), ids.take(pa.array(dst[kept])), pa.array(s[kept])], ("src", "dst", "similarity"))
+        best = Best(code, k, floor)
+        for i, j, s in alike(a, b, floor, code[: len(a)], None if b is None else code[len(a) :], best):
+            j = j if b is None else j + len(a)
+            best.put(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s]))
+        src, place = np.nonzero(best.to >= 0)
+        if len(src):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(src)), ids.take(pa.array(best.to[src, place])), pa.array(best.similarity[src, place])], ("src", "dst", "similarity"))
 
     found = tiled(_plain(vectors, within), None, nearest, f"src {kind}, dst {kind}, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
@@ -187,7 +243,7 @@ def similar(left: DataFrame, right: DataFrame | None, threshold: float) -> DataF
     kind, other = (df.schema["id"].dataType.simpleString() for df in (left, left if right is None else right))
 
     def qualify(a_ids: pa.Array, a: np.ndarray, b_ids: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for i, j, s in alike(a, b, threshold, None, _codes(a_ids), None):
+        for i, j, s in alike(a, b, threshold, _codes(a_ids), None):
             yield pa.RecordBatch.from_arrays([a_ids.take(pa.array(i)), b_ids.take(pa.array(j)), pa.array(s)], ("src", "dst", "similarity"))
 
     return tiled(_plain(left), None if right is None else _plain(right), qualify, f"src {kind}, dst {other}, similarity double")

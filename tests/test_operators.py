@@ -61,6 +61,29 @@ def test_links_in_blocks_are_exact(spark, monkeypatch):
     assert got == want
 
 
+def test_a_tile_holds_no_more_than_the_best(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    folds = []
+    monkeypatch.setattr(graph, "BLOCK", 64)
+    monkeypatch.setattr(graph, "tiled", lambda left, right, fold, schema: folds.append(fold) or spark.createDataFrame([], schema))
+    graph.neighbours(spark.createDataFrame([], "id long, v array<double>"), None, 10)
+    v = np.random.default_rng(8).normal(size=(4000, 8))
+    ids = pa.array(np.arange(4000)[::-1])
+    tracemalloc.start()
+    (found,) = folds[0](ids, v, ids, None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # with ten from every block, it would be over 100 MB
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    want = {(3999 - i, 3999 - j) for i, row in enumerate(np.argsort(-s, axis=1)[:, :10].tolist()) for j in row}
+    assert {*zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True)} == want
+
+
 def test_backbone(spark):
     rows = [("b", [1.0, 0.0], " APP "), ("a", [-1.0, 0.0], "app"), ("l", [1.0, 0.0], "lone"), ("n", [1.0, 0.0], None), ("e", [1.0, 0.0], " ")]
     n = spark.createDataFrame(rows, "id string, v array<double>, repo string")
