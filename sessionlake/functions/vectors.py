@@ -20,7 +20,8 @@ def normalized(v: Column) -> Column:
     """At unit length; a zero norm is an error."""
     norm = F.sqrt(dot(v, v))
     checked = F.when(norm > 0, norm).otherwise(F.raise_error(F.lit("a vector of norm zero")).cast("double"))
-    return F.transform(v.cast("array<double>"), lambda x: x / checked)
+    scaled = F.transform(F.array(checked), lambda n: F.transform(v.cast("array<double>"), lambda x: x / n))  # so that the norm is not summed again for each element
+    return F.when(F.size(v) == 0, v.cast("array<double>")).otherwise(scaled[0])
 
 
 def is_valid(v: Column, dim: int) -> Column:

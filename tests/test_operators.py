@@ -553,6 +553,44 @@ def test_calibration_is_that_of_all_pairs(spark):
     assert calibrate.threshold_at(df.limit(0), wanted).count() == 0 and calibrate.summary(df.limit(0)).first()["pairs"] == 0
 
 
+def test_few_pairs_are_summed_from_left_to_right(spark, monkeypatch):
+    import pyarrow as pa
+
+    summed, folds, dots = [], [], calibrate.dots
+    monkeypatch.setattr(calibrate, "SIDE", 100)
+    monkeypatch.setattr(calibrate, "dots", lambda a, b, r, c: summed.append(len(r)) or dots(a, b, r, c))
+    monkeypatch.setattr(calibrate, "tiled", lambda left, right, fold, schema: folds.append(fold) or spark.createDataFrame([], schema))
+    calibrate.density(spark.createDataFrame([], "id long, embedding array<double>"), {"a": 0.25, "b": 0.96})
+    v = np.random.default_rng(6).normal(size=(900, 2))
+    v[:60], v[60:90] = (0.6, 0.8), (0.8, 0.6)  # 0.6 * 0.8 + 0.8 * 0.6, from left to right, is 0.96
+    v /= np.where(np.arange(900) < 90, 1, np.sqrt((v * v).sum(1)))[:, None]
+    ids = np.arange(900)
+    ids[899] = 898  # one id, which is no pair
+    (found,) = folds[0](pa.array(ids), v, pa.array(ids), None)
+    s = [float(v[i, 0] * v[j, 0] + v[i, 1] * v[j, 1]) for i in range(900) for j in range(i + 1, 900) if ids[i] != ids[j]]
+    assert found.to_pydict() == {"anchor": ["a", "b"], "n": [sum(x >= t for x in s) for t in (0.25, 0.96)], "of": [len(s)] * 2}
+    assert 60 * 30 <= sum(summed) < 60 * 30 + 40
+
+
+def test_statistics_of_all_pairs_make_no_pair(spark, monkeypatch):
+    def made(*_):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(calibrate, "tiled", made)
+    monkeypatch.setattr(calibrate, "PRODUCTS", 15)  # five rows at once
+    v = np.random.default_rng(7).normal(size=(60, 3)) + 0.5
+    ids = [*range(40), *[41] * 7, 42, 42, *range(50, 61)]
+    u = v / np.sqrt((v * v).sum(1, keepdims=True))
+    s = np.array([u[i] @ u[j] for i in range(60) for j in range(i + 1, 60) if ids[i] != ids[j]])
+    df = spark.createDataFrame([(i, [*map(float, x)]) for i, x in [*zip(ids, v, strict=True), (None, v[0])]], "id long, embedding array<double>").repartition(3)
+    up = lambda x: math.floor(x * 10_000 + 0.5) / 10_000
+    assert tuple(calibrate.summary(df).first()) == (len(s), up(s.mean()), up(s.std()))
+    assert tuple(calibrate.summary(df.limit(0)).first()) == (0, None, None)
+    for odd in ([1.0, 2.0], [float("nan"), 0.0, 1.0]):
+        with pytest.raises(Exception, match="vectors of different lengths|not finite"):
+            calibrate.summary(df.unionByName(spark.createDataFrame([(99, odd)], df.schema))).collect()
+
+
 def test_thresholds_are_reconciled():
     assert calibrate.reconciled({"a": 0.5, "b": 0.5}, {"a": 0.51, "b": 0.6}) == {"a": 0.5, "b": 0.6}
     assert calibrate.reconciled({"a": 0.5}, None) == {"a": 0.5}
