@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ TOLERANCE, MIN_NOTES = 0.02, 200
 
 #: Rows and columns of similarities that are summed from left to right at once; of rough ones; how finely these are counted.
 ROWS, COLUMNS, SIDE, BINS = 256, 2048, 1024, 65_536
+#: Ranges of similarities for rank correlation; pairs that are ranked within their ranges at once.
+RANGES, MOST_RANKED = 1 << 20, 50_000_000
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -268,6 +271,105 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return ranked(ranked(checkpointed(pairs), "s", "x"), "t", "y").agg(round4(F.corr("x", "y")).alias("spearman"))
 
 
+def _floored(x: float) -> float:
+    return math.floor(x * 10_000 + 0.5) / 10_000
+
+
+def agreement(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(spearman) of the similarities of all pairs of ids in both of two spaces; ranks as in ``spearman``, but no list of all pairs is written.
+
+    Tasks count pairs by fine ranges (``RANGES``) of either similarity. The middle ranks of these give the correlation up to an
+    error that the counts bound; as four places are wanted, that is mostly enough. Where it is not, what ranks add within their
+    ranges is summed as well, see ``_within``; what then is left out is a product of two such errors. Where that is too much, as
+    many pairs are equal in both spaces, all pairs are written and ranked after all.
+    """
+    spark, split = one.sparkSession, F.size("embedding").cast("double")
+    of = lambda df, name: scaled(df).select("id", F.col("v").alias(name))
+    sized = one.filter("id IS NOT NULL").select("id", F.array(split).alias("split")).distinct()
+    both = of(one, "v").join(of(other, "w"), "id").join(sized, "id").select("id", F.concat("split", "v", "w").alias("v"), F.lit(0).alias("group"))
+    unit = checkpointed(both)
+
+    def histogram(ids: pa.Array, a: np.ndarray, others: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, RANGES), np.int64)
+        for _, _, pair in _both(ids, a, others, b):
+            for k, s in enumerate(pair):
+                np.add(found[k], np.bincount(_bins(s, RANGES), minlength=RANGES), out=found[k])
+        for k in 0, 1:
+            places, n = _counts(found[k])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(places), pa.int32()), places, n], ("side", "bin", "n"))
+
+    counted = tiled(unit, None, histogram, "side int, bin long, n long").groupBy("side", "bin").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((2, RANGES), np.int64)
+    n[counted["side"].to_numpy(), counted["bin"].to_numpy()] = counted["n"].to_numpy()
+    total = int(n[0].sum())
+    if total < 2:
+        return spark.createDataFrame([(None,)], "spearman double")
+    ends = np.cumsum(n, axis=1)
+    ranks = ((ends - n + ends + 1) / 2 - (total + 1) / 2) / total  # the middle of a range's ranks, from the middle of all
+    left = [math.sqrt((n[k].astype(float) ** 3 - n[k]).sum() / (float(total) ** 3 - total)) for k in (0, 1)]
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def products(ids: pa.Array, a: np.ndarray, others: pa.Array, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        sums = [float(shared.value[0][_bins(s, RANGES)] @ shared.value[1][_bins(t, RANGES)]) for _, _, (s, t) in _both(ids, a, others, b)]
+        yield pa.RecordBatch.from_arrays([pa.array([math.fsum(sums)])], ("x",))
+
+    scale = 12 / (total - 1 / total)
+    found, error = scale * tiled(unit, None, products, "x double").agg(F.sum("x")).first()[0], sum(left) + left[0] * left[1] + 1e-9
+    if _floored(found - error) != _floored(found + error):
+        found, error = found + scale * sum(_within(unit, n[k], k, shared, total) for k in (0, 1)), left[0] * left[1] + 1e-9
+        if left[0] * left[1] > 1e-9 and _floored(found - error) != _floored(found + error):
+            return spearman(pairwise(one).join(pairwise(other).withColumnRenamed("s", "t"), ["i", "j"]))
+    return spark.createDataFrame([(_floored(min(1.0, max(-1.0, found))),)], "spearman double")
+
+
+def _both(ids: pa.Array, a: np.ndarray, others: pa.Array, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(i, j, similarities in both spaces) of a tile's pairs by blocks, of vectors that have the first one's length, the first and the second in one."""
+    y = a if b is None else b
+    if not len(a) or not len(y):
+        return
+    split = int(a[0, 0]) + 1
+    if (a[:, 0] + 1 != split).any() or (y[:, 0] + 1 != split).any():
+        raise ValueError("vectors of different lengths")
+    part = lambda x, k: None if x is None else x[:, 1:split] if k == 0 else x[:, split:]
+    for (rows, columns, s, counts), (*_, t, _) in zip(*(blocks(ids, part(a, k), others, part(b, k), float) for k in (0, 1)), strict=True):
+        i, j = np.nonzero(np.ones(s.shape, bool) if counts is None else counts)
+        yield i + rows.start, j + columns.start, (s[i, j], t[i, j])
+
+
+def _within(unit: DataFrame, n: np.ndarray, side: int, shared: Broadcast, total: int) -> float:
+    """The sum of what ranks on ``side`` are off the middle of their range, times the other side's middle ranks.
+
+    Only pairs of ranges that hold several are written, at most ``MOST_RANKED`` at once (or one range's), so disk is bounded; each
+    time all products are made again.
+    """
+    kind, several = unit.schema["id"].dataType.simpleString(), np.where(n > 1, n, 0)
+    upto, found, low = np.cumsum(several), 0.0, 0
+    while low < len(n) and upto[-1] > (done := int(upto[low - 1]) if low else 0):
+        high = max(low + 1, int(np.searchsorted(upto, done + MOST_RANKED, side="right")))
+        chosen = (several[low:high] > 0, low, high)
+
+        def listed(ids: pa.Array, a: np.ndarray, others: pa.Array, b: np.ndarray | None, chosen: tuple = chosen) -> Iterator[pa.RecordBatch]:
+            wanted, low, high = chosen
+            y, y_ids, split = a if b is None else b, ids if b is None else others, int(a[0, 0]) + 1 if len(a) else 1
+            own = slice(1, split) if side == 0 else slice(split, None)
+            for i, j, pair in _both(ids, a, others, b):
+                places = _bins(pair[side], RANGES)
+                hit = np.flatnonzero((places >= low) & (places < high))
+                hit = hit[wanted[places[hit] - low]]
+                if len(hit):
+                    i, j = i[hit], j[hit]
+                    ends = ids.take(pa.array(i)), y_ids.take(pa.array(j))
+                    values = pa.array(places[hit]), pa.array(dots(a[:, own], y[:, own], i, j)), pa.array(shared.value[1 - side][_bins(pair[1 - side][hit], RANGES)])
+                    yield pa.RecordBatch.from_arrays([*values, pc.min_element_wise(*ends), pc.max_element_wise(*ends)], ("bin", "s", "rank", "i", "j"))
+
+        pairs = tiled(unit, None, listed, f"bin long, s double, rank double, i {kind}, j {kind}")
+        place = F.row_number().over(Window.partitionBy("bin").orderBy("s", "i", "j"))
+        each = pairs.withColumn("place", place).groupBy("bin").agg(F.sum(F.col("place") * F.col("rank")).alias("x"), F.sum("rank").alias("r"), F.count("*").alias("n"))
+        found += each.agg(F.sum(F.col("x") - F.col("r") * (F.col("n") + 1) / 2)).first()[0] / total
+        low = high
+    return found
+
+
 def carried(reference: DataFrame, other: DataFrame, anchors: dict[str, float] = ANCHORS) -> DataFrame:
     """(anchor, threshold): where the ``other`` vectors' pairs are as dense as the ``reference`` vectors' are at the anchors."""
     found = {r["anchor"]: r["density"] for r in density(reference, anchors).collect()}

@@ -126,8 +126,7 @@ def calibration_carried(spark, d):
 
 
 def spearman_subspaces(spark, d):
-    a, b = (calibrate.pairwise(x) for x in halves(spark, d))
-    return calibrate.spearman(a.join(b.withColumnRenamed("s", "t"), ["i", "j"]))
+    return calibrate.agreement(*halves(spark, d))
 
 
 def reconcile_overlap(spark, d):

@@ -591,6 +591,33 @@ def test_statistics_of_all_pairs_make_no_pair(spark, monkeypatch):
             calibrate.summary(df.unionByName(spark.createDataFrame([(99, odd)], df.schema))).collect()
 
 
+@pytest.mark.parametrize("ranges", [1 << 20, 4096, 3])
+def test_rank_correlation_without_a_list_of_pairs(spark, monkeypatch, ranges):
+    def made(*_):
+        raise AssertionError("all pairs are listed")
+
+    if ranges > 3:  # three are too few: what is left out is too much
+        monkeypatch.setattr(calibrate, "pairwise", made)
+    monkeypatch.setattr(calibrate, "RANGES", ranges)
+    monkeypatch.setattr(calibrate, "MOST_RANKED", 500)
+    monkeypatch.setattr(calibrate, "SIDE", 16)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 5))
+    v[7] = v[11] = v[30]  # ties
+    w = v[:, :4] + rng.normal(size=(60, 4))
+    unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+    i, j = np.triu_indices(60, 1)
+    s, t = ([float(sum(x * y for x, y in zip(u[a], u[b], strict=True))) for a, b in zip(i, j, strict=True)] for u in (unit(v), unit(w)))
+    ranks = lambda x: np.argsort(np.argsort(x, kind="stable"))
+    want = math.floor(np.corrcoef(ranks(s), ranks(t))[0, 1] * 10_000 + 0.5) / 10_000
+    one, other = (spark.createDataFrame([(k, [*map(float, x)]) for k, x in enumerate(m)], "id long, embedding array<double>") for m in (v, w))
+    assert calibrate.agreement(one, other).first()["spearman"] == pytest.approx(want, abs=1e-9)
+    used = []
+    monkeypatch.setattr(calibrate, "_floored", lambda x: used.append(x) or (len(used) if len(used) < 3 else math.floor(x * 10_000 + 0.5) / 10_000))
+    assert calibrate.agreement(one, other).first()["spearman"] == pytest.approx(want, abs=1e-9)  # with ranks within ranges, needed or not
+    assert calibrate.agreement(one.limit(0), other).first()["spearman"] is None
+
+
 def test_thresholds_are_reconciled():
     assert calibrate.reconciled({"a": 0.5, "b": 0.5}, {"a": 0.51, "b": 0.6}) == {"a": 0.5, "b": 0.6}
     assert calibrate.reconciled({"a": 0.5}, None) == {"a": 0.5}
